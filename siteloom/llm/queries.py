@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import orc_tokens, packing, slots
+from siteloom.llm import orc_tokens, outliers, packing, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -14,6 +14,10 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard_documents(documents(spark, sf_dir))
 
 
+def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_verdicts(documents(spark, sf_dir))
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -25,7 +29,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op8_hierarchical_packing, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op8_hierarchical_packing, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
