@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import orc_tokens, outliers, packing, slots
+from siteloom.llm import orc_tokens, outliers, packing, pfair, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -18,6 +18,10 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_verdicts(documents(spark, sf_dir))
 
 
+def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair.mix_schedule(documents(spark, sf_dir)).select("doc_id", "source", "block", "release", "deadline", "slot", "place")
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -29,7 +33,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op8_hierarchical_packing, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op8_hierarchical_packing, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
