@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import orc_tokens, outliers, packing, pfair, slots
+from siteloom.llm import neardup, orc_tokens, outliers, packing, pfair, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -22,6 +22,10 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pfair.mix_schedule(documents(spark, sf_dir)).select("doc_id", "source", "block", "release", "deadline", "slot", "place")
 
 
+def op5_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
 def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
@@ -33,7 +37,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op8_hierarchical_packing, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op8_hierarchical_packing, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
