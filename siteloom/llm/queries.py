@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import neardup, orc_tokens, outliers, packing, pfair, secret_scan, slots
+from siteloom.llm import lzprint, neardup, orc_tokens, outliers, packing, pfair, secret_scan, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -34,6 +34,10 @@ def op8_hierarchical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op9_lempel_ziv_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "tokens")
     orc_tokens.write_tokens(documents(spark, sf_dir), path)
@@ -41,7 +45,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op7_markov_secrets, op8_hierarchical_packing, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
