@@ -114,3 +114,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         pairs.select(F.col("lo").alias("node"), F.col("lo").alias("root"))
     ).distinct()
+
+
+def bounded_sample(docs: DataFrame, rows: int) -> DataFrame:
+    """About so many rows of docs, chosen by a hash of id and text; all of them where there are no more."""
+    total, slots = docs.count(), 1 << 20
+    return docs if total <= rows else docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slots)) < int(slots * rows / total))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import lzprint, neardup, orc_tokens, outliers, packing, pfair, secret_scan, slots
+from siteloom.llm import lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -26,6 +26,10 @@ def op5_bottom_k_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op6_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(documents(spark, sf_dir))
+
+
 def op7_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.find_secrets(documents(spark, sf_dir))
 
@@ -45,7 +49,7 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
+    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import DOCUMENT_COLUMNS, let, materialize
+from siteloom.llm.common import DOCUMENT_COLUMNS, bounded_sample, let, materialize
 
 #: The base rules.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -64,10 +64,9 @@ def pair_counts(strings: DataFrame, label: str) -> DataFrame:
 def train(docs: DataFrame, rows: int = 20_000) -> DataFrame:
     """One row with `llr`: an array of log-likelihood ratios by 67 * first + second, characters as places in ALPHABET from 1.
 
-    Trained on the `rows` documents with the smallest hash of their id, at most. Counts start at 0.2, so unseen
-    pairs cost little.
+    Trained on about `rows` documents, chosen by a hash. Counts start at 0.2, so unseen pairs cost little.
     """
-    some = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = bounded_sample(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows)
     some = materialize(some.select(base_spans(F.col("text")).alias("b"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")), "labelled")
     secret = some.select(F.explode(F.transform("b", lambda x: x["value"])).alias("s")).where(F.length("s") >= 16)
     plain = some.select(F.explode("w").alias("s"), "b").where(~F.exists("b", lambda x: F.contains(x["value"], F.col("s")))).select("s")
