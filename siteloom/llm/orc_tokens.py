@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import range_bounds, range_number, shuffle_parts
-from siteloom.llm.tokens import encoder
+from siteloom.llm.common import materialize, range_bounds, range_number, shuffle_parts
+from siteloom.llm.tokens import each_group, encoder
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, ids array<int>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -44,7 +44,7 @@ def write_tokens(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, own = encoder(tokenizer).encode, 0, None
+        encode, start, own = encoder(tokenizer).encode_all, 0, None
         out: list[tuple[int | None, int, int]] = []
         blobs: list[bytes] = []
 
@@ -61,10 +61,10 @@ def write_tokens(
 
         for batch in batches:
             held = 0
-            for doc, p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for doc, p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), each_group(encode, batch.column(2))):
                 if p != own:
                     own, start = p, 0
-                blobs.append(encode(text.as_py()) + end)
+                blobs.append(ids + end)
                 out.append((doc, p, start))
                 start += len(blobs[-1]) // 4
                 held += len(blobs[-1]) // 4
@@ -110,9 +110,9 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
                 names=["doc_id", "part", "part_start", "n_tokens", "ids_crc32"],
             )
 
-    rows = read_tokens(spark, path)
-    each = rows.mapInArrow(sums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
-    totals = rows.groupBy("part").agg(F.sum(F.size("ids").cast("bigint")).alias("ids_here"))
+    each = read_tokens(spark, path).mapInArrow(sums, "doc_id bigint, part int, part_start bigint, n_tokens bigint, ids_crc32 bigint")
+    each = materialize(each, "token-index")  # the files are read once; what follows needs these few numbers only
+    totals = each.groupBy("part").agg(F.sum("n_tokens").alias("ids_here"))
     # One row per part: the window runs over file ranges, not documents.
     before = totals.select("part", (F.sum("ids_here").over(Window.orderBy("part")) - F.col("ids_here")).alias("before"))
     return each.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("part_start")).alias("start"), "n_tokens", "ids_crc32")

@@ -5,11 +5,25 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siteloom.llm import lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
+from siteloom.llm import fixity, lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
 from siteloom.llm.common import documents, work_path
 
 
+def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a copy of the pages' archives in which records whose digest starts with 00 have another first character and those with 01 are gone."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    layout = fixity.archive_layout(pages)
+    changed = pages.select(
+        F.col("page_id").cast("bigint"), F.sha2(fixity.response_record(F.col("url"), F.col("html")), 256).alias("digest"),
+        F.sha2(fixity.response_record(F.col("url"), F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))), 256).alias("rotten"),
+    ).where(F.col("digest").startswith("00")).dropDuplicates(["page_id", "digest"])
+    copy = layout.join(changed, ["page_id", "digest"], "left").where(~F.col("digest").startswith("01"))
+    replica = copy.select("archive", "piece", "offset", F.coalesce("rotten", "digest").alias("digest"))
+    return fixity.fixity_audit(pages, replica).select("page_id", "archive", "piece", "offset", "length", "copies", "damage", "digest", "found_digest")
+
+
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slots.shard_documents(documents(spark, sf_dir))
 
@@ -49,8 +63,29 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_merkle_fixity, op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
+
+
+#: The records of pages that op1 damages, found by comparing every digest.
+OP1_SQL = """
+with r as (
+  select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+      || chr(13) || chr(10) || 'Content-Length: ' as head, coalesce(html, '') as body, chr(13) || chr(10) || chr(13) || chr(10) as gap
+  from pages),
+d as (
+  select page_id, sha256(head || octet_length(encode(body)) || gap || body || gap) as digest,
+    octet_length(encode(head || octet_length(encode(body)) || gap || body || gap)) as length,
+    sha256(head || octet_length(encode('#' || substr(body, 2))) || gap || '#' || substr(body, 2) || gap) as rotten
+  from r),
+u as (select page_id, digest, length, min(rotten) as rotten, count(*) as copies from d group by all),
+a as (select *, coalesce(cast(floor(page_id / 1024) as bigint), -9007199254740992) as archive from u),
+p as (select *, cast(('0x' || substr(digest, 1, 8))::bigint % cast(ceil(count(*) over (partition by archive) / 4096) as bigint) as integer) as piece from a),
+o as (select *, cast(coalesce(sum(length) over (partition by archive, piece order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from p)
+select page_id, archive, piece, "offset", cast(length as bigint) as length, copies, case when digest like '00%' then 'changed' else 'missing' end as damage,
+  digest, case when digest like '00%' then rotten end as found_digest
+from o where digest like '00%' or digest like '01%'
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_merkle_fixity": OP1_SQL}

@@ -10,11 +10,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
-CACHED_PIECES = 400_000
+CACHED_PIECES = 1_000_000
+GROUP_CHARS = 1_000_000
 #: Where this module's cut and the library's agree beyond doubt: no rare spaces, no combining marks, no special case pairs.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-įı-ž‐-‧‰-⁞]*")
 LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ž"
@@ -48,36 +51,58 @@ class Encoder:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
-        text = text or ""
-        if self.pieces is None or not PLAIN.fullmatch(text):
-            return self.whole(text)
-        parts, known = self.pieces.findall(text.lower() if self.lower else text), self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > CACHED_PIECES:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        out: list[bytes] = []
+        group: list[str] = []
+        chars = 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars >= GROUP_CHARS:
+                out += self.group(group)
+                group, chars = [], 0
+        return out + self.group(group)
+
+    def group(self, texts: list[str]) -> list[bytes]:
+        """Cut all the texts, learn their new pieces in one call, then look every piece up."""
+        if self.pieces is None:
+            return [self.whole(t) for t in texts]
+        cut = self.pieces.findall
+        parts = [cut(t.lower() if self.lower else t) if PLAIN.fullmatch(t) else None for t in texts]
+        wanted = set().union(*[p for p in parts if p])
+        known = self.known
+        new = [p for p in wanted if p not in known]
+        if len(self.known) + len(new) > CACHED_PIECES:
             known.clear()
-            new = list(dict.fromkeys(parts))
+            new = list(wanted)
         self.learn(new)
-        return b"".join([known[p] for p in parts])
+        found = known.__getitem__
+        return [self.whole(t) if p is None else b"".join(map(found, p)) for t, p in zip(texts, parts)]
 
     def learn(self, new: list[str]) -> None:
         """Encode pieces, those that stay apart between line feeds in one call."""
         apart = [p for p in new if not p.isspace()]
         found = self.library.encode("\n".join(apart), add_special_tokens=False)
-        ids, at = np.asarray(found.ids, "<u4"), np.asarray([-1 if x is None else x for x in found.word_ids], np.int64)
         step = 1 if self.lower else 2  # the line feed is a piece of its own unless white space is dropped
-        cuts = np.searchsorted(at, step * np.arange(len(apart) + 1))
+        at = np.asarray([-1 if x is None else x for x in found.word_ids], np.int64)
         if len(at) and at[-1] == step * (len(apart) - 1) and (np.diff(at) >= 0).all():
-            ends = cuts[1:] if self.lower else np.searchsorted(at, step * np.arange(len(apart)), "right")
-            for p, i, j in zip(apart, cuts, ends):
-                self.known[p] = ids[i:j].tobytes()
+            ids = np.asarray(found.ids, "<u4").tobytes()
+            own = step * np.arange(len(apart))
+            starts, ends = (4 * np.searchsorted(at, own)).tolist(), (4 * np.searchsorted(at, own, "right")).tolist()
+            self.known.update((p, ids[i:j]) for p, i, j in zip(apart, starts, ends))
         for p in new:
             if p not in self.known:
                 self.known[p] = self.whole(p)
 
 
+def each_group(encode_all: Callable[[list[str | None]], list[bytes]], texts: pa.Array, rows: int = 512) -> Iterator[bytes]:
+    """The ids of each text of an Arrow array, so many texts at a time."""
+    for start in range(0, len(texts), rows):
+        yield from encode_all(texts.slice(start, rows).to_pylist())
+
+
 @cache
 def encoder(tokenizer: str) -> Encoder:
     """tokenizer: a path, or the name of a file that the public_tokenizers package holds on every machine."""
