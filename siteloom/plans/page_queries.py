@@ -217,7 +217,7 @@ def _text(html: str) -> str:
     """Visible text of a piece of markup, for the tags that the test pages use."""
     t = f"regexp_replace(regexp_replace(regexp_replace({html}, '<!--.*?-->', '', 'gs'), '<script>.*?</script>', '', 'gs'), '<style>.*?</style>', '', 'gs')"
     t = f"regexp_replace(regexp_replace({t}, '</?(a|b|br|html|body|title)( [^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g')"
-    t = f"replace(replace(replace(replace(replace({t}, '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+    t = f"replace(replace(replace(replace(replace(replace({t}, '&quot;', chr(34)), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
     return f"trim(regexp_replace({t}, '{_SP}', ' ', 'g'))"
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.plans import page_queries
+from siteloom.plans import estate_queries, page_queries
 
-_PARTS = (page_queries,)
+_PARTS = (page_queries, estate_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
