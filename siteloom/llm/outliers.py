@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import SPACES, let, materialize, words
+from siteloom.llm.common import DOCUMENT_COLUMNS, SPACES, let, materialize, words
 
 SYMBOLS = "#*$%&|<>"
 SCALE = 1024
@@ -212,11 +212,13 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
-    """The rows of docs that pass, all their columns as they were.
+    """The rows of docs that pass, with the columns of documents.
 
     Statistics are computed once more where the texts are, which moves no text between machines.
     """
+    own = [c for c in DOCUMENT_COLUMNS if c in docs.columns]
+    docs = docs.select(*own)
     model = fit(quality_statistics(docs))
-    q, own = F.col("_q"), docs.columns
+    q = F.col("_q")
     rows = with_statistics(docs).select(F.struct(*own).alias("_row"), "lang", "source", q["base_failed"].alias("base_failed"), *vector(q))
     return judged(rows, model, chi_square_quantile(tail, len(DIMENSIONS))).where("kept").select("_row.*")

@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import let, materialize, range_number
+from siteloom.llm.common import DOCUMENT_COLUMNS, let, materialize, range_number
 from siteloom.llm.slots import COPY_RUN
 
 KEY = ("source", "doc_id", "text_hash")
@@ -135,7 +135,8 @@ def mix_schedule(
 
 
 def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
-    """The rows of docs in the order of the mix: partitions are ascending ranges of slots. Equal rows go where the first of them goes."""
+    """The rows of docs, with the columns of documents, in the order of the mix: partitions are ascending ranges of slots. Equal rows go where the first of them goes."""
+    docs = docs.select(*[c for c in DOCUMENT_COLUMNS if c in docs.columns])
     plan = mix_schedule(docs, weights, power, block_docs, period).groupBy(*KEY).agg(F.min(F.struct("slot", "place")).alias("_at"))
     plan = materialize(plan.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_at"), "mix")
     on = F.col("_row.source").eqNullSafe(F.col("_source")) & F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash"))

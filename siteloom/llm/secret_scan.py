@@ -25,7 +25,7 @@ TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Words to train the model of ordinary identifiers on.
 WORD = "[A-Za-z0-9+/_=-]{6,}"
-THRESHOLD = 1.0
+THRESHOLD = 1.5
 
 
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
@@ -71,11 +71,18 @@ def train(docs: DataFrame, rows: int = 20_000) -> DataFrame:
     secret = some.select(F.explode(F.transform("b", lambda x: x["value"])).alias("s")).where(F.length("s") >= 16)
     plain = some.select(F.explode("w").alias("s"), "b").where(~F.exists("b", lambda x: F.contains(x["value"], F.col("s")))).select("s")
     counts = pair_counts(secret, "r").join(pair_counts(plain, "o"), "pair", "full")
-    k, c = len(ALPHABET), 0.2
+    k = len(ALPHABET)
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring("pair", i, 1))
-    n = counts.select(at(1).alias("x"), at(2).alias("y"), F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o")).where("x > 0 and y > 0")
+    seen_pairs = counts.select(at(1).alias("x"), at(2).alias("y"), "r", "o")
+    grid = docs.sparkSession.range(k * k).select((F.col("id") % k + 1).cast("int").alias("x"), (F.floor(F.col("id") / k) + 1).cast("int").alias("y"))
+    n = grid.join(seen_pairs, ["x", "y"], "left").fillna(0, ["r", "o"])
     first = Window.partitionBy("x")
-    llr = F.log((F.col("r") + c) / (F.sum("r").over(first) + c * k)) - F.log((F.col("o") + c) / (F.sum("o").over(first) + c * k))
+    drawn = F.coalesce(F.try_divide("r", F.sum("r").over(first)), F.lit(1 / k))
+    many, kinds = F.sum("o").over(first), F.count_if(F.col("o") > 0).over(first)
+    new = F.greatest(F.lit(0.01), F.coalesce(F.try_divide(kinds, many + kinds), F.lit(1.0)))
+    single = F.coalesce(F.try_divide(F.sum("o").over(Window.partitionBy("y")), F.sum("o").over(Window.partitionBy())), F.lit(1 / k))
+    usual = (1 - new) * F.coalesce(F.try_divide("o", many), F.lit(0.0)) + new * (0.99 * single + 0.01 / k)
+    llr = F.greatest(F.lit(-4.0), F.least(F.lit(4.0), F.log((drawn + 1 / k) / 2) - F.log(usual)))
     table = n.select((F.col("x") * (k + 1) + F.col("y")).cast("int").alias("i"), llr.alias("l"))
     filled = table.agg(F.map_from_entries(F.collect_list(F.struct("i", "l"))).alias("m"))  # at most 66 * 66 entries
     return materialize(filled.select(F.transform(F.sequence(F.lit(0), F.lit((k + 1) * (k + 1))), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("llr")), "markov")
@@ -110,14 +117,14 @@ def joined_spans(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", name(s), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, rows: int = 20_000) -> DataFrame:
+def find_secrets(docs: DataFrame, threshold: float = THRESHOLD, rows: int = 20_000, model: DataFrame | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_assign, n_access, n_hex, n_markov, base_sha256, spans.
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind. A null text counts as empty.
     Repeated rows are scanned each, extra columns are ignored, an empty table gives no rows; without any labelled
     secret the models don't differ and add nothing.
     """
-    found = marked(docs.select("doc_id", "text"), train(docs, rows), threshold)
+    found = marked(docs.select("doc_id", "text"), train(docs, rows) if model is None else model, threshold)
     base = F.filter("_spans", lambda s: s["kind"] < 3)
     count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("bigint")
     return found.select(
