@@ -138,14 +138,17 @@ def page_paragraphs(nodes: DataFrame, min_words: int = 8) -> DataFrame:
 
 def page_nav(pages: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
     """(site, page_id, ord, label, url): links of the page's first menu."""
-    rank = F.when(F.col("tag") == "nav", 0).when(attr("role") == "navigation", 1).when(
-        F.arrays_overlap("classes", F.array(*[F.lit(c) for c in ("nav", "navbar", "menu", "main-menu", "navigation")])), 2)
+    classes = F.col("classes")
+    rank = (
+        F.when(F.col("tag") == "nav", 0).when(attr("role") == "navigation", 1).when(F.array_contains(classes, "nav"), 2).when(F.array_contains(classes, "navbar"), 3)
+        .when(F.array_contains(classes, "menu"), 4).when(attr("id") == "menu", 5).when(F.array_contains(classes, "main-menu"), 6)
+    )
     menu = nodes.select(*PAGE, "node_id", "last_id", rank.alias("rank")).where("rank is not null").groupBy(*PAGE).agg(F.min(F.struct("rank", "node_id", "last_id")).alias("m"))
     links = nodes.where("tag = 'a'").select(*PAGE, "node_id", F.col("text").alias("label"), attr("href").alias("href")).join(menu, PAGE)
-    links = links.where(F.col("node_id").between(F.col("m.node_id"), F.col("m.last_id")) & (F.col("label") != "") & (F.length("label") < 40))
-    links = links.join(pages.select(*PAGE, F.col("url").alias("base")), PAGE).withColumn("url", U.absolute(F.col("href"), F.col("base"))).where("url is not null")
-    first = links.groupBy(*PAGE, "label").agg(F.min(F.struct("node_id", "url")).alias("f"))
-    return first.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.node_id")).alias("ord"), "label", F.col("f.url").alias("url")).where(F.col("ord") <= most)
+    links = links.where(F.col("node_id").between(F.col("m.node_id"), F.col("m.last_id")) & (F.col("label") != "") & (F.col("href") != "") & (F.length("label") < 40))
+    first = links.groupBy(*PAGE, F.lower("label").alias("key")).agg(F.min(F.struct("node_id", "label", "href")).alias("f"))
+    ranked = first.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.node_id")).alias("ord"), "f.label", "f.href").where(F.col("ord") <= most)
+    return ranked.join(pages.select(*PAGE, F.col("url").alias("base")), PAGE).select(*PAGE, "ord", "label", U.absolute(F.col("href"), F.col("base")).alias("url"))
 
 
 def platform(html: Column, generator: Column) -> Column:
