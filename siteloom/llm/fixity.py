@@ -32,12 +32,12 @@ def archive_layout(pages: DataFrame) -> DataFrame:
     """(page_id, digest, length, copies, archive, piece, offset): where each record of pages lies.
 
     Archives are runs of ids; one with many records is cut into pieces by digest, so a repeated id makes no large
-    one. Equal records are stored once, with a count. A null page_id comes first; offsets start at 0 in a piece.
+    one. Equal records are stored once, with a count. A null page_id comes first in archive 0; offsets start at 0 in a piece.
     """
     record = response_record(F.col("url"), F.col("html"))
     each = pages.select(F.col("page_id").cast("bigint"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("bigint").alias("length"))
     distinct = each.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
-    rows = distinct.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / ID_RUN), F.lit(-(1 << 53))).cast("bigint"))
+    rows = distinct.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / ID_RUN), F.lit(0)).cast("bigint"))
     pieces = rows.groupBy("archive").agg(F.ceil(F.count("*") / ARCHIVE_RECORDS).alias("pieces"))
     rows = rows.join(pieces, "archive").withColumn("piece", F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("bigint"), "pieces").cast("int"))
     before = Window.partitionBy("archive", "piece").orderBy(F.col("page_id").asc_nulls_first(), "digest").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,10 +77,10 @@ def merkle_tree(records: DataFrame, far: tuple[int, int, int, int], range_bytes:
     while width > 0:
         node, width = parents(levels[-1], [F.col("archive"), F.floor(F.col("n") / fanout).alias("n")], ["n"]), width // fanout
         levels.append(materialize(node, "pieces"))
-    low, high = far[2], far[3]
-    levels.append(materialize(levels[-1].select(F.col("archive").alias("n"), "hash"), "archives"))
-    while low != high:
-        node, low, high = parents(levels[-1], [F.floor(F.col("n") / fanout).alias("n")], ["n"]), low // fanout, high // fanout
+    width = far[3] - far[2]  # archives are numbered from the lowest from here up
+    levels.append(materialize(levels[-1].select((F.col("archive") - far[2]).alias("n"), "hash"), "archives"))
+    while width > 0:
+        node, width = parents(levels[-1], [F.floor(F.col("n") / fanout).alias("n")], ["n"]), width // fanout
         levels.append(materialize(node, "archives"))
     return levels
 
@@ -92,10 +92,10 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.where(~F.col("expected").eqNullSafe(F.col("found")))
 
 
-def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+def audit(ours: list[DataFrame], theirs: list[DataFrame], lowest: int, fanout: int = FANOUT) -> DataFrame:
     """(archive, piece, n, offset, expected, found): the records that differ, reached through differing nodes only.
 
-    Both trees need the same number of levels: build the replica's with the layout of the original. expected is
+    lowest: the lowest archive. Both trees need the same number of levels: build both with the original's extent. expected is
     null for a record that only the replica has, found for one that it lacks.
     """
     bad = differing(ours[-1], theirs[-1]).drop("expected", "found")
@@ -103,7 +103,7 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], fanout: int = FANOUT)
         below = [c for c in ours[i].columns if c != "hash"]
         above = bad.columns
         if "archive" in below and "archive" not in above:  # an archive's number is its node's
-            link = bad.select(F.col("n").alias("archive")).distinct()
+            link = bad.select((F.col("n") + lowest).alias("archive")).distinct()
             on = ["archive"]
         elif "piece" in below and "piece" not in above:
             link, on = bad.select("archive", F.col("n").cast("int").alias("piece")).distinct(), ["archive", "piece"]
@@ -126,8 +126,8 @@ def fixity_audit(pages: DataFrame, replica: DataFrame, range_bytes: int = 65_536
     """Per damaged record of pages: archive, piece, offset, page_id, length, copies, damage (changed or missing), digest, found_digest.
 
     replica has what a read of the copy at each record's place gave: archive, piece, offset, digest; no row where
-    nothing could be read. pages needs page_id, url and html; nulls are empty strings there, a null page_id lies in
-    an archive of its own, extra columns are ignored, empty tables give no rows.
+    nothing could be read. pages needs page_id, url and html; nulls are empty strings there, a null page_id lies
+    in archive 0, extra columns are ignored, empty tables give no rows.
     """
     layout = materialize(archive_layout(pages), "layout")
     read = materialize(replica.select("archive", "piece", "offset", F.col("digest").alias("found_digest")), "replica")
@@ -137,7 +137,7 @@ def fixity_audit(pages: DataFrame, replica: DataFrame, range_bytes: int = 65_536
     if far is None:
         bad = layout.select(*place, F.lit("").alias("found")).where("false")
     else:
-        bad = audit(merkle_tree(layout, far, range_bytes), merkle_tree(theirs, far, range_bytes)).select(*place, "found")
+        bad = audit(merkle_tree(layout, far, range_bytes), merkle_tree(theirs, far, range_bytes), far[2]).select(*place, "found")
     damage = F.when(F.col("found").isNull(), "missing").otherwise("changed")
     return layout.join(bad, place).join(read, place, "left").select(
         *place, "page_id", "length", "copies", damage.alias("damage"), "digest", "found_digest"

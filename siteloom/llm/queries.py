@@ -78,7 +78,7 @@ d as (
     sha256(head || octet_length(encode('#' || substr(body, 2))) || gap || '#' || substr(body, 2) || gap) as rotten
   from r),
 u as (select page_id, digest, length, min(rotten) as rotten, count(*) as copies from d group by all),
-a as (select *, coalesce(cast(floor(page_id / 1024) as bigint), -9007199254740992) as archive from u),
+a as (select *, coalesce(cast(floor(page_id / 1024) as bigint), 0) as archive from u),
 p as (select *, cast(('0x' || substr(digest, 1, 8))::bigint % cast(ceil(count(*) over (partition by archive) / 4096) as bigint) as integer) as piece from a),
 o as (select *, cast(coalesce(sum(length) over (partition by archive, piece order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset" from p)
 select page_id, archive, piece, "offset", cast(length as bigint) as length, copies, case when digest like '00%' then 'changed' else 'missing' end as damage,
