@@ -33,7 +33,7 @@ def luminance(hexa: Column) -> Column:
 
 def contrast(a: Column, b: Column) -> Column:
     la, lb = luminance(a), luminance(b)
-    return (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05)
+    return F.when(la.isNotNull() & lb.isNotNull(), (F.greatest(la, lb) + 0.05) / (F.least(la, lb) + 0.05))
 
 
 def hsl(hexa: Column) -> Column:

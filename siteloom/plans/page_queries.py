@@ -273,7 +273,7 @@ ORACLES = {
     "page_headings": f"""with {_PAGES}, h as (select page_id, {_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")} as t from p) select page_id, 1::int as level, 1::int as ord, length(t) as chars from h where t <> '' and length(t) < 140 and not regexp_matches(t, '{P.NAV_WORDS}')""",
     "page_paragraphs": f"with {_PARAS} select page_id, text from q",
     "page_nav": f"""with {_PAGES}, a as (select page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">(.*?)</a>', 1)) as raw, generate_subscripts(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">(.*?)</a>', 1), 1) as i from p),
-      t as (select page_id, {_text("raw")} as label, min(i) as i from a group by 1, 2) select page_id, cast(row_number() over (partition by page_id order by i) as integer) as ord, label from t where label <> '' and length(label) < 40 qualify ord <= 20""",
+      u as (select page_id, {_text("raw")} as label, i from a), t as (select page_id, arg_min(label, i) as label, min(i) as i from u where label <> '' and length(label) < 40 group by page_id, lower(label)) select page_id, cast(row_number() over (partition by page_id order by i) as integer) as ord, label from t where label <> '' and length(label) < 40 qualify ord <= 20""",
     "page_audit": f"with {_PAGES} select page_id, words, 1::bigint as h1, url like 'https:%' as has_https, length(html) as bytes, 0::bigint as images, 1::bigint as scripts, 0::bigint as tables, 0::bigint as layout_tables, false as has_viewport from p",
     "audit_flags": f"""with {_PAGES} select page_id, unnest(['no_viewport', 'no_description', 'no_json_ld']) as code, null::bigint as n from p union all select page_id, 'no_https', null from p where url not like 'https:%'
       union all select page_id, 'long_title', length(title) from p where length(title) > 65 union all select page_id, 'no_title', null from p where title = ''""",
