@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteloom.operators import brand as B
 from siteloom.operators import jsonld as J
 from siteloom.operators.nodes import html_nodes
 
@@ -34,10 +35,34 @@ def jsonld_hours(spark, sf_dir):
     return J.jsonld_hours(J.jsonld_nodes(html_nodes(_pages(spark, sf_dir)))).select("page_id", "day", "opens", "closes", "closed")
 
 
-QUERIES = [jsonld_nodes, jsonld_profile, jsonld_hours]
+def _css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per part in the sheet of its brand: background, text colour, a transparent and a black one, a font by size."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    shade = F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_size") * 5000 + 17).cast("bigint"))), 6, "0"))
+    rule = F.concat(F.lit(".p{background:"), shade, F.lit(";color:#123abc;border-color:rgba(1,2,3,0);fill:#000;font-family:'F"), (F.col("p_size") % 7).cast("string"), F.lit("',serif}"))
+    return p.select(F.col("p_brand").alias("site"), rule.alias("css"))
+
+
+def css_colours(spark, sf_dir):
+    return B.css_colours(_css(spark, sf_dir))
+
+
+def brand_fonts(spark, sf_dir):
+    return B.brand_fonts(_css(spark, sf_dir)).select("site", "heading", "body")
+
+
+def brand_palette(spark, sf_dir):
+    return B.brand_palette(B.css_colours(_css(spark, sf_dir))).select("site", F.size("palette").cast("bigint").alias("colours"))
+
+
+QUERIES = [jsonld_nodes, jsonld_profile, jsonld_hours, css_colours, brand_fonts, brand_palette]
 _S = "s as (select * from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 0)"
 ORACLES = {
     "jsonld_nodes": f"with {_S} select lower(n_name) as site, type, count(*) as n from s, (select unnest(['WebSite', 'Plumber', 'Review']) as type) group by all",
     "jsonld_profile": f"with {_S} select s_suppkey as page_id, s_name as name, 'Plumber' as category, s_suppkey::varchar as phone, n_name as city from s",
     "jsonld_hours": f"with {_S} select s_suppkey as page_id, unnest([4, 5, 6, 0])::integer as day, '9:00 AM' as opens, '5:30 PM' as closes, false as closed from s",
+    "css_colours": "select p_brand as site, '#' || lower(printf('%06x', p_size * 5000 + 17)) as hex, cast(3 * count(*) as bigint) as score, count(*) as uses from part group by all union all select p_brand, '#123abc', cast(2 * count(*) as bigint), count(*) from part group by p_brand",
+    "brand_fonts": """with f as (select p_brand as site, 'F' || (p_size % 7) as font, count(*) as n from part group by all), r as (select site, font, row_number() over (partition by site order by n desc, font) as k from f)
+      select site, max(font) filter (k = 1) as heading, coalesce(max(font) filter (k = 2), max(font) filter (k = 1)) as body from r group by site""",
+    "brand_palette": "select p_brand as site, least(12, count(distinct p_size) + 1) as colours from part group by p_brand",
 }
