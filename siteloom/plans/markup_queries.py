@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators import brand as B
+from siteloom.operators import content as X
 from siteloom.operators import jsonld as J
 from siteloom.operators.nodes import html_nodes
 
@@ -55,7 +56,46 @@ def brand_palette(spark, sf_dir):
     return B.brand_palette(B.css_colours(_css(spark, sf_dir))).select("site", F.size("palette").cast("bigint").alias("colours"))
 
 
-QUERIES = [jsonld_nodes, jsonld_profile, jsonld_hours, css_colours, brand_fonts, brand_palette]
+def _content(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A page per supplier: a grid of three services (two for every fifth), a team list, a question, a quote, a lazy image, a mail link."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    k = F.col("s_suppkey").cast("string")
+    card = lambda n: F.concat(F.lit(f"<div class='card big x{n}'><h3>Repair {n} of "), k, F.lit("</h3><p>We repair all that breaks.</p></div>"))
+    html = F.concat(
+        F.lit("<html><body><main><h2>Our services</h2><div class='grid'>"), card(1), card(2), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(card(3)),
+        F.lit("</div><h2>The team</h2><ul><li><b>Ann "), k, F.lit("</b><p>Owner of it all</p></li><li><b>Bob Ray</b><p>Technician here</p></li><li><b>Cy Poe</b><p>Office manager</p></li></ul><h3>Do you serve area "), k,
+        F.lit("?</h3><p>Yes, every day of the week.</p><blockquote>They came out the same day, all of them. <cite>- Customer "), k,
+        F.lit("</cite></blockquote><img src='data:x' data-src='img/"), k, F.lit(".jpg'><a href='mailto:service@x.org'>service</a></main></body></html>"))
+    pages = s.select(F.lit("s.example").alias("site"), F.col("s_suppkey").alias("page_id"), F.lit("https://s.example/d/p.html").alias("url"), html.alias("html"))
+    return pages, html_nodes(pages)
+
+
+def repeated_blocks(spark, sf_dir):
+    found = X.block_labels(X.repeated_blocks(_content(spark, sf_dir)[1]), html_nodes(_content(spark, sf_dir)[0]))
+    return found.select("page_id", "signature", "items", "label")
+
+
+def page_services(spark, sf_dir):
+    return X.page_services(_content(spark, sf_dir)[1]).select("page_id", "ord", "name", "summary")
+
+
+def page_team(spark, sf_dir):
+    return X.page_team(_content(spark, sf_dir)[1]).select("page_id", "ord", "name", "role")
+
+
+def page_faqs(spark, sf_dir):
+    return X.page_faqs(_content(spark, sf_dir)[1]).select("page_id", "question", "answer")
+
+
+def page_testimonials(spark, sf_dir):
+    return X.page_testimonials(_content(spark, sf_dir)[1]).select("page_id", "quote", "author")
+
+
+def page_images(spark, sf_dir):
+    return X.page_images(*_content(spark, sf_dir)).select("page_id", "url")
+
+
+QUERIES = [jsonld_nodes, jsonld_profile, jsonld_hours, css_colours, brand_fonts, brand_palette, repeated_blocks, page_services, page_team, page_faqs, page_testimonials, page_images]
 _S = "s as (select * from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 0)"
 ORACLES = {
     "jsonld_nodes": f"with {_S} select lower(n_name) as site, type, count(*) as n from s, (select unnest(['WebSite', 'Plumber', 'Review']) as type) group by all",
@@ -65,4 +105,10 @@ ORACLES = {
     "brand_fonts": """with f as (select p_brand as site, 'F' || (p_size % 7) as font, count(*) as n from part group by all), r as (select site, font, row_number() over (partition by site order by n desc, font) as k from f)
       select site, max(font) filter (k = 1) as heading, coalesce(max(font) filter (k = 2), max(font) filter (k = 1)) as body from r group by site""",
     "brand_palette": "select p_brand as site, least(12, count(distinct p_size) + 1) as colours from part group by p_brand",
+    "repeated_blocks": "select s_suppkey as page_id, 'div.big.card' as signature, 3::bigint as items, 'our services' as label from supplier where s_suppkey % 5 <> 0 union all select s_suppkey, 'li.', 3, 'the team' from supplier",
+    "page_services": "select s_suppkey as page_id, n::integer as ord, 'Repair ' || n || ' of ' || s_suppkey as name, 'We repair all that breaks.' as summary from supplier, (select unnest([1, 2, 3]) as n) where s_suppkey % 5 <> 0",
+    "page_team": "select s_suppkey as page_id, unnest([1, 2, 3])::integer as ord, unnest(['Ann ' || s_suppkey, 'Bob Ray', 'Cy Poe']) as name, unnest(['Owner of it all', 'Technician here', 'Office manager']) as role from supplier",
+    "page_faqs": "select s_suppkey as page_id, 'Do you serve area ' || s_suppkey || '?' as question, 'Yes, every day of the week.' as answer from supplier",
+    "page_testimonials": "select s_suppkey as page_id, 'They came out the same day, all of them.' as quote, 'Customer ' || s_suppkey as author from supplier",
+    "page_images": "select s_suppkey as page_id, 'https://s.example/d/img/' || s_suppkey || '.jpg' as url from supplier",
 }
