@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,6 +32,11 @@ PAGE_KINDS = (
 _HEAD = r"^(?i)(https?)://([^/?#]*)"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value written into the plan once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _HEAD, 1))
 
@@ -108,14 +115,17 @@ def absolute(href: Column, base: Column) -> Column:
         .when(h.startswith("?"), F.concat(root, path(base), h))
         .otherwise(F.concat(root, folder, h))
     )
-    head, tail = F.regexp_extract(target, "^([^/]*//[^/?]*)", 1), query(target)
-    clean = F.concat(head, _encoded(without_dots(path(target))), tail)
+    clean = _let(target, lambda t: F.when(host(t) != "", F.concat(F.regexp_extract(t, "^([^/]*//[^/?]*)", 1), _let(without_dots(path(t)), _encoded), query(t))))
     bad = F.trim(href).rlike(r"(?i)^(#|$)") | (F.trim(href).rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~F.trim(href).rlike("(?i)^https?:"))
-    return F.when(href.isNotNull() & ~bad & (host(target) != ""), clean)
+    return F.when(href.isNotNull() & ~bad, clean)
 
 
 def canonical(url: Column) -> Column:
     """Without fragment, tracking parameters and trailing slashes."""
+    return _let(url, _canonical)
+
+
+def _canonical(url: Column) -> Column:
     pairs = F.filter(F.split(F.regexp_replace(query(url), r"^\?", ""), "&"), lambda p: (p != "") & ~p.rlike(TRACKING.replace("$)", "(=|$))").replace("ref$", "ref(=|$)")))
     kept = F.array_join(pairs, "&")
     p = F.when(path(url) != "/", F.regexp_replace(path(url), "(?<=.)/+$", "")).otherwise(path(url))
@@ -125,6 +135,10 @@ def canonical(url: Column) -> Column:
 
 def page_kind(url: Column) -> Column:
     """Struct of kind and score."""
+    return _let(url, _page_kind)
+
+
+def _page_kind(url: Column) -> Column:
     p = path(url)
     cases = [F.when(p.rlike(f"(?i){rule}"), F.struct(F.lit(kind).alias("kind"), F.lit(score).cast("bigint").alias("score"))) for rule, score, kind in PAGE_KINDS]
     return F.coalesce(*cases, F.struct(F.lit("page").alias("kind"), (40 - 5 * depth(url)).alias("score")))
@@ -132,4 +146,4 @@ def page_kind(url: Column) -> Column:
 
 def crawlable(url: Column) -> Column:
     """Worth a visit: no asset, no skipped path or query, four levels deep at most."""
-    return ~is_asset(url) & ~url.rlike(SKIP_PATH) & ~query(url).rlike(SKIP_QUERY) & (depth(url) <= 4)
+    return _let(url, lambda u: ~is_asset(u) & ~u.rlike(SKIP_PATH) & ~query(u).rlike(SKIP_QUERY) & (depth(u) <= 4))
