@@ -10,7 +10,9 @@ a block returns a spanning forest of its links. Components of all verified links
 
 What can be lost: a pair at the threshold whose sketches share fewer than LEAST_SHARED of SKETCH values, or whose
 estimate falls short by 4.5 standard deviations; both have a probability below 1e-5 at a similarity of exactly
-the threshold and vanish above it. Sets of at most SKETCH shingles are kept whole, and nothing of them is lost.
+the threshold and vanish above it. Sets of at most SKETCH shingles are kept whole, and nothing of them is lost:
+what such a set shares at least with its partner's sketch allows for the values that the sketch of a larger partner
+leaves out.
 """
 
 from __future__ import annotations
@@ -53,10 +55,20 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     )).alias("x")).select("doc_id", "x.*")
 
 
+def least_shared(n: int, percent: int) -> int:
+    """How many values a whole set of n <= SKETCH shares at least with the sketch of any similar set.
+
+    A partner of m > SKETCH has all but SKETCH of its values cut off, which may all be common ones.
+    """
+    cut = (-(-percent * (n + m) // (100 + percent)) - (m - SKETCH) for m in range(SKETCH + 1, 100 * n // percent + 1))
+    return max(1, min([-(-percent * n // 100), *cut]))
+
+
 def prefix_length(n: Column, percent: int) -> Column:
     """How many values of a sketch, rare ones first, must meet those of any similar set."""
     kept = F.least(n, F.lit(SKETCH))
-    shared = F.when(n <= SKETCH, F.ceil(n * percent / 100)).otherwise(F.lit(LEAST_SHARED))
+    whole = F.lit([least_shared(k, percent) for k in range(1, SKETCH + 1)])
+    shared = F.when(n <= SKETCH, F.get(whole, (n - 1).cast("int"))).otherwise(F.lit(LEAST_SHARED))
     return (kept - shared + 1).cast("int")
 
 

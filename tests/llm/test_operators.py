@@ -176,6 +176,24 @@ def test_near_duplicates(docs, rows, monkeypatch, short_list):
     assert all(r.kept == (d == r.component_id) for d, r in got.items())
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_about_the_sketch_size(spark, percent):
+    """Pairs at the threshold, one of the two sets often kept whole and the other cut to its sketch."""
+    rng, texts = random.Random(percent), {}
+    for n in range(55, 71):
+        for m in {100 * n // percent, 100 * n // percent - 1, 100 * n // percent - 2, 65, 66, 70}:
+            common = -(-percent * (n + m) // (100 + percent))
+            for _ in range(4 if n in (62, 63, 64) else 1):
+                if m >= n >= common:
+                    w = [f"w{len(texts)}x{i}" for i in range(n + m - common)]
+                    rng.shuffle(w)
+                    texts[len(texts)] = " ".join(w[:n])
+                    texts[len(texts)] = " ".join(w[n - common :])
+    df = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in texts.items()], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 1, percent).collect()}
+    assert got == brute_components(texts, 1, percent)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (21, 20), (5, 5)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
