@@ -24,17 +24,18 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are put in the order of the mix; every document stays."""
-    return pfair.mix_documents(docs, power=0.5)
+    """Documents get their slot of the mix and their place in it; every document stays."""
+    return pfair.placed_documents(docs, power=0.5)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their training sequences."""
-    return packing.pack_documents(docs)
+    """The pieces of all documents in their training sequences, which are numbered in the order of the mix."""
+    return packing.pack_documents(docs, order=("slot", "place"))
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
-#: Robust covariances, components and tokenizers are beyond SQL; tests hold each stage against a brute-force version.
+#: Robust covariances, components and tokenizers are beyond SQL. tests/llm/test_pipeline.py holds near_duplicates, mix and pack against
+#: brute force, test_operators.py the operators of quality and secrets against numpy and planted rows.
 ORACLE_SQL = None
 
 

@@ -134,11 +134,17 @@ def mix_schedule(
     )
 
 
-def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
-    """The rows of docs, with the columns of documents, in the order of the mix: partitions are ascending ranges of slots. Equal rows go where the first of them goes."""
+def placed_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
+    """The rows of docs, with the columns of documents and their slot and place in the mix, in any order. Equal rows go where the first of them goes."""
     docs = docs.select(*[c for c in DOCUMENT_COLUMNS if c in docs.columns])
     plan = mix_schedule(docs, weights, power, block_docs, period).groupBy(*KEY).agg(F.min(F.struct("slot", "place")).alias("_at"))
     plan = materialize(plan.select(*[F.col(c).alias(f"_{c}") for c in KEY], "_at"), "mix")
     on = F.col("_row.source").eqNullSafe(F.col("_source")) & F.col("_row.doc_id").cast("bigint").eqNullSafe(F.col("_doc_id")) & (F.col("_hash") == F.col("_text_hash"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_hash"))
-    return rows.join(plan, on).repartitionByRange(F.col("_at.slot")).sortWithinPartitions("_at").select("_row.*")
+    return rows.join(plan, on).select("_row.*", "_at.slot", "_at.place")
+
+
+def mix_documents(docs: DataFrame, weights: Mapping[str | None, float] | None = None, power: float = 0.5, block_docs: int = 16, period: int = 1000) -> DataFrame:
+    """The rows of docs, with the columns of documents, in the order of the mix: partitions are ascending ranges of slots."""
+    placed = placed_documents(docs, weights, power, block_docs, period)
+    return placed.repartitionByRange("slot").sortWithinPartitions("slot", "place").drop("slot", "place")
