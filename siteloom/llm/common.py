@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWEST = -(1 << 63)
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -60,30 +62,41 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """At most parts - 1 ascending bounds that cut an integer column into ranges of about equal row counts."""
+def range_bounds(df: DataFrame, column: str, parts: int) -> list[tuple[int, int]]:
+    """At most parts - 1 ascending bounds (value, hash) that cut an integer column into ranges of about equal row counts.
+
+    A value with many rows gets several bounds, at even distances of a 64-bit hash; null counts as the lowest value.
+    """
     if parts < 2:
         return []
-    cuts = df.agg(F.percentile_approx(column, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
-    return sorted(set(cuts or []))
+    value = F.coalesce(F.col(column).cast("bigint"), F.lit(LOWEST))
+    cuts = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0]
+    many = Counter(cuts or [])
+    return [(v, LOWEST + k * ((1 << 64) // n)) for v, n in sorted(many.items()) for k in range(n)]
 
 
-def range_number(column: Column, bounds: list[int]) -> Column:
-    """How many bounds are at most the value, by binary search; 0 for null."""
+def range_number(column: Column, tie: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are at most (value, tie), by binary search. tie, a 64-bit hash, is computed only if a value has several bounds."""
     if not bounds:
         return F.lit(0)
-    cuts = F.lit(bounds).cast("array<bigint>")
+    tied = any(h != LOWEST for _, h in bounds)
+    values, hashes = (F.lit([x[i] for x in bounds]).cast("array<bigint>") for i in (0, 1))
+    value = F.coalesce(column.cast("bigint"), F.lit(LOWEST))
+    steps = len(bounds).bit_length() + 1
 
-    def halve(at: Column, _: Column) -> Column:
-        mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
-        go_up = F.get(cuts, mid) <= column
-        return F.when(at["lo"] >= at["hi"], at).otherwise(
-            F.struct(F.when(go_up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(go_up, at["hi"]).otherwise(mid).alias("hi"))
-        )
+    def search(own: Column) -> Column:
+        def halve(at: Column, _: Column) -> Column:
+            mid = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+            below = F.get(values, mid) < own["v"]
+            go_up = below | ((F.get(values, mid) == own["v"]) & (F.get(hashes, mid) <= own["h"])) if tied else below | (F.get(values, mid) == own["v"])
+            return F.when(at["lo"] >= at["hi"], at).otherwise(
+                F.struct(F.when(go_up, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(go_up, at["hi"]).otherwise(mid).alias("hi"))
+            )
 
-    steps = len(bounds).bit_length() + 1
-    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
-    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"], F.lit(0))
+        start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
+
+    return let(F.struct(value.alias("v"), (tie if tied else F.lit(LOWEST)).alias("h")), search)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -81,16 +81,15 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     """
     n = parts or shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text"), F.lit("")).cast("string").alias("text"))
-    bounds = range_bounds(rows, "doc_id", n)
-    number = range_number(F.col("doc_id"), bounds)
-    firsts = rows.select(number.alias("part"), "doc_id").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id"))["doc_id"].alias("doc_id")).orderBy("part").collect()
+    tie = F.xxhash64("text")
+    number = range_number(F.col("doc_id"), tie, range_bounds(rows, "doc_id", n))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), tie.alias("tie"))
+    firsts = rows.select(number.alias("part"), place.alias("place")).groupBy("part").agg(F.min("place").alias("p")).orderBy("part").collect()
     heads = rows.sparkSession.createDataFrame(
-        [(r.doc_id, firsts[i - 1].part) for i, r in enumerate(firsts)], "first_id bigint, behind int"
+        [(*r.p, firsts[i - 1].part) for i, r in enumerate(firsts)], "known boolean, first_id bigint, first_tie bigint, behind int"
     )  # a row for each range, as many as parts at most
-    first_texts = (
-        rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .groupBy("behind", "doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-    )
+    same = (F.col("doc_id").isNotNull() == F.col("known")) & (F.coalesce("doc_id", F.lit(0)) == F.col("first_id")) & (tie == F.col("first_tie"))
+    first_texts = rows.join(F.broadcast(heads), same).groupBy("behind").agg(F.min_by(F.struct("doc_id", "text"), "text").alias("r")).select("behind", "r.*")
     own = rows.select(number.alias("part"), F.lit(False).alias("ahead"), "doc_id", "text")
     ahead = first_texts.select(F.col("behind").alias("part"), F.lit(True).alias("ahead"), "doc_id", "text")
     return own.unionByName(ahead).repartitionById(n, "part").sortWithinPartitions("part", "ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "text")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, range_bounds, range_number, shuffle_parts
-from siteloom.llm.tokens import each_group, encoder
+from siteloom.llm.tokens import each_text, encoder
 
 FILE_SCHEMA = "doc_id bigint, part int, part_start bigint, ids array<int>"
 ARROW = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("part_start", pa.int64()), ("ids", pa.list_(pa.int32()))])
@@ -35,16 +35,17 @@ def write_tokens(
     """Encode every text, append end_id, write (doc_id, part, part_start, ids) as ORC.
 
     part numbers the ranges of document ids, null first; part_start counts the ids before a document in its
-    part. Rows of one doc_id are ordered by a hash of the text. A null or empty text has the end id alone.
+    part. Rows of one doc_id are ordered by a hash of the text, and an id with very many rows spans several parts.
+    A null or empty text has the end id alone.
     The texts are dealt into ranges once; encoding streams through each sorted range and keeps one batch.
     """
     n = parts or shuffle_parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    part = range_number(F.col("doc_id"), range_bounds(rows, "doc_id", n))
+    part = range_number(F.col("doc_id"), F.xxhash64("text"), range_bounds(rows, "doc_id", n))
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, start, own = encoder(tokenizer).encode_all, 0, None
+        encode, start, own = encoder(tokenizer).encode, 0, None
         out: list[tuple[int | None, int, int]] = []
         blobs: list[bytes] = []
 
@@ -61,7 +62,7 @@ def write_tokens(
 
         for batch in batches:
             held = 0
-            for doc, p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), each_group(encode, batch.column(2))):
+            for doc, p, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), each_text(encode, batch.column(2))):
                 if p != own:
                     own, start = p, 0
                 blobs.append(ids + end)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.tokens import each_group, encoder
+from siteloom.llm.tokens import each_text, encoder
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, `offset` bigint, tier int, step_group bigint"
 ARROW = pa.schema([(c, pa.int32() if c == "tier" else pa.int64()) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group")])
@@ -187,10 +187,10 @@ def pack_documents(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode_all
+        encode = encoder(tokenizer).encode
         packer = (OrderedPacker if order else Packer)(TaskContext.get().partitionId(), tiers, step_tokens, pending)
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), each_group(encode, batch.column(1))):
+            for doc, ids in zip(batch.column(0).to_pylist(), each_text(encode, batch.column(1))):
                 packer.add(doc, ids + end)
                 if len(packer.rows) >= 20_000:
                     yield packer.flush()
