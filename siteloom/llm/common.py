@@ -43,7 +43,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     path = work_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote and that no later plan reads: what was made from them must be written by now."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def small(table: DataFrame, rows: int = 200_000) -> DataFrame:
+    """The written table, marked for broadcast if it has at most so many rows, which must be short; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -119,7 +134,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         root = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(root, "hi")
         small = joined.select("hi", F.col("m").alias("lo")).union(joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo"))).where("hi <> lo").distinct()
-        pairs = materialize(small, "edges")
+        before, pairs = pairs, materialize(small, "edges")
+        discard(before)
         now = pairs.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")), F.lit(0))).first()
         if now == seen:
             break

@@ -5,33 +5,38 @@ are one class from the start. Two classes that are similar enough share so many
 values of a sketch ordered from rare to frequent, they share one of the first few: only those values get an
 inverted list. Short lists give pairs of classes. The bottom-k sketch of the union, which two sketches determine,
 estimates a pair's similarity and drops pairs far below the threshold; the others are verified on full sets.
-Long lists, from large groups of near copies, are compared in square blocks of bounded size, on full sets too;
-a block returns a spanning forest of its links. Components of all verified links give the groups.
 
-What can be lost: a pair at the threshold whose sketches share fewer than LEAST_SHARED of SKETCH values, or whose
-estimate falls short by 4.5 standard deviations; both have a probability below 1e-5 at a similarity of exactly
-the threshold and vanish above it. Sets of at most SKETCH shingles are kept whole, and nothing of them is lost:
+Long lists come from large groups of near copies. Each class of them is compared with a bounded number of others of its
+longest list, twice, on full sets. That joins a group's classes to one component but for a few; these are then compared
+with their whole lists, so that no two classes of a list in different components stay uncompared, while a group isn't
+compared in all its pairs. Components of all verified links give the groups.
+
+What can be lost: a pair at the threshold whose sketches share fewer values than all but a millionth of such pairs
+do, or whose estimate falls as short (least_common); so at most 2 in 1,000,000 pairs at exactly the threshold, and the
+share vanishes above it. Sets of at most SKETCH shingles are kept whole, and nothing of them is lost:
 what such a set shares at least with its partner's sketch allows for the values that the sketch of a larger partner
-leaves out.
+leaves out. Shingles and sets are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import DOCUMENT_COLUMNS, ascii_lower, components, let, materialize, words
+from siteloom.llm.common import DOCUMENT_COLUMNS, ascii_lower, components, discard, let, materialize, words
 
 SKETCH = 64
-LEAST_SHARED = 40
-SHORT_LIST = 64
+#: Share of pairs at exactly the threshold that a step on sketches may lose.
+LOSS = 1e-6
+SHORT_LIST = 32
 BLOCK_CLASSES = 1024
 BLOCK_VALUES = 4_000_000
+#: In how many ways a long list is cut into blocks at first.
+CUTS = 2
 
 
 def shingle_set(text: Column, size: int) -> Column:
@@ -49,10 +54,23 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, set_a, set_b, sketch) per row: set size, two hashes of the whole set, bottom-k values."""
-    return docs.select("doc_id", let(shingle_set(F.col("text"), size), lambda s: F.struct(
-        F.size(s).cast("bigint").alias("n"), F.xxhash64(s).alias("set_a"), F.xxhash64(F.reverse(s)).alias("set_b"), F.slice(s, 1, SKETCH).alias("sketch")
-    )).alias("x")).select("doc_id", "x.*")
+    """(doc_id, text_hash, n, rid, sketch) per row: set size, hash of the whole set (null for none), bottom-k values."""
+    made = let(shingle_set(F.col("text"), size), lambda s: F.struct(
+        F.size(s).cast("bigint").alias("n"), F.when(F.size(s) > 0, F.xxhash64(s)).alias("rid"), F.slice(s, 1, SKETCH).alias("sketch")))
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), made.alias("x")).select("doc_id", "text_hash", "x.*")
+
+
+def least_common(k: int, percent: int) -> int:
+    """The most values of k that all but LOSS of pairs at the threshold have in common.
+
+    Each value of the union's sketch is common with a probability of the similarity; those are in both sketches, too.
+    """
+    share, total = percent / 100, 0.0
+    for common in range(k + 1):
+        total += math.comb(k, common) * share**common * (1 - share) ** (k - common)
+        if total > LOSS:
+            return common
+    return k
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -68,7 +86,7 @@ def prefix_length(n: Column, percent: int) -> Column:
     """How many values of a sketch, rare ones first, must meet those of any similar set."""
     kept = F.least(n, F.lit(SKETCH))
     whole = F.lit([least_shared(k, percent) for k in range(1, SKETCH + 1)])
-    shared = F.when(n <= SKETCH, F.get(whole, (n - 1).cast("int"))).otherwise(F.lit(LEAST_SHARED))
+    shared = F.when(n <= SKETCH, F.get(whole, (n - 1).cast("int"))).otherwise(F.lit(least_common(SKETCH, percent)))
     return (kept - shared + 1).cast("int")
 
 
@@ -102,9 +120,8 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     union = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, SKETCH)
     common = F.array_intersect(F.array_intersect("s_a", "s_b"), union)
-    share = percent / 100
-    slack = 4.5 * math.sqrt(share * (1 - share) / SKETCH)
-    return both.where(F.size(common) >= (share - slack) * F.size(union)).select("a", "b")
+    least = F.lit([0, *(least_common(k, percent) for k in range(1, SKETCH + 1))])
+    return both.where(F.size(common) >= F.get(least, F.size(union))).select("a", "b")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,22 +161,51 @@ def block_links(rid: np.ndarray, sets: list[np.ndarray], left: np.ndarray, perce
     return [(int(rid[k]), int(rid[i])) for i, k in enumerate(label) if rid[i] != rid[k]]
 
 
-def blocked_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links inside long lists. A list is cut into parts, and each two parts are compared in a task of bounded size."""
-    parts = F.greatest(F.ceil(F.col("listed") / BLOCK_CLASSES), F.ceil(F.col("weight") / BLOCK_VALUES)).cast("int")
-    long = lists.where(F.col("listed") > SHORT_LIST).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
-    other = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(F.least("part", p).alias("i"), F.greatest("part", p).alias("j")))
-    blocks = long.withColumn("block", F.explode(other)).select("value", "block", "part", "rid").join(sets, "rid")
+def compared(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links inside each (value, block) of blocks(value, block, side, rid); between its two sides only if it has two."""
 
     def run(table: pa.Table) -> pa.Table:
-        block, part = table.column("block").combine_chunks(), table.column("part").to_numpy()
-        rid, shingles = table.column("rid").to_numpy(), table.column("shingles").combine_chunks()
+        rid, side, shingles = table.column("rid").to_numpy(), table.column("side").to_numpy(), table.column("shingles").combine_chunks()
         flat, ends = shingles.values.to_numpy(zero_copy_only=False), shingles.offsets.to_numpy()
-        left = part == block.field("i")[0].as_py() if block.field("i")[0].as_py() != block.field("j")[0].as_py() else np.ones(len(rid), bool)
-        links = block_links(rid, [flat[i:j] for i, j in zip(ends, ends[1:])], left, percent)
+        links = block_links(rid, [flat[i:j] for i, j in zip(ends, ends[1:])], side == 0, percent)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
 
-    return blocks.groupBy("value", "block").applyInArrow(run, "a bigint, b bigint")
+    return blocks.join(sets, "rid").select("value", "block", "side", "rid", "shingles").groupBy("value", "block").applyInArrow(run, "a bigint, b bigint")
+
+
+def parts_of(rows: str, weight: str) -> Column:
+    """In how many blocks of bounded size so many classes and values fit."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK_CLASSES), F.ceil(F.col(weight) / BLOCK_VALUES)).cast("int")
+
+
+def first_links(long: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links inside blocks of bounded size; each class takes part with its longest list, which is cut in CUTS ways."""
+    own = long.groupBy("rid", "n").agg(F.max_by("value", F.struct("listed", "value")).alias("value"))
+    parts = own.groupBy("value").agg(F.count("*").alias("rows"), F.sum("n").alias("weight")).select("value", parts_of("rows", "weight").alias("parts"))
+    cuts = own.join(parts, "value").withColumn("cut", F.explode(F.sequence(F.lit(0), F.when(F.col("parts") > 1, CUTS - 1).otherwise(0))))
+    block = F.struct("cut", F.pmod(F.xxhash64("rid", "cut"), F.col("parts")).cast("int").alias("part"))
+    return compared(cuts.select("value", block.alias("block"), F.lit(0).alias("side"), "rid"), sets, percent)
+
+
+def other_links(long: DataFrame, found: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
+    """Links between the classes of a list that lie outside its largest component and all its classes; None if all are in one.
+
+    found: (node, root) of the links so far. Blocks are pairs of parts of bounded size.
+    """
+    placed = long.join(found.withColumnRenamed("node", "rid"), "rid", "left").select("value", "rid", "n", F.coalesce("root", "rid").alias("root"))
+    each = placed.groupBy("value", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    lists = each.groupBy("value").agg(F.max_by("root", F.struct("rows", "root")).alias("largest"), F.count("*").alias("roots"), F.sum("rows").alias("rows"), F.sum("weight").alias("weight")).where("roots > 1")
+    rest = each.join(lists.select("value", "largest"), "value").where("root <> largest").groupBy("value").agg(F.sum("rows").alias("rest_rows"), F.sum("weight").alias("rest_weight"))
+    plan = lists.join(rest, "value").select("value", "largest", parts_of("rows", "weight").alias("parts"), parts_of("rest_rows", "rest_weight").alias("rest_parts"))
+    plan = materialize(plan, "lists")
+    if plan.isEmpty():
+        return None
+    rows = placed.join(plan, "value").withColumn("h", F.xxhash64("rid"))
+    part = lambda n: F.pmod("h", F.col(n)).cast("int")
+    left = rows.where("root <> largest").select("value", "rid", part("rest_parts").alias("i"), F.explode(F.expr("sequence(0, parts - 1)")).alias("j"), F.lit(0).alias("side"))
+    right = rows.select("value", "rid", F.explode(F.expr("sequence(0, rest_parts - 1)")).alias("i"), part("parts").alias("j"), F.lit(1).alias("side"))
+    both = left.unionByName(right).select("value", F.struct("i", "j").alias("block"), "side", "rid")
+    return compared(both, sets, percent)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -167,22 +213,36 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     size: words in a shingle; percent: least Jaccard similarity of a link. component_id is the smallest doc_id
     that links reach, kept is whether it is the row's own. A null, empty or blank text has no shingle and no link.
-    A row with a null doc_id gets no component and is kept; rows that share a doc_id count as one document, and
-    repeated rows are returned each. Extra columns are ignored; an empty table gives no rows.
+    A row with a null doc_id gets no component and is kept; rows that share a doc_id count as one document, with the links
+    of all its texts, and repeated rows are returned each. Extra columns are ignored; an empty table gives no rows.
     """
-    base = materialize(sketches(docs.select(F.col("doc_id").cast("bigint"), "text"), size), "sketches")
+    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
+    base = materialize(sketches(docs, size), "sketches")
     named = base.where("doc_id is not null")
-    classes = materialize(named.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rid"), F.min("sketch").alias("sketch")), "classes")
+    whole = named.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    classes = materialize(whole, "classes")
     lists = inverted_lists(classes, percent)
     pairs = materialize(likely(listed_pairs(lists, percent), classes, percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(lists.where(F.col("listed") > SHORT_LIST).select("rid")).distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rid"), "text").join(materialize(wanted, "wanted"), "rid", "left_semi")
+    long = lists.where(F.col("listed") > SHORT_LIST)
+    wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(long.select("rid")).distinct()
+    wanted = materialize(classes.join(wanted, "rid", "left_semi").select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "wanted")
+    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
     sets = materialize(texts.select("rid", shingle_set(F.col("text"), size).alias("shingles")).dropDuplicates(["rid"]), "sets")
-    links = materialize(verified(pairs, sets, percent).union(blocked_links(lists, sets, percent)), "links")
-    roots = components(links).select(F.col("node").alias("rid"), "root")
-    of_class = classes.join(roots, "rid", "left").select("set_a", "set_b", "n", F.coalesce("root", "rid").alias("found"))
-    out = base.join(of_class, ["set_a", "set_b", "n"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", F.coalesce("found", "doc_id")))
+    # The texts of a document that has several are linked by it.
+    several = materialize(named.groupBy("doc_id").agg(F.min("rid").alias("b"), F.max("rid").alias("m"), F.count("*").alias("all"), F.count("rid").alias("some")).where("b <> m or some < all").select("doc_id", "b"), "several")
+    own = named.where("rid is not null").join(several.where("b is not null"), "doc_id").select(F.col("rid").alias("a"), "b").where("a <> b")
+    links = materialize(verified(pairs, sets, percent).union(own).union(first_links(long, sets, percent)), "links")
+    found = materialize(components(links), "components")
+    if (more := other_links(long, found, sets, percent)) is not None:
+        found = materialize(components(links.union(materialize(more, "links"))), "components")
+    of_class = classes.select("rid", F.col("first.doc_id").alias("d")).join(found.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    lowest = of_class.groupBy("root").agg(F.min("d").alias("found"))
+    of_class = materialize(of_class.join(lowest, "root").select("rid", "found"), "of-class")
+    of_several = named.join(several.select("doc_id"), "doc_id", "left_semi").join(of_class, "rid").groupBy("doc_id").agg(F.min("found").alias("by_other"))
+    of_several = materialize(of_several, "of-several")
+    discard(lists, pairs, wanted, sets, links, classes)
+    out = base.join(of_class, "rid", "left").join(of_several, "doc_id", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.least("doc_id", "found", "by_other"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
