@@ -1,8 +1,11 @@
 """Quality rules: minimum-covariance-determinant outliers per language and source, with DataFrame functions only.
 
 Each text gives a vector of four transformed statistics: word length, share of symbols, of repeated lines and of
-words in repeated windows. Per language and source the covariance of the most compact `support` share of the
-texts is found by concentration steps from a start at the medians; texts beyond a Mahalanobis cutoff are rejected.
+words in repeated windows. Per language and source the `support` share of the texts whose covariance has the smallest
+determinant is looked for: concentration steps begin at five starts (medians with fixed and with fitted scales, both
+quartiles, all texts), two steps later the start with the lowest determinant stays, and steps go on until no group's
+determinant falls. Texts beyond a Mahalanobis cutoff are rejected. FLOORS is added to the spread of each statistic, so
+that a group of like texts doesn't reject what hardly differs.
 Vectors are kept as integers of 1/1024, so that sums are exact and a recomputed task changes nothing.
 """
 
@@ -13,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import DOCUMENT_COLUMNS, SPACES, let, materialize, words
+from siteloom.llm.common import DOCUMENT_COLUMNS, SPACES, discard, let, materialize, small, words
 
 SYMBOLS = "#*$%&|<>"
 SCALE = 1024
@@ -112,12 +115,12 @@ def chi_square_quantile(p: float, dof: int) -> float:
     return high
 
 
-def rank_cut(binned: DataFrame, bins: str, share: float) -> DataFrame:
-    """(grp, cut): per group the lowest bin by which so large a share of its rows is reached. Bins are few, rows are only counted."""
-    counts = binned.groupBy("grp", bins).agg(F.count("*").alias("n"))
-    over = Window.partitionBy("grp")
-    ranked = counts.select("grp", bins, F.sum("n").over(over.orderBy(bins)).alias("so_far"), F.sum("n").over(over).alias("total"))
-    return ranked.where(F.col("so_far") >= F.ceil(F.lit(share) * F.col("total"))).groupBy("grp").agg(F.min(bins).alias("cut"))
+def rank_cuts(binned: DataFrame, keys: list[str], bins: str, shares: tuple[float, ...]) -> DataFrame:
+    """keys and cuts: per group and share the lowest bin by which so large a share of its rows is reached. Bins are few, rows are only counted."""
+    counts = binned.groupBy(*keys, bins).agg(F.count("*").alias("n"))
+    over = Window.partitionBy(*keys)
+    ranked = counts.select(*keys, bins, F.sum("n").over(over.orderBy(bins)).alias("so_far"), F.sum("n").over(over).alias("total"))
+    return ranked.groupBy(*keys).agg(F.array(*[F.min(F.when(F.col("so_far") >= F.ceil(F.lit(p) * F.col("total")), F.col(bins))) for p in shares]).alias("cuts"))
 
 
 def distance(params: Column) -> Column:
@@ -132,20 +135,22 @@ def distance(params: Column) -> Column:
 
 
 def estimate(chosen: DataFrame, spread: float) -> DataFrame:
-    """(grp, params): mean and Cholesky factor of spread * covariance + FLOORS² over the chosen rows of each group."""
+    """(grp, start, params, det): mean and Cholesky factor of spread * covariance + FLOORS² over the chosen rows of each group and start."""
     p = len(DIMENSIONS)
     pairs = [(i, j) for i in range(p) for j in range(i + 1)]
-    sums = chosen.groupBy("grp").agg(
+    sums = chosen.groupBy("grp", "start").agg(
         F.count("*").alias("n"), *[F.sum(d).alias(f"s{i}") for i, d in enumerate(DIMENSIONS)],
         *[F.sum(F.col(DIMENSIONS[i]) * F.col(DIMENSIONS[j])).alias(f"p{i}{j}") for i, j in pairs],
     )
-    out = sums.select("grp", *[(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(p)], *[(F.col(f"p{i}{j}") / F.col("n") / SCALE**2).alias(f"q{i}{j}") for i, j in pairs])
+    means = [(F.col(f"s{i}") / F.col("n") / SCALE).alias(f"m{i}") for i in range(p)]
+    out = sums.select("grp", "start", *means, *[(F.col(f"p{i}{j}") / F.col("n") / SCALE**2).alias(f"q{i}{j}") for i, j in pairs])
     for i, j in pairs:
         cov = spread * (F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) + (FLOORS[i] ** 2 if i == j else 0.0)
         for k in range(j):
             cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
         out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(cov, F.lit(FLOORS[i] ** 2))) if i == j else cov / F.col(f"l{j}{j}"))
-    return out.select("grp", F.struct(*[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in pairs]).alias("params"))
+    det = math.prod((F.col(f"l{i}{i}") for i in range(1, p)), start=F.col("l00"))
+    return out.select("grp", "start", F.struct(*[f"m{i}" for i in range(p)], *[f"l{i}{j}" for i, j in pairs]).alias("params"), (det * det).alias("det"))
 
 
 def group_names(stats: DataFrame, least_rows: int) -> DataFrame:
@@ -157,31 +162,62 @@ def group_names(stats: DataFrame, least_rows: int) -> DataFrame:
     return counts.select("lang", "source", name.alias("grp"))
 
 
-def fit(stats: DataFrame, support: float = 0.75, least_rows: int = 40, steps: int = 4) -> DataFrame:
+def starts(rows: DataFrame) -> DataFrame:
+    """(grp, start, params): where concentration begins."""
+    p = len(DIMENSIONS)
+    each = rows.select("grp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(d).alias("z")) for i, d in enumerate(DIMENSIONS)])).alias("x")).select("grp", "x.i", "x.z")
+    cuts = rank_cuts(each, ["grp", "i"], "z", (0.25, 0.5, 0.75)).select("grp", "i", F.transform("cuts", lambda c: c / SCALE).alias("q"))
+    wide = cuts.groupBy("grp").agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(f"q{i}") for i in range(p)])
+
+    def at(quartile: int, fitted: bool) -> Column:
+        means = [F.get(f"q{i}", F.lit(quartile)).alias(f"m{i}") for i in range(p)]
+        spread = lambda i: (F.get(f"q{i}", F.lit(2)) - F.get(f"q{i}", F.lit(0))) / 1.349 if fitted else F.lit(0.0)
+        factor = [(F.sqrt(spread(i) * spread(i) + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]
+        return F.struct(*means, *factor)
+
+    made = wide.select("grp", F.posexplode(F.array(at(1, False), at(1, True), at(0, True), at(2, True))).alias("start", "params"))
+    return made.unionByName(estimate(rows.withColumn("start", F.lit(4)), 1.0).select("grp", "start", "params"))
+
+
+def concentrated(rows: DataFrame, params: DataFrame, support: float) -> DataFrame:
+    """One concentration step of (grp, start, params) with det: the estimate of the rows that are nearest by the one before."""
+    inside = chi_square_quantile(support, len(DIMENSIONS))
+    spread = support / chi_square(inside, len(DIMENSIONS) + 2)
+    near = rows.join(small(params.select("grp", "start", "params")), "grp").withColumn("bin", F.floor(F.log1p(distance(F.col("params"))) * DISTANCE_BINS).cast("int")).drop("params")
+    cut = materialize(rank_cuts(near, ["grp", "start"], "bin", (support,)).select("grp", "start", F.col("cuts")[0].alias("cut")), "cuts")
+    out = materialize(estimate(near.join(small(cut), ["grp", "start"]).where("bin <= cut"), spread), "mcd")
+    discard(cut)
+    return out
+
+
+def fit(stats: DataFrame, support: float = 0.75, least_rows: int = 40, early: int = 2) -> DataFrame:
     """(lang, source, params) from rows with lang, source, base_failed and the vector; only rows that pass the base rules count."""
     names = materialize(group_names(stats, least_rows), "groups")
     same = [F.col("s.lang").eqNullSafe(F.col("g.lang")), F.col("s.source").eqNullSafe(F.col("g.source"))]
-    rows = stats.where("not base_failed").alias("s").join(names.alias("g"), same).where("grp is not null").select("grp", *DIMENSIONS)
-    p = len(DIMENSIONS)
-    centre = None
-    for i, name in enumerate(DIMENSIONS):
-        one = rank_cut(rows, name, 0.5).select("grp", (F.col("cut") / SCALE).alias(f"m{i}"))
-        centre = one if centre is None else centre.join(one, "grp")
-    factor = [F.lit(FLOORS[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(p) for j in range(i + 1)]
-    params = materialize(centre.select("grp", F.struct(*[f"m{i}" for i in range(p)], *factor).alias("params")), "mcd")
-    inside = chi_square_quantile(support, p)
-    spread = support / chi_square(inside, p + 2)
-    for _ in range(steps):
-        ranked = rows.join(params, "grp").withColumn("bin", F.floor(F.log1p(distance(F.col("params"))) * DISTANCE_BINS).cast("int")).drop("params")
-        cut = rank_cut(ranked, "bin", support)
-        params = materialize(estimate(ranked.join(cut, "grp").where("bin <= cut"), spread), "mcd")
-    return names.join(params, "grp").select("lang", "source", "params")
+    rows = stats.where("not base_failed").alias("s").join(small(names.where("grp is not null")).alias("g"), same).select("grp", *DIMENSIONS)
+    rows = materialize(rows, "vectors")
+    params = materialize(starts(rows), "mcd")
+    for _ in range(early):
+        params = concentrated(rows, params, support)
+    best = materialize(params.groupBy("grp").agg(F.min_by(F.struct("start", "params", "det"), F.struct("det", "start")).alias("b")).select("grp", "b.*"), "mcd")
+    falling = best
+    while True:
+        new = concentrated(rows, falling, support).select("grp", F.col("start").alias("_start"), F.col("params").alias("_params"), F.col("det").alias("_det"))
+        joined = materialize(best.join(new, "grp", "left").withColumn("fell", F.coalesce(F.col("_det") < F.col("det") * (1 - 1e-9), F.lit(False))), "mcd")
+        better = joined.select("grp", "fell", *[F.when(F.col("fell"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in ("start", "params", "det")])
+        best = materialize(better.drop("fell"), "mcd")
+        falling = better.where("fell").drop("fell")
+        if falling.isEmpty():
+            break
+    out = materialize(names.join(best, "grp").select("lang", "source", "params"), "mcd")
+    discard(rows, names)
+    return out
 
 
 def judged(rows: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
     """rows with distance2 and kept. A group without an estimate keeps what passes the base rules."""
     r, m = rows.alias("r"), model.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), "params")
-    joined = r.join(m, F.col("r.lang").eqNullSafe(F.col("_lang")) & F.col("r.source").eqNullSafe(F.col("_source")), "left")
+    joined = r.join(small(m), F.col("r.lang").eqNullSafe(F.col("_lang")) & F.col("r.source").eqNullSafe(F.col("_source")), "left")
     out = joined.withColumn("distance2", distance(F.col("params")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)).drop("params", "_lang", "_source")
 
@@ -190,12 +226,13 @@ def judged(rows: DataFrame, model: DataFrame, cutoff: float) -> DataFrame:
 TAIL = 0.995
 
 
-def quality_statistics(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang, source, the base statistics, base_failed and the vector; written once, without texts."""
+def quality_statistics(docs: DataFrame, *beside: str) -> DataFrame:
+    """Per row: doc_id, lang, source, the base statistics, base_failed and the vector, written once; beside: columns of docs kept as a struct _row."""
     q = F.col("_q")
-    stats = with_statistics(docs.select("doc_id", "lang", "source", "text")).select("doc_id", "lang", "source", "_q")
+    own = [F.struct(*beside).alias("_row")] if beside else []
+    stats = with_statistics(docs.select("doc_id", "lang", "source", "text", *own)).select("doc_id", "lang", "source", "_q", *(["_row"] if beside else []))
     return materialize(
-        stats.select("doc_id", "lang", "source", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], *vector(q)), "stats"
+        stats.select("doc_id", "lang", "source", *[q[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], *vector(q), *(["_row"] if beside else [])), "stats"
     )
 
 
@@ -214,11 +251,9 @@ def quality_verdicts(docs: DataFrame, tail: float = TAIL) -> DataFrame:
 def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     """The rows of docs that pass, with the columns of documents.
 
-    Statistics are computed once more where the texts are, which moves no text between machines.
+    Rows are written with their statistics once; what is judged is read from there. Nulls, small groups, repeated rows
+    and empty tables as in quality_verdicts(); a null or empty text goes.
     """
     own = [c for c in DOCUMENT_COLUMNS if c in docs.columns]
-    docs = docs.select(*own)
-    model = fit(quality_statistics(docs))
-    q = F.col("_q")
-    rows = with_statistics(docs).select(F.struct(*own).alias("_row"), "lang", "source", q["base_failed"].alias("base_failed"), *vector(q))
-    return judged(rows, model, chi_square_quantile(tail, len(DIMENSIONS))).where("kept").select("_row.*")
+    stats = quality_statistics(docs.select(*own), *own)
+    return judged(stats, fit(stats), chi_square_quantile(tail, len(DIMENSIONS))).where("kept").select("_row.*")

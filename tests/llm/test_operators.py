@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import heapq
+import math
 import random
 import re
 import zlib
@@ -110,28 +111,47 @@ def test_quality_statistics(spark):
         assert not (r.base_failed and r.kept)
 
 
-def test_outliers_against_numpy(spark):
-    """The fitted estimate equals concentration steps in numpy, and junk is rejected."""
-    rng = random.Random(2)
-    data = [(i, words(rng, rng.randint(40, 300)), "en", "s", 0) for i in range(200)] + [(i, " ".join(w + "###" for w in words(rng, 80).split()), "en", "s", 0) for i in range(200, 212)]
+def determinant(x, chosen, spread):
+    floor = np.diag(np.array(outliers.FLOORS) ** 2)
+    return np.linalg.det(spread * np.cov(x[chosen].T, bias=True) + floor)
+
+
+def brute_determinant(x, h, spread, tries):
+    """The lowest determinant from many random starts of five rows, each concentrated to the end."""
+    rng, best = np.random.default_rng(7), np.inf
+    floor = np.diag(np.array(outliers.FLOORS) ** 2)
+    for _ in range(tries):
+        chosen, last = rng.choice(len(x), 5, replace=False), np.inf
+        while True:
+            cov = spread * np.cov(x[chosen].T, bias=True) + floor
+            gap = x - x[chosen].mean(0)
+            chosen = np.argsort((gap @ np.linalg.inv(cov) * gap).sum(1), kind="stable")[:h]
+            now = determinant(x, chosen, spread)
+            if now >= last:
+                break
+            last = now
+        best = min(best, last)
+    return best
+
+
+@pytest.mark.parametrize("junk", [12, 44])
+def test_outliers_have_the_least_determinant(spark, junk):
+    """The estimate's determinant is no larger than that of 200 random starts in numpy, and junk is rejected, up to a fifth of the rows."""
+    rng = random.Random(junk)
+    data = [(i, words(rng, rng.randint(40, 300)), "en", "s", 0) for i in range(200)]
+    for i in range(200, 200 + junk):
+        line = " ".join(w + "###" for w in words(rng, 30).split())
+        data.append((i, f"{line}\n{words(rng, 40)}\n{line[:60]}\n{line[:60]}", "en", "s", 0))
     df = spark.createDataFrame(data, SCHEMA)
     stats = outliers.quality_statistics(df)
     params = outliers.fit(stats).first().params
     x = np.array([[r[d] for d in outliers.DIMENSIONS] for r in stats.where("not base_failed").collect()]) / outliers.SCALE
-    floor = np.array(outliers.FLOORS)
-    centre, factor = np.array([np.sort(c)[int(np.ceil(0.5 * len(c))) - 1] for c in x.T]), np.diag(floor)
-    inside = outliers.chi_square_quantile(0.75, 4)
-    spread = 0.75 / outliers.chi_square(inside, 6)
-    for _ in range(4):
-        z = np.linalg.solve(factor, (x - centre).T)
-        bins = np.floor(np.log1p((z * z).sum(0)) * outliers.DISTANCE_BINS).astype(int)
-        chosen = x[bins <= np.sort(bins)[int(np.ceil(0.75 * len(bins))) - 1]]
-        centre = chosen.mean(0)
-        factor = np.linalg.cholesky(spread * ((chosen.T @ chosen) / len(chosen) - np.outer(centre, centre)) + np.diag(floor**2))
-    assert np.allclose([params[f"m{i}"] for i in range(4)], centre, atol=1e-9)
-    assert np.allclose([params[f"l{i}{j}"] for i in range(4) for j in range(i + 1)], factor[np.tril_indices(4)], atol=1e-9)
+    spread = 0.75 / outliers.chi_square(outliers.chi_square_quantile(0.75, 4), 6)
+    mine = math.prod(params[f"l{i}{i}"] for i in range(4)) ** 2
+    assert mine <= 1.02 * brute_determinant(x, math.ceil(0.75 * len(x)), spread, 200)
     kept = {r.doc_id for r in outliers.quality_verdicts(df).where("kept").collect()}
     assert kept == set(range(200))
+    assert {r.doc_id for r in outliers.keep_good(df).collect()} == kept
 
 
 def ideal(sizes, weights, slot):
@@ -248,6 +268,36 @@ def test_near_duplicates_about_the_sketch_size(spark, percent):
     assert got == brute_components(texts, 1, percent)
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Texts of one id link what each of them is near to; an empty text of an id follows the others."""
+    rng = random.Random(4)
+    a, b = words(rng, 60), words(rng, 60)
+    data = [(1, a), (1, b), (2, b + " more"), (3, a + " more"), (9, ""), (9, a), (8, None), (None, a), (2, b + " more")]
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in data], SCHEMA)
+    got = neardup.near_duplicates(df, 3, 85).collect()
+    assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in got) == collections.Counter(
+        {(1, 1, True): 2, (2, 1, False): 2, (3, 1, False): 1, (9, 1, False): 2, (8, 8, True): 1, (None, None, True): 1})
+
+
+def test_long_chains_of_near_copies(spark, monkeypatch):
+    """Texts that drift word by word, so that a class is near to few of its list only, beside groups that share a passage."""
+    monkeypatch.setattr(neardup, "SHORT_LIST", 4)
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 6)
+    rng, texts = random.Random(21), {}
+    w = words(rng, 80).split(" ")
+    for i in range(90):
+        texts[i] = " ".join(w)
+        w[rng.randrange(80)] = f"new{i}"
+        if i % 30 == 29:
+            w = w[:50] + words(rng, 30).split(" ")
+    shared = words(rng, 40)
+    for i in range(100, 140):
+        texts[i] = shared + " " + words(rng, 4 if i % 2 else 14)
+    df = spark.createDataFrame([(d, t, "en", "a", 0) for d, t in texts.items()], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, 85).collect()}
+    assert got == brute_components(texts, 3, 85)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (21, 20), (5, 5)]
     got = dict(components(spark.createDataFrame(edges, "a bigint, b bigint")).collect())
