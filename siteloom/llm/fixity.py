@@ -4,11 +4,20 @@ Records lie in archives at ordered offsets. The leaves of a tree are hashes of r
 offset range are hashed together, ranges are hashed together by a fixed fan-out up to the archive, and archives up
 to one root for the collection. Two replicas are compared from the root down: only the children of nodes that
 differ are joined, so an intact replica costs one comparison and damage costs its path and its range.
+
+Archives can be written as WARC files and read back: write_archives() and read_archives(). The audit itself needs places
+and digests only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import gzip
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize
@@ -19,12 +28,20 @@ ID_RUN = 1024
 ARCHIVE_RECORDS = 4096
 
 
-def response_record(url: Column, html: Column) -> Column:
-    """A WARC response record: header lines, blank line, payload."""
-    body = F.coalesce(html, F.lit(""))
+#: The pages have no time of capture; records need one.
+DATE = "2026-01-01T00:00:00Z"
+RECORD_END = "\r\n\r\n"
+HEADER = re.compile(rb"WARC/1\.[01]\r\n(?:[^\r\n]+\r\n)*?Content-Length: (\d+)\r\n(?:[^\r\n]+\r\n)*\r\n", re.I)
+
+
+def warc_record(url: Column, html: Column, date: str = DATE) -> Column:
+    """A WARC resource record, without the two line ends after it. Its id follows from address and payload."""
+    body, address = F.coalesce(html, F.lit("")), F.coalesce(url, F.lit(""))
+    h = F.md5(F.concat(address, F.lit(" "), body))
+    uuid = F.concat_ws("-", *[F.substring(h, i, n) for i, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     return F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")),
-        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+        F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:"), uuid, F.lit(f">\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), address,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit(RECORD_END), body,
     )
 
 
@@ -34,8 +51,8 @@ def archive_layout(pages: DataFrame) -> DataFrame:
     Archives are runs of ids; one with many records is cut into pieces by digest, so a repeated id makes no large
     one. Equal records are stored once, with a count. A null page_id comes first in archive 0; offsets start at 0 in a piece.
     """
-    record = response_record(F.col("url"), F.col("html"))
-    each = pages.select(F.col("page_id").cast("bigint"), F.sha2(record, 256).alias("digest"), F.octet_length(record).cast("bigint").alias("length"))
+    record = warc_record(F.col("url"), F.col("html"))
+    each = pages.select(F.col("page_id").cast("bigint"), F.sha2(record, 256).alias("digest"), (F.octet_length(record) + len(RECORD_END)).cast("bigint").alias("length"))
     distinct = each.groupBy("page_id", "digest", "length").agg(F.count("*").alias("copies"))
     rows = distinct.withColumn("archive", F.coalesce(F.floor(F.col("page_id") / ID_RUN), F.lit(0)).cast("bigint"))
     pieces = rows.groupBy("archive").agg(F.ceil(F.count("*") / ARCHIVE_RECORDS).alias("pieces"))
@@ -44,6 +61,43 @@ def archive_layout(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "digest", "length", "copies", "archive", "piece", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"))
 
 
+def write_archives(pages: DataFrame, folder: str) -> None:
+    """The archives of pages as gzipped WARC files, one for each piece of an archive, in the order of archive_layout()."""
+    record = warc_record(F.col("url"), F.col("html"))
+    each = pages.select(F.col("page_id").cast("bigint"), record.alias("record")).withColumn("digest", F.sha2("record", 256))
+    once = each.groupBy("page_id", "digest").agg(F.any_value("record").alias("record"))  # equal records meet before the shuffle
+    place = archive_layout(pages).select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "archive", "piece", "offset")
+    placed = once.join(place, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")))
+    rows = placed.repartition("archive", "piece").sortWithinPartitions("archive", "piece", "offset").select("archive", "piece", "record")
+    rows.write.partitionBy("archive", "piece").option("compression", "gzip").option("lineSep", RECORD_END).text(folder)
+
+
+def records_in(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, record) of what can be read; after bytes that are no record it goes on at the next header."""
+    at = 0
+    while (m := HEADER.search(data, at)) is not None:
+        end = m.end() + int(m[1])
+        if end > len(data):  # cut short, or a length that is damaged itself
+            at = m.start() + 1
+            continue
+        yield m.start(), end + len(RECORD_END) - m.start(), data[m.start() : end]
+        at = end
+
+
+def read_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """(archive, piece, offset, length, digest) of every record that the WARC files under the folder hold; a task holds one file."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, piece, content in zip(*(batch.column(i) for i in range(3))):
+                found = [(archive.as_py(), piece.as_py(), at, n, hashlib.sha256(r).hexdigest()) for at, n, r in records_in(gzip.decompress(content.as_py()))]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found) if found else [[]] * 5, types)], names=["archive", "piece", "offset", "length", "digest"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder)
+    return files.select(F.col("archive").cast("bigint"), F.col("piece").cast("int"), "content").mapInArrow(run, "archive bigint, piece int, offset bigint, length bigint, digest string")
+
+
 def parents(nodes: DataFrame, up: list[Column], order: list[str]) -> DataFrame:
     """One level up: the hashes of a parent's children in order. A parent has FANOUT children, or the records of a range."""
     ordered = F.array_sort(F.collect_list(F.struct(*order, "hash")))
@@ -59,12 +113,12 @@ def extent(records: DataFrame) -> tuple[int, int, int, int] | None:
 def merkle_tree(records: DataFrame, far: tuple[int, int, int, int], range_bytes: int = 65_536, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels from the records up to one root row.
 
-    records: archive, piece, offset, digest, copies. Level 0 has a hash per record, level 1 per offset range, then
+    records: archive, piece, offset, digest. Level 0 has a hash per record, level 1 per offset range, then
     ranges are joined by fanout within a piece, pieces within an archive, archives by fanout. Each level is written,
-    so a comparison reads the levels it needs. How many levels there are follows from `far`, the extent of the
-    original, so that replicas have trees of one shape.
+    so a comparison reads the levels it needs. How many levels there are follows from `far`, the extent of both
+    replicas, so that they have trees of one shape.
     """
-    leaf = records.select("archive", "piece", F.floor(F.col("offset") / range_bytes).alias("n"), "offset", F.sha2(F.concat_ws(":", "digest", F.col("copies").cast("string")), 256).alias("hash"))
+    leaf = records.select("archive", "piece", F.floor(F.col("offset") / range_bytes).alias("n"), "offset", F.sha2("digest", 256).alias("hash"))
     levels = [materialize(leaf, "leaves")]
     node = parents(leaf, [F.col("archive"), F.col("piece"), F.col("n")], ["offset"])
     levels.append(materialize(node, "ranges"))
@@ -95,7 +149,7 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
 def audit(ours: list[DataFrame], theirs: list[DataFrame], lowest: int, fanout: int = FANOUT) -> DataFrame:
     """(archive, piece, n, offset, expected, found): the records that differ, reached through differing nodes only.
 
-    lowest: the lowest archive. Both trees need the same number of levels: build both with the original's extent. expected is
+    lowest: the lowest archive. Both trees need the same number of levels: build both with one extent. expected is
     null for a record that only the replica has, found for one that it lacks.
     """
     bad = differing(ours[-1], theirs[-1]).drop("expected", "found")
@@ -123,22 +177,21 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], lowest: int, fanout: i
 
 
 def fixity_audit(pages: DataFrame, replica: DataFrame, range_bytes: int = 65_536) -> DataFrame:
-    """Per damaged record of pages: archive, piece, offset, page_id, length, copies, damage (changed or missing), digest, found_digest.
+    """Per damaged record: archive, piece, offset, page_id, length, copies, damage, digest, found_digest.
 
-    replica has what a read of the copy at each record's place gave: archive, piece, offset, digest; no row where
-    nothing could be read. pages needs page_id, url and html; nulls are empty strings there, a null page_id lies
-    in archive 0, extra columns are ignored, empty tables give no rows.
+    replica has what a read of the copy gave: archive, piece, offset, digest; no row where nothing could be read. damage is
+    changed, missing, or extra for a record of the replica at a place where pages have none; then page_id, length, copies
+    and digest are null. pages needs page_id, url and html; nulls are empty strings there, a null page_id lies
+    in archive 0, extra columns are ignored, empty tables give no rows. Repeated rows of replica count once.
     """
-    layout = materialize(archive_layout(pages), "layout")
-    read = materialize(replica.select("archive", "piece", "offset", F.col("digest").alias("found_digest")), "replica")
     place = ["archive", "piece", "offset"]
-    theirs = layout.join(read, place).select(*place, F.col("found_digest").alias("digest"), "copies")
-    far = extent(layout)
+    layout = materialize(archive_layout(pages), "layout")
+    read = materialize(replica.groupBy(*[F.col(c).cast(t).alias(c) for c, t in zip(place, ("bigint", "int", "bigint"))]).agg(F.min("digest").alias("digest")), "replica")
+    far = extent(layout.select(*place).unionByName(read.select(*place)))
     if far is None:
-        bad = layout.select(*place, F.lit("").alias("found")).where("false")
+        bad = layout.select(*place).where("false")
     else:
-        bad = audit(merkle_tree(layout, far, range_bytes), merkle_tree(theirs, far, range_bytes), far[2]).select(*place, "found")
-    damage = F.when(F.col("found").isNull(), "missing").otherwise("changed")
-    return layout.join(bad, place).join(read, place, "left").select(
-        *place, "page_id", "length", "copies", damage.alias("damage"), "digest", "found_digest"
-    )
+        bad = audit(merkle_tree(layout, far, range_bytes), merkle_tree(read, far, range_bytes), far[2]).select(*place)
+    both = bad.join(layout, place, "left").join(read.withColumnRenamed("digest", "found_digest"), place, "left")
+    damage = F.when(F.col("digest").isNull(), "extra").when(F.col("found_digest").isNull(), "missing").otherwise("changed")
+    return both.select(*place, "page_id", "length", "copies", damage.alias("damage"), "digest", "found_digest")

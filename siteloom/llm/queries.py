@@ -12,16 +12,17 @@ from siteloom.llm.common import documents, work_path
 
 
 def op1_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audits a copy of the pages' archives in which records whose digest starts with 00 have another first character and those with 01 are gone."""
+    """Audits a copy of the pages' archives: records whose digest starts with 00 have another first character, those with 01 are gone, and after those with 02 a second copy lies one byte on."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     layout = fixity.archive_layout(pages)
     changed = pages.select(
-        F.col("page_id").cast("bigint"), F.sha2(fixity.response_record(F.col("url"), F.col("html")), 256).alias("digest"),
-        F.sha2(fixity.response_record(F.col("url"), F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))), 256).alias("rotten"),
+        F.col("page_id").cast("bigint"), F.sha2(fixity.warc_record(F.col("url"), F.col("html")), 256).alias("digest"),
+        F.sha2(fixity.warc_record(F.col("url"), F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))), 256).alias("rotten"),
     ).where(F.col("digest").startswith("00")).dropDuplicates(["page_id", "digest"])
     copy = layout.join(changed, ["page_id", "digest"], "left").where(~F.col("digest").startswith("01"))
     replica = copy.select("archive", "piece", "offset", F.coalesce("rotten", "digest").alias("digest"))
-    return fixity.fixity_audit(pages, replica).select("page_id", "archive", "piece", "offset", "length", "copies", "damage", "digest", "found_digest")
+    second = layout.where(F.col("digest").startswith("02")).select("archive", "piece", (F.col("offset") + 1).alias("offset"), "digest")
+    return fixity.fixity_audit(pages, replica.unionByName(second)).select("page_id", "archive", "piece", "offset", "length", "copies", "damage", "digest", "found_digest")
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,16 +68,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 #: The records of pages that op1 damages, found by comparing every digest.
-OP1_SQL = """
-with r as (
-  select page_id, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
-      || chr(13) || chr(10) || 'Content-Length: ' as head, coalesce(html, '') as body, chr(13) || chr(10) || chr(13) || chr(10) as gap
-  from pages),
-d as (
-  select page_id, sha256(head || octet_length(encode(body)) || gap || body || gap) as digest,
-    octet_length(encode(head || octet_length(encode(body)) || gap || body || gap)) as length,
-    sha256(head || octet_length(encode('#' || substr(body, 2))) || gap || '#' || substr(body, 2) || gap) as rotten
-  from r),
+OP1_SQL = f"""
+with r as (select page_id, coalesce(url, '') as url, coalesce(html, '') as body, '#' || substr(html, 2) as rot, chr(13) || chr(10) as nl from pages),
+m as (select *, md5(url || ' ' || body) as m1, md5(url || ' ' || coalesce(rot, '')) as m2 from r),
+w as (select page_id,
+    'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || concat_ws('-', substr(m1, 1, 8), substr(m1, 9, 4), substr(m1, 13, 4), substr(m1, 17, 4), substr(m1, 21, 12)) || '>' || nl || 'WARC-Date: {fixity.DATE}'
+      || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || octet_length(encode(body)) || nl || nl || body as record,
+    'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:uuid:' || concat_ws('-', substr(m2, 1, 8), substr(m2, 9, 4), substr(m2, 13, 4), substr(m2, 17, 4), substr(m2, 21, 12)) || '>' || nl || 'WARC-Date: {fixity.DATE}'
+      || nl || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || octet_length(encode(coalesce(rot, ''))) || nl || nl || coalesce(rot, '') as rotten from m),
+d as (select page_id, sha256(record) as digest, octet_length(encode(record)) + 4 as length, sha256(rotten) as rotten from w),
 u as (select page_id, digest, length, min(rotten) as rotten, count(*) as copies from d group by all),
 a as (select *, coalesce(cast(floor(page_id / 1024) as bigint), 0) as archive from u),
 p as (select *, cast(('0x' || substr(digest, 1, 8))::bigint % cast(ceil(count(*) over (partition by archive) / 4096) as bigint) as integer) as piece from a),
@@ -84,6 +84,7 @@ o as (select *, cast(coalesce(sum(length) over (partition by archive, piece orde
 select page_id, archive, piece, "offset", cast(length as bigint) as length, copies, case when digest like '00%' then 'changed' else 'missing' end as damage,
   digest, case when digest like '00%' then rotten end as found_digest
 from o where digest like '00%' or digest like '01%'
+union all select null, archive, piece, "offset" + 1, null, null, 'extra', null, digest from o where digest like '02%'
 """
 
 

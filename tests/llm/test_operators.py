@@ -89,6 +89,35 @@ def test_grown_map_moves_into_the_new_shard_only(docs):
     assert all(new[v].version == 2 and new[v].shard in (old[v].shard, 4) for v in old)
 
 
+def test_second_run_edits_the_stored_map(spark, docs, rows):
+    """More rows, some slots heavier: the next version moves whole slots, few of them, and shards are even again."""
+    folder = work_path(spark, "map")
+    first = slots.new_map(slots.slot_sizes(slots.slotted_records(docs, 128)), 5)
+    assert slots.store_map(first, folder) == 1
+    many = collections.Counter(r.shard for r in first.collect()).most_common(1)[0][0]
+    heavy = {r.vslot for r in first.collect() if r.shard == many}
+    new = spark.createDataFrame([(1000 + i, "x" * (400 + i % 90 * 9), "en", "new", 0) for i in range(3000)], SCHEMA)
+    hit = slots.slotted_records(new, 128).where(F.col("vslot").isin(list(heavy))).select("doc_id")
+    grown = docs.unionByName(new.join(hit, "doc_id", "left_semi")).cache()
+    got = slots.shard_documents(grown, 5, 128, folder).collect()
+    assert len(got) == grown.count() > len(rows) + 300 and {r.version for r in got} == {2}
+    old, new = ({r.vslot: r.shard for r in slots.load_map(spark, folder, v).collect()} for v in (1, 2))
+    assert {r.vslot: r.shard for r in slots.load_map(spark, folder).collect()} == new
+    assert set(old) <= set(new) and all(new[r.vslot] == r.shard for r in got)
+    load = collections.Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) - min(load.values()) <= 1.1 * max(len(r[1]) for r in rows)
+    moved = {v for v in old if old[v] != new[v]}
+    assert 0 < len(moved) < len(old) / 2
+    seats = collections.defaultdict(list)
+    for r in got:
+        seats[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in seats.values())
+    wider = slots.rebalanced_map(slots.load_map(spark, folder), slots.slot_sizes(slots.slotted_records(grown, 128)), 6)
+    assert slots.store_map(wider, folder) == 3 and {r.shard for r in slots.load_map(spark, folder).collect()} == set(range(6))
+
+
 def base_statistics(text):
     w = WORD.findall(text or "")
     places = collections.defaultdict(list)
@@ -468,14 +497,38 @@ def test_fingerprints(docs, rows):
         assert (got[i].near_edited, got[i].near_next) == (lzprint.likeness(prints[0], prints[1], lzprint.K), lzprint.likeness(prints[0], prints[2], lzprint.K))
 
 
-def test_fixity(spark):
-    data = [(i, f"http://h/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(7, "http://h/7", "again"), (8, None, None), (None, "u", "h"), (8, None, None)]
-    pages = spark.createDataFrame(data, "page_id bigint, url string, html string")
-    layout = fixity.archive_layout(pages).cache()
-    assert fixity.fixity_audit(pages, layout, 4096).count() == 0
+@pytest.fixture(scope="module")
+def crawl(spark):
+    data = [(i, f"http://h/{i}", "x" * (i * 37 % 900)) for i in range(3000)] + [(7, "http://h/7", "again"), (8, None, None), (None, "u", "h é"), (8, None, None), (9, "http://h/9", "a\r\n\r\nWARC/1.1\r\n")]
+    df = spark.createDataFrame(data, "page_id bigint, url string, html string")
+    for c in ("archive", "piece", "offset", "digest", "length", "copies", "hash", "n"):
+        df = df.withColumn(c, F.lit(7))
+    return df
+
+
+def test_fixity(spark, crawl):
+    layout = fixity.archive_layout(crawl).cache()
+    assert fixity.fixity_audit(crawl, layout, 4096).count() == 0
     rotten = layout.withColumn("digest", F.when(F.col("page_id").isin(5, 2999), F.lit("bad")).otherwise(F.col("digest"))).where("page_id is null or page_id not in (17, 1500)")
-    found = {(r.page_id, r.damage) for r in fixity.fixity_audit(pages, rotten, 4096).collect()}
-    assert found == {(5, "changed"), (2999, "changed"), (17, "missing"), (1500, "missing")}
+    alone = [(0, 0, 10**9, "far"), (1, 0, 1, "between"), (77, 0, 0, "archive"), (0, 9, 0, "piece"), (77, 0, 0, "archive")]
+    extra = spark.createDataFrame(alone, "archive bigint, piece int, offset bigint, digest string")
+    replica = rotten.select("archive", "piece", "offset", "digest").unionByName(extra)
+    found = fixity.fixity_audit(crawl, replica, 4096).collect()
+    assert {(r.page_id, r.damage) for r in found if r.damage != "extra"} == {(5, "changed"), (2999, "changed"), (17, "missing"), (1500, "missing")}
+    assert sorted((r.archive, r.piece, r.offset, r.found_digest) for r in found if r.damage == "extra") == sorted(set(alone))
+
+
+def test_warc_files(spark, crawl, monkeypatch):
+    """What is read from the files is what was laid out, byte for byte; damaged bytes cost their record only."""
+    monkeypatch.setattr(fixity, "ARCHIVE_RECORDS", 700)
+    folder = work_path(spark, "warc")
+    fixity.write_archives(crawl, folder)
+    read = fixity.read_archives(spark, folder).cache()
+    place = lambda df: sorted(map(tuple, df.select("archive", "piece", "offset", "length", "digest").collect()))
+    assert place(read) == place(fixity.archive_layout(crawl)) and read.select("piece").distinct().count() > 1
+    assert fixity.fixity_audit(crawl, read).count() == 0
+    one = b"WARC/1.1\r\nWARC-Type: resource\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    assert [(at, n) for at, n, _ in fixity.records_in(one + b" " * len(one) + one + one[:-9])] == [(0, len(one)), (2 * len(one), len(one))]
 
 
 def test_odd_rows_have_defined_results(spark, odd):
