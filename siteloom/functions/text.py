@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 #: White space as browsers see it, with the no-break space; read alike by Java's and RE2's regular expressions.
 SPACE_CLASS = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
-#: Latin letters with marks and their bare forms, place by place.
+#: Latin letters with marks and their bare forms, place by place.
 MARKED = "àáâãäåāăąçćčďèéêëēęěìíîïīñńňòóôõöōőŕřśšťùúûüūůűýÿźžżÀÁÂÃÄÅÇČÈÉÊËÌÍÎÏÑÒÓÔÕÖŘŠÙÚÛÜÝŽ"
 BARE = "aaaaaaaaacccdeeeeeeeiiiiinnnooooooorrsstuuuuuuuyyzzzAAAAAACCEEEEIIIINOOOOORSUUUUYZ"
-#: Words that keep their own case in titles.
+#: Words that keep their own case in titles, and words that stay small there.
 ACRONYMS = (
     "HVAC AC A/C LLC PLLC LLP USA UK NY TX FL BBB ASE EPA OSHA NATE ADA FAQ DIY VIP CEO CFO COO CPA MBA DDS DMD DVM MD RN LPN PT OT LMT PhD ND DC "
     "TV PC SEO PPC CRM POS GPS RV ATV UTV SUV CDL DOT MPG MPH PSI BTU SEER HP PVC HDPE LED UV HEPA GFCI AFCI MERV CFM IAQ R22 R410A 24/7 3D 2D HD 4K QR PDF FAQS"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Tracking parameters, files that are no pages, images.
 TRACKING = "(?i)^(utm_|fbclid|gclid|mc_|ref(=|$)|source(=|$))"
 ASSET = r"(?i)\.(pdf|zip|docx?|xlsx?|pptx?|csv|mp4|mp3|avi|mov|wmv|dmg|exe|rar|gz|tgz|svgz)$"
 IMAGE = r"(?i)\.(png|jpe?g|gif|webp|avif|svg|ico|bmp)$"
@@ -15,6 +16,7 @@ SKIP_PATH = (
     r"(?i)/(wp-admin|wp-login|wp-json|xmlrpc|feed|rss|atom|comments|trackback|cart|checkout|my-account|login|register|signin|signup|search|tag|author"
     r"|category/page|page/\d+|\d{4}/\d{2}|wp-content/uploads)\b|\.(xml|json|txt|css|js)$"
 )
+#: Queries that are not worth a visit.
 SKIP_QUERY = "(?i)replytocom|add-to-cart|orderby|s=|paged="
 #: Kind and score of a page by its path, first match first.
 PAGE_KINDS = (

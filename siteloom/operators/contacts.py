@@ -20,7 +20,8 @@ FAX = r"(?i)\bfax\b[\s:.#-]*$"
 
 def matches(df: DataFrame, keys: list[str], text: Column, pattern: str) -> DataFrame:
     """(keys, pos, value, before): each match and the 40 characters between it and the match before."""
-    found = df.select(*keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
+    hit = F.contains(text, F.lit("@")) if pattern == EMAIL else F.regexp_like(text, F.lit(r"\d{3}"))  # most texts need no search
+    found = df.where(hit).select(*keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     rows = found.select(*keys, F.posexplode(F.arrays_zip("m", F.slice("p", F.lit(1), F.size("m")).alias("b"))).alias("pos", "x"))
     return rows.select(*keys, "pos", F.col("x.m").alias("value"), F.right(F.col("x.b"), F.lit(40)).alias("before"))
 
@@ -88,9 +89,10 @@ def contact_merge(pages: DataFrame, found: DataFrame, key: Column) -> DataFrame:
     pages: site, page_id, kind; found: site, page_id, ord, value.
     """
     rank = F.when(F.col("kind") == "contact", 0).when(F.col("kind") == "home", 1).otherwise(2)
-    rows = found.join(pages.select(*PAGE, rank.alias("rank")), PAGE)
-    first = rows.withColumn("k", key).withColumn("nth", F.row_number().over(Window.partitionBy("site", "k").orderBy("rank", "page_id", "ord"))).where("nth = 1")
-    return first.select("site", F.row_number().over(Window.partitionBy("site").orderBy("rank", "page_id", "ord")).alias("ord"), "value")
+    rows = found.join(pages.select(*PAGE, rank.alias("rank")), PAGE).withColumn("k", key)
+    # A minimum per site and key is made before rows meet, so a large site's numbers don't.
+    first = rows.groupBy("site", "k").agg(F.min(F.struct("rank", "page_id", "ord", "value")).alias("f"))
+    return first.select("site", F.row_number().over(Window.partitionBy("site").orderBy("f")).alias("ord"), "f.value")
 
 
 def minutes(clock: Column) -> Column:

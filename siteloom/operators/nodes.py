@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.operators.state import written
+
 SCHEMA = (
     "site string, page_id bigint, node_id int, parent_id int, last_id int, depth int, sib int, tag string, "
     "attrs map<string,string>, classes array<string>, text string"
@@ -61,11 +63,12 @@ class _Page:
     """Collects the nodes of one page. Visible text goes to one list; nodes remember where theirs starts and ends."""
 
     def __init__(self) -> None:
-        self.nodes: list[list] = []  # parent, last, depth, sib, tag, attrs, text from, text to, raw text
+        self.nodes: list[list] = []  # parent, last, depth, sib, tag, attrs, text from, text to, raw text, pieces said before
         self.open: list[int] = []
         self.children: dict[int, int] = {}
         self.pieces: list[str] = []
         self.unseen = 0
+        self.said = 0  # pieces so far that aren't empty
 
     def start(self, tag: str, attrs: dict[str, str]) -> int:
         parent = self.open[-1] if self.open else -1
@@ -73,7 +76,7 @@ class _Page:
         self.children[parent] = sib + 1
         if tag in BLOCK:
             self.pieces.append("")  # becomes a blank if the block has text
-        self.nodes.append([parent, 0, len(self.open), sib, tag, attrs, len(self.pieces), 0, None])
+        self.nodes.append([parent, 0, len(self.open), sib, tag, attrs, len(self.pieces), 0, None, self.said])
         self.unseen += tag in UNSEEN
         self.open.append(len(self.nodes) - 1)
         return len(self.nodes) - 1
@@ -82,14 +85,16 @@ class _Page:
         node = self.nodes[self.open.pop()]
         node[1], node[7] = len(self.nodes) - 1, len(self.pieces)
         self.unseen -= node[4] in UNSEEN
-        if node[4] in BLOCK and any(self.pieces[node[6] :]):
+        if node[4] in BLOCK and self.said > node[9]:
             self.pieces[node[6] - 1] = " "
             self.pieces.append(" ")
+            self.said += 1
 
     def say(self, raw: str) -> None:
         text = decoded(raw)
         if self.open and not self.unseen and (text.strip() or re.search("[ \n\t]", raw)):
             self.pieces.append(text)
+            self.said += bool(text)
 
     def current(self) -> str:
         return self.nodes[self.open[-1]][4] if self.open else ""
@@ -153,6 +158,7 @@ def _element(page: _Page, html: str, token: re.Match) -> int:
         page.nodes[node][8] = raw
         if tag not in UNSEEN and not page.unseen:
             page.pieces.append(raw)
+            page.said += bool(raw)
         page.finish()
         at = close.end() if close else len(html)
     return at
@@ -163,7 +169,7 @@ def _rows(page: _Page) -> list[tuple]:
     for piece in page.pieces:
         before.append(before[-1] + len(piece))
     out = []
-    for i, (parent, last, depth, sib, tag, attrs, start, end, raw) in enumerate(page.nodes):
+    for i, (parent, last, depth, sib, tag, attrs, start, end, raw, _) in enumerate(page.nodes):
         if tag in ("style", "script"):
             text = raw or ""
         elif before[end] - before[start] <= TEXT_LIMIT or tag in LONG_TEXT:
@@ -186,3 +192,8 @@ def html_nodes(pages: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=columns)
 
     return pages.select("site", F.col("page_id").cast("bigint"), F.col("html").cast("string")).mapInPandas(run, SCHEMA)
+
+
+def node_table(pages: DataFrame) -> DataFrame:
+    """html_nodes(pages), parsed once and written to the shared folder; readers take the columns they need."""
+    return written(html_nodes(pages), "nodes")

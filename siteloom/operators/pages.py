@@ -191,6 +191,7 @@ def audit_flags(audit: DataFrame) -> DataFrame:
     """(site, page_id, code, text, n): one row per thing that is wrong with a page."""
     n = lambda c: F.col(c).cast("string")
     title = F.length("title")
+    # Codes and message texts.
     rules = [
         ("no_viewport", ~F.col("has_viewport"), F.lit("No viewport meta tag — the page does not adapt to phones."), None),
         ("no_https", ~F.col("has_https"), F.lit('Served over HTTP, so browsers show a "Not secure" warning.'), None),
@@ -259,14 +260,15 @@ def frontier_topn(candidates: DataFrame, n: int = 20) -> DataFrame:
     return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n).select("site", F.col("nth").alias("ord"), "url", "_k.kind", "_k.score")
 
 
-def crawl_reach(start: DataFrame, links: DataFrame, max_pages: int = 20, max_rounds: int = 10) -> DataFrame:
+def crawl_reach(start: DataFrame, links: DataFrame, max_pages: int = 20) -> DataFrame:
     """(site, url, hops): pages reached from start(site, url) over links(site, url, target), at most so many a site.
 
-    A round joins the last pages to their links; where the budget cuts a round, better kinds of pages go first.
+    A round joins the last pages to their links; where the budget cuts a round, better kinds of pages go first. Rounds go on
+    until one adds nothing: at most max_pages, since each adds a page to every site that goes on.
     """
-    reached = start.select("site", "url", F.lit(0).alias("hops"))
+    reached = start.select("site", "url").distinct().select("site", "url", F.lit(0).alias("hops"))
     last = reached
-    for hop in range(1, max_rounds + 1):
+    for hop in range(1, max_pages + 1):
         found = last.select("site", "url").join(links, ["site", "url"]).select("site", F.col("target").alias("url")).distinct().join(reached, ["site", "url"], "left_anti")
         used = reached.groupBy("site").agg(F.count("*").alias("used"))
         order = Window.partitionBy("site").orderBy(F.desc(U.page_kind(F.col("url"))["score"]), "url")

@@ -40,10 +40,11 @@ def relative(url: Column, site: Column) -> Column:
     return F.concat(U.path(url), U.query(url))
 
 
-def duplicates(facts: DataFrame, column: str) -> DataFrame:
-    """(site, value, pages, urls): non-empty values that several pages of a site share."""
-    groups = facts.where(F.col(column) != "").groupBy("site", F.col(column).alias("value")).agg(F.count("*").alias("pages"), F.sort_array(F.collect_list("url")).alias("urls"))
-    return groups.where("pages > 1")
+def shared_values(facts: DataFrame, column: str) -> DataFrame:
+    """(site, value, pages, url): a row for each page whose non-empty value other pages of its site have, too."""
+    own = facts.where(F.col(column) != "").select("site", F.col(column).alias("value"), "url")
+    groups = own.groupBy("site", "value").agg(F.count("*").alias("pages")).where("pages > 1")
+    return own.join(groups, ["site", "value"])
 
 
 def orphans(facts: DataFrame) -> DataFrame:
@@ -61,10 +62,14 @@ def pages_without_place(facts: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def seo_findings(facts: DataFrame, places: DataFrame | None = None) -> DataFrame:
-    """(site, level, code, what, urls): rules for single pages, shared titles and descriptions, orphans, pages without a place."""
+    """(site, level, code, what, url): rules for single pages, then shared titles and descriptions, orphans, pages without a place.
+
+    url is path and query of a single page's finding, null for the others, whose pages finding_pages() lists.
+    """
     n = lambda c: F.col(c).cast("string")
     t, d = F.col("title_len"), F.col("desc_len")
     elsewhere = F.regexp_replace(F.split("canonical", "#")[0], "/$", "") != F.regexp_replace("url", "/$", "")
+    # Codes, levels and message texts, here and below.
     rules = [
         ("no_title", F.lit("high"), t == 0, F.lit("No page title")),
         ("long_title", F.when(t > 75, "medium").otherwise("low"), t > TITLE_MOST, F.concat(F.lit("Title is "), n("title_len"), F.lit(f" characters — Google shows about {TITLE_MOST}, so the end is cut off"))),
@@ -82,19 +87,34 @@ def seo_findings(facts: DataFrame, places: DataFrame | None = None) -> DataFrame
     ]
     each = F.array(*[F.when(rule, F.struct(level.alias("level"), F.lit(code).alias("code"), what.alias("what"))) for code, level, rule, what in rules])
     path = relative(F.col("url"), F.col("site"))
-    single = facts.select("site", F.array(path).alias("urls"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("site", "f.*", "urls")
-    paths = F.transform("urls", lambda u: relative(u, F.col("site")))
-    shared = duplicates(facts, "title").select("site", F.lit("high").alias("level"), F.lit("shared_title").alias("code"),
-        F.concat(n("pages"), F.lit(' pages share the title "'), F.col("value"), F.lit('" — they compete with each other')).alias("what"), paths.alias("urls"))
-    described = duplicates(facts, "desc").select("site", F.lit("medium").alias("level"), F.lit("shared_description").alias("code"), F.concat(n("pages"), F.lit(" pages share one meta description")).alias("what"), paths.alias("urls"))
+    single = facts.select("site", path.alias("url"), F.explode(F.filter(each, lambda x: x.isNotNull())).alias("f")).select("site", "f.*", "url")
+    def gathered(rows: DataFrame, level: str, code: str, what: Column) -> DataFrame:
+        """One finding per site and value with the number of its pages; the pages themselves are in finding_pages()."""
+        return rows.groupBy("site", "value").agg(F.count("*").alias("pages")).select("site", F.lit(level).alias("level"), F.lit(code).alias("code"), what.alias("what"), F.lit(None).cast("string").alias("url"))
+
+    many = F.col("pages").cast("string")
+    parts = [
+        (shared_values(facts, "title"), "high", "shared_title", F.concat(many, F.lit(' pages share the title "'), F.col("value"), F.lit('" — they compete with each other'))),
+        (shared_values(facts, "desc"), "medium", "shared_description", F.concat(many, F.lit(" pages share one meta description"))),
+        (orphans(facts).withColumn("value", F.lit("")), "high", "orphans", F.concat(many, F.lit(" pages are in the sitemap but linked from nowhere on the site"))),
+    ]
+    if places is not None:
+        parts.append((pages_without_place(facts, places).withColumn("value", F.lit("")), "medium", "no_place", F.concat(many, F.lit(" pages never mention any town the business serves"))))
+    out = single
+    for rows, level, code, what in parts:
+        out = out.unionByName(gathered(rows, level, code, what))
+    return out
 
-    def gathered(rows: DataFrame, level: str, code: str, what: str) -> DataFrame:
-        groups = rows.groupBy("site").agg(F.count("*").alias("pages"), F.sort_array(F.collect_list(path)).alias("urls"))
-        return groups.select("site", F.lit(level).alias("level"), F.lit(code).alias("code"), F.concat(n("pages"), F.lit(what)).alias("what"), "urls")
 
-    out = single.unionByName(shared).unionByName(described).unionByName(gathered(orphans(facts), "high", "orphans", " pages are in the sitemap but linked from nowhere on the site"))
+def finding_pages(facts: DataFrame, places: DataFrame | None = None) -> DataFrame:
+    """(site, code, value, path): the pages behind the findings that several pages share, a row each."""
+    parts = [(shared_values(facts, "title"), "shared_title", F.col("value")), (shared_values(facts, "desc"), "shared_description", F.col("value")), (orphans(facts), "orphans", F.lit(""))]
     if places is not None:
-        out = out.unionByName(gathered(pages_without_place(facts, places), "medium", "no_place", " pages never mention any town the business serves"))
+        parts.append((pages_without_place(facts, places), "no_place", F.lit("")))
+    out = None
+    for rows, code, value in parts:
+        one = rows.select("site", F.lit(code).alias("code"), value.alias("value"), relative(F.col("url"), F.col("site")).alias("path"))
+        out = one if out is None else out.unionByName(one)
     return out
 
 

@@ -1,17 +1,29 @@
-"""Where iterative jobs keep what they cut from their lineage."""
+"""Where iterative jobs keep what they cut from their lineage, and tables that several branches of a query read."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Spark uses spark.checkpoint.dir by itself; a local session without one gets a temporary folder."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one only for a local session that has none."""
     context = spark.sparkContext
-    if spark.conf.get("spark.checkpoint.dir", None) or context._jsc.sc().getCheckpointDir().isDefined():
-        return
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    known = context._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get().rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="siteloom-"))
+    return ensure_checkpoint_dir(spark)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as Parquet in the shared folder, read back: what made it runs once however many branches read it."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ NETWORKS = (
     ("youtube", r"youtube\.com|youtu\.be"), ("tiktok", r"tiktok\.com"), ("pinterest", r"pinterest\."), ("yelp", r"yelp\.com"),
     ("google", r"google\.com/maps|g\.page|goo\.gl/maps"), ("nextdoor", r"nextdoor\."),
 )
+#: Fixed value: addresses of share widgets.
 SHARE = r"(?i)/(sharer|share|intent|dialog|plugins|tr\?|widgets?)\b|[?&](u|url|text)="
 #: Words that speak for a theme.
 THEMES = (

@@ -25,7 +25,7 @@ def usable_pages(fetches: DataFrame) -> DataFrame:
     reason = (
         F.when(~F.col("status").between(200, 299), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
         .when((kind != "") & ~kind.rlike("(?i)html|xhtml|plain|xml"), F.concat(F.lit("Not HTML ("), kind, F.lit(")")))
-        .when(F.length("html") > BODY_LIMIT, F.lit("Body too large"))
+        .when(F.octet_length("html") > BODY_LIMIT, F.lit("Body too large"))
     )
     return fetches.withColumn("reason", reason)
 

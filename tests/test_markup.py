@@ -74,7 +74,7 @@ def test_page_facts(site):
     assert audit[2].words == 0 and not audit[2].has_viewport
     facts = S.seo_facts(pages, nodes).cache()
     assert {r.page_id: r.no_alt for r in facts.collect()}[1] == 1
-    assert [r.pages for r in S.duplicates(facts, "title").collect()] == [2]
+    assert [r.pages for r in S.shared_values(facts, "title").collect()] == [2, 2]
     assert sorted(r.page_id for r in S.orphans(facts).collect()) == [1, 2]
 
 
