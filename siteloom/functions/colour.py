@@ -14,13 +14,40 @@ def to_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lower(F.lpad(F.hex(x.cast("bigint")), 2, "0")) for x in (r, g, b)])
 
 
+#: Names of colours.
+NAMES = {
+    "black": "#000000", "white": "#ffffff", "red": "#ff0000", "green": "#008000", "blue": "#0000ff", "navy": "#000080", "teal": "#008080", "olive": "#808000", "maroon": "#800000", "purple": "#800080", "gray": "#808080", "grey": "#808080",
+    "silver": "#c0c0c0", "orange": "#ffa500", "gold": "#ffd700", "yellow": "#ffff00", "lime": "#00ff00", "aqua": "#00ffff", "cyan": "#00ffff", "fuchsia": "#ff00ff", "magenta": "#ff00ff", "pink": "#ffc0cb", "brown": "#a52a2a",
+    "beige": "#f5f5dc", "ivory": "#fffff0", "crimson": "#dc143c", "indigo": "#4b0082", "khaki": "#f0e68c", "salmon": "#fa8072", "tan": "#d2b48c", "turquoise": "#40e0d0", "violet": "#ee82ee", "wheat": "#f5deb3", "darkblue": "#00008b",
+    "darkgreen": "#006400", "darkred": "#8b0000", "lightblue": "#add8e6", "lightgreen": "#90ee90",
+}
+
+
+def from_hsl(h: Column, s: Column, light: Column) -> Column:
+    """#rrggbb from degrees and shares of 1."""
+    chroma = (1 - F.abs(2 * light - 1)) * s
+
+    def level(n: float) -> Column:
+        k = F.pmod(F.lit(n) + h / 30, F.lit(12.0))
+        return F.round(255 * F.greatest(F.lit(0.0), F.least(F.lit(1.0), light - chroma / 2 * F.greatest(F.lit(-1.0), F.least(k - 3, 9 - k, F.lit(1.0))))))
+
+    return to_hex(level(0.0), level(8.0), level(4.0))
+
+
 def colour_parse(c: Column) -> Column:
-    """#rgb, #rrggbb and rgb() texts as #rrggbb; null for others."""
+    """Named colours, #rgb, #rgba, #rrggbb, #rrggbbaa, rgb() and hsl() texts as #rrggbb, without opacity; null for others."""
     t = F.lower(F.trim(c))
     short = F.concat(F.lit("#"), *[F.repeat(F.substring(t, i, 1), 2) for i in (2, 3, 4)])
-    shape = r"^rgba?\(\s*(\d{1,3})[\s,]+(\d{1,3})[\s,]+(\d{1,3})"
-    part = lambda i: F.least(F.regexp_extract(t, shape, i).try_cast("int"), F.lit(255))
-    return F.when(t.rlike("^#[0-9a-f]{3}$"), short).when(t.rlike("^#[0-9a-f]{6}$"), t).when(t.rlike(shape), to_hex(part(1), part(2), part(3)))
+    inner = F.filter(F.split(F.regexp_extract(t, r"^(?:rgb|hsl)a?\(\s*([^)]+)\)$", 1), r"[,/\s]+"), lambda x: x != "")
+    number = lambda i: F.regexp_extract(F.get(inner, F.lit(i)), r"^([-+]?[0-9.]+)", 1).try_cast("double")
+    whole = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.get(inner, F.lit(i)).try_cast("double"))))
+    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    rgb = F.when(whole(0).isNotNull() & whole(1).isNotNull() & whole(2).isNotNull(), to_hex(whole(0), whole(1), whole(2)))
+    hsl_text = F.when(number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull(), from_hsl(number(0), number(1) / 100, number(2) / 100))
+    return (
+        F.when(t.rlike("^#[0-9a-f]{3,4}$"), short).when(t.rlike("^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.substring(t, 1, 7)).when(t.rlike(r"^rgba?\(\s*[^)]+\)$"), rgb)
+        .when(t.rlike(r"^hsla?\(\s*[^)]+\)$"), hsl_text).otherwise(F.try_element_at(named, t))
+    )
 
 
 def luminance(hexa: Column) -> Column:

@@ -133,13 +133,3 @@ def page_faqs(nodes: DataFrame, most: int = 25) -> DataFrame:
     good = (F.col("question") != "") & (F.length("question") <= 200) & F.length("answer").between(10, 1500) & (F.col("question").endswith("?") | (T.word_count(F.col("question")) <= 14))
     first = terms.unionByName(heads).where(good).groupBy(*PAGE, F.lower("question").alias("key")).agg(F.min(F.struct("rank", "node_id", "question", "answer")).alias("f"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.rank", "f.node_id"))).where(F.col("ord") <= most).select(*PAGE, "ord", "f.question", "f.answer")
-
-
-def page_images(pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(site, page_id, node_id, url, alt): images by their first usable source; embedded data never counts."""
-    sources = F.array(*[attr(a) for a in ("src", "data-src", "data-lazy-src", "data-original")])
-    chosen: Column = F.get(F.filter(sources, lambda s: s.isNotNull() & (F.trim(s) != "") & ~F.startswith(s, F.lit("data:"))), F.lit(0))
-    found = nodes.where("tag = 'img'").select(*PAGE, "node_id", chosen.alias("src"), F.coalesce(attr("alt"), F.lit("")).alias("alt")).where("src is not null")
-    located = found.join(pages.select(*PAGE, F.col("url").alias("base")), PAGE).withColumn("url", U.absolute(F.col("src"), F.col("base"))).where("url is not null")
-    first = located.groupBy(*PAGE, "url").agg(F.min(F.struct("node_id", "alt")).alias("f"))
-    return first.select(*PAGE, F.col("f.node_id").alias("node_id"), "url", F.col("f.alt").alias("alt"))

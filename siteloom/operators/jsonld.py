@@ -99,3 +99,80 @@ def jsonld_hours(jsonld: DataFrame) -> DataFrame:
     days = F.transform(F.sequence(F.lit(0), F.pmod(last - first, F.lit(7))), lambda i: ((first + i) % 7).cast("int"))
     ranged = old.where(first.isNotNull()).select(*PAGE, F.explode(days).alias("day"), to_12h(part(3)).alias("opens"), to_12h(part(4)).alias("closes"), F.lit(False).alias("closed"))
     return full.unionByName(ranged)
+
+
+def said(v: Column) -> Column:
+    """A value as text: of an array its first item, of an object its name, value, address or text."""
+    one = F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+    inner = F.coalesce(*[F.try_variant_get(one, f"$['{k}']", "string") for k in ("name", "@value", "url", "text")])
+    return T.squash(F.when(F.schema_of_variant(one).startswith("OBJECT"), inner).otherwise(F.try_variant_get(one, "$", "string")))
+
+
+def address_of(v: Column) -> Column:
+    """A value as a web address: of an object its url, contentUrl or @id."""
+    one = F.coalesce(F.try_variant_get(v, "$[0]", "variant"), v)
+    inner = F.coalesce(*[F.try_variant_get(one, f"$['{k}']", "string") for k in ("url", "contentUrl", "@id")])
+    return F.trim(F.coalesce(F.when(F.schema_of_variant(one).startswith("OBJECT"), inner).otherwise(F.try_variant_get(one, "$", "string")), F.lit("")))
+
+
+def _bare(c: Column) -> Column:
+    return T.squash(F.regexp_replace(c, "<[^>]+>", " "))
+
+
+def jsonld_children(jsonld: DataFrame) -> DataFrame:
+    """(site, page_id, kind, ord, name, text, role, image, price, rating, date): services, questions, reviews and people of a page's objects.
+
+    kind: service (name, text, price, image), faq (question as name, answer as text), review (quote as text, author as name, rating,
+    date) or person (name, role, text, image).
+    """
+    n = F.col("node")
+    has = lambda rule: F.exists("types", lambda t: t.rlike(rule))
+    at = lambda k: member(n, k)
+    empty = F.lit("")
+
+    def rows(df: DataFrame, kind: str, name: Column, text: Column, role: Column = empty, image: Column = empty, price: Column = empty, rating: Column | None = None, date: Column = empty, inner: Column | None = None) -> DataFrame:
+        number = F.lit(None).cast("double") if rating is None else rating
+        place = F.struct("ord", (F.lit(0) if inner is None else inner).cast("int").alias("inner"))
+        return df.select(*PAGE, F.lit(kind).alias("kind"), place.alias("at"), name.alias("name"), text.alias("text"), role.alias("role"), image.alias("image"), price.alias("price"), number.alias("rating"), date.alias("date"))
+
+    either = lambda *keys: F.coalesce(*[at(k) for k in keys])
+    offers = rows(jsonld.where(has("(?i)^(Service|Product|Offer)$")), "service", said(either("name", "itemOffered")), said(at("description")), image=address_of(at("image")), price=said(either("price", "priceSpecification"))).where("name <> ''")
+    item = member(n, "item")
+    listed = jsonld.where(has("(?i)^ListItem$") & F.coalesce(F.try_variant_get(item, "$['@type']", "string"), empty).rlike("(?i)Service|Product"))
+    listed = rows(listed, "service", said(item), said(member(item, "description")), image=address_of(member(item, "image"))).where("name <> ''")
+    asked = jsonld.where(has("(?i)^FAQPage$")).select(*PAGE, "ord", F.posexplode(items(at("mainEntity"))).alias("i", "q"))
+    q = F.col("q")
+    answer = lambda v: _bare(said(F.coalesce(F.try_variant_get(member(v, "acceptedAnswer"), "$.text", "variant"), member(v, "acceptedAnswer"))))
+    pages = rows(asked, "faq", said(F.coalesce(member(q, "name"), member(q, "question"))), answer(q), inner=F.col("i"))
+    single = rows(jsonld.where(has("(?i)^Question$")).withColumn("ord", F.col("ord") + 1_000_000), "faq", said(at("name")), answer(n))
+    faqs = pages.unionByName(single).where("name <> '' and text <> ''")
+    stars = F.nullif(F.try_variant_get(n, "$.reviewRating.ratingValue", "double"), F.lit(0.0))
+    reviews = rows(jsonld.where(has("(?i)^Review$")), "review", said(at("author")), _bare(said(either("reviewBody", "description"))), rating=stars, date=said(at("datePublished"))).where("text <> ''")
+    people = rows(jsonld.where(has("(?i)^Person$")), "person", said(at("name")), said(at("description")), role=said(at("jobTitle")), image=address_of(at("image"))).where("name <> ''")
+    each = offers.unionByName(listed).unionByName(faqs).unionByName(reviews).unionByName(people)
+    order = Window.partitionBy(*PAGE, "kind").orderBy("at")
+    return each.select(*PAGE, "kind", F.row_number().over(order).alias("ord"), "name", "text", "role", "image", "price", "rating", "date")
+
+
+def jsonld_social(jsonld: DataFrame) -> DataFrame:
+    """(site, page_id, url): the addresses that a page's business states as its own, and its logo in jsonld_logo()."""
+    same = jsonld_business(jsonld).select(*PAGE, F.explode(items(member(F.col("node"), "sameAs"))).alias("u"))
+    return same.select(*PAGE, address_of(F.col("u")).alias("url")).where("url <> ''")
+
+
+def jsonld_logo(jsonld: DataFrame) -> DataFrame:
+    """(site, page_id, logo)."""
+    return jsonld_business(jsonld).select(*PAGE, address_of(member(F.col("node"), "logo")).alias("logo")).where("logo <> ''")
+
+
+def patch_merge(profiles: DataFrame, children: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a site's pages state together: (leaves, lists).
+
+    leaves: per site the last page's value of each column of jsonld_profile(); an empty text counts, null doesn't. lists: the
+    rows of jsonld_children() of the last page with any hit, a business or a child of any kind but a ListItem alone: its lists replace those of
+    earlier pages, even by none.
+    """
+    columns = [c for c in profiles.columns if c not in PAGE]
+    leaves = profiles.groupBy("site").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("page_id"))).alias(c) for c in columns])
+    hits = profiles.select(*PAGE).unionByName(children.select(*PAGE)).groupBy("site").agg(F.max("page_id").alias("page_id"))
+    return leaves, children.join(hits, PAGE, "left_semi")

@@ -111,18 +111,15 @@ def brand_contrast(profiles: DataFrame, palettes: DataFrame) -> DataFrame:
     corrected is the colour of the same hue whose lightness, in steps of a hundredth from the half, passes first.
     palettes(theme, mode, background) is a dimension of a few rows.
     """
-    rows = profiles.select("site", C.colour_parse(F.col("brand.colors.primary")).alias("colour")).where("colour is not null").join(F.broadcast(palettes))
+    if (many := palettes.count()) > 1000:
+        raise ValueError(f"{many} palettes; a dimension of at most 1000 is paired with every profile")
+    pairs = palettes.agg(F.collect_list(F.struct("theme", "mode", "background")).alias("p"))
+    rows = profiles.select("site", C.colour_parse(F.col("brand.colors.primary")).alias("colour")).where("colour is not null").withColumn("p", pairs.scalar())
+    rows = rows.select("site", "colour", F.explode("p").alias("p")).select("site", "colour", "p.*")
     ratio = C.contrast(F.col("colour"), F.col("background"))
     rows = rows.withColumn("ratio", ratio).withColumn("hsl", C.hsl(F.col("colour")))
     sign = F.when(C.luminance(F.col("background")) > 0.5, -1).otherwise(1)
-
-    def at(step: Column) -> Column:
-        light = 0.5 + sign * step / 100.0
-        chroma = (1 - F.abs(2 * light - 1)) * F.col("hsl.s")
-        channel = lambda n: F.round(255 * (light - chroma / 2 * F.greatest(F.lit(-1.0), F.least(
-            (F.pmod(F.lit(float(n)) + F.col("hsl.h") / 30, F.lit(12.0)) - 3), (9 - F.pmod(F.lit(float(n)) + F.col("hsl.h") / 30, F.lit(12.0))), F.lit(1.0)))))
-        return C.to_hex(channel(0), channel(8), channel(4))
-
+    at = lambda step: C.from_hsl(F.col("hsl.h"), F.col("hsl.s"), 0.5 + sign * step / 100.0)
     steps = F.transform(F.sequence(F.lit(0), F.lit(50)), at)
     fit = F.get(F.filter(steps, lambda h: C.contrast(h, F.col("background")) >= 4.5), F.lit(0))
     return rows.select("site", "theme", "mode", "ratio", (F.col("ratio") >= 4.5).alias("passes"), F.when(F.col("ratio") >= 4.5, F.col("colour")).otherwise(fit).alias("corrected"))

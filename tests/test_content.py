@@ -3,6 +3,7 @@
 import pytest
 
 from siteloom.operators import content as X
+from siteloom.operators import media as M
 from siteloom.operators.nodes import html_nodes
 
 HTML = """<body><main><h2>Our Services</h2><div class="grid">
@@ -33,4 +34,4 @@ def test_questions_quotes_and_images(site):
     pages, nodes = site
     assert [r.question for r in X.page_faqs(nodes).orderBy("ord").collect()] == ["Service area", "Do you offer financing?"]
     assert [(r.quote, r.author) for r in X.page_testimonials(nodes).collect()] == [("They came out the same day and fixed everything.", "Ann")]
-    assert [(r.url, r.alt) for r in X.page_images(pages, nodes).collect()] == [("https://s.org/a.jpg", "A")]
+    assert [(r.url, r.alt) for r in M.page_images(pages, nodes).collect()] == [("https://s.org/a.jpg", "A")]
