@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import DOCUMENT_COLUMNS, ascii_lower, components, discard, let, materialize, words
+from siteloom.llm.common import DOCUMENT_COLUMNS, ascii_lower, components, discard, let, materialize, small, words
 
 SKETCH = 64
 #: Share of pairs at exactly the threshold that a step on sketches may lose.
@@ -54,10 +54,10 @@ def shingle_set(text: Column, size: int) -> Column:
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, text_hash, n, rid, sketch) per row: set size, hash of the whole set (null for none), bottom-k values."""
+    """(doc_id, row_hash, n, rid, sketch) per row: hash of id and text, set size, hash of the whole set (null for none), bottom-k values."""
     made = let(shingle_set(F.col("text"), size), lambda s: F.struct(
         F.size(s).cast("bigint").alias("n"), F.when(F.size(s) > 0, F.xxhash64(s)).alias("rid"), F.slice(s, 1, SKETCH).alias("sketch")))
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), made.alias("x")).select("doc_id", "text_hash", "x.*")
+    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_hash"), made.alias("x")).select("doc_id", "row_hash", "x.*")
 
 
 def least_common(k: int, percent: int) -> int:
@@ -219,14 +219,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     base = materialize(sketches(docs, size), "sketches")
     named = base.where("doc_id is not null")
-    whole = named.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
+    whole = named.where("rid is not null").groupBy("rid").agg(F.min(F.struct("doc_id", "row_hash")).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     classes = materialize(whole, "classes")
     lists = inverted_lists(classes, percent)
     pairs = materialize(likely(listed_pairs(lists, percent), classes, percent), "pairs")
     long = lists.where(F.col("listed") > SHORT_LIST)
     wanted = pairs.select(F.col("a").alias("rid")).union(pairs.select("b")).union(long.select("rid")).distinct()
-    wanted = materialize(classes.join(wanted, "rid", "left_semi").select("rid", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")), "wanted")
-    texts = docs.withColumn("text_hash", F.xxhash64("text")).join(wanted, ["doc_id", "text_hash"])
+    wanted = materialize(classes.join(wanted, "rid", "left_semi").select("rid", F.col("first.row_hash").alias("row_hash")), "wanted")
+    # Broadcast up to a bound, so that only the texts that are compared move; beyond it all texts move once.
+    texts = docs.withColumn("row_hash", F.xxhash64("doc_id", "text")).join(small(wanted, 2_000_000), "row_hash")
     sets = materialize(texts.select("rid", shingle_set(F.col("text"), size).alias("shingles")).dropDuplicates(["rid"]), "sets")
     # The texts of a document that has several are linked by it.
     several = materialize(named.groupBy("doc_id").agg(F.min("rid").alias("b"), F.max("rid").alias("m"), F.count("*").alias("all"), F.count("rid").alias("some")).where("b <> m or some < all").select("doc_id", "b"), "several")
