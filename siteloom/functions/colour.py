@@ -42,7 +42,8 @@ def colour_parse(c: Column) -> Column:
     number = lambda i: F.regexp_extract(F.get(inner, F.lit(i)), r"^([-+]?[0-9.]+)", 1).try_cast("double")
     whole = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.get(inner, F.lit(i)).try_cast("double"))))
     named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
-    rgb = F.when(whole(0).isNotNull() & whole(1).isNotNull() & whole(2).isNotNull(), to_hex(whole(0), whole(1), whole(2)))
+    plain = [F.get(inner, F.lit(i)).try_cast("double").isNotNull() for i in range(3)]
+    rgb = F.when(plain[0] & plain[1] & plain[2], to_hex(whole(0), whole(1), whole(2)))
     hsl_text = F.when(number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull(), from_hsl(number(0), number(1) / 100, number(2) / 100))
     return (
         F.when(t.rlike("^#[0-9a-f]{3,4}$"), short).when(t.rlike("^#[0-9a-f]{6}([0-9a-f]{2})?$"), F.substring(t, 1, 7)).when(t.rlike(r"^rgba?\(\s*[^)]+\)$"), rgb)

@@ -133,7 +133,7 @@ def _sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sitemap_urls(spark, sf_dir):
-    return G.sitemap_urls(_sitemaps(spark, sf_dir), limit=50)
+    return G.sitemap_urls(_sitemaps(spark, sf_dir), limit=150)
 
 
 def sitemap_counts(spark, sf_dir):
@@ -173,6 +173,21 @@ def crawl_rollup(spark, sf_dir):
     return out.groupBy("site", "level", "crawl_age_days", "stale").agg(F.count("*").alias("n"))
 
 
+#: Categories with the theme and score that the engine's own rules must give them, counted by hand.
+THEMED = (
+    ("HVAC contractor", "forge", 12), ("coffee bar", "harvest", 12), ("day spa", "bloom", 6), ("lawn and garden", "homestead", 12), ("marketing agency", "beacon", 12), ("saas platform", "folio", 12), ("family dentist", "meridian", 6), ("spare parts", "meridian", 0),
+)
+
+
+def profile_theme(spark, sf_dir):
+    """The engine's own themes on categories and taglines by key."""
+    c = _table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    category = F.element_at(F.array(*[F.lit(x) for x, *_ in THEMED]), (k % len(THEMED) + 1).cast("int"))
+    profiles = c.select("c_custkey", category.alias("category"), F.when(k % 3 == 0, "Tax advice").otherwise("We care").alias("tagline"))
+    return H.suggest_theme(profiles, [("category", 6), ("tagline", 2)]).select("c_custkey", "theme", "score", "confident")
+
+
 def theme_suggest(spark, sf_dir):
     """The theme rule engine with rules on part names and types."""
     rules = (("metal", "steel|brass|copper|nickel|tin\\b"), ("finish", "polished|brushed|burnished|plated|anodized"), ("size", "small|medium|large|economy"))
@@ -180,15 +195,6 @@ def theme_suggest(spark, sf_dir):
     return H.suggest_theme(parts, [("p_type", 6), ("p_name", 1)], rules, "none").select("p_partkey", "theme", "score", "confident")
 
 
-def page_social(spark, sf_dir):
-    """Links written from suppliers: a long and a short profile address, a share widget and an ordinary page."""
-    s = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").cast("string").alias("site"), F.col("s_suppkey").alias("page_id"))
-    k = F.col("page_id").cast("string")
-    urls = F.array(F.concat(F.lit("https://www.facebook.com/pages/"), k), F.concat(F.lit("https://facebook.com/"), k), F.lit("https://www.facebook.com/sharer/sharer.php?u=x"), F.concat(F.lit("https://x.com/s"), k), F.lit("https://example.org/x.com"))
-    links = s.select("site", "page_id", F.posexplode(urls).alias("node_id", "url"))
-    return H.social_links(links).select("page_id", "network", "url")
-
-
 def colour_contrast(spark, sf_dir):
     """Contrast of two colours made from each part's key and size."""
     p = _table(spark, sf_dir, "part")
@@ -211,7 +217,7 @@ def phone_forms(spark, sf_dir):
 
 QUERIES = [
     page_phones, page_emails, contact_merge, sample_median, run_compare, scan_issues, issue_verdict, snapshot_upsert, open_now, aggregate_rating, usable_pages, robots_rules, robots_allowed,
-    sitemap_urls, sitemap_counts, redirect_check, visibility_ranks, annotate_issues, crawl_rollup, theme_suggest, page_social, colour_contrast, clock_text, phone_forms,
+    sitemap_urls, sitemap_counts, redirect_check, visibility_ranks, annotate_issues, crawl_rollup, theme_suggest, profile_theme, colour_contrast, clock_text, phone_forms,
 ]
 
 _SP = r"[\x09-\x0D\x20\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
@@ -263,18 +269,20 @@ ORACLES = {
     "usable_pages": "select o_orderkey, case when o_orderkey % 5 = 0 then 'HTTP 404' when o_orderkey % 5 = 1 then 'HTTP 301' when o_custkey % 4 = 0 then 'Not HTML (application/pdf)' end as reason from orders",
     "robots_rules": "select 's' || s_suppkey || '.example' as site, unnest([false, true]) as allow, unnest(['/p' || (s_suppkey % 10) || '*/x', '/p' || (s_suppkey % 10) || '1/x$']) as path, cast(s_suppkey % 9 as double) as crawl_delay from supplier",
     "robots_allowed": "select site, 'https://' || site || '/p' || i || '1/x' || t as url, not (i = s_suppkey % 10 and t = 'y') as allowed from (select 's' || s_suppkey || '.example' as site, s_suppkey from supplier), (select unnest(range(10)) as i), (select unnest(['', 'y']) as t)",
-    "sitemap_urls": "select 'n' || c_nationkey || '.example' as site, cast(row_number() over (partition by c_nationkey order by c_custkey % 2, c_custkey) as integer) as ord, 'https://n' || c_nationkey || '.example/c/' || c_custkey as url from customer qualify ord <= 50",
+    "sitemap_urls": "select 'n' || c_nationkey || '.example' as site, cast(row_number() over (partition by c_nationkey order by c_custkey % 2, c_custkey) as integer) as ord, 'https://n' || c_nationkey || '.example/c/' || c_custkey as url from customer qualify ord <= 150",
     "sitemap_counts": "select 'n' || n_nationkey || '.example' as site, case when n_nationkey <> 3 then (select nullif(count(*), 0) + 1 from customer where c_nationkey = n_nationkey and c_custkey % 2 = 1) end as pages from nation",
     "redirect_check": "select 'old' || s_suppkey as from_host, case s_suppkey % 5 when 0 then 'server' when 2 then 'in-page' else 'none' end as kind from supplier",
     "visibility_ranks": "select l_orderkey, l_linenumber, organic, case when organic <= 3 then 'good' when organic <= 10 then 'mid' else 'none' end as bucket from (select l_orderkey, l_linenumber, case when l_quantity <= 20 then cast(l_quantity as integer) end as organic from lineitem)",
     "annotate_issues": "select o_custkey as site, o_orderkey as ord, case when p is not null and row_number() over (partition by o_custkey, p order by o_orderkey) = 1 then 'note on ' || p end as detail from (select *, case when o_orderpriority like '%URGENT%' then 'URGENT' when o_orderpriority like '%LOW%' then 'LOW' end as p from orders)",
     "crawl_rollup": "select o_custkey as site, case when o_orderkey % 2 = 0 then 'note' else 'attention' end as level, 3::bigint as crawl_age_days, true as stale, count(*) as n from orders where o_orderkey % 2 = 0 or o_orderkey % 3 = 0 group by all",
+    "profile_theme": f"""with t as (select * from (values {', '.join(f"({i}, '{theme}', {score})" for i, (_, theme, score) in enumerate(THEMED))}) v(i, theme, score)),
+      c as (select c_custkey, theme, score, c_custkey % 3 = 0 as tax from customer join t on c_custkey % {len(THEMED)} = i)
+      select c_custkey, case when tax and score < 2 then 'meridian' else theme end as theme, cast(score + case when tax and theme = 'meridian' then 2 else 0 end as bigint) as score, score + case when tax and theme = 'meridian' then 2 else 0 end >= 3 as confident from c""",
     "theme_suggest": """with h as (select p_partkey, lower(p_type) as t, lower(p_name) as n from part), s as (select p_partkey,
       6 * len(regexp_extract_all(t, 'steel|brass|copper|nickel|tin\\b')) + len(regexp_extract_all(n, 'steel|brass|copper|nickel|tin\\b')) as a,
       6 * len(regexp_extract_all(t, 'polished|brushed|burnished|plated|anodized')) + len(regexp_extract_all(n, 'polished|brushed|burnished|plated|anodized')) as b,
       6 * len(regexp_extract_all(t, 'small|medium|large|economy')) + len(regexp_extract_all(n, 'small|medium|large|economy')) as c from h)
       select p_partkey, case when greatest(a, b, c) = 0 then 'none' when a >= b and a >= c then 'metal' when b >= c then 'finish' else 'size' end as theme, greatest(a, b, c) as score, greatest(a, b, c) >= 3 as confident from s""",
-    "page_social": "select s_suppkey as page_id, unnest(['facebook', 'x']) as network, unnest(['https://facebook.com/' || s_suppkey, 'https://x.com/s' || s_suppkey]) as url from supplier",
     "colour_contrast": f"""select p_partkey, '#' || lower(printf('%06x', {_A})) as one, round((greatest({_lum(_A)}, {_lum(_B)}) + 0.05) / (least({_lum(_A)}, {_lum(_B)}) + 0.05), 6) as contrast,
       round((greatest({_A} // 65536 % 256, {_A} // 256 % 256, {_A} % 256) + least({_A} // 65536 % 256, {_A} // 256 % 256, {_A} % 256)) / 510.0, 6) as lightness from part""",
     "clock_text": "select event_id, ltrim(strftime(ts, '%I:%M %p'), '0') as twelve, strftime(ts, '%H:%M') as again, cast(hour(ts) * 60 + minute(ts) as bigint) as minutes from events",

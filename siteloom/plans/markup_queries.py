@@ -61,7 +61,7 @@ def brand_fonts(spark, sf_dir):
 
 
 def brand_palette(spark, sf_dir):
-    return B.brand_palette(B.css_colours(_css(spark, sf_dir))).select("site", F.size("palette").cast("bigint").alias("colours"))
+    return B.brand_palette(B.css_colours(_css(spark, sf_dir))).select("site", F.size("palette").cast("bigint").alias("colours"), "primary", "secondary", "accent")
 
 
 def _content(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -258,7 +258,14 @@ ORACLES = {
     "css_colours": "select p_brand as site, '#' || lower(printf('%06x', p_size * 5000 + 17)) as hex, cast(3 * count(*) as bigint) as score, count(*) as uses from part group by all union all select p_brand, '#123abc', cast(2 * count(*) as bigint), count(*) from part group by p_brand",
     "brand_fonts": """with f as (select p_brand as site, 'F' || (p_size % 7) as font, count(*) as n from part group by all), r as (select site, font, row_number() over (partition by site order by n desc, font) as k from f)
       select site, max(font) filter (k = 1) as heading, coalesce(max(font) filter (k = 2), max(font) filter (k = 1)) as body from r group by site""",
-    "brand_palette": "select p_brand as site, least(12, count(distinct p_size) + 1) as colours from part group by p_brand",
+    "brand_palette": """with c as (select p_brand as site, p_size * 5000 + 17 as v, 3.0 * count(*) as score from part group by all union all select p_brand, 1194684, 2.0 * count(*) from part group by p_brand),
+      x as (select *, '#' || lower(printf('%06x', v)) as hex, (v // 65536) / 255.0 as r, (v // 256 % 256) / 255.0 as g, (v % 256) / 255.0 as b from c), y as (select *, greatest(r, g, b) as hi, least(r, g, b) as lo from x),
+      z as (select *, (hi + lo) / 2 as l, hi - lo as d, case when hi = lo then 0 else (hi - lo) / (1 - abs(hi + lo - 1)) end as s, case when hi = lo then 0 when hi = r then 60 * (((g - b) / (hi - lo)) - 6 * floor((g - b) / (hi - lo) / 6)) when hi = g then 60 * ((b - r) / (hi - lo) + 2) else 60 * ((r - g) / (hi - lo) + 4) end as h from y),
+      t as (select site, hex, h, s > 0.2 and l between 0.1 and 0.9 as vivid, row_number() over (partition by site order by score * (0.35 + s * (1 - abs(l - 0.5) * 2)) desc, hex) as nth from z qualify nth <= 12),
+      w as (select *, row_number() over (partition by site order by nth) as k from t where vivid), one as (select site, hex, h from w where k = 1),
+      far as (select w.*, least(abs(w.h - one.h), 360 - abs(w.h - one.h)) as gap from w join one using (site)), two as (select site, coalesce(min_by(hex, k) filter (gap > 25), min_by(hex, k) filter (k = 2)) as hex from far group by site),
+      three as (select far.site, min_by(far.hex, k) as hex from far join two on far.site = two.site where gap > 60 and far.hex <> two.hex group by far.site)
+      select n.site, n.colours, coalesce(one.hex, '') as primary, coalesce(two.hex, '') as secondary, coalesce(three.hex, '') as accent from (select site, count(*) as colours from t group by site) n left join one using (site) left join two using (site) left join three using (site)""",
     "repeated_blocks": "select s_suppkey as page_id, 'div.big.card' as signature, 3::bigint as items, 'our services' as label from supplier where s_suppkey % 5 <> 0 union all select s_suppkey, 'li.', 3, 'the team' from supplier",
     "page_services": "select s_suppkey as page_id, n::integer as ord, 'Repair ' || n || ' of ' || s_suppkey as name, 'We repair all that breaks.' as summary from supplier, (select unnest([1, 2, 3]) as n) where s_suppkey % 5 <> 0",
     "page_team": "select s_suppkey as page_id, unnest([1, 2, 3])::integer as ord, unnest(['Ann ' || s_suppkey, 'Bob Ray', 'Cy Poe']) as name, unnest(['Owner of it all', 'Technician here', 'Office manager']) as role from supplier",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.plans import estate_queries, harvest_queries, markup_queries, page_queries, profile_queries
+from siteloom.plans import estate_queries, harvest_queries, markup_queries, page_queries, profile_queries, stream_queries
 
-_PARTS = (page_queries, estate_queries, profile_queries, markup_queries, harvest_queries)
+_PARTS = (page_queries, estate_queries, profile_queries, markup_queries, harvest_queries, stream_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
