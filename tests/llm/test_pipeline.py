@@ -4,11 +4,13 @@ import collections
 import random
 import zlib
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siteloom.llm import packing, pfair
-from siteloom.llm.common import work_path
+from siteloom.llm import outliers, packing, pfair, secret_scan
+from siteloom.llm.common import materialize, work_path
 from siteloom.llm.tokens import encoder
 from tests.llm.test_operators import SCHEMA, brute_components, words
 
@@ -86,7 +88,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in near.collect()} == {d for d, (_, root) in want.items() if d == root}
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = stage(spark, before, str(tmp_path)).localCheckpoint()
+        before = materialize(stage(spark, before, str(tmp_path)), name)
     encode, pieces = encoder("word_bpe_49k.json").whole, collections.defaultdict(list)
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
         pieces[r.doc_id].append(r)
@@ -98,3 +100,57 @@ def test_stages(spark, tmp_path):
             assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[4 * at : 4 * (at + r.length)]))
             at += r.length
         assert 4 * at == len(ids)
+
+
+def test_quality_and_secrets_by_brute_force(spark):
+    """What quality keeps is what base rules and distances of the fitted estimate keep, by numpy; secrets are cut where the spans are, in plain Python."""
+    rng, data = random.Random(6), []
+    for i in range(160):
+        text = words(rng, rng.randint(5, 200)) if i % 8 else "### | ".join(words(rng, 60).split(" "))
+        secret = "".join(rng.choices("0123456789abcdef", k=40))
+        data.append((i, f"{text} token: {secret} end" if i % 5 == 0 else text, "en" if i % 2 else None, "s", len(text)))
+    docs = spark.createDataFrame(data, SCHEMA)
+    stats = outliers.quality_statistics(docs)
+    params = {r.lang: r.params for r in outliers.fit(stats).collect()}
+    cut = outliers.chi_square_quantile(outliers.TAIL, 4)
+    want = set()
+    for r in stats.collect():
+        p = params[r.lang]
+        lower = np.array([[p[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+        z = np.linalg.solve(lower, np.array([r[d] for d in outliers.DIMENSIONS]) / outliers.SCALE - np.array([p[f"m{i}"] for i in range(4)]))
+        if not r.base_failed and z @ z <= cut:
+            want.add(r.doc_id)
+    good = corpus_pipeline.quality(spark, docs, "")
+    assert {r.doc_id for r in good.collect()} == want and good.columns == docs.columns
+    spans = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs).collect()}
+    for r in corpus_pipeline.secrets(spark, docs, "").collect():
+        clean, at = "", 0
+        for i, j in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in filter(None, spans[r.doc_id].split(","))):
+            clean += (data[r.doc_id][1][at:i] + "[SECRET]") if i >= at else ""
+            at = max(at, j)
+        assert r.text == clean + data[r.doc_id][1][at:] and (r.doc_id % 5 or "token: " not in r.text)
+
+
+def test_odd_rows_pass_every_stage(spark):
+    """Nulls in every column, empty, long and repeated rows, clashing columns; then no rows at all."""
+    rng = random.Random(2)
+    long = words(rng, 30_000)
+    data = [(None, None, None, None, None), (1, None, "en", "a", 0), (1, "", "en", None, 0), (2, " \n\t ", None, "a", 4), (3, "x y z w", "en", "a", 7), (3, "x y z w", "en", "a", 7), (None, long, "en", "a", 7), (4, long, "en", "a", 7), (5, long + " more", "en", None, 7), (-6, "émoji 😀 " * 30, "fr", "b", 9)]
+    data += [(10 + i, words(rng, 60), "en", "a", 1) for i in range(50)]
+    odd = spark.createDataFrame(data, SCHEMA)
+    for c in ("_row", "slot", "place", "grp", "rid", "_spans", "n", "block"):
+        odd = odd.withColumn(c, F.lit(7))
+    ids = lambda df: sorted(((r.doc_id is None, r.doc_id or 0) for r in df.select("doc_id").collect()))
+    good = materialize(corpus_pipeline.quality(spark, odd, ""), "good")
+    assert good.columns == ["doc_id", "text", "lang", "source", "n_chars"] and {1, 2, 3} & {r.doc_id for r in good.collect()} == set()
+    one = materialize(corpus_pipeline.near_duplicates(spark, odd, ""), "one")
+    assert ids(one) == sorted([(True, 0), (True, 0)] + [(False, i) for i in (1, 2, 3, 4, -6, *range(10, 60))])
+    clean = materialize(corpus_pipeline.secrets(spark, one, ""), "clean")
+    mixed = materialize(corpus_pipeline.mix(spark, clean, ""), "mixed")
+    assert ids(clean) == ids(mixed) == ids(one) and mixed.groupBy("slot", "place").count().where("count > 1").count() == 0
+    packed = corpus_pipeline.pack(spark, mixed, "")
+    assert ids(packed.where("start = 0")) == ids(one)
+    none = odd.where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        none = stage(spark, none, "")
+        assert none.count() == 0
