@@ -107,29 +107,66 @@ def page_team(nodes: DataFrame, most: int = 20) -> DataFrame:
     return ranked.select(*PAGE, "ord", "f.name", F.coalesce("f.role", F.lit("")).alias("role"), F.coalesce("f.bio", F.lit("")).alias("bio"))
 
 
+#: Words of classes and ids that hold quotes, and of pages that answer questions.
+QUOTE_CLASS = "testimonial|review|quote"
+FAQ_PAGE = r"(?i)frequently asked|faqs?\b|common questions"
+
+
+def within(outer: DataFrame, inner: DataFrame) -> DataFrame:
+    """inner's rows beside each row of outer (site, page_id, o_id, o_last) in whose subtree they lie."""
+    return outer.join(inner, PAGE).where((F.col("node_id") > F.col("o_id")) & (F.col("node_id") <= F.col("o_last")))
+
+
 def page_testimonials(nodes: DataFrame, most: int = 30) -> DataFrame:
-    """(site, page_id, ord, quote, author): block quotes without their citation, first of equal starts."""
-    quotes = nodes.where("tag = 'blockquote'").select(*PAGE, F.col("node_id").alias("q_id"), F.col("last_id").alias("q_last"), F.col("text").alias("quote"))
-    rank = F.when(F.col("tag") == "cite", 0).when(F.col("tag") == "footer", 1).when(F.array_contains("classes", "author"), 2).when(F.array_contains("classes", "name"), 3)
-    cites = nodes.select(*PAGE, "node_id", F.col("text").alias("cite"), rank.alias("rank")).where("rank is not null")
-    hit = cites.join(quotes.select(*PAGE, "q_id", "q_last"), PAGE).where(F.col("node_id").between(F.col("q_id"), F.col("q_last")))
-    author = hit.groupBy(*PAGE, "q_id").agg(F.min_by("cite", F.struct("rank", "node_id")).alias("cite"))
-    rows = quotes.join(author, [*PAGE, "q_id"], "left")
-    text = F.when(F.coalesce("cite", F.lit("")) != "", F.replace("quote", F.col("cite"), F.lit(""))).otherwise(F.col("quote"))
+    """(site, page_id, ord, quote, author): block quotes, then elements named after quotes that hold none; without their citation, first of equal starts.
+
+    A named element's quote is its first paragraph, or its whole text.
+    """
+    has = lambda name: F.array_contains("classes", name)
+    spans = lambda df, later: df.select(*PAGE, F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), F.lit(later).alias("later"), "text")
+    quotes = spans(nodes.where("tag = 'blockquote'"), 0)
+    named = spans(nodes.where(F.array_join("classes", " ").rlike(QUOTE_CLASS) | F.coalesce(attr("id").rlike("testimonial"), F.lit(False))), 1)
+    holding = within(named.drop("text"), quotes.select(*PAGE, F.col("o_id").alias("node_id"))).select(*PAGE, "o_id")
+    named = named.join(holding, [*PAGE, "o_id"], "left_anti")
+    first_p = within(named.drop("text"), nodes.where("tag = 'p'").select(*PAGE, "node_id", F.col("text").alias("p"))).groupBy(*PAGE, "o_id").agg(F.min_by("p", "node_id").alias("p"))
+    named = named.join(first_p, [*PAGE, "o_id"], "left").withColumn("text", F.coalesce("p", "text")).drop("p")
+    short = F.when(F.col("tag") == "cite", 0).when(F.col("tag") == "footer", 1).when(has("author"), 2).when(has("name"), 3)
+    wide = F.when(F.col("tag") == "cite", 0).when(has("author"), 1).when(has("name"), 2).when(has("customer"), 3).when(F.col("tag").isin("footer", "h4", "h5", "strong"), 4)
+    cites = nodes.select(*PAGE, "node_id", F.col("text").alias("cite"), short.alias("short"), wide.alias("wide")).where("short is not null or wide is not null")
+    both = quotes.unionByName(named)
+    rank = F.when(F.col("later") == 0, F.col("short")).otherwise(F.col("wide"))
+    author = within(both.drop("text"), cites).where(rank.isNotNull()).groupBy(*PAGE, "o_id", "later").agg(F.min_by("cite", F.struct(rank.alias("r"), "node_id")).alias("cite"))
+    rows = both.join(author, [*PAGE, "o_id", "later"], "left")
+    text = F.when(F.coalesce("cite", F.lit("")) != "", F.replace("text", F.col("cite"), F.lit(""))).otherwise(F.col("text"))
     text = F.regexp_replace(T.squash(text), "^[\"“”']+|[\"“”']+$", "")
-    rows = rows.select(*PAGE, "q_id", text.alias("quote"), F.regexp_replace(T.squash(F.col("cite")), r"^[-–—\s]+", "").alias("author")).where(F.length("quote").between(25, 900))
-    first = rows.groupBy(*PAGE, F.lower(F.substring("quote", 1, 60)).alias("key")).agg(F.min(F.struct("q_id", "quote", "author")).alias("f"))
-    return first.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.q_id"))).where(F.col("ord") <= most).select(*PAGE, "ord", "f.quote", "f.author")
+    rows = rows.select(*PAGE, "later", "o_id", text.alias("quote"), F.regexp_replace(T.squash(F.col("cite")), r"^[-–—\s]+", "").alias("author")).where(F.length("quote").between(25, 900))
+    first = rows.groupBy(*PAGE, F.lower(F.substring("quote", 1, 60)).alias("key")).agg(F.min(F.struct("later", "o_id", "quote", "author")).alias("f"))
+    return first.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.later", "f.o_id"))).where(F.col("ord") <= most).select(*PAGE, "ord", "f.quote", "f.author")
 
 
 def page_faqs(nodes: DataFrame, most: int = 25) -> DataFrame:
-    """(site, page_id, ord, question, answer): terms with definitions, and question headings with the text that follows."""
-    by = Window.partitionBy(*PAGE, "parent_id").orderBy("sib")
-    rows = nodes.select(*PAGE, "parent_id", "node_id", "tag", "classes", "text", F.lead("tag").over(by).alias("next_tag"), F.lead("text").over(by).alias("next_text"))
+    """(site, page_id, ord, question, answer): terms with definitions, then questions in the main content with what follows them.
+
+    A question is a heading, a summary, or an element named so or titled in an accordion, that ends in a question mark; headings of level 2 count
+    on pages of questions only. The next sibling with text answers it unless a heading comes first; a summary's answer is the rest of its parent.
+    """
+    order = Window.partitionBy(*PAGE, "parent_id").orderBy("sib")
+    by = order.rowsBetween(1, Window.unboundedFollowing)
+    tells = F.col("tag").rlike("^h[1-6]$") | (F.coalesce("text", F.lit("")) != "")
+    rows = nodes.select(*PAGE, "parent_id", "node_id", "last_id", "tag", "classes", "text", F.lead("tag").over(order).alias("next_tag"), F.lead("text").over(order).alias("next_text"),
+                        F.first(F.when(tells, F.struct("tag", "text")), ignorenulls=True).over(by).alias("then"))
     terms = rows.where("tag = 'dt' and next_tag = 'dd'").select(*PAGE, F.lit(0).alias("rank"), "node_id", F.col("text").alias("question"), F.col("next_text").alias("answer"))
-    asks = F.col("tag").isin("h3", "h4", "h5") | F.array_contains("classes", "question")
-    heads = rows.where(asks & F.col("text").rlike(r"\?\s*$") & ~F.coalesce(F.col("next_tag").rlike("^h[1-6]$"), F.lit(True)))
-    heads = heads.select(*PAGE, F.lit(1).alias("rank"), "node_id", F.col("text").alias("question"), F.col("next_text").alias("answer"))
+    main = main_node(nodes)
+    about = nodes.join(main, PAGE).where(F.col("node_id") == F.col("m_id")).select(*PAGE, "m_id", "m_last", F.left("text", F.lit(4000)).rlike(FAQ_PAGE).alias("faq_page"))
+    folds = nodes.where(F.array_join("classes", " ").contains("accordion")).select(*PAGE, F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"))
+    titled = within(folds, nodes.where(F.array_join("classes", " ").contains("title")).select(*PAGE, "node_id")).select(*PAGE, "node_id").distinct().withColumn("titled", F.lit(True))
+    near = rows.where(F.col("text").rlike(r"\?\s*$")).join(about, PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last"))).join(titled, [*PAGE, "node_id"], "left")
+    asks = near.where(F.col("tag").isin("h3", "h4", "h5", "summary") | F.array_contains("classes", "question") | F.col("titled") | ((F.col("tag") == "h2") & F.col("faq_page")))
+    parents = nodes.select(*PAGE, F.col("node_id").alias("parent_id"), F.col("text").alias("parent_text"))
+    asked = asks.join(parents, [*PAGE, "parent_id"], "left")
+    rest = F.expr("overlay(parent_text placing '' from greatest(locate(text, parent_text), 1) for if(locate(text, parent_text) > 0, length(text), 0))")
+    answer = F.when(F.col("tag") == "summary", T.squash(rest)).when(~F.col("then.tag").rlike("^h[1-6]$"), F.col("then.text"))
+    heads = asked.select(*PAGE, F.lit(1).alias("rank"), "node_id", F.col("text").alias("question"), answer.alias("answer"))
     good = (F.col("question") != "") & (F.length("question") <= 200) & F.length("answer").between(10, 1500) & (F.col("question").endswith("?") | (T.word_count(F.col("question")) <= 14))
     first = terms.unionByName(heads).where(good).groupBy(*PAGE, F.lower("question").alias("key")).agg(F.min(F.struct("rank", "node_id", "question", "answer")).alias("f"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.rank", "f.node_id"))).where(F.col("ord") <= most).select(*PAGE, "ord", "f.question", "f.answer")

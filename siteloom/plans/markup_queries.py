@@ -57,7 +57,16 @@ def css_colours(spark, sf_dir):
 
 
 def brand_fonts(spark, sf_dir):
-    return B.brand_fonts(_css(spark, sf_dir)).select("site", "heading", "body")
+    return B.brand_fonts(B.css_fonts(_css(spark, sf_dir))).select("site", "heading", "body")
+
+
+def css_fonts(spark, sf_dir):
+    """Families by part: shorthands, quotes, generic names, and families that links load."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k, site = F.col("p_partkey"), F.col("p_brand").alias("site")
+    css = p.select(site, F.concat(F.lit("a{font: 12px/1.5 Own, 'K"), (k % 9).cast("string"), F.lit("' , Arial}b{font-family:var(--x),Georgia;}c{font-family:\"Lost\",x}")).alias("css"))
+    pages = p.where("p_partkey % 10 = 3").select(site, k.alias("page_id"), F.lit("<link href='https://fonts.googleapis.com/css?family=Open+Sans:400&family=K1'><link href='https://x.example/?family=No'>").alias("html"))
+    return B.css_fonts(css, node_table(pages))
 
 
 def brand_palette(spark, sf_dir):
@@ -73,7 +82,9 @@ def _content(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.lit("<html><body><main><h2>Our services</h2><div class='grid'>"), card(1), card(2), F.when(F.col("s_suppkey") % 5 == 0, "").otherwise(card(3)),
         F.lit("</div><h2>The team</h2><ul><li><b>Ann "), k, F.lit("</b><p>Owner of it all</p></li><li><b>Bob Ray</b><p>Technician here</p></li><li><b>Cy Poe</b><p>Office manager</p></li></ul><h3>Do you serve area "), k,
         F.lit("?</h3><p>Yes, every day of the week.</p><blockquote>They came out the same day, all of them. <cite>- Customer "), k,
-        F.lit("</cite></blockquote><img src='data:x' data-src='img/"), k, F.lit(".jpg'><a href='mailto:service@x.org'>service</a></main></body></html>"))
+        F.lit("</cite></blockquote><div class='my-testimonials'><p>Truly the best crew in town, twice.</p><strong>Mr "), k, F.lit("</strong></div><div class='review'><p>Too short.</p></div><details><summary>Is it dear "), k,
+        F.lit("?</summary>No, it is not that dear.</details><h2>Why us "), k, F.lit("?</h2><p></p><p>Because we are good at it.</p><h4>No answer?</h4><h4>Next</h4><div class='accordion-x'><i class='subtitle'>Folded?</i><b>Unfolded at last</b></div>"),
+        F.when(F.col("s_suppkey") % 4 == 0, "<p>FAQs page</p>").otherwise("<p>No page of them</p>"), F.lit("<img src='data:x' data-src='img/"), k, F.lit(".jpg'><a href='mailto:service@x.org'>service</a></main></body></html>"))
     pages = s.select(F.lit("s.example").alias("site"), F.col("s_suppkey").alias("page_id"), F.lit("https://s.example/d/p.html").alias("url"), html.alias("html"))
     return pages, node_table(pages)
 
@@ -230,7 +241,7 @@ def css_sources(spark, sf_dir):
 
 
 QUERIES = [
-    jsonld_nodes, jsonld_profile, jsonld_hours, css_colours, brand_fonts, brand_palette, repeated_blocks, page_services, page_team, page_faqs, page_testimonials, page_images, page_address, page_hours, logo_pick, hero_pick, gallery_pick,
+    jsonld_nodes, jsonld_profile, jsonld_hours, css_colours, css_fonts, brand_fonts, brand_palette, repeated_blocks, page_services, page_team, page_faqs, page_testimonials, page_images, page_address, page_hours, logo_pick, hero_pick, gallery_pick,
     asset_list, jsonld_children, jsonld_stated, patch_merge, social_profile_status, social_gaps, css_sources,
 ]
 _S = "s as (select * from supplier join nation on s_nationkey = n_nationkey where s_suppkey % 10 <> 0)"
@@ -269,8 +280,11 @@ ORACLES = {
     "repeated_blocks": "select s_suppkey as page_id, 'div.big.card' as signature, 3::bigint as items, 'our services' as label from supplier where s_suppkey % 5 <> 0 union all select s_suppkey, 'li.', 3, 'the team' from supplier",
     "page_services": "select s_suppkey as page_id, n::integer as ord, 'Repair ' || n || ' of ' || s_suppkey as name, 'We repair all that breaks.' as summary from supplier, (select unnest([1, 2, 3]) as n) where s_suppkey % 5 <> 0",
     "page_team": "select s_suppkey as page_id, unnest([1, 2, 3])::integer as ord, unnest(['Ann ' || s_suppkey, 'Bob Ray', 'Cy Poe']) as name, unnest(['Owner of it all', 'Technician here', 'Office manager']) as role from supplier",
-    "page_faqs": "select s_suppkey as page_id, 'Do you serve area ' || s_suppkey || '?' as question, 'Yes, every day of the week.' as answer from supplier",
-    "page_testimonials": "select s_suppkey as page_id, 'They came out the same day, all of them.' as quote, 'Customer ' || s_suppkey as author from supplier",
+    "page_faqs": """select s_suppkey as page_id, question, answer from (select s_suppkey, unnest(['Do you serve area ' || s_suppkey || '?', 'Is it dear ' || s_suppkey || '?', 'Folded?', case when s_suppkey % 4 = 0 then 'Why us ' || s_suppkey || '?' end]) as question,
+      unnest(['Yes, every day of the week.', 'No, it is not that dear.', 'Unfolded at last', 'Because we are good at it.']) as answer from supplier) where question is not null""",
+    "page_testimonials": "select s_suppkey as page_id, unnest(['They came out the same day, all of them.', 'Truly the best crew in town, twice.']) as quote, unnest(['Customer ' || s_suppkey, 'Mr ' || s_suppkey]) as author from supplier",
+    "css_fonts": """with p as (select p_brand as site, p_partkey as k from part), f as (select site, 'K' || k % 9 as font, 1 as n from p union all select site, 'Georgia', 1 from p union all select site, unnest(['Open Sans', 'K1']), 5 from p where k % 10 = 3)
+      select site, font, cast(sum(n) as bigint) as n from f group by all""",
     "page_address": """select s_suppkey as page_id, a[1] as street, a[2] as street2, a[3] as city, a[4] as region, a[5] as postal_code, a[6] as country, a[7] as confidence from (select s_suppkey, case s_suppkey % 5
         when 0 then [s_suppkey || ' North Grand Avenue East', 'Suite B', 'Springfield', 'IL', '62702', 'US', 'medium'] when 1 then ['Unit ' || s_suppkey || ' Bourne Centre, Wrotham Rd, Borough Green', '', 'Sevenoaks', '', 'TN15 8DG', 'GB', 'medium']
         when 2 then [s_suppkey || ' High St', '', 'Lon don', '', '', '', 'high'] when 3 then [s_suppkey || ' Oak Rd', '', 'Salem', 'OR', '97301-1234', 'US', 'low'] end as a from supplier) where a is not null""",

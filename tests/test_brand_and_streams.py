@@ -4,7 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from siteloom.operators.brand import brand_fonts, brand_palette, css_colours, css_sources
+from siteloom.operators.brand import brand_fonts, css_fonts, brand_palette, css_colours, css_sources
 from siteloom.operators.monitor import scan_issues
 from siteloom.operators.nodes import html_nodes
 from siteloom.streaming.jobs import stream_new_pages, stream_scan_issues
@@ -20,7 +20,7 @@ def test_colours_and_fonts(spark):
     assert found == {"#333333": (2, 1), "#1f3a93": (8, 3), "#c41e3a": (5, 3)}
     row = brand_palette(css_colours(css)).first()
     assert (row.primary, row.secondary) == ("#1f3a93", "#c41e3a")
-    fonts = brand_fonts(css).first()
+    fonts = brand_fonts(css_fonts(css)).first()
     assert (fonts.heading, fonts.body) == ("Lora", "Inter")
 
 
