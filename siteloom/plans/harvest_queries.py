@@ -10,7 +10,10 @@ from siteloom.operators import harvest as V
 from siteloom.operators import profiles as P
 from siteloom.operators.state import written
 
-K, I = F.col("c_custkey").cast("string"), F.col("c_custkey")
+
+def _keys() -> tuple[Column, Column]:
+    """The customer's key as text and as a number."""
+    return F.col("c_custkey").cast("string"), F.col("c_custkey")
 
 
 def _text(*parts: Column | str) -> Column:
@@ -19,25 +22,26 @@ def _text(*parts: Column | str) -> Column:
 
 def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles with parts missing, blanks, repeats, odd colours, days out of order and items without what they need."""
+    k, i = _keys()
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     hour = lambda day, opens, closed: F.struct(F.lit(day).alias("day"), opens.alias("open"), F.lit(" 5:00 PM ").alias("close"), closed.alias("closed"))
     item = lambda name, title, price: F.struct(name.alias("name"), title.alias("title"), price.alias("price"))
     none = F.lit(None).cast("string")
     return c.select(
-        _text("c", K).alias("site"),
-        F.struct(_text("  Joe's   ", K, " "), F.array(F.lit("Springfield"), F.lit(" springfield"), F.lit(" "), _text("Town ", K)), F.when(I % 3 == 0, "Plumber").alias("c")).alias("b"),
+        _text("c", k).alias("site"),
+        F.struct(_text("  Joe's   ", k, " "), F.array(F.lit("Springfield"), F.lit(" springfield"), F.lit(" "), _text("Town ", k)), F.when(i % 3 == 0, "Plumber").alias("c")).alias("b"),
         F.struct(
-            F.when(I % 2 == 0, "555.867.5309").alias("phone"), F.array(F.lit("(555) 867-5309"), F.lit("+1 555 867 5309"), _text("+44 20 ", K), F.lit("")).alias("phones"),
-            F.when(I % 4 == 0, _text("MAIN", K, "@B.com")).alias("email"), F.array(F.lit("A@B.com"), F.lit(" a@b.com"), F.lit("nobody")).alias("emails"),
-            F.struct(F.when(I % 5 == 0, "  Sun  City ").alias("city")).alias("address"),
+            F.when(i % 2 == 0, "555.867.5309").alias("phone"), F.array(F.lit("(555) 867-5309"), F.lit("+1 555 867 5309"), _text("+44 20 ", k), F.lit("")).alias("phones"),
+            F.when(i % 4 == 0, _text("MAIN", k, "@B.com")).alias("email"), F.array(F.lit("A@B.com"), F.lit(" a@b.com"), F.lit("nobody")).alias("emails"),
+            F.struct(F.when(i % 5 == 0, "  Sun  City ").alias("city")).alias("address"),
             F.array(hour("Sunday", F.lit("closed"), F.lit(False)), hour("tue", F.lit("9"), F.lit(None).cast("boolean")), hour("Monday", F.lit(" 8:00 AM"), F.lit(False)), hour("TUESDAY", F.lit("10:00 AM"), F.lit(False)), hour("someday", F.lit("1"), F.lit(True)), hour("", F.lit("1"), F.lit(True))).alias("hours"),
         ).alias("contact"),
-        F.struct(F.struct(F.element_at(F.array(F.lit("rgb(37,99,235)"), F.lit("#ABC"), F.lit(" Navy "), F.lit("hsl(120, 100%, 25%)"), F.lit("#12345678"), F.lit("nocolour"), F.lit("#12345")), (I % 7 + 1).cast("int")).alias("primary")).alias("colors")).alias("brand"),
-        F.create_map(F.lit("facebook"), _text("//fb.com/", K), F.lit("x"), F.lit(" "), F.lit("own"), F.lit("HTTP://own.example")).alias("social"),
+        F.struct(F.struct(F.element_at(F.array(F.lit("rgb(37,99,235)"), F.lit("#ABC"), F.lit(" Navy "), F.lit("hsl(120, 100%, 25%)"), F.lit("#12345678"), F.lit("nocolour"), F.lit("#12345")), (i % 7 + 1).cast("int")).alias("primary")).alias("colors")).alias("brand"),
+        F.create_map(F.lit("facebook"), _text("//fb.com/", k), F.lit("x"), F.lit(" "), F.lit("own"), F.lit("HTTP://own.example")).alias("social"),
         F.struct(F.struct(F.lit("BEST HVAC IN TOWN").alias("headline"), F.lit(" Sub ").alias("subhead")).alias("hero")).alias("content"),
-        F.array(item(F.lit("AC REPAIR"), none, I.cast("string")), item(none, _text("furnace ", K), none), item(F.lit(" "), none, none), item(F.lit("ac repair!"), none, none)).alias("services"),
+        F.array(item(F.lit("AC REPAIR"), none, i.cast("string")), item(none, _text("furnace ", k), none), item(F.lit(" "), none, none), item(F.lit("ac repair!"), none, none)).alias("services"),
         F.array(F.struct(F.lit("a.jpg").alias("src")), F.struct(F.lit(" a.jpg ").alias("src")), F.struct(F.lit("").alias("src"))).alias("gallery"),
-        F.array(*[F.struct(F.when(I % 2 == i, " Good  job ").alias("quote"), F.lit("Text").alias("text"), F.lit(r).alias("rating")) for i, r in enumerate(("9", "0", "x", "-2", "4.5"))]).alias("testimonials"),
+        F.array(*[F.struct(F.when(i % 2 == n, " Good  job ").alias("quote"), F.lit("Text").alias("text"), F.lit(r).alias("rating")) for n, r in enumerate(("9", "0", "x", "-2", "4.5"))]).alias("testimonials"),
         F.array(F.struct(F.lit("Q?").alias("q"), F.lit(" A ").alias("a")), F.struct(F.lit("Only").alias("q"), F.lit("").alias("a"))).alias("faqs"),
         F.array(F.struct(F.lit("Terms").alias("title"), F.array(F.struct(F.lit("").alias("heading"), F.array(F.lit(" x ")).alias("body")), F.struct(F.lit("").alias("heading"), F.array(F.lit(" ")).alias("body"))).alias("sections")), F.struct(F.lit("Bare").alias("title"), F.array().cast("array<struct<heading:string,body:array<string>>>").alias("sections"))).alias("legal"),
     ).withColumn("business", F.struct(F.col("b.col1").alias("name"), F.col("b.col2").alias("serviceArea"), F.col("b.c").alias("category"))).drop("b")
@@ -56,21 +60,22 @@ def normalize_profiles(spark, sf_dir):
 
 def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sites' facts by key: some lack structured data, some a title, an address or numbers of their own."""
+    k, i = _keys()
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
     empty = F.lit("")
-    stated = F.struct(_text("Stated ", K).alias("name"), F.lit("Dentist").alias("category"), _text("555", K).alias("phone"), F.lit("s@x.org").alias("email"), F.lit("9 Old St").alias("street"), F.lit("Oldtown").alias("city"), F.lit("IL").alias("region"), F.lit("62701").alias("postal_code"))
+    stated = F.struct(_text("Stated ", k).alias("name"), F.lit("Dentist").alias("category"), _text("555", k).alias("phone"), F.lit("s@x.org").alias("email"), F.lit("9 Old St").alias("street"), F.lit("Oldtown").alias("city"), F.lit("IL").alias("region"), F.lit("62701").alias("postal_code"))
     strings = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
     return c.select(
-        _text("c", K).alias("site"), _text("https://www.shop", K, ".example/").alias("url"), F.when(I % 3 == 0, empty).otherwise(_text("ACME WORKS ", K, " | Home")).alias("title"), F.when(I % 4 == 0, _text("We fix it. All of it, ", K)).otherwise(empty).alias("description"), strings("a", " b").alias("keywords"),
-        F.struct(F.when(I % 5 == 0, _text("Og ", K)).otherwise(empty).alias("site_name"), F.when(I % 5 == 1, "Og title").otherwise(empty).alias("title"), F.when(I % 6 == 0, "Og said! More").otherwise(empty).alias("description"), empty.alias("image")).alias("og"),
-        F.when(I % 2 == 0, "WELCOME HOME").otherwise(empty).alias("h1"), strings("First paragraph of the page").alias("paragraphs"), strings("Longest", "Long").alias("about"), F.when(I % 7 == 0, stated).alias("stated"),
-        F.when(I % 2 == 1, strings("(217) 555-0142", "217.555.0142")).otherwise(F.array().cast("array<string>")).alias("phones"), F.when(I % 3 == 1, strings("b@x.org")).otherwise(F.array().cast("array<string>")).alias("emails"),
-        F.when(I % 4 == 1, F.struct(_text(K, " Main St").alias("street"), empty.alias("street2"), F.lit("Salem").alias("city"), F.lit("OR").alias("region"), F.lit("97301").alias("postal_code"), F.lit("US").alias("country"))).alias("address"),
+        _text("c", k).alias("site"), _text("https://www.shop", k, ".example/").alias("url"), F.when(i % 3 == 0, empty).otherwise(_text("ACME WORKS ", k, " | Home")).alias("title"), F.when(i % 4 == 0, _text("We fix it. All of it, ", k)).otherwise(empty).alias("description"), strings("a", " b").alias("keywords"),
+        F.struct(F.when(i % 5 == 0, _text("Og ", k)).otherwise(empty).alias("site_name"), F.when(i % 5 == 1, "Og title").otherwise(empty).alias("title"), F.when(i % 6 == 0, "Og said! More").otherwise(empty).alias("description"), empty.alias("image")).alias("og"),
+        F.when(i % 2 == 0, "WELCOME HOME").otherwise(empty).alias("h1"), strings("First paragraph of the page").alias("paragraphs"), strings("Longest", "Long").alias("about"), F.when(i % 7 == 0, stated).alias("stated"),
+        F.when(i % 2 == 1, strings("(217) 555-0142", "217.555.0142")).otherwise(F.array().cast("array<string>")).alias("phones"), F.when(i % 3 == 1, strings("b@x.org")).otherwise(F.array().cast("array<string>")).alias("emails"),
+        F.when(i % 4 == 1, F.struct(_text(k, " Main St").alias("street"), empty.alias("street2"), F.lit("Salem").alias("city"), F.lit("OR").alias("region"), F.lit("97301").alias("postal_code"), F.lit("US").alias("country"))).alias("address"),
         F.array(F.struct(F.lit(6).alias("day"), F.lit(True).alias("closed"), empty.alias("opens"), empty.alias("closes"), empty.alias("note")), F.struct(F.lit(0).alias("day"), F.lit(False).alias("closed"), F.lit("8:00 AM").alias("opens"), F.lit("5:00 PM").alias("closes"), empty.alias("note"))).alias("hours"),
         F.struct(F.lit("#1f3a93").alias("primary"), empty.alias("secondary"), empty.alias("accent")).alias("colours"), F.struct(F.lit("Georgia").alias("heading"), F.lit("Georgia").alias("body")).alias("fonts"), F.create_map(F.lit("x"), F.lit("x.com/a")).alias("social"),
-        F.array(F.struct(_text("Job ", K).alias("name"), F.lit("Done").alias("summary")), F.struct(_text("JOB ", K).alias("name"), F.lit("again").alias("summary"))).alias("services"), F.array(F.struct(F.lit("Quote").alias("quote"), F.lit("Ann").alias("author"))).alias("testimonials"),
+        F.array(F.struct(_text("Job ", k).alias("name"), F.lit("Done").alias("summary")), F.struct(_text("JOB ", k).alias("name"), F.lit("again").alias("summary"))).alias("services"), F.array(F.struct(F.lit("Quote").alias("quote"), F.lit("Ann").alias("author"))).alias("testimonials"),
         F.array(F.struct(F.lit("Q?").alias("question"), F.lit("A").alias("answer"))).alias("faqs"), F.array(F.struct(F.lit("Bo").alias("name"), F.lit("Boss").alias("role"), empty.alias("bio"), F.lit("gone.jpg").alias("photo"))).alias("team"),
-        F.array(F.struct(F.lit("g.jpg").alias("src"), empty.alias("alt"))).alias("gallery"), F.lit("logo.png").alias("logo"), F.when(I % 2 == 0, "hero.jpg").otherwise(empty).alias("hero"),
+        F.array(F.struct(F.lit("g.jpg").alias("src"), empty.alias("alt"))).alias("gallery"), F.lit("logo.png").alias("logo"), F.when(i % 2 == 0, "hero.jpg").otherwise(empty).alias("hero"),
     )
 
 
@@ -87,17 +92,19 @@ def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def harvest_report(spark, sf_dir):
+    k, i = _keys()
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 <> 2")
-    audit = c.select(_text("c", K).alias("site"), F.lit("Wix").alias("platform"), (I % 2 == 0).alias("mobile"), F.lit(True).alias("https"), F.lit(False).alias("structured_data"), I.alias("images"), F.lit(1).cast("bigint").alias("images_no_alt"))
-    flags = c.select(_text("c", K).alias("site"), F.explode(F.array(F.lit("no_h1"), F.lit("no_h1"), F.when(I % 2 == 0, "flash").otherwise("heavy"))).alias("code"))
+    audit = c.select(_text("c", k).alias("site"), F.lit("Wix").alias("platform"), (i % 2 == 0).alias("mobile"), F.lit(True).alias("https"), F.lit(False).alias("structured_data"), i.alias("images"), F.lit(1).cast("bigint").alias("images_no_alt"))
+    flags = c.select(_text("c", k).alias("site"), F.explode(F.array(F.lit("no_h1"), F.lit("no_h1"), F.when(i % 2 == 0, "flash").otherwise("heavy"))).alias("code"))
     return V.harvest_report(_drafts(spark, sf_dir), audit, flags).select("site", "name", "percent", F.array_join("gaps", "|").alias("gaps"), "platform", "mobile", "images_no_alt", "flags", "hours", "services", "testimonials", "faqs", "team")
 
 
 def brief_rows(spark, sf_dir):
+    k, i = _keys()
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    paragraphs = c.where("c_custkey % 50 = 0").select(_text("c", K).alias("site"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_id"))
+    paragraphs = c.where("c_custkey % 50 = 0").select(_text("c", k).alias("site"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_id"))
     paragraphs = paragraphs.select("site", "page_id", F.posexplode(F.expr("transform(sequence(1, 15), i -> concat('p', i))")).alias("pos", "text")).select("site", "page_id", (F.col("pos") + 1).alias("ord"), "text")
-    social = c.where("c_custkey % 10 = 0").select(_text("c", K).alias("site"), F.lit("X").alias("label"), F.lit("https://x.com/a").alias("url"), F.when(I % 20 == 0, "ok").otherwise("login-walled").alias("status"), F.lit("A bio").alias("description"))
+    social = c.where("c_custkey % 10 = 0").select(_text("c", k).alias("site"), F.lit("X").alias("label"), F.lit("https://x.com/a").alias("url"), F.when(i % 20 == 0, "ok").otherwise("login-walled").alias("status"), F.lit("A bio").alias("description"))
     return V.brief_rows(_drafts(spark, sf_dir).where("site like '%0'"), paragraphs, social)
 
 
