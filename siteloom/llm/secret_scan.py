@@ -32,15 +32,15 @@ def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0)
     """Array of (start, end, kind, value): the matches, leftmost and not overlapping, whose group has so many characters."""
 
     def place(pieces: Column, found: Column, values: Column) -> Column:
-        ends = lambda i: F.aggregate(
-            F.slice(pieces, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x)
-        ) + F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.transform(
-            found,
-            lambda m, i: F.struct(
-                ends(i).alias("start"), (ends(i) + F.length(m)).alias("end"), F.lit(kind).alias("kind"), F.get(values, i).alias("value")
-            ),
-        )
+        """Running sums of the lengths of pieces and matches, one step per match."""
+        rows = F.transform(found, lambda m, i: F.struct(F.length(F.get(pieces, i)).alias("gap"), F.length(m).alias("own"), F.get(values, i).alias("value")))
+
+        def step(a: Column, x: Column) -> Column:
+            start = a["at"] + x["gap"]
+            end = start + x["own"]
+            return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))).alias("out"))
+
+        return F.aggregate(rows, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int,value:string>>").alias("out")), step)["out"]
 
     all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     placed = let(
@@ -64,7 +64,7 @@ def pair_counts(strings: DataFrame, label: str) -> DataFrame:
 def train(docs: DataFrame, rows: int = 20_000) -> DataFrame:
     """One row with `llr`: an array of log-likelihood ratios by 67 * first + second, characters as places in ALPHABET from 1.
 
-    Trained on about `rows` documents, chosen by a hash. Counts start at 0.2, so unseen pairs cost little.
+    Trained on about `rows` documents, chosen by a hash. An unseen pair of ordinary words backs off to its second character's share.
     """
     some = bounded_sample(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), rows)
     some = materialize(some.select(base_spans(F.col("text")).alias("b"), F.regexp_extract_all("text", F.lit(WORD), F.lit(0)).alias("w")), "labelled")

@@ -467,6 +467,35 @@ def test_tokens_in_orc(spark, docs, rows):
     assert [r.doc_id for r in orc_tokens.read_tokens(spark, path, [7, 99]).orderBy("doc_id").collect()] == [7, 99]
 
 
+def test_orc_files_have_what_lookups_need(spark):
+    """Several stripes, row indexes and Bloom filters in the files, and a lookup that reads a part of the rows only."""
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string"), F.repeat(F.lit(" and more of it"), 30)).alias("text"))
+    path = work_path(spark, "orc-many")
+    orc_tokens.write_tokens(docs, path, parts=4, stripe_bytes=1 << 16)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    names = [x.split(":", 1)[1] if x.startswith("file:") else x for x in spark.read.orc(path).inputFiles()]
+    assert len(names) == 4
+    stripes = 0
+    for name in names:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(name), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            kinds = {(x.getColumn(), x.getKind().toString()) for x in rows.readStripeFooter(stripe).getStreamsList()}
+            stripes += 1
+            assert (1, "ROW_INDEX") in kinds and (1, "BLOOM_FILTER_UTF8") in kinds  # column 1 is doc_id
+        rows.close()
+    assert stripes > 4
+    found = orc_tokens.read_tokens(spark, path, [12_345])
+    assert "PushedFilters: [In(doc_id" in found._jdf.queryExecution().toString() or "EqualTo(doc_id,12345)" in found._jdf.queryExecution().toString()
+    scanned = orc_tokens.read_tokens(spark, path, [12_345]).select("doc_id", F.input_file_name().alias("f"))
+    assert [r.doc_id for r in scanned.collect()] == [12_345]
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    read = plan.collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert 0 < read <= 2_000
+
+
 def library(name):
     """The plain library call on a fresh tokenizer."""
     fresh = Tokenizer.from_file(public_tokenizers.path(name))
@@ -485,6 +514,38 @@ def test_cached_tokens_equal_the_library(name, rows):
     assert encoder(name, special_as_text=True).encode("<|endoftext|>") != e.encode("<|endoftext|>") == plain("<|endoftext|>")
 
 
+def phrases_of(text):
+    """Lempel-Ziv phrases by a trie: walk while the next character is known, then a new leaf is a phrase; the open walk at the end is one, too."""
+    trie, out, at = {}, set(), 0
+    while at < len(text):
+        node, end = trie, at
+        while end < len(text) and text[end] in node:
+            node, end = node[text[end]], end + 1
+        if end < len(text):
+            node[text[end]] = {}
+            end += 1
+        out.add(text[at:end])
+        at = end
+    return out
+
+
+def test_parse_and_likeness_by_another_way(spark):
+    """Phrase sets against a trie; for texts of few phrases the likeness is the exact Jaccard similarity of the sets."""
+    rng = random.Random(31)
+    texts = ["", "a", "aaaaaa", "abababab", "é😀é😀é"] + ["".join(rng.choices("ab c", k=rng.randint(1, 120))) for _ in range(40)]
+    for t in texts:
+        done, rest = lzprint.parse(t)
+        assert done | ({rest} if rest else set()) == phrases_of(t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    for r in lzprint.fingerprint_documents(df, parts=2).collect():
+        t, following = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        half = len(t) // 2
+        a, b, c = phrases_of(t), phrases_of(t[: len(t) - half] + following[:half]), phrases_of(following)
+        if len(a | b) <= 64 and len(a | c) <= 64:
+            assert r.near_edited == (len(a & b) / len(a | b) if a | b else 1.0)
+            assert r.near_next == (len(a & c) / len(a | c) if a | c else 1.0)
+
+
 def test_fingerprints(docs, rows):
     got = {r.doc_id: r for r in lzprint.fingerprint_documents(docs, parts=4).collect()}
     texts = [r[1] for r in rows]
