@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import fixity, lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
+from siteloom.llm import fixity, importance, lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -63,8 +63,12 @@ def op10_orc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orc_tokens.token_index(spark, path)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fixity, op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens)}
+    return {f.__name__: f for f in (op1_merkle_fixity, op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens, op13_importance_resampling)}
 
 
 #: The records of pages that op1 damages, found by comparing every digest.
