@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import materialize
+from siteloom.llm.common import materialize, ranges
 from siteloom.llm.tokens import byte_letters, encoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -209,12 +209,6 @@ def aligner(a_file: str, b_file: str) -> Aligner:
     return Aligner(a_file, b_file)
 
 
-def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one range after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The sum of values between each two starts."""
     return np.diff(np.concatenate(([0], np.cumsum(values)))[starts])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import alignment, fixity, importance, lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, secret_scan, slots
+from siteloom.llm import alignment, fixity, importance, lzprint, neardup, orc_tokens, outliers, packing, pfair, pii, repeats, secret_scan, slots
 from siteloom.llm.common import documents, work_path
 
 
@@ -67,12 +67,17 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(documents(spark, sf_dir))
 
 
+def op12_interval_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_merkle_fixity, op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens, op11_token_alignment, op13_importance_resampling)}
+    return {f.__name__: f for f in (op1_merkle_fixity, op2_virtual_slots, op3_robust_outliers, op4_pfair_mix, op5_bottom_k_dedup, op6_boosted_pii, op7_markov_secrets, op8_hierarchical_packing, op9_lempel_ziv_prints, op10_orc_tokens, op11_token_alignment, op12_interval_expansion, op13_importance_resampling)}
 
 
 #: The records of pages that op1 damages, found by comparing every digest.
