@@ -6,71 +6,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
-from siteloom.functions import url as U
+from siteloom.operators.intervals import covered, enclosing, so_far
 from siteloom.operators.pages import NAV_WORDS, PAGE, attr, main_node
 
+#: Words of blocks that list services, and of those that list people.
 SERVICE_WORDS = "service|offering|what we do|solution|treatment|specialt|product|package|program"
 TEAM_WORDS = "team|staff|our people|meet|doctors|attorneys|agents|stylists|technicians"
 
 
-def inside(inner: DataFrame, outer: DataFrame, lo: str, hi: str, how: str = "inner") -> DataFrame:
-    """inner rows (node_id) joined with outer intervals of the same page."""
-    o = outer.withColumnsRenamed({c: f"o_{c}" for c in PAGE})
-    on = [inner.site == o.o_site, inner.page_id == o.o_page_id, inner.node_id.between(o[lo], o[hi])]
-    return inner.join(o, on, how).drop("o_site", "o_page_id")
+def signature() -> Column:
+    """A node's tag and first two classes."""
+    return F.concat_ws(".", "tag", F.array_join(F.sort_array(F.slice("classes", 1, 2)), "."))
 
 
 def repeated_blocks(nodes: DataFrame, least: int = 3) -> DataFrame:
-    """(site, page_id, block_id, block_last, signature, items): containers of the main content with like children.
+    """(site, page_id, block_id, block_last, parent_id, classes, html_id, signature, items): containers of the main content with like children.
 
     Children are alike in tag and first two classes. At least three of them hold more than 12 characters. A container
     that holds another one with as many items goes.
     """
-    boxes = inside(nodes.where(F.col("tag").isin("div", "ul", "ol", "section", "tbody", "tr")), main_node(nodes), "m_id", "m_last")
+    boxes = nodes.where(F.col("tag").isin("div", "ul", "ol", "section", "tbody", "tr")).join(main_node(nodes), PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last")))
     boxes = boxes.select(*PAGE, F.col("node_id").alias("block_id"), F.col("last_id").alias("block_last"), "parent_id", "classes", attr("id").alias("html_id"))
     child = nodes.where(~F.col("tag").isin("script", "style", "br", "hr")).select(
-        *PAGE, F.col("parent_id").alias("block_id"), "sib", F.concat_ws(".", "tag", F.array_join(F.sort_array(F.slice("classes", 1, 2)), ".")).alias("signature"),
-        (F.coalesce(F.length("text"), F.lit(5000)) > 12).alias("says"))
+        *PAGE, F.col("parent_id").alias("block_id"), "sib", signature().alias("signature"), (F.coalesce(F.length("text"), F.lit(5000)) > 12).alias("says"))
     counts = child.groupBy(*PAGE, "block_id", "signature").agg(F.count("*").alias("items"), F.count_if("says").alias("saying"), F.min("sib").alias("first"))
-    top = counts.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE, "block_id").orderBy(F.desc("items"), "first"))).where("nth = 1")
+    top = counts.groupBy(*PAGE, "block_id").agg(F.min_by(F.struct("signature", "items", "saying"), F.struct((-F.col("items")).alias("n"), "first")).alias("t")).select(*PAGE, "block_id", "t.*")
     good = boxes.join(top.where((F.col("items") >= least) & (F.col("saying") >= least)), [*PAGE, "block_id"])
-    other = good.select(*[F.col(c).alias(f"i_{c}") for c in PAGE], F.col("block_id").alias("i_id"), F.col("items").alias("i_items"))
-    nested = [good.site == other.i_site, good.page_id == other.i_page_id, other.i_id > good.block_id, other.i_id <= good.block_last, other.i_items >= good["items"]]
-    return good.join(other, nested, "left_anti").select(*PAGE, "block_id", "block_last", "parent_id", "classes", "html_id", "signature", "items")
+    spans = good.select(*PAGE, F.col("block_id").alias("o_id"), F.col("block_last").alias("o_last"), F.col("items").alias("o_items"))
+    nested = enclosing(good.select(*PAGE, F.col("block_id").alias("node_id"), "items"), spans, strict=True).where(F.col("items") >= F.col("o_items"))
+    return good.join(nested.select(*PAGE, F.col("o_id").alias("block_id")), [*PAGE, "block_id"], "left_anti").select(*PAGE, "block_id", "block_last", "parent_id", "classes", "html_id", "signature", "items")
 
 
 def block_labels(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks with `label`: the nearest heading among the container's preceding siblings, else among its parent's."""
-    spot = nodes.select(*PAGE, F.col("node_id").alias("at_id"), F.col("parent_id").alias("at_parent"))
-    heads = nodes.where(F.col("tag").rlike("^h[1-6]$")).select(*PAGE, "node_id", "parent_id", "tag", "text")
+    """blocks with `label`: the nearest heading among the container's preceding siblings, else among its parent's.
 
-    def nearest(level: str) -> DataFrame:
-        base = blocks.select(*PAGE, "block_id", F.col(level).alias("at_id")).join(spot, [*PAGE, "at_id"])
-        sib = nodes.select(*PAGE, F.col("node_id").alias("s_id"), F.col("last_id").alias("s_last"), F.col("parent_id").alias("at_parent"))
-        before = base.join(sib, [*PAGE, "at_parent"]).where(F.col("s_id") < F.col("at_id"))
-        hit = before.join(heads, PAGE).where(F.col("node_id").between(F.col("s_id"), F.col("s_last")))
-        own = F.col("node_id") == F.col("s_id")
-        hit = hit.where(own | F.col("tag").isin("h1", "h2", "h3"))
-        # of the nearest sibling its own heading, else the first h1, h2 or h3 in it
-        return hit.groupBy(*PAGE, "block_id").agg(F.min_by("text", F.struct((-F.col("s_id")).alias("s"), (~own).alias("o"), "tag", "node_id")).alias(f"label_{level}"))
-
-    out = blocks.join(nearest("block_id"), [*PAGE, "block_id"], "left").join(nearest("parent_id"), [*PAGE, "block_id"], "left")
-    return out.withColumn("label", F.lower(F.coalesce("label_block_id", "label_parent_id", F.lit("")))).drop("label_block_id", "label_parent_id")
+    A sibling that is no heading itself speaks by the first h1 in it, else h2, else h3. The next heading of each kind is carried back
+    through a page, and what siblings say forward along them.
+    """
+    back = so_far(order=F.desc("node_id"), own=False)
+    ahead = [F.last(F.when(F.col("tag") == h, F.struct("node_id", "text")), ignorenulls=True).over(back) for h in ("h1", "h2", "h3")]
+    says = F.coalesce(F.when(F.col("tag").rlike("^h[1-6]$"), F.struct("text")), *[F.when(F.col(f"next{i}.node_id") <= F.col("last_id"), F.struct(F.col(f"next{i}.text").alias("text"))) for i in range(3)])
+    heads = nodes.select(*PAGE, "node_id", "parent_id", "last_id", "tag", F.when(F.col("tag").rlike("^h[1-6]$"), F.col("text")).alias("text"))
+    said = heads.select("*", *[a.alias(f"next{i}") for i, a in enumerate(ahead)]).withColumn("says", says)
+    said = said.select(*PAGE, "node_id", F.last("says", ignorenulls=True).over(so_far("parent_id", own=False))["text"].alias("label"))
+    of = lambda key, name: said.select(*PAGE, F.col("node_id").alias(key), F.col("label").alias(name))
+    out = blocks.join(of("block_id", "near"), [*PAGE, "block_id"], "left").join(of("parent_id", "far"), [*PAGE, "parent_id"], "left")
+    return out.select(*blocks.columns, F.lower(F.coalesce("near", "far", F.lit(""))).alias("label"))
 
 
 def block_items(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(site, page_id, block_id, items, node_id, name, paragraphs, image, link): the like children of labelled blocks."""
-    child = nodes.select(*PAGE, F.col("parent_id").alias("block_id"), F.col("node_id").alias("item_id"), F.col("last_id").alias("item_last"),
-                         F.concat_ws(".", "tag", F.array_join(F.sort_array(F.slice("classes", 1, 2)), ".")).alias("signature"))
-    items = blocks.join(child, [*PAGE, "block_id", "signature"])
+    """(site, page_id, block_id, items, item_id, name, paragraphs, image, link): the like children of labelled blocks."""
+    child = nodes.select(*PAGE, F.col("parent_id").alias("block_id"), F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), signature().alias("signature"))
+    items = blocks.select(*PAGE, "block_id", "signature", "items").join(child, [*PAGE, "block_id", "signature"])
     rank = F.when(F.col("tag").rlike("^h[1-6]$"), F.substring("tag", 2, 1).cast("int")).when(F.col("tag") == "strong", 7).when(F.col("tag") == "b", 8).when(
         F.array_contains("classes", "title"), 9).when(F.array_contains("classes", "heading"), 10)
-    parts = nodes.select(*PAGE, "node_id", "tag", "text", "attrs", rank.alias("rank"))
-    both = items.select(*PAGE, "block_id", "items", "item_id", "item_last").join(parts, PAGE).where(F.col("node_id").between(F.col("item_id"), F.col("item_last")))
-    return both.groupBy(*PAGE, "block_id", "items", F.col("item_id")).agg(
-        T.humanize_heading(F.coalesce(F.min_by("text", F.when(F.col("rank").isNotNull(), F.struct("rank", "node_id"))), F.lit(""))).alias("name"),
+    parts = nodes.select(*PAGE, "node_id", "tag", F.when(rank.isNotNull() | (F.col("tag") == "p"), F.col("text")).alias("text"), attr("src").alias("src"), attr("href").alias("href"), rank.alias("rank"))
+    parts = parts.where(F.col("rank").isNotNull() | F.col("tag").isin("p", "img", "a"))
+    whole = enclosing(parts, items.select(*PAGE, "o_id", "o_last", "block_id", "items"))
+    found = whole.groupBy(*PAGE, "block_id", "o_id").agg(
+        F.min_by("text", F.when(F.col("rank").isNotNull(), F.struct("rank", "node_id"))).alias("name"),
         F.transform(F.sort_array(F.collect_list(F.when((F.col("tag") == "p") & (F.col("text") != ""), F.struct("node_id", "text")))), lambda x: x["text"]).alias("paragraphs"),
-        F.min_by(attr("src"), F.when(F.col("tag") == "img", F.col("node_id"))).alias("image"), F.min_by(attr("href"), F.when(F.col("tag") == "a", F.col("node_id"))).alias("link"))
+        F.min_by("src", F.when(F.col("tag") == "img", F.col("node_id"))).alias("image"), F.min_by("href", F.when(F.col("tag") == "a", F.col("node_id"))).alias("link"))
+    out = items.select(*PAGE, "block_id", "items", "o_id").join(found, [*PAGE, "block_id", "o_id"], "left")
+    return out.select(*PAGE, "block_id", "items", F.col("o_id").alias("item_id"), T.humanize_heading(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"), "image", "link")
 
 
 def page_services(nodes: DataFrame, most: int = 24) -> DataFrame:
@@ -112,11 +110,6 @@ QUOTE_CLASS = "testimonial|review|quote"
 FAQ_PAGE = r"(?i)frequently asked|faqs?\b|common questions"
 
 
-def within(outer: DataFrame, inner: DataFrame) -> DataFrame:
-    """inner's rows beside each row of outer (site, page_id, o_id, o_last) in whose subtree they lie."""
-    return outer.join(inner, PAGE).where((F.col("node_id") > F.col("o_id")) & (F.col("node_id") <= F.col("o_last")))
-
-
 def page_testimonials(nodes: DataFrame, most: int = 30) -> DataFrame:
     """(site, page_id, ord, quote, author): block quotes, then elements named after quotes that hold none; without their citation, first of equal starts.
 
@@ -126,16 +119,16 @@ def page_testimonials(nodes: DataFrame, most: int = 30) -> DataFrame:
     spans = lambda df, later: df.select(*PAGE, F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"), F.lit(later).alias("later"), "text")
     quotes = spans(nodes.where("tag = 'blockquote'"), 0)
     named = spans(nodes.where(F.array_join("classes", " ").rlike(QUOTE_CLASS) | F.coalesce(attr("id").rlike("testimonial"), F.lit(False))), 1)
-    holding = within(named.drop("text"), quotes.select(*PAGE, F.col("o_id").alias("node_id"))).select(*PAGE, "o_id")
+    holding = enclosing(quotes.select(*PAGE, F.col("o_id").alias("node_id")), named.select(*PAGE, "o_id", "o_last"), strict=True).select(*PAGE, "o_id")
     named = named.join(holding, [*PAGE, "o_id"], "left_anti")
-    first_p = within(named.drop("text"), nodes.where("tag = 'p'").select(*PAGE, "node_id", F.col("text").alias("p"))).groupBy(*PAGE, "o_id").agg(F.min_by("p", "node_id").alias("p"))
+    first_p = enclosing(nodes.where("tag = 'p'").select(*PAGE, "node_id", F.col("text").alias("p")), named.select(*PAGE, "o_id", "o_last"), strict=True).groupBy(*PAGE, "o_id").agg(F.min_by("p", "node_id").alias("p"))
     named = named.join(first_p, [*PAGE, "o_id"], "left").withColumn("text", F.coalesce("p", "text")).drop("p")
     short = F.when(F.col("tag") == "cite", 0).when(F.col("tag") == "footer", 1).when(has("author"), 2).when(has("name"), 3)
     wide = F.when(F.col("tag") == "cite", 0).when(has("author"), 1).when(has("name"), 2).when(has("customer"), 3).when(F.col("tag").isin("footer", "h4", "h5", "strong"), 4)
     cites = nodes.select(*PAGE, "node_id", F.col("text").alias("cite"), short.alias("short"), wide.alias("wide")).where("short is not null or wide is not null")
     both = quotes.unionByName(named)
     rank = F.when(F.col("later") == 0, F.col("short")).otherwise(F.col("wide"))
-    author = within(both.drop("text"), cites).where(rank.isNotNull()).groupBy(*PAGE, "o_id", "later").agg(F.min_by("cite", F.struct(rank.alias("r"), "node_id")).alias("cite"))
+    author = enclosing(cites, both.select(*PAGE, "o_id", "o_last", "later"), strict=True).where(rank.isNotNull()).groupBy(*PAGE, "o_id", "later").agg(F.min_by("cite", F.struct(rank.alias("r"), "node_id")).alias("cite"))
     rows = both.join(author, [*PAGE, "o_id", "later"], "left")
     text = F.when(F.coalesce("cite", F.lit("")) != "", F.replace("text", F.col("cite"), F.lit(""))).otherwise(F.col("text"))
     text = F.regexp_replace(T.squash(text), "^[\"“”']+|[\"“”']+$", "")
@@ -151,16 +144,16 @@ def page_faqs(nodes: DataFrame, most: int = 25) -> DataFrame:
     on pages of questions only. The next sibling with text answers it unless a heading comes first; a summary's answer is the rest of its parent.
     """
     order = Window.partitionBy(*PAGE, "parent_id").orderBy("sib")
-    by = order.rowsBetween(1, Window.unboundedFollowing)
+    by = so_far("parent_id", order=F.desc("sib"), own=False)  # the siblings after a node, the next one last
+    folded = F.array_join("classes", " ").contains("accordion")
     tells = F.col("tag").rlike("^h[1-6]$") | (F.coalesce("text", F.lit("")) != "")
     rows = nodes.select(*PAGE, "parent_id", "node_id", "last_id", "tag", "classes", "text", F.lead("tag").over(order).alias("next_tag"), F.lead("text").over(order).alias("next_text"),
-                        F.first(F.when(tells, F.struct("tag", "text")), ignorenulls=True).over(by).alias("then"))
+                        F.last(F.when(tells, F.struct("tag", "text")), ignorenulls=True).over(by).alias("then"),
+                        (covered(folded, strict=True) & F.array_join("classes", " ").contains("title")).alias("titled"))
     terms = rows.where("tag = 'dt' and next_tag = 'dd'").select(*PAGE, F.lit(0).alias("rank"), "node_id", F.col("text").alias("question"), F.col("next_text").alias("answer"))
     main = main_node(nodes)
     about = nodes.join(main, PAGE).where(F.col("node_id") == F.col("m_id")).select(*PAGE, "m_id", "m_last", F.left("text", F.lit(4000)).rlike(FAQ_PAGE).alias("faq_page"))
-    folds = nodes.where(F.array_join("classes", " ").contains("accordion")).select(*PAGE, F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"))
-    titled = within(folds, nodes.where(F.array_join("classes", " ").contains("title")).select(*PAGE, "node_id")).select(*PAGE, "node_id").distinct().withColumn("titled", F.lit(True))
-    near = rows.where(F.col("text").rlike(r"\?\s*$")).join(about, PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last"))).join(titled, [*PAGE, "node_id"], "left")
+    near = rows.where(F.col("text").rlike(r"\?\s*$")).join(about, PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last")))
     asks = near.where(F.col("tag").isin("h3", "h4", "h5", "summary") | F.array_contains("classes", "question") | F.col("titled") | ((F.col("tag") == "h2") & F.col("faq_page")))
     parents = nodes.select(*PAGE, F.col("node_id").alias("parent_id"), F.col("text").alias("parent_text"))
     asked = asks.join(parents, [*PAGE, "parent_id"], "left")

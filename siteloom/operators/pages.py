@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
 from siteloom.functions import url as U
+from siteloom.operators.intervals import PAGE, covered, enclosing
 
-PAGE = ["site", "page_id"]
 #: Words of menus, chrome and boilerplate.
 NAV_WORDS = (
     "(?i)^(home|about|about us|contact|contact us|services|our services|gallery|blog|news|menu|search|login|log in|sign up|register|cart|checkout|privacy|terms"
@@ -115,9 +115,10 @@ def main_node(nodes: DataFrame) -> DataFrame:
 def content_nodes(nodes: DataFrame, rule: Column) -> DataFrame:
     """Nodes of the main content that meet the rule and lie in no navigation, header, footer or other chrome."""
     names = F.lower(F.concat_ws(" ", F.array_join("classes", " "), attr("id")))
-    chrome = nodes.where(F.col("tag").isin(*CHROME_TAGS) | names.rlike(CHROME_WORDS)).select(*PAGE, F.col("node_id").alias("c_id"), F.col("last_id").alias("c_last"))
-    inside = nodes.where(rule).join(main_node(nodes), PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last"))).drop("m_id", "m_last")
-    return inside.join(chrome, [inside.site == chrome.site, inside.page_id == chrome.page_id, inside.node_id.between(chrome.c_id, chrome.c_last)], "left_anti")
+    chrome = F.col("tag").isin(*CHROME_TAGS) | names.rlike(CHROME_WORDS)
+    marks = nodes.withColumn("_wanted", F.coalesce(rule, F.lit(False))).withColumn("_chrome", F.coalesce(chrome, F.lit(False))).where("_wanted or _chrome")
+    inside = marks.withColumn("_chrome", covered(F.col("_chrome"))).where("_wanted and not _chrome").drop("_wanted", "_chrome")
+    return inside.join(main_node(nodes), PAGE).where(F.col("node_id").between(F.col("m_id"), F.col("m_last"))).drop("m_id", "m_last")
 
 
 def page_headings(nodes: DataFrame) -> DataFrame:
@@ -151,40 +152,35 @@ def page_nav(pages: DataFrame, nodes: DataFrame, most: int = 20) -> DataFrame:
     return ranked.join(pages.select(*PAGE, F.col("url").alias("base")), PAGE).select(*PAGE, "ord", "label", U.absolute(F.col("href"), F.col("base")).alias("url"))
 
 
-def platform(html: Column, generator: Column) -> Column:
-    """Name of the site builder, empty if none shows."""
-    def shows(page: str | None, gen: str | None) -> Column:
-        rules = [c.rlike(f"(?i){p}") for c, p in ((html, page), (F.coalesce(generator, F.lit("")), gen)) if p]
-        return rules[0] if len(rules) == 1 else rules[0] | rules[1]
-
-    return F.coalesce(*[F.when(shows(p, g), F.lit(n)) for n, p, g in PLATFORMS], F.lit(""))
+def _platform(page: Column | None, generator: Column | None) -> Column:
+    """The number of the first site builder that the page's text or its generator names, else that of none."""
+    rules = [(i, c, words) for i, (_, *by) in enumerate(PLATFORMS) for c, words in zip((page, generator), by) if words and c is not None]
+    return F.coalesce(*[F.when(c.rlike(f"(?i){words}"), F.lit(i)) for i, c, words in rules], F.lit(len(PLATFORMS)))
 
 
 def page_audit(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Counts and yes-or-no facts of each page, with its head. A layout table is one for presentation or without header cells."""
     tag = F.col("tag")
-    headers = nodes.where("tag = 'th'").select("site", "page_id", F.col("node_id").alias("h_id"))
-    tables = nodes.where((tag == "table") & ~F.coalesce(F.lower(attr("role")) == "presentation", F.lit(False)))
-    plain = tables.join(headers, [tables.site == headers.site, tables.page_id == headers.page_id, headers.h_id.between(tables.node_id, tables.last_id)], "left_anti")
-    plain = plain.groupBy(*PAGE).agg(F.count("*").alias("plain"))
+    tables = nodes.where((tag == "table") & ~F.coalesce(F.lower(attr("role")) == "presentation", F.lit(False))).select(*PAGE, F.col("node_id").alias("o_id"), F.col("last_id").alias("o_last"))
+    headed = enclosing(nodes.where("tag = 'th'").select(*PAGE, "node_id"), tables).groupBy(*PAGE).agg(F.count_distinct("o_id").alias("headed"))
     counts = nodes.groupBy(*PAGE).agg(
         count_of(tag == "img").alias("images"), count_of((tag == "img") & (F.trim(F.coalesce(attr("alt"), F.lit(""))) == "")).alias("images_no_alt"),
         count_of(tag == "script").alias("scripts"), count_of((tag == "link") & (attr("rel") == "stylesheet")).alias("stylesheets"),
         count_of(attr("style").isNotNull()).alias("inline_styled"), count_of(tag == "table").alias("tables"),
-        count_of((tag == "table") & (F.lower(attr("role")) == "presentation")).alias("shown"),
         F.coalesce(first_of(T.word_count(F.col("text")), tag == "body"), first_of(T.word_count(F.col("text")), F.col("node_id") == 0), F.lit(0)).cast("bigint").alias("words"),
         count_of(tag == "h1").alias("h1"), count_of(tag.isin("font", "center", "marquee", "blink")).alias("dated"), count_of(tag.isin("frameset", "frame")).alias("frames"),
         count_of((tag == "meta") & (F.lower(attr("http-equiv")) == "refresh")).alias("refreshes"),
         count_of((tag == "script") & (attr("type") == "application/ld+json")).alias("json_ld"),
     )
-    zero = ["images", "images_no_alt", "scripts", "stylesheets", "inline_styled", "tables", "shown", "words", "h1", "dated", "frames", "refreshes", "json_ld", "plain"]
-    out = page_heads(pages, nodes).join(counts, PAGE, "left").join(plain, PAGE, "left").fillna(0, zero)
-    out = out.join(pages.select(*PAGE, "html", F.length("html").cast("bigint").alias("bytes")), PAGE)
+    zero = ["images", "images_no_alt", "scripts", "stylesheets", "inline_styled", "tables", "words", "h1", "dated", "frames", "refreshes", "json_ld", "headed"]
+    # What the text of a page tells is read before any shuffle, which then moves a few short columns.
+    told = pages.select(*PAGE, F.length("html").cast("bigint").alias("bytes"), F.col("html").rlike(r"(?i)\.swf|shockwave-flash").alias("flash"), _platform(F.col("html"), None).alias("built"))
+    out = page_heads(pages, nodes).join(counts, PAGE, "left").join(headed, PAGE, "left").fillna(0, zero).join(told, PAGE)
+    names = F.array(*[F.lit(name) for name, *_ in PLATFORMS], F.lit(""))
     return out.select(
-        "*", (F.col("shown") + F.col("plain")).alias("layout_tables"), (F.col("viewport") != "").alias("has_viewport"), (F.col("json_ld") > 0).alias("has_structured_data"),
-        F.startswith("url", F.lit("https:")).alias("has_https"), platform(F.col("html"), F.col("generator")).alias("platform"),
-        F.col("html").rlike(r"(?i)\.swf|shockwave-flash").alias("flash"),
-    ).drop("shown", "plain", "html")
+        "*", (F.col("tables") - F.col("headed")).alias("layout_tables"), (F.col("viewport") != "").alias("has_viewport"), (F.col("json_ld") > 0).alias("has_structured_data"),
+        F.startswith("url", F.lit("https:")).alias("has_https"), F.get(names, F.least("built", _platform(None, F.coalesce("generator", F.lit(""))))).alias("platform"),
+    ).drop("headed", "built")
 
 
 def audit_flags(audit: DataFrame) -> DataFrame:
