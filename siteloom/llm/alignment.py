@@ -12,6 +12,7 @@ with the blanks before it, and its matrices are block diagonal: a new word's blo
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -23,13 +24,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, ranges
-from siteloom.llm.tokens import byte_letters, encoder
+from siteloom.llm.tokens import BYTE_PIECES, PLAIN, SPECIAL, byte_letters, encoder
 
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: A blank after one of these characters is a cut; elsewhere words stay together.
 NO_CUT = re.compile("[^!-~\xc0-\xd6\xd8-\xf6\xf8-ž] ")
 CUT = re.compile("(?<=[!-~\xc0-\xd6\xd8-\xf6\xf8-ž]) ")
+#: Fixed by the file: how A cuts a text before it merges.
+BYTE_RULE = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_WORDS, KEPT_LINKS, LONG_WORD = 300_000, 6_000_000, 64
+#: New words are encoded so many together, a tab after each: no token of either file goes on over a tab.
+TOGETHER = 512
+LAST_CHARACTER = re.compile("[!-~\xc0-\xd6\xd8-\xf6\xf8-ž]")
 PAIRS_AT_ONCE = 1_000_000
 #: So many pairs with their counts are sent to every task (17 bytes each); more are joined by shuffles.
 SENT_PAIRS = 4_000_000
@@ -110,6 +116,19 @@ class Grown:
         return self.values[: self.n]
 
 
+class Words(dict[str, int]):
+    """The place of each word; a new one gets the next place and waits in `fresh`."""
+
+    def __init__(self) -> None:
+        self.next, self.fresh = 0, []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = self.next
+        self.next += 1
+        self.fresh.append(word)
+        return at
+
+
 class Aligner:
     """Words that were met, with the blocks of their products."""
 
@@ -123,20 +142,24 @@ class Aligner:
             b_file = public_tokenizers.path(b_file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         byte_of = {c: b for b, c in enumerate(byte_letters())}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.a.library.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        vocabulary = {t: i for t, i in self.a.library.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(byte_of[c] for c in t)
         n = self.b.get_piece_size()
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in range(n)]
-        self.a_size = np.zeros(max(self.a_bytes) + 1, np.int64)
-        self.a_size[list(self.a_bytes)] = list(map(len, self.a_bytes.values()))
-        self.b_size = np.array(list(map(len, self.b_bytes)))
+        self.a_size, self.b_size = (np.array(list(map(len, x))) for x in (self.a_bytes, self.b_bytes))
         self.blank = [self.b.piece_to_id("▁")]  # the library doesn't encode nothing, but a blank at the end of a text is a word
         self.b_count = n
+        # An id with what follows it in the text of a group: the next id, the other tokenizer's, or the next group.
+        self.shown = [f"{i}{c}".encode() for c, k in ((",", len(self.a_bytes)), ("|", len(self.a_bytes)), (",", n), (";", n)) for i in range(k)]
+        self.merge = self._merger(a_file)
         self.age = 0
         self.clear()
 
     def clear(self) -> None:
         self.age += 1
-        self.known: dict[str, int] = {}
+        self.known = Words()
         self.ok, self.stats = Grown(bool), {k: Grown(np.int64) for k in (*STATS, "n_group_links")}
         self.groups: list[bytes] = []
         self.pairs, self.ends = Grown(np.int64), Grown(np.int64)  # the id pair of each link: A's id times b_count and B's id
@@ -147,6 +170,20 @@ class Aligner:
         whole = " " + text
         return text.split(" ") if NO_CUT.search(whole) is None else CUT.split(text)
 
+    def _merger(self, a_file: str) -> Callable[[str], list[int]] | None:
+        """A's merges as byte pair ranks, where its ids are in the order of its merges; PLAIN texts are encoded so."""
+        import public_tokenizers
+        import tiktoken
+
+        with open(a_file if "/" in a_file else public_tokenizers.path(a_file), encoding="utf-8") as file:
+            merges = json.load(file)["model"]["merges"]
+        joined = ["".join(m if isinstance(m, list) else m.split(" ")) for m in merges]
+        ids = self.a.library.get_vocab()
+        if self.a.pieces is not BYTE_PIECES or [ids.get(t) for t in joined] != list(range(256, 256 + len(joined))):
+            return None
+        ranks = {b: i for i, b in enumerate(self.a_bytes[: 256 + len(joined)])}
+        return tiktoken.Encoding("a", pat_str=BYTE_RULE, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
     def encoded(self, word: str) -> tuple[np.ndarray, np.ndarray, bool]:
         """Ids of A and of B, and whether both stand for a blank and the word."""
         whole = " " + word
@@ -155,52 +192,91 @@ class Aligner:
         same = b"".join(map(self.a_bytes.__getitem__, a.tolist())) == want and b"".join(map(self.b_bytes.__getitem__, b.tolist())) == want
         return a, b, same
 
+    def encoded_together(self, words: list[str]) -> tuple[np.ndarray, ...] | None:
+        """Ids of A and the word of each, ids of B and the word of each; None if the words must be encoded each."""
+        whole = " " + "\t ".join(words) + "\t"
+        data = whole.encode()
+        plain = self.merge is not None and SPECIAL not in whole and PLAIN.fullmatch(whole)
+        a = np.array(self.merge(whole), np.int64) if plain else np.frombuffer(self.a.encode(whole), "<u4").astype(np.int64)
+        b = np.array(self.b.encode(whole[1:]), np.int64)
+        sizes = np.array([len(w) for w in words]) if whole.isascii() else np.array([len(w.encode()) for w in words])
+        tabs = np.cumsum(sizes + 2)
+        out = []
+        for ids, table, size in ((a, self.a_bytes, self.a_size), (b, self.b_bytes, self.b_size)):
+            if b"".join(map(table.__getitem__, ids.tolist())) != data:
+                return None
+            ends = np.cumsum(size[ids])
+            at = np.searchsorted(ends, tabs)
+            if not np.array_equal(ends[at], tabs) or (size[ids[at]] != 1).any():
+                return None
+            own = np.ones(len(ids), bool)
+            own[at] = False
+            out += [ids[own], np.searchsorted(tabs, ends[own])]
+        return tuple(out)
+
+    def encoded_all(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and the word of each, ids of B and the word of each, in the order of words; whether each word comes back from both."""
+        joint = [i for i, w in enumerate(words) if w and "\t" not in w and len(w) <= LONG_WORD and LAST_CHARACTER.fullmatch(w, len(w) - 1)]
+        alone = sorted(set(range(len(words))) - set(joint))
+        ok = np.ones(len(words), bool)
+        parts: list[tuple[np.ndarray, ...]] = []
+        for start in range(0, len(joint), TOGETHER):
+            some = joint[start : start + TOGETHER]
+            done = self.encoded_together([words[i] for i in some])
+            if done is None:
+                alone += some
+                continue
+            a, a_word, b, b_word = done
+            which = np.array(some)
+            parts.append((a, which[a_word], b, which[b_word]))
+        for i in alone:
+            a, b, ok[i] = self.encoded(words[i])
+            if ok[i]:
+                parts.append((a, np.full(len(a), i), b, np.full(len(b), i)))
+        a, a_word, b, b_word = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*parts) if parts else [[]] * 4))
+        by_a, by_b = np.argsort(a_word, kind="stable"), np.argsort(b_word, kind="stable")
+        return a[by_a], a_word[by_a], b[by_b], b_word[by_b], ok
+
     def learn(self, words: Sequence[str]) -> None:
         """Adds words in their order: one product of the matrices of all of them."""
-        made = [self.encoded(w) for w in words]
-        none = np.zeros(0, np.int64)
-        kept = [(a, b) if ok else (none, none) for a, b, ok in made]
-        a, b = (np.concatenate([none, *(x[i] for x in kept)]) for i in (0, 1))
-        a_word, b_word = (np.repeat(np.arange(len(words)), [len(x[i]) for x in kept]) for i in (0, 1))
+        a, a_word, b, b_word, ok = self.encoded_all(words)
         a_len, b_len = self.a_size[a], self.b_size[b]
-        a_ends, b_ends = np.cumsum(a_len), np.cumsum(b_len)
         links = overlap_links(a_len, b_len)
-        ga, gb = group_sizes(a_ends, b_ends)
-        group_word = a_word[np.cumsum(ga) - 1] if len(ga) else none
+        ga, gb = group_sizes(np.cumsum(a_len), np.cumsum(b_len))
+        group_word = a_word[np.cumsum(ga) - 1] if len(ga) else a_word
         per_word = lambda w, v=None: np.bincount(w, v, minlength=len(words)).astype(np.int64)
-        link_word = a_word[links.rows]
+        row = links.rows
+        link_word = a_word[row]
         for name, counts in zip((*STATS, "n_group_links"), (per_word(a_word), per_word(b_word), per_word(group_word), per_word(link_word), per_word(group_word, (ga * gb).astype(float)))):
             self.stats[name].add(counts)
-        self.ok.add(np.array([ok for _, _, ok in made], bool))
+        self.ok.add(ok)
         self.ends.add(self.ends.all()[-1] + np.cumsum(per_word(link_word)))
-        self.pairs.add(a[links.rows] * self.b_count + b[links.indices])
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        shown: list[list[str]] = [[] for _ in words]
-        at_a = at_b = 0
-        for w, n, m in zip(group_word.tolist(), ga.tolist(), gb.tolist()):
-            shown[w].append(",".join(text_a[at_a : at_a + n]) + "|" + ",".join(text_b[at_b : at_b + m]))
-            at_a, at_b = at_a + n, at_b + m
-        self.groups += [";".join(x).encode() for x in shown]
+        self.pairs.add(a[row] * self.b_count + b[links.indices])
+        k, n = len(self.a_bytes), self.b_count
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[np.cumsum(ga) - 1], last_b[np.cumsum(gb) - 1] = 1, 1
+        code = np.empty(len(a) + len(b), np.int64)
+        code[np.arange(len(a)) + np.repeat(np.cumsum(gb) - gb, ga)] = a + k * last_a
+        code[np.arange(len(b)) + np.repeat(np.cumsum(ga), gb)] = b + 2 * k + n * last_b
+        shown = list(map(self.shown.__getitem__, code.tolist()))
+        bounds = np.concatenate(([0], np.cumsum(per_word(a_word) + per_word(b_word)))).tolist()
+        self.groups += [b"".join(shown[s:e])[:-1] for s, e in zip(bounds, bounds[1:])]
 
     def batch(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The place in this table of each word of each text, and where the words of each text begin; new words are learned."""
         if len(self.known) > KEPT_WORDS or self.pairs.n > KEPT_LINKS:
             self.clear()
-        known, fresh, out, starts = self.known, [], [], [0]
-        n = self.ok.n
+        known, out, starts = self.known, [], [0]
         for text in texts:
-            for w in self.words(text) if text else ():
-                at = known.get(w)
-                if at is None:
-                    at = known[w] = n + len(fresh)
-                    fresh.append(w)
-                out.append(at)
+            if text:
+                out.extend(map(known.__getitem__, self.words(text)))
             starts.append(len(out))
-        if fresh:
+        if fresh := known.fresh:
             self.learn(fresh)
             for w in fresh:
                 if len(w) > LONG_WORD:
                     del known[w]
+            known.fresh = []
         return np.array(out, np.int64), np.array(starts, np.int64)
 
 
