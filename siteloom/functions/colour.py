@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -82,3 +84,47 @@ def hue_distance(a: Column, b: Column) -> Column:
 def vibrancy(hexa: Column) -> Column:
     x = hsl(hexa)
     return x["s"] * (1 - F.abs(x["l"] - 0.5) * 2)
+
+
+#: Lightness of each tone of a brand colour.
+TONES = ((50, 0.97), (100, 0.94), (200, 0.86), (300, 0.76), (400, 0.64), (500, 0.52), (600, 0.44), (700, 0.36), (800, 0.27), (900, 0.18))
+
+
+def is_neutral(hexa: Column) -> Column:
+    return vibrancy(hexa) < 0.08
+
+
+def mix(a: Column, b: Column, weight: Column | float = 0.5) -> Column:
+    """The colour that lies a share of the way from a to b, channel by channel."""
+    w = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(weight) if isinstance(weight, (int, float)) else weight))
+    return to_hex(*[F.round(channel(a, i) * (1 - w) + channel(b, i) * w) for i in range(3)])
+
+
+def ramp(hexa: Column) -> Column:
+    """Tones of a colour from 50 to 900, as an array of (tone, hex); the lightest and the darkest are less saturated. Null for none."""
+    tones = F.array(*[F.struct(F.lit(tone).alias("tone"), F.lit(light).alias("light")) for tone, light in TONES])
+    own = hsl(hexa)
+    shade = lambda t: from_hsl(own["h"], own["s"] * F.when((t["light"] > 0.9) | (t["light"] < 0.22), 0.75).otherwise(1.0), t["light"])
+    return F.when(hexa.isNotNull(), F.transform(tones, lambda t: F.struct(t["tone"].alias("tone"), shade(t).alias("hex"))))
+
+
+def best_foreground(background: Column, candidates: Sequence[str] = ("#ffffff", "#111111")) -> Column:
+    """The candidate with the highest contrast, the first of equal ones."""
+    return F.array_max(F.array(*[F.struct(contrast(F.lit(c), background).alias("r"), F.lit(-i).alias("first"), F.lit(c).alias("c")) for i, c in enumerate(candidates)]))["c"]
+
+
+def ensure_contrast(hexa: Column, background: Column, least: float = 4.5) -> Column:
+    """The colour, or the first of its hue that reaches the ratio as its lightness goes from the half away from the background's, by hundredths."""
+    def fitted(x: Column) -> Column:
+        sign = F.when(luminance(x["bg"]) < 0.5, 1).otherwise(-1)
+        own = hsl(x["fg"])
+        steps = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: from_hsl(own["h"], own["s"], 0.5 + sign * i / 100.0))
+        fit = F.get(F.filter(steps, lambda h: contrast(h, x["bg"]) >= least), F.lit(0))
+        return F.when(contrast(x["fg"], x["bg"]) >= least, x["fg"]).otherwise(F.coalesce(fit, best_foreground(x["bg"])))
+
+    return _let(F.struct(hexa.alias("fg"), background.alias("bg")), fitted)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value written into the plan once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

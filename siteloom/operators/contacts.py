@@ -124,5 +124,9 @@ def tel_href(c: Column) -> Column:
 
 
 def format_phone(c: Column) -> Column:
-    key = phone_key(c)
-    return F.when(F.length(key) == 10, F.concat(F.lit("("), F.substring(key, 1, 3), F.lit(") "), F.substring(key, 4, 3), F.lit("-"), F.substring(key, 7, 4))).otherwise(T.squash(c))
+    """A number for display: (ddd) ddd-dddd for ten digits after a country code of 1; any other stays as it is, without blanks at its ends."""
+    shown = F.regexp_replace(F.coalesce(c, F.lit("")), f"^{T.SPACE_CLASS}+|{T.SPACE_CLASS}+$", "")
+    digits = F.regexp_replace(shown, r"[^\d+]", "")
+    own = F.regexp_replace(digits, r"^\+?1", "")
+    abroad = F.startswith(digits, F.lit("+")) & ~F.startswith(digits, F.lit("+1"))
+    return F.when((F.length(own) == 10) & ~abroad, F.regexp_replace(own, "^(.{3})(.{3})", r"($1) $2-")).otherwise(shown)

@@ -1,149 +1,21 @@
-"""Profiles from what was found: normalised, drafted from a site's facts, and reported.
-
-A profile is a row of the columns in PROFILE. Whatever has that shape in part can be normalised: missing parts are filled
-with empty ones, and values of other types become text where they can.
-"""
+"""Profiles drafted from a site's facts, reported to its owner, briefed to a writer and stored."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siteloom.functions import colour as C
 from siteloom.functions import text as T
 from siteloom.functions import url as U
-from siteloom.operators.contacts import tel_href
 from siteloom.operators.jsonld import DAYS
+from siteloom.operators.normalize import normalize_profiles
 from siteloom.operators.places import format_address
 from siteloom.operators.profiles import profile_gaps, profile_score
+from siteloom.operators.state import written
 
-#: The parts of a profile that operators read or write.
-PROFILE = """
-    business struct<name:string,legalName:string,tagline:string,category:string,description:string,founded:string,priceRange:string,licenses:array<string>,serviceArea:array<string>,languages:array<string>>,
-    contact struct<phone:string,phones:array<string>,email:string,emails:array<string>,address:struct<street:string,street2:string,city:string,region:string,postalCode:string,country:string>,
-        hours:array<struct<day:string,closed:boolean,open:string,close:string,note:string>>>,
-    brand struct<logo:string,colors:struct<primary:string,secondary:string,accent:string>,fonts:struct<heading:string,body:string>>,
-    social map<string,string>,
-    content struct<hero:struct<headline:string,subhead:string,image:string,badges:array<string>>,about:struct<heading:string,body:array<string>,highlights:array<string>>,
-        valueProps:array<struct<icon:string,title:string,text:string>>,stats:array<struct<value:string,label:string>>>,
-    services array<struct<slug:string,name:string,title:string,summary:string,excerpt:string,price:string,image:string,sourceUrl:string,featured:boolean>>,
-    caseStudies array<struct<slug:string,client:string,name:string,sector:string,summary:string>>,
-    gallery array<struct<src:string,alt:string,caption:string,category:string>>,
-    testimonials array<struct<quote:string,text:string,author:string,name:string,role:string,location:string,rating:string,source:string,date:string>>,
-    team array<struct<name:string,role:string,bio:string,photo:string,email:string,phone:string>>,
-    legal array<struct<slug:string,title:string,updated:string,sections:array<struct<heading:string,body:array<string>>>>>,
-    faqs array<struct<question:string,q:string,answer:string,a:string>>,
-    seo struct<title:string,description:string,keywords:array<string>>
-"""
 GAPS_SHOWN, BRIEF_GAPS, BRIEF_PARAGRAPHS = 10, 14, 12
 
 
-def first_of_each(rows: Column, key: Callable[[Column], Column]) -> Column:
-    """An array without items whose key an earlier one has."""
-    keys = F.transform(rows, key)
-    return F.filter(rows, lambda x, i: F.array_position(keys, key(x)) == i + 1)
-
-
-def listed(c: Column, kind: str) -> Column:
-    return F.coalesce(c, F.array().cast(kind))
-
-
-def texts(c: Column) -> Column:
-    return F.filter(F.transform(listed(c, "array<string>"), T.squash), lambda x: x != "")
-
-
-def either(*c: Column) -> Column:
-    """The first of the texts that isn't null, squashed."""
-    return T.squash(F.coalesce(*c))
-
-
-def numbered_slug(given: Column, name: Column, stem: str, i: Column) -> Column:
-    base = T.slug(F.when(T.squash(given) != "", given).otherwise(name), "")
-    return F.when(base != "", base).otherwise(F.concat(F.lit(f"{stem}-"), (i + 1).cast("string")))
-
-
-def week(hours: Column) -> Column:
-    """One entry per day in the order of the week, the last one given for a day."""
-    entry = lambda h: F.struct(
-        F.coalesce(*[F.when((F.length(F.coalesce(h["day"], F.lit(""))) > 0) & F.startswith(F.lit(d), F.substring(F.lower(h["day"]), 1, 3)), F.lit(i)) for i, d in enumerate(DAYS)]).alias("n"),
-        (F.coalesce(h["closed"], F.lit(False)) | F.coalesce(h["open"], F.lit("")).rlike("(?i)closed")).alias("closed"), h["open"].alias("open"), h["close"].alias("close"), h["note"].alias("note"),
-    )
-    known = F.filter(F.transform(hours, entry), lambda h: h["n"].isNotNull())
-    last = lambda i: F.try_element_at(F.filter(known, lambda h: h["n"] == i), F.lit(-1))
-    shown = lambda h, i: F.struct(
-        F.get(F.array(*[F.lit(d) for d in DAYS]), i).alias("day"), h["closed"].alias("closed"), F.when(h["closed"], "").otherwise(T.squash(h["open"])).alias("open"),
-        F.when(h["closed"], "").otherwise(T.squash(h["close"])).alias("close"), T.squash(h["note"]).alias("note"))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(last(i).isNotNull(), shown(last(i), i))), lambda h: h.isNotNull())
-
-
-def full_profiles(profiles: DataFrame) -> DataFrame:
-    """(site, the columns of PROFILE): other columns go, missing ones and missing fields are null."""
-    own = [c for c in profiles.columns if c != "site"]
-    row = F.from_json(F.to_json(F.struct(*own)), PROFILE.replace("\n", " ")) if own else F.from_json(F.lit("{}"), PROFILE.replace("\n", " "))
-    return profiles.select("site", row.alias("p")).select("site", "p.*")
-
-
-def normalize_profiles(profiles: DataFrame) -> DataFrame:
-    """Profiles with clean values in every part.
-
-    Texts are squashed; lists lose empty and repeated items (places and languages ignoring case, numbers by their dialled form, mail
-    addresses need an @, services and case studies by slug, images by source); hours have one entry per day; colours are #rrggbb or
-    empty; addresses of networks get a scheme; ratings lie from 1 to 5; items without what they need go. Titles
-    and descriptions for search fall back to the business. Nulls count as empty; a row without a site is kept.
-    """
-    p = full_profiles(profiles)
-    b, c, t = F.col("business"), F.col("contact"), F.col("content")
-    squashed = lambda s, *names: [T.squash(s[n]).alias(n) for n in names]
-    phones = first_of_each(texts(F.concat(listed(c["phones"], "array<string>"), F.array(c["phone"]))), tel_href)
-    mails = F.filter(F.transform(texts(F.concat(listed(c["emails"], "array<string>"), F.array(c["email"]))), F.lower), lambda e: F.contains(e, F.lit("@")))
-    first = lambda own, rest: F.when(T.squash(own) != "", T.squash(own)).otherwise(F.coalesce(F.get(rest, F.lit(0)), F.lit("")))
-    shade = lambda n: F.coalesce(C.colour_parse(F.col(f"brand.colors.{n}")), F.lit("")).alias(n)
-    web = lambda v: F.when(v.rlike("(?i)^https?://"), v).otherwise(F.concat(F.lit("https://"), F.regexp_replace(v, "^/+", "")))
-    social = F.coalesce(F.col("social"), F.create_map().cast("map<string,string>"))
-    clean = F.transform_values(F.map_filter(social, lambda k, v: T.squash(v) != ""), lambda k, v: web(T.squash(v)))
-    area = first_of_each(texts(b["serviceArea"]), F.lower)
-    town = F.coalesce(F.nullif(T.squash(c["address"]["city"]), F.lit("")), F.get(area, F.lit(0)), F.lit(""))
-    item = lambda s, i: F.struct(
-        numbered_slug(s["slug"], T.humanize_heading(either(s["name"], s["title"])), "service", i).alias("slug"), T.humanize_heading(either(s["name"], s["title"])).alias("name"), either(s["summary"], s["excerpt"]).alias("summary"),
-        *squashed(s, "price", "image", "sourceUrl"), F.coalesce(s["featured"], F.lit(False)).alias("featured"))
-    services = first_of_each(F.filter(F.transform(F.col("services"), item), lambda s: s["name"] != ""), lambda s: s["slug"])
-    study = lambda s, i: F.struct(numbered_slug(s["slug"], either(s["client"], s["name"]), "case-study", i).alias("slug"), either(s["client"], s["name"]).alias("client"), *squashed(s, "sector", "summary"))
-    studies = first_of_each(F.filter(F.transform(F.col("caseStudies"), study), lambda s: s["client"] != ""), lambda s: s["slug"])
-    pictures = first_of_each(F.filter(F.transform(F.col("gallery"), lambda g: F.struct(*squashed(g, "src", "alt", "caption", "category"))), lambda g: g["src"] != ""), lambda g: g["src"])
-    stars = lambda v: F.when(v.try_cast("double") != 0, F.least(F.lit(5.0), F.greatest(F.lit(1.0), v.try_cast("double"))))
-    quotes = F.filter(F.transform(F.col("testimonials"), lambda q: F.struct(
-        either(q["quote"], q["text"]).alias("quote"), either(q["author"], q["name"]).alias("author"), *squashed(q, "role", "location"), stars(q["rating"]).alias("rating"), *squashed(q, "source", "date"))), lambda q: q["quote"] != "")
-    people = F.filter(F.transform(F.col("team"), lambda m: F.struct(*squashed(m, "name", "role", "bio", "photo", "email", "phone"))), lambda m: m["name"] != "")
-    section = lambda s: F.struct(T.squash(s["heading"]).alias("heading"), texts(s["body"]).alias("body"))
-    pages = F.filter(F.transform(F.col("legal"), lambda x, i: F.struct(
-        numbered_slug(x["slug"], x["title"], "page", i).alias("slug"), *squashed(x, "title", "updated"),
-        F.filter(F.transform(F.coalesce(x["sections"], F.array().cast("array<struct<heading:string,body:array<string>>>")), section), lambda s: (s["heading"] != "") | (F.size(s["body"]) > 0)).alias("sections"))), lambda x: (x["title"] != "") & (F.size(x["sections"]) > 0))
-    asked = F.filter(F.transform(F.col("faqs"), lambda f: F.struct(either(f["question"], f["q"]).alias("question"), either(f["answer"], f["a"]).alias("answer"))), lambda f: (f["question"] != "") & (f["answer"] != ""))
-    values = F.filter(F.transform(t["valueProps"], lambda v: F.struct(T.squash(v["icon"]).alias("icon"), T.humanize_heading(v["title"]).alias("title"), T.squash(v["text"]).alias("text"))), lambda v: (v["title"] != "") | (v["text"] != ""))
-    stats = F.filter(F.transform(t["stats"], lambda v: F.struct(*squashed(v, "value", "label"))), lambda v: (v["value"] != "") & (v["label"] != ""))
-    name, tagline = T.squash(b["name"]), T.squash(F.coalesce(F.nullif(T.squash(b["tagline"]), F.lit("")), b["category"]))
-    made_title = F.array_join(F.filter(F.array(name, tagline, town), lambda x: x != ""), " | ")
-    pick = lambda *parts: F.coalesce(*[F.nullif(T.squash(x), F.lit("")) for x in parts], F.lit(""))
-    none = lambda c, like: F.coalesce(c, F.slice(like, 1, 0))
-    full = p.select(
-        "site",
-        F.struct(*squashed(b, "name", "legalName", "tagline", "category", "description", "founded", "priceRange"), texts(b["licenses"]).alias("licenses"), area.alias("serviceArea"), texts(b["languages"]).alias("languages")).alias("business"),
-        F.struct(first(c["phone"], phones).alias("phone"), phones.alias("phones"), F.lower(first(c["email"], mails)).alias("email"), first_of_each(mails, lambda x: x).alias("emails"),
-                 F.struct(*squashed(c["address"], "street", "street2", "city", "region", "postalCode", "country")).alias("address"), F.coalesce(week(c["hours"]), F.slice(week(F.array().cast("array<struct<day:string,closed:boolean,open:string,close:string,note:string>>")), 1, 0)).alias("hours")).alias("contact"),
-        F.struct(T.squash(F.col("brand.logo")).alias("logo"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*squashed(F.col("brand.fonts"), "heading", "body")).alias("fonts")).alias("brand"),
-        clean.alias("social"),
-        F.struct(F.struct(T.humanize_heading(t["hero"]["headline"]).alias("headline"), *squashed(t["hero"], "subhead", "image"), texts(t["hero"]["badges"]).alias("badges")).alias("hero"),
-                 F.struct(T.squash(t["about"]["heading"]).alias("heading"), texts(t["about"]["body"]).alias("body"), texts(t["about"]["highlights"]).alias("highlights")).alias("about"),
-                 F.coalesce(values, F.array().cast("array<struct<icon:string,title:string,text:string>>")).alias("valueProps"), F.coalesce(stats, F.array().cast("array<struct<value:string,label:string>>")).alias("stats")).alias("content"),
-        services.alias("services"), studies.alias("caseStudies"), pictures.alias("gallery"), quotes.alias("testimonials"), people.alias("team"), pages.alias("legal"), asked.alias("faqs"),
-        F.struct(T.truncate_words(pick(F.col("seo.title"), made_title), 65, "").alias("title"), T.truncate_words(pick(F.col("seo.description"), b["description"], t["hero"]["subhead"]), 158).alias("description"), texts(F.col("seo.keywords")).alias("keywords")).alias("seo"),
-    )
-    kinds = dict(full.dtypes)
-    return full.select(*[F.coalesce(F.col(x), F.array().cast(kinds[x])).alias(x) if kinds[x].startswith("array") else F.col(x) for x in full.columns])
-
-
 def draft_profiles(harvest: DataFrame) -> DataFrame:
     """A normalised profile per site from its facts, without any invention.
 
@@ -192,20 +64,41 @@ def harvest_report(profiles: DataFrame, site_audit: DataFrame, flags: DataFrame)
 
 
 def brief_rows(profiles: DataFrame, paragraphs: DataFrame, social: DataFrame) -> DataFrame:
-    """(site, part, ord, text): what a writer needs: source paragraphs (twelve a page), gaps (fourteen), what to do with each network.
+    """(site, part, ord, text): what a writer needs.
 
-    paragraphs: site, page_id, ord, text; social: social_status().
+    copy: source paragraphs, twelve a page; gap: the heaviest missing fields, fourteen; question: what to ask for each of them; social: what
+    to do with each network; todo: what the profile says is to be done, then the networks that couldn't be read. paragraphs:
+    site, page_id, ord, text; social: social_status().
     """
     order = lambda *c: F.row_number().over(Window.partitionBy("site").orderBy(*c))
     copy = paragraphs.where(F.col("ord") <= BRIEF_PARAGRAPHS).select("site", F.lit("copy").alias("part"), order("page_id", "ord").alias("ord"), "text")
-    gaps = profile_gaps(profiles).where(F.col("ord") <= BRIEF_GAPS).select("site", F.lit("gap").alias("part"), "ord", F.col("path").alias("text"))
+    gaps = profile_gaps(profiles).where(F.col("ord") <= BRIEF_GAPS)
+    asked = F.array(F.struct(F.lit("gap").alias("part"), F.col("path").alias("text")), F.struct(F.lit("question").alias("part"), F.concat(F.lit("Ask for: "), "label").alias("text")))
+    gaps = gaps.select("site", "ord", F.explode(asked).alias("a")).select("site", "a.part", "ord", "a.text")
     readable = F.concat(F.lit('Readable — mine the bio for tone: "'), T.truncate_words(F.col("description"), 90), F.lit('"'))
     action = F.when(F.col("status") == "ok", readable).otherwise("Blocked to anonymous requests. Add to `_meta.todo` and ask the client.")
     network = social.select("site", F.lit("social").alias("part"), order("label", "url").alias("ord"), F.concat(F.col("label"), F.lit(": "), action).alias("text"))
-    return copy.unionByName(gaps).unionByName(network)
+    own = profiles.select("site", F.posexplode("meta.todo").alias("n", "text")).select("site", F.lit(0).alias("turn"), F.col("n").cast("string").alias("k"), "text")
+    blocked = social.where("status <> 'ok'").select("site", F.lit(1).alias("turn"), F.concat("label", "url").alias("k"), F.concat(F.lit("Ask for the content of "), "label", F.lit(" ("), "url", F.lit(").")).alias("text"))
+    todo = own.unionByName(blocked).select("site", F.lit("todo").alias("part"), order("turn", F.length("k"), "k").alias("ord"), "text")
+    return copy.unionByName(gaps).unionByName(network).unionByName(todo)
+
 
+def save_harvest(facts: DataFrame, drafts: DataFrame, folder: str, buckets: int = 256) -> None:
+    """The harvest and the drafts as JSON, in at most so many folders by a hash of the site; a rerun replaces its own sites only.
 
-def save_harvest(facts: DataFrame, drafts: DataFrame, folder: str) -> None:
-    """The harvest and the drafts as JSON, a folder for each site's rows; what is there already is replaced."""
+    Buckets that the new sites fall into are written anew, with what the other sites in them had; all others stay as they are.
+    """
     for df, name in ((facts, "raw"), (drafts, "draft")):
-        df.write.mode("overwrite").partitionBy("site").json(f"{folder}/{name}")
+        path = f"{folder}/{name}"
+        new = df.withColumn("bucket", F.pmod(F.xxhash64("site"), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # at most `buckets`
+        if _exists(df.sparkSession, path):
+            old = df.sparkSession.read.schema(new.schema).json(path).where(F.col("bucket").isin(touched))
+            new = written(new.unionByName(old.join(df.select("site"), "site", "left_anti")), "harvest")  # what is read is about to be replaced
+        new.repartition(min(buckets, max(1, len(touched))), "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(place)

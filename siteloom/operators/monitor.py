@@ -9,20 +9,23 @@ CERT_DAYS, FLOOR, DROP, SPREAD, FEWEST_SAMPLES, STALE_DAYS = 21, 90, 8, 8, 3, 2
 CATEGORIES = (("performance", "Performance"), ("accessibility", "Accessibility"), ("best_practices", "Best practices"), ("seo", "SEO"))
 
 
-def upper_median(c: Column) -> Column:
-    """The middle value, the upper one of two; samples of a run are few."""
-    values = F.sort_array(F.collect_list(c))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
-
-
 def sample_median(samples: DataFrame, metrics: list[str], by: list[str], spread_of: str, rounded: str | None = None) -> DataFrame:
-    """Per run: upper median of each metric, number of samples, spread of one metric."""
-    median = {m: upper_median(F.col(m)) for m in metrics}
+    """Per run: the upper median of each metric, samples and spread of one metric.
+
+    Values are counted first, so what a run's ranks go over are its different values. Nulls don't count; a run without any
+    sample of a metric has null.
+    """
+    kinds, names = dict(samples.dtypes), list(dict.fromkeys([*metrics, spread_of]))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])
+    counts = samples.select(*by, F.explode(rows).alias("x")).groupBy(*by, "x.metric", "x.value").agg(F.count("x.value").alias("n"))
+    run = Window.partitionBy(*by, "metric")
+    ranked = counts.withColumn("upto", F.sum("n").over(run.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(run))
+    middle = ranked.groupBy(*by, "metric").agg(F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("value"))).alias("median"), F.max("all").alias("n"), (F.max("value") - F.min("value")).alias("spread"))
+    of = lambda m, c: F.max(F.when(F.col("metric") == m, F.col(c)))
+    median = {m: of(m, "median").cast(kinds[m]) for m in metrics}
     if rounded:
         median[rounded] = F.round(median[rounded], 2)
-    return samples.groupBy(*by).agg(
-        *[c.alias(m) for m, c in median.items()], F.count(spread_of).alias("samples"), (F.max(spread_of) - F.min(spread_of)).alias("spread")
-    )
+    return middle.groupBy(*by).agg(*[c.alias(m) for m, c in median.items()], of(spread_of, "n").alias("samples"), of(spread_of, "spread").cast(kinds[spread_of]).alias("spread"))
 
 
 def run_compare(runs: DataFrame, key: str, at: str, columns: list[str]) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import colour as C
 from siteloom.functions import text as T
+from siteloom.functions import url as U
+from siteloom.operators.contacts import tel_href
+from siteloom.operators.normalize import VERSION
+from siteloom.operators.themes import NETWORKS
 
 #: Fields of a profile that count: (path, label, weight, kind).
 FIELDS = (
@@ -74,7 +78,11 @@ def profile_gaps(profiles: DataFrame) -> DataFrame:
 
 
 def profile_validate(profiles: DataFrame) -> DataFrame:
-    """(site, level, code, what): errors, warnings and notes on profiles."""
+    """(site, level, code, what): errors, warnings and notes on profiles, as normalize_profiles() gives them or of fewer columns.
+
+    Without a column `version` or `settings` nothing is said about the version, and there is no form.
+    """
+    profiles = profiles if "settings" in profiles.columns else profiles.withColumn("settings", F.struct(F.struct(F.lit("none").alias("provider"), F.lit("").alias("action")).alias("form")))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     headline, description = T.squash(F.col("content.hero.headline")), F.coalesce("seo.description", F.lit(""))
     has = {path: is_filled(F.col(path), kind) for path, _, _, kind in FIELDS}
@@ -85,6 +93,8 @@ def profile_validate(profiles: DataFrame) -> DataFrame:
     thin = F.filter("services", lambda s: T.squash(s["summary"]) == "")
     bare = F.size(F.filter("gallery", lambda g: T.squash(g["alt"]) == ""))
     rules = [("error", "required", ~has[p], F.lit(f"Missing required field: {p} ({label}).")) for p, label, _, _ in FIELDS if p in REQUIRED]
+    if "version" in profiles.columns:
+        rules.append(("warning", "version", F.coalesce("version", F.lit("")) != VERSION, text('Profile schema is "', F.coalesce("version", F.lit("missing")), f'", expected "{VERSION}".')))
     rules += [
         ("error", "no_contact", ~(has["contact.phone"] | has["contact.email"] | (action != "") | (provider == "netlify")),
          F.lit("No way for a customer to make contact: set contact.phone, contact.email, or site.form.action.")),
@@ -98,7 +108,7 @@ def profile_validate(profiles: DataFrame) -> DataFrame:
         ("warning", "gallery_alt", bare > 0, text(bare.cast("string"), " gallery image(s) have no alt text (accessibility + SEO).")),
         ("warning", "no_place", ~has["contact.address.city"] & ~has["business.serviceArea"], F.lit("No city or service area — local SEO markup will be weak.")),
         ("warning", "contrast", ratio < 3, text("Brand primary ", primary, " has only ", F.format_number(ratio, 1), ":1 contrast on white; the theme will darken it for text use.")),
-        ("note", "no_testimonials", ~has["testimonials"], F.lit("No testimonials.")),
+        ("note", "no_testimonials", ~has["testimonials"], F.lit("No testimonials. Ask the client for three — social proof is the single biggest conversion lift on these rebuilds.")),
         ("note", "no_logo", ~has["brand.logo"], F.lit("No logo. The header will fall back to a styled wordmark.")),
     ]
     rows = F.array(*[F.when(rule, F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), what.alias("what"))) for level, code, rule, what in rules])
@@ -125,36 +135,145 @@ def brand_contrast(profiles: DataFrame, palettes: DataFrame) -> DataFrame:
     return rows.select("site", "theme", "mode", "ratio", (F.col("ratio") >= 4.5).alias("passes"), F.when(F.col("ratio") >= 4.5, F.col("colour")).otherwise(fit).alias("corrected"))
 
 
-def jsonld_export(profiles: DataFrame) -> DataFrame:
-    """(site, jsonld): one schema.org text per profile; empty values are left out."""
-    text = lambda c: F.nullif(T.squash(F.col(c)), F.lit(""))
-    address = F.struct(F.lit("PostalAddress").alias("@type"), text("contact.address.street").alias("streetAddress"), text("contact.address.city").alias("addressLocality"))
-    has_address = text("contact.address.street").isNotNull() | text("contact.address.city").isNotNull()
-    body = F.struct(
-        F.lit("https://schema.org").alias("@context"), schema_type(F.col("business.category")).alias("@type"), text("business.name").alias("name"), text("business.description").alias("description"),
-        text("contact.phone").alias("telephone"), text("contact.email").alias("email"), F.when(has_address, address).alias("address"),
-        F.when(F.size("business.serviceArea") > 0, F.col("business.serviceArea")).alias("areaServed"),
-    )
-    return profiles.select("site", F.to_json(body).alias("jsonld"))
+SECTION = "array<struct<type:string,title:string,intro:string,max_items:int,preview:boolean,compact:boolean,heading:string,exclude:string>>"
+
+
+def section(kind: str, title: Column | str | None = None, intro: Column | None = None, most: int | None = None, preview: bool = False, compact: bool = False, heading: str | None = None, exclude: Column | None = None) -> Column:
+    """A part of a page. heading: null for the theme's own, empty for none."""
+    c = lambda x, kind="string": (x if isinstance(x, Column) else F.lit(x)).cast(kind)
+    return F.struct(F.lit(kind).alias("type"), c(title).alias("title"), c(intro).alias("intro"), c(most, "int").alias("max_items"), F.lit(preview).alias("preview"), F.lit(compact).alias("compact"), c(heading).alias("heading"), c(exclude).alias("exclude"))
+
+
+def planned_pages() -> Column:
+    """An array of the pages that a profile supports, in order, from the columns of a normalised profile.
+
+    Home, contact and the page for what isn't found are always there; about needs a text or a team, services any, a page each
+    once two of them are described, work a case study, a gallery three images; legal pages follow the contact page.
+    """
+    has = {c: F.size(c) > 0 for c in ("services", "caseStudies", "testimonials", "team", "faqs", "content.about.body", "content.valueProps", "content.stats")}
+    about, gallery = has["content.about.body"], F.size("gallery") >= 3
+    described = F.size(F.filter("services", lambda s: (s["summary"] != "") | (F.size(s["description"]) > 0))) >= 2
+    name, tagline = F.col("business.name"), F.col("business.tagline")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    none = F.lit(None).cast("string")
+    cta = section("cta")
+
+    def sections(*parts: Column | tuple[Column, Column]) -> Column:
+        each = [F.when(p[0], p[1]) if isinstance(p, tuple) else p for p in parts]
+        return F.filter(F.array(*each), lambda x: x.isNotNull()).cast(SECTION)
+
+    def page(slug: Column | str, url: Column | str, title: Column, description: Column, label: Column | str | None, nav: bool, parts: Column, out: Column | str | None = None, noindex: bool = False, parent: str | None = None, service: Column = none) -> Column:
+        c = lambda x: x if isinstance(x, Column) else F.lit(x)
+        return F.struct(
+            c(slug).alias("slug"), c(url).alias("url"), (c(out) if out is not None else text(c(url), "index.html")).alias("out_path"), title.alias("title"), description.alias("description"), c(label).cast("string").alias("nav_label"), F.lit(nav).alias("nav"),
+            F.lit(noindex).alias("noindex"), F.lit(parent).cast("string").alias("parent"), service.alias("service"), parts.alias("sections"))
+
+    or_else = lambda a, b: F.when(a != "", a).otherwise(b)
+    home = page("home", "", or_else(F.col("seo.title"), name), F.col("seo.description"), "Home", True, sections(
+        section("hero"), (has["content.valueProps"] | has["content.stats"], section("trustbar")), (has["services"], section("services", most=6, preview=True)), (about, section("about", preview=True)), (gallery, section("gallery", most=6, preview=True)),
+        (has["caseStudies"], section("caseStudies", most=2, preview=True)), (has["testimonials"], section("testimonials", most=3)), (has["faqs"], section("faq", most=4, preview=True)), cta, section("contact", compact=True)))
+    heading = or_else(F.col("content.about.heading"), text("About ", name))
+    about_page = page("about", "about/", text("About ", name), or_else(F.col("business.description"), F.coalesce(F.get("content.about.body", F.lit(0)), F.lit(""))), "About", True, sections(
+        section("pageHeader", heading, tagline), (about, section("about", heading="")), (has["content.stats"], section("trustbar")), (has["team"], section("team")), (has["testimonials"], section("testimonials", most=3)), cta))
+    town = F.col("contact.address.city")
+    services = page("services", "services/", text("Services | ", name), text("What ", name, " offers", F.when(town != "", text(" in ", town)).otherwise(""), "."), "Services", True, sections(
+        section("pageHeader", "Our services", tagline), section("services", heading=""), (has["faqs"], section("faq")), cta))
+
+    def each_service(s: Column) -> Column:
+        slug = T.slug(or_else(s["slug"], s["name"]))
+        return page(text("service-", slug), text("services/", slug, "/"), text(s["name"], " | ", name), or_else(s["summary"], text(s["name"], " from ", name, ".")), None, False, sections(
+            section("pageHeader", s["name"], s["summary"]), section("serviceDetail"), section("services", most=4, heading="Other services", exclude=slug), cta), parent="services", service=s["slug"])
+
+    work = page("work", "work/", text("Case studies | ", name), text("How ", name, " rebuilt these sites, and what changed."), "Case studies", True, sections(section("pageHeader", "Case studies"), section("caseStudies", heading=""), cta))
+    shown = page("gallery", "gallery/", text("Gallery | ", name), text("Recent work from ", name, "."), "Gallery", True, sections(section("pageHeader", "Our work"), section("gallery", heading=""), cta))
+    phone = F.col("contact.phone")
+    contact = page("contact", "contact/", text("Contact | ", name), text("Get in touch with ", name, F.when(phone != "", text(" on ", phone)).otherwise(""), "."), "Contact", True, sections(section("pageHeader", "Get in touch", F.col("content.closingCta.text")), section("contact")))
+    legal = F.transform("legal", lambda x: page(x["slug"], text(x["slug"], "/"), text(x["title"], " | ", name), text(x["title"], " for ", name, "."), x["title"], False, sections(section("pageHeader", x["title"]), section("legal", exclude=x["slug"]))))
+    missing = page("404", "404.html", text("Page not found | ", name), F.lit(""), None, False, sections(section("notFound"), cta), out="404.html", noindex=True)
+    given = lambda rule, p: F.when(rule, p)
+    pages = F.concat(
+        F.array(home, given(about | has["team"], about_page), given(has["services"], services)), F.transform(F.when(described, F.col("services")).otherwise(F.slice("services", 1, 0)), each_service),
+        F.array(given(has["caseStudies"], work), given(gallery, shown), contact), legal, F.array(missing))
+    return F.filter(pages, lambda x: x.isNotNull())
 
 
 def page_plan(profiles: DataFrame) -> DataFrame:
-    """(site, ord, path, title, nav): pages that a profile supports."""
-    described = F.filter("services", lambda s: T.squash(s["summary"]) != "")
-    page = lambda path, title, nav: F.struct(F.lit(path).alias("path"), F.lit(title).alias("title"), F.lit(nav).alias("nav"))
-    each = F.transform(described, lambda s: F.struct(F.concat(F.lit("/services/"), T.slug(s["name"]), F.lit("/")).alias("path"), s["name"].alias("title"), F.lit(False).alias("nav")))
-    none = F.array().cast("array<struct<path:string,title:string,nav:boolean>>")
-    fixed = F.array(
-        page("/", "Home", True), F.when(F.size("content.about.body") > 0, page("/about/", "About", True)), F.when(F.size("services") > 0, page("/services/", "Services", True)),
-        F.when(F.size("gallery") >= 3, page("/gallery/", "Gallery", True)), page("/contact/", "Contact", True), page("/404", "Page not found", False),
-    )
-    pages = F.concat(F.filter(fixed, lambda x: x.isNotNull()), F.when(F.size(described) >= 2, each).otherwise(none))
-    return profiles.select("site", F.posexplode(pages).alias("ord", "p")).select("site", "ord", "p.*")
+    """(site, ord, path, slug, url, out_path, title, description, nav_label, nav, noindex, parent, service, sections): pages that a normalised profile supports.
+
+    parent is the slug of the page above one, service the slug of the service that it describes.
+    """
+    planned = profiles.select("site", F.posexplode(planned_pages()).alias("ord", "p"))
+    return planned.select("site", "ord", F.concat(F.lit("/"), "p.url").alias("path"), "p.*")
+
+
+def plan_sections(plan: DataFrame) -> DataFrame:
+    """(site, ord, slug, nth, type, title, intro, max_items, preview, compact, heading, exclude): the sections of planned pages as rows."""
+    return plan.select("site", "ord", "slug", F.posexplode("sections").alias("nth", "s")).select("site", "ord", "slug", "nth", "s.*")
 
 
 def sitemap_rows(plan: DataFrame) -> DataFrame:
     """(site, loc, changefreq, priority) of planned pages that may be indexed."""
     child = F.col("path").rlike("^/[^/]+/[^/]+/$")
-    rows = plan.where("path <> '/404'")
+    rows = plan.where("not noindex")
     return rows.select("site", F.concat(F.lit("https://"), "site", "path").alias("loc"), F.when(F.col("path") == "/", "weekly").otherwise("monthly").alias("changefreq"),
                        F.when(F.col("path") == "/", 1.0).when(child, 0.6).otherwise(0.8).alias("priority"))
+
+
+def day_clock(c: Column) -> Column:
+    """A clock text as hh:mm, empty for what is none. Without am or pm the hour stays."""
+    shape = r"(?i)^(\d{1,2}):?(\d{2})?\s*(am|pm)?$"
+    t = F.trim(c)
+    hour, half = F.regexp_extract(t, shape, 1).try_cast("int"), F.lower(F.regexp_extract(t, shape, 3))
+    full = F.when((half == "pm") & (hour != 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
+    minute = F.regexp_extract(t, shape, 2)
+    return F.when(t.rlike(shape), F.concat(F.lpad(full.cast("string"), 2, "0"), F.lit(":"), F.when(minute == "", "00").otherwise(minute))).otherwise("")
+
+
+def jsonld_export(profiles: DataFrame, site_url: Column | None = None) -> DataFrame:
+    """(site, ord, path, jsonld): for every planned page of normalised profiles a schema.org graph as JSON text.
+
+    The business with address, place, hours, networks, offers and rating; the site; but for the home page and pages that
+    aren't indexed the way to the page by its parents; questions where the page shows them; the service that it describes. Empty
+    values are left out at every depth. site_url: the address of the site, https://site without one; empty for relative addresses.
+    """
+    base = F.concat(F.lit("https://"), "site") if site_url is None else site_url
+    rows = profiles.withColumn("_base", F.regexp_replace(F.coalesce(base, F.lit("")), "/$", "")).withColumn("_plan", planned_pages())
+    top, some = F.col("_base"), lambda c: F.nullif(c, F.lit(""))
+    absolute = lambda c: F.when(top == "", c).otherwise(F.concat(top, F.lit("/"), c))
+    picture = lambda c: F.when(c != "", F.coalesce(F.when(top != "", U.absolute(c, F.concat(top, F.lit("/")))), c))
+    typed = lambda kind, *parts: F.struct(F.lit(kind).alias("@type"), *parts)
+    filled = lambda rows: F.when(F.size(rows) > 0, rows)
+    business_id = F.when(top == "", "#business").otherwise(F.concat(top, F.lit("/#business")))
+    b, a, phone = F.col("business"), F.col("contact.address"), F.col("contact.phone")
+    street = F.array_join(F.filter(F.array(a["street"], a["street2"]), lambda x: x != ""), ", ")
+    address = typed("PostalAddress", some(street).alias("streetAddress"), some(a["city"]).alias("addressLocality"), some(a["region"]).alias("addressRegion"), some(a["postalCode"]).alias("postalCode"), some(a["country"]).alias("addressCountry"))
+    geo = F.col("contact.geo")
+    places = filled(F.transform(b["serviceArea"], lambda x: typed("Place", x.alias("name"))))
+    hours = F.transform(F.filter("contact.hours", lambda h: ~h["closed"] & (day_clock(h["open"]) != "") & (day_clock(h["close"]) != "")), lambda h: typed(
+        "OpeningHoursSpecification", F.concat(F.lit("https://schema.org/"), F.initcap(h["day"])).alias("dayOfWeek"), day_clock(h["open"]).alias("opens"), day_clock(h["close"]).alias("closes")))
+    same = F.filter(F.array(*[F.try_element_at("social", F.lit(key)) for key, _ in NETWORKS]), lambda x: F.coalesce(x, F.lit("")) != "")
+    offers = F.transform("services", lambda s: typed("Offer", typed("Service", some(s["name"]).alias("name"), some(s["summary"]).alias("description")).alias("itemOffered")))
+    rated = F.filter(F.transform("testimonials", lambda t: t["rating"]), lambda r: r.isNotNull())
+    mean = F.aggregate(rated, F.lit(0.0), lambda x, r: x + r) / F.size(rated)
+    business = F.to_json(F.struct(
+        schema_type(b["category"]).alias("@type"), business_id.alias("@id"), some(b["name"]).alias("name"), some(top).alias("url"), some(b["description"]).alias("description"), some(tel_href(phone)).alias("telephone"), some(F.col("contact.email")).alias("email"),
+        some(b["priceRange"]).alias("priceRange"), some(b["founded"]).alias("foundingDate"), picture(F.col("content.hero.image")).alias("image"), picture(F.col("brand.logo")).alias("logo"), F.when((a["street"] != "") | (a["city"] != ""), address).alias("address"),
+        F.when((geo["lat"] != 0) & (geo["lng"] != 0), typed("GeoCoordinates", geo["lat"].alias("latitude"), geo["lng"].alias("longitude"))).alias("geo"), places.alias("areaServed"), filled(hours).alias("openingHoursSpecification"), filled(same).alias("sameAs"),
+        F.when(F.size("services") > 0, typed("OfferCatalog", F.lit("Services").alias("name"), offers.alias("itemListElement"))).alias("hasOfferCatalog"),
+        F.when(F.size(rated) >= 2, typed("AggregateRating", F.format_string("%.1f", mean).alias("ratingValue"), F.size(rated).alias("reviewCount"))).alias("aggregateRating")))
+    website = F.when(top != "", F.to_json(typed("WebSite", F.concat(top, F.lit("/#website")).alias("@id"), top.alias("url"), some(b["name"]).alias("name"), F.struct(business_id.alias("@id")).alias("publisher"))))
+    questions = F.to_json(typed("FAQPage", F.transform("faqs", lambda f: typed("Question", f["question"].alias("name"), typed("Answer", f["answer"].alias("text")).alias("acceptedAnswer"))).alias("mainEntity")))
+    # What all pages of a site share is made once, before the pages become rows.
+    shared = rows.select("site", "_base", "_plan", "services", business.alias("business"), website.alias("website"), F.when(F.size("faqs") > 0, questions).alias("questions"), places.alias("places"), business_id.alias("id"))
+    each = shared.select("*", F.posexplode("_plan").alias("ord", "p"))
+    label = lambda p: F.coalesce(p["nav_label"], p["title"])
+    above = F.get(F.filter("_plan", lambda x: x["slug"] == F.col("p.parent")), F.lit(0))
+    step = lambda name, url: F.struct(name.alias("name"), absolute(url).alias("item"))
+    way = F.filter(F.array(step(F.lit("Home"), F.lit("")), F.when(F.col("p.parent").isNotNull(), step(label(above), above["url"])), step(label(F.col("p")), F.col("p.url"))), lambda x: x.isNotNull())
+    crumbs = F.to_json(typed("BreadcrumbList", F.transform(way, lambda x, i: typed("ListItem", (i + 1).alias("position"), some(x["name"]).alias("name"), some(x["item"]).alias("item"))).alias("itemListElement")))
+    own = F.get(F.filter("services", lambda s: s["slug"] == F.col("p.service")), F.lit(0))
+    service = F.to_json(typed("Service", some(own["name"]).alias("name"), some(own["summary"]).alias("description"), F.struct(F.col("id").alias("@id")).alias("provider"), F.col("places").alias("areaServed")))
+    nodes = F.filter(F.array(
+        "business", "website", F.when((F.col("p.slug") != "home") & ~F.col("p.noindex"), crumbs), F.when(F.exists("p.sections", lambda x: x["type"] == "faq"), F.col("questions")), F.when(F.col("p.service").isNotNull(), service)), lambda x: x.isNotNull())
+    graph = F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.array_join(nodes, ","), F.lit("]}"))
+    return each.select("site", "ord", F.concat(F.lit("/"), "p.url").alias("path"), graph.alias("jsonld"))

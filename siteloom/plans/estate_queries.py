@@ -108,7 +108,8 @@ def robots_rules(spark, sf_dir):
 def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _table(spark, sf_dir, "supplier")
     key = F.col("s_suppkey").cast("string")
-    text = F.concat(F.lit("User-agent: otherbot\nDisallow: /\n\nUser-agent: *\nUser-agent: thirdbot # both\nCrawl-delay: "), (F.col("s_suppkey") % 9).cast("string"),
+    early = F.when(F.col("s_suppkey") % 3 == 0, "Crawl-delay: 70\n").otherwise("")  # a delay between two agents of a group
+    text = F.concat(F.lit("User-agent: otherbot\nDisallow: /\n\nUser-agent: *\n"), early, F.lit("User-agent: thirdbot # both\nCrawl-delay: "), (F.col("s_suppkey") % 9).cast("string"),
                     F.lit("\nDisallow: /p"), (F.col("s_suppkey") % 10).cast("string"), F.lit("*/x # private\nAllow: /p"), (F.col("s_suppkey") % 10).cast("string"), F.lit("1/x$\nDisallow:\nSitemap: /s.xml\n"))
     return s.select(F.concat(F.lit("s"), key, F.lit(".example")).alias("site"), text.alias("text"))
 
@@ -211,7 +212,11 @@ def clock_text(spark, sf_dir):
 
 
 def phone_forms(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("217 555-"), F.lpad(F.col("c_custkey").cast("string"), 4, "0").substr(-4, 4)).alias("raw"))
+    """Numbers in six forms by key: national, with a country code of one, of other countries, of nine digits after a one, short ones."""
+    tail = F.lpad(F.col("c_custkey").cast("string"), 4, "0").substr(-4, 4)
+    form = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    forms = F.array(form("217 555-", tail), form("+1 (217) 555.", tail, " "), form("+65 6123 ", tail), form("155512", tail), form(" 1-217-555-", tail), form("555  ", tail))
+    c = _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(forms, (F.col("c_custkey") % 6 + 1).cast("int")).alias("raw"))
     return c.select("c_custkey", K.format_phone(F.col("raw")).alias("shown"), K.tel_href(F.col("raw")).alias("href"))
 
 
@@ -286,5 +291,6 @@ ORACLES = {
     "colour_contrast": f"""select p_partkey, '#' || lower(printf('%06x', {_A})) as one, round((greatest({_lum(_A)}, {_lum(_B)}) + 0.05) / (least({_lum(_A)}, {_lum(_B)}) + 0.05), 6) as contrast,
       round((greatest({_A} // 65536 % 256, {_A} // 256 % 256, {_A} % 256) + least({_A} // 65536 % 256, {_A} // 256 % 256, {_A} % 256)) / 510.0, 6) as lightness from part""",
     "clock_text": "select event_id, ltrim(strftime(ts, '%I:%M %p'), '0') as twelve, strftime(ts, '%H:%M') as again, cast(hour(ts) * 60 + minute(ts) as bigint) as minutes from events",
-    "phone_forms": "select c_custkey, '(217) 555-' || right(lpad(c_custkey::varchar, 4, '0'), 4) as shown, '+1217555' || right(lpad(c_custkey::varchar, 4, '0'), 4) as href from customer",
+    "phone_forms": """with c as (select c_custkey, c_custkey % 6 as f, right(lpad(c_custkey::varchar, 4, '0'), 4) as t from customer)
+      select c_custkey, case when f in (0, 1, 4) then '(217) 555-' || t when f = 2 then '+65 6123 ' || t when f = 3 then '155512' || t else '555  ' || t end as shown, case when f in (0, 1, 4) then '+1217555' || t when f = 2 then '+656123' || t when f = 3 then '+1155512' || t else '555' || t end as href from c""",
 }

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import colour as C
 from siteloom.operators import harvest as V
+from siteloom.operators import normalize as N
+from siteloom.operators import palettes as L
 from siteloom.operators import profiles as P
 from siteloom.operators.state import written
 
@@ -48,7 +50,7 @@ def _messy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def normalize_profiles(spark, sf_dir):
-    p = V.normalize_profiles(_messy(spark, sf_dir))
+    p = written(N.normalize_profiles(_messy(spark, sf_dir)), "profiles")
     joined = lambda c, field=None: F.array_join(c if field is None else F.transform(c, lambda x: F.coalesce(x[field].cast("string"), F.lit("-"))), "|")
     return p.select(
         "site", F.col("business.name").alias("name"), joined(F.col("business.serviceArea")).alias("area"), F.col("contact.phone").alias("phone"), joined(F.col("contact.phones")).alias("phones"), F.col("contact.email").alias("email"), joined(F.col("contact.emails")).alias("emails"),
@@ -100,25 +102,65 @@ def harvest_report(spark, sf_dir):
 
 
 def brief_rows(spark, sf_dir):
+    """Every site's copy, gaps and tasks; every tenth has pages of networks."""
     k, i = _keys()
     c = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    paragraphs = c.where("c_custkey % 50 = 0").select(_text("c", k).alias("site"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_id"))
-    paragraphs = paragraphs.select("site", "page_id", F.posexplode(F.expr("transform(sequence(1, 15), i -> concat('p', i))")).alias("pos", "text")).select("site", "page_id", (F.col("pos") + 1).alias("ord"), "text")
+    paragraphs = c.select(_text("c", k).alias("site"), F.explode(F.array(F.lit(1), F.lit(2))).alias("page_id"), "c_custkey")
+    paragraphs = paragraphs.select("site", "page_id", F.posexplode(F.expr("transform(sequence(1, 11 + c_custkey % 4), i -> concat('p', i))")).alias("pos", "text")).select("site", "page_id", (F.col("pos") + 1).alias("ord"), "text")
     social = c.where("c_custkey % 10 = 0").select(_text("c", k).alias("site"), F.lit("X").alias("label"), F.lit("https://x.com/a").alias("url"), F.when(i % 20 == 0, "ok").otherwise("login-walled").alias("status"), F.lit("A bio").alias("description"))
-    return V.brief_rows(_drafts(spark, sf_dir).where("site like '%0'"), paragraphs, social)
+    return V.brief_rows(_drafts(spark, sf_dir), paragraphs, social)
+
+
+def normalize_dynamic(spark, sf_dir):
+    """Profiles as JSON text, whose values are texts, lists, numbers or items by key; every eleventh is no JSON."""
+    k, i = _keys()
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    some = lambda n, *choices: F.element_at(F.array(*[_text(x) if isinstance(x, str) else x for x in choices]), (i % n + 1).cast("int"))
+    json = _text(
+        '{"slug": "Firm ', k, '", "business": {"name": "Firm ', k, '", "founded": ', some(2, "1999", '" 2001 "'), ', "serviceArea": ', some(3, '"Town"', '["Town", " town", "Area"]', "null"), ', "licenses": [7, ""], "employees": 12}, "contact": {"phones": ', some(2, '"1555123456"', '["+65 6123 4567", "217.555.0142"]'),
+        ', "geo": {"lat": 1.5, "lng": "2.5"}, "hours": ', some(3, '"Mon-Fri"', '[{"day": "Su", "open": "9", "closed": true}, null]', '{"day": "friday", "open": "9:00 AM", "close": "5:00 PM"}'), '}, "gallery": ', some(3, '"a.jpg"', '["a.jpg", {"src": "b.jpg", "alt": "B"}, "a.jpg"]', "[]"), ', "legal": [{"title": "Terms", "sections": ', some(2, '{"heading": "H", "body": " one text "}', '[{"body": ["a", "", "b"]}, {"heading": ""}]'),
+        '}], "services": [{"name": "JOB ', k, '", "description": ', some(3, '"One  text"', '["Two", "", "texts"]', "null"), ', "strapline": " s ", "features": "f", "price": 25, "cta": ', some(2, '{"label": "Go"}', '{"href": "/x"}'), ', "plans": [{"name": "basic", "price": "POA"}, {"name": "none"}], "steps": {"title": "call"}, "outcomes": [{"title": "x"}, {"title": "less", "text": "noise"}], "featured": ', some(2, "true", '"true"'),
+        '}], "caseStudies": {"client": "C", "before": "slow", "after": ["fast"], "metrics": [{"label": "Size", "after": 5}, {"label": "No"}], "quote": ', some(2, '{"text": "Nice", "author": "Ann"}', '{"author": "Ann"}'), '}, "testimonials": [{"quote": "Q", "rating": ', some(4, "0", '"0"', "7", '"4.5"'), '}], "site": {"form": {"provider": "netlify"}, "showPrices": false}, "_meta": {"todo": "ask"}, "content": {"closingCta": {"heading": "Now"}, "stats": [{"value": 9, "label": "Years"}]}}')
+    p = written(N.normalize_profiles(c.select(_text("c", k).alias("site"), F.when(i % 11 == 0, "{no").otherwise(json).alias("profile"))), "profiles")
+    s, study = F.get("services", F.lit(0)), F.get("caseStudies", F.lit(0))
+    joined = lambda c: F.array_join(c, "|")
+    return p.select(
+        "site", "slug", "version", F.col("business.founded").alias("founded"), joined(F.col("business.serviceArea")).alias("area"), joined(F.col("business.licenses")).alias("licenses"), F.col("business.employees").alias("employees"), joined(F.col("contact.phones")).alias("phones"), F.col("contact.geo.lng").alias("lng"),
+        joined(F.transform("contact.hours", lambda h: F.concat_ws(" ", h["day"], h["closed"].cast("string"), h["open"]))).alias("hours"), joined(F.transform("gallery", lambda g: F.concat(g["src"], F.lit("="), g["alt"]))).alias("gallery"), joined(F.flatten(F.transform("legal", lambda x: F.transform(x["sections"], lambda y: F.concat(y["heading"], F.lit(":"), joined(y["body"])))))).alias("legal"),
+        s["name"].alias("service"), joined(s["description"]).alias("description"), joined(s["features"]).alias("features"), s["price"].alias("price"), s["cta"]["label"].alias("cta"), joined(F.transform(s["plans"], lambda x: x["name"])).alias("plans"), joined(F.transform(s["steps"], lambda x: x["title"])).alias("steps"), joined(F.transform(s["outcomes"], lambda x: x["text"])).alias("outcomes"), s["featured"].alias("featured"),
+        joined(F.concat(study["before"], study["after"])).alias("study"), joined(F.transform(study["metrics"], lambda m: F.concat(m["label"], m["after"]))).alias("metrics"), study["quote"]["author"].alias("quoted"), F.get("testimonials", F.lit(0))["rating"].alias("rating"), F.col("settings.form.provider").alias("provider"), F.col("settings.form.method").alias("method"),
+        F.col("settings.showPrices").alias("prices"), joined(F.col("meta.todo")).alias("todo"), F.col("content.closingCta.heading").alias("closing"), F.get("content.stats", F.lit(0))["value"].alias("stat"))
 
 
 def brand_contrast_matrix(spark, sf_dir):
-    """Brand colours of parts' sizes on three backgrounds: the ratio, whether it passes, and that the corrected colour passes."""
+    """Brand colours of parts on the backgrounds of all themes: the ratio, whether it passes, and that the corrected colour passes."""
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    shade = F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_partkey") * 7919 % 16777216).cast("bigint"))), 6, "0"))
-    profiles = p.select(F.col("p_partkey").cast("string").alias("site"), F.struct(F.struct(shade.alias("primary")).alias("colors")).alias("brand"))
-    palettes = spark.createDataFrame([("plain", "light", "#ffffff"), ("plain", "dark", "#101418"), ("warm", "light", "#fff4e5")], "theme string, mode string, background string")
+    palettes = L.theme_palettes(spark).select("theme", "mode", F.col("bg").alias("background"))
+    profiles = p.select(F.col("p_partkey").cast("string").alias("site"), F.struct(F.struct(_shade().alias("primary")).alias("colors")).alias("brand"))
     out = P.brand_contrast(profiles, palettes).join(palettes, ["theme", "mode"])
     return out.select("site", "theme", "mode", F.round("ratio", 6).alias("ratio"), "passes", (F.round(C.contrast(F.col("corrected"), F.col("background")), 6) >= 4.5).alias("fit"))
 
 
-QUERIES = [normalize_profiles, draft_profile, harvest_report, brief_rows, brand_contrast_matrix]
+def _shade() -> Column:
+    return F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_partkey") * 7919 % 16777216).cast("bigint"))), 6, "0"))
+
+
+def text_pairs(spark, sf_dir):
+    """The seven pairs of all themes for sites without a brand colour, with one, and with a second one: every pair is readable."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    brands = p.select(F.col("p_partkey").cast("string").alias("site"), F.when(F.col("p_partkey") % 3 > 0, _shade()).otherwise("none").alias("primary"), F.when(F.col("p_partkey") % 3 == 2, F.concat(F.lit("rgb(200,"), (F.col("p_size") * 4).cast("string"), F.lit(",0)"))).alias("accent"))
+    pairs = L.text_pairs(written(L.theme_tokens(brands, L.theme_palettes(spark)), "tokens"))
+    return pairs.groupBy("site", "theme", "mode").agg(*[F.max(F.when(F.col("pair") == name, F.when((F.col("ratio") < least), "low").when(F.lit(name).isin("muted text", "CTA band", "body text"), F.format_number("ratio", 3)).otherwise("fit"))).alias(name.lower().replace(" ", "_")) for name, _, _, least in L.PAIRS])
+
+
+def colour_tones(spark, sf_dir):
+    """Tones of greys, whose shades depend on the lightness alone, mixes of two colours, and whether parts' colours are neutral."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    grey = F.concat(F.lit("#"), F.repeat(F.lpad(F.lower(F.hex((F.col("p_partkey") % 256).cast("bigint"))), 2, "0"), 3))
+    return p.select("p_partkey", F.array_join(F.transform(C.ramp(grey), lambda t: t["hex"]), " ").alias("tones"), C.mix(_shade(), F.lit("#ff8000"), (F.col("p_partkey") % 5) / 4.0).alias("mixed"), C.is_neutral(_shade()).alias("neutral"))
+
+
+QUERIES = [normalize_profiles, normalize_dynamic, draft_profile, harvest_report, brief_rows, brand_contrast_matrix, text_pairs, colour_tones]
 _F = """f as (select c_custkey as i, c_custkey::varchar as k, 'c' || c_custkey as site from customer), g as (select *,
   case when i % 7 = 0 then 'Stated ' || k when i % 5 = 0 then 'Og ' || k when i % 3 <> 0 then 'ACME WORKS ' || k else 'shop' || k end as raw,
   case when i % 6 = 0 then 'Og said! More' when i % 4 = 0 then 'We fix it. All of it, ' || k else '' end as og_first, case when i % 4 = 0 then 'We fix it. All of it, ' || k when i % 6 = 0 then 'Og said! More' else '' end as own_first from f),
@@ -132,22 +174,46 @@ m as (select site, name, i, [case when phone = '' then 'Phone|contact.phone|8|6'
   case when i % 2 = 1 then 'Hero image|content.hero.image|5|15' end, 'Value propositions|content.valueProps|5|17', case when tagline = '' then 'Tagline|business.tagline|4|1' end, 'Service area|business.serviceArea|4|4', case when category = '' then 'Category|business.category|3|2' end,
   case when address = '' then 'Street address|contact.address.street|3|9' end, 'Year founded|business.founded|2|5'] as miss from e),
 gaps as (select site, label, path, weight, cast(row_number() over (partition by site order by weight desc, at_) as integer) as ord from (select site, split_part(x, '|', 1) as label, split_part(x, '|', 2) as path, split_part(x, '|', 3)::int as weight, split_part(x, '|', 4)::int as at_ from (select site, unnest(list_filter(miss, lambda x: x is not null)) as x from m)))"""
+def _lum(value: str) -> str:
+    """Luminance of a #rrggbb text by the standard's formula."""
+    share = lambda at: f"(('0x' || substr({value}, {at}, 2))::int / 255.0)"
+    line = lambda x: f"(case when {x} <= 0.03928 then {x} / 12.92 else pow(({x} + 0.055) / 1.055, 2.4) end)"
+    return f"(0.2126 * {line(share(2))} + 0.7152 * {line(share(4))} + 0.0722 * {line(share(6))})"
+
+
+def _ratio(one: str, two: str) -> str:
+    return f"((greatest({_lum(one)}, {_lum(two)}) + 0.05) / (least({_lum(one)}, {_lum(two)}) + 0.05))"
+
+
+#: The themes' palettes.
+_PAL = "pal as (select * from (values " + ", ".join(f"('{t}', '{m}', " + ", ".join(f"'{x}'" for x in shades.split(" ")) + ")" for t, m, shades in L.PALETTES) + ") t(theme, mode, " + ", ".join(f'"{c}"' for c in L.COLOURS) + "))"
 ORACLES = {
     "normalize_profiles": """with c as (select c_custkey as i, c_custkey::varchar as k from customer)
       select 'c' || k as site, 'Joe''s ' || k as name, 'Springfield|Town ' || k as area, case when i % 2 = 0 then '555.867.5309' else '(555) 867-5309' end as phone, '(555) 867-5309|+44 20 ' || k as phones,
         case when i % 4 = 0 then 'main' || k || '@b.com' else 'a@b.com' end as email, case when i % 4 = 0 then 'a@b.com|main' || k || '@b.com' else 'a@b.com' end as emails, 'monday false 8:00 AM 5:00 PM|tuesday false 10:00 AM 5:00 PM|sunday true  ' as hours,
         ['#2563eb', '#aabbcc', '#000080', '#008000', '#123456', '', ''][i % 7 + 1] as colour, 'facebook=https://fb.com/' || k || '|own=HTTP://own.example' as social, 'Best HVAC in Town' as headline, 'ac-repair|furnace-' || k as slugs, 'AC Repair|Furnace ' || k as services, 'a.jpg' as gallery,
-        case when i % 2 = 0 then 'Good job|Text|Text|Text|Text' else 'Text|Good job|Text|Text|Text' end as quotes, '5.0|-|-|1.0|4.5' as ratings, 'A' as answers, 'terms' as legal, 0::bigint as team,
+        case when i % 2 = 0 then 'Good job|Text|Text|Text|Text' else 'Text|Good job|Text|Text|Text' end as quotes, '5.0|1.0|-|1.0|4.5' as ratings, 'A' as answers, 'terms' as legal, 0::bigint as team,
         'Joe''s ' || k || case when i % 3 = 0 then ' | Plumber' else '' end || ' | ' || case when i % 5 = 0 then 'Sun City' else 'Springfield' end as title, 'Sub' as description from c""",
     "draft_profile": f"""with {_F} select site, name, tagline, category, own_first as about, phone, phones, email, address, 'monday|sunday' as days, headline, subhead, 'About ' || name as heading, 1::bigint as services, '' as photo, 'https://x.com/a' as x, title from e""",
     "harvest_report": f"""with {_F}, s as (select site, cast(round(100 * (131 - coalesce(sum(weight), 0)) / 131) as bigint) as percent, coalesce(string_agg(label, '|' order by ord) filter (ord <= 10), '') as gaps from gaps group by site)
       select e.site, name, percent, gaps, case when i % 3 <> 2 then 'Wix' end as platform, case when i % 3 <> 2 then i % 2 = 0 end as mobile, case when i % 3 <> 2 then 1 end::bigint as images_no_alt, case when i % 3 <> 2 then 2 else 0 end::bigint as flags,
         2::bigint as hours, 1::bigint as services, 1::bigint as testimonials, 1::bigint as faqs, 1::bigint as team from e join s using (site)""",
-    "brief_rows": f"""with {_F} select site, 'gap' as part, ord, path as text from gaps where site like '%0' and ord <= 14
-      union all select site, 'copy', cast(12 * p + j as integer), 'p' || j from f, (select unnest([0, 1]) as p), (select unnest(range(1, 13)) as j) where i % 50 = 0
-      union all select site, 'social', 1, case when i % 20 = 0 then 'X: Readable — mine the bio for tone: "A bio"' else 'X: Blocked to anonymous requests. Add to `_meta.todo` and ask the client.' end from f where i % 10 = 0""",
-    "brand_contrast_matrix": """with p as (select p_partkey::varchar as site, (p_partkey * 7919 % 16777216)::bigint as v from part), b as (select * from (values ('plain', 'light', 255, 255, 255), ('plain', 'dark', 16, 20, 24), ('warm', 'light', 255, 244, 229)) t(theme, mode, r, g, b)),
-      q as (select site, theme, mode, [v // 65536, (v // 256) % 256, v % 256] as x, [r, g, b] as y from p, b), l as (select site, theme, mode, list_transform(x, lambda c: case when c / 255.0 <= 0.03928 then c / 255.0 / 12.92 else pow((c / 255.0 + 0.055) / 1.055, 2.4) end) as u, list_transform(y, lambda c: case when c / 255.0 <= 0.03928 then c / 255.0 / 12.92 else pow((c / 255.0 + 0.055) / 1.055, 2.4) end) as w from q),
-      z as (select site, theme, mode, 0.2126 * u[1] + 0.7152 * u[2] + 0.0722 * u[3] as a, 0.2126 * w[1] + 0.7152 * w[2] + 0.0722 * w[3] as c from l)
-      select site, theme, mode, round((greatest(a, c) + 0.05) / (least(a, c) + 0.05), 6) as ratio, (greatest(a, c) + 0.05) / (least(a, c) + 0.05) >= 4.5 as passes, true as fit from z""",
+    "brief_rows": f"""with {_F} select site, 'gap' as part, ord, path as text from gaps where ord <= 14
+      union all select site, 'copy', cast(least(12, 11 + i % 4) * p + j as integer), 'p' || j from f, (select unnest([0, 1]) as p), (select unnest(range(1, 13)) as j) where j <= 11 + i % 4
+      union all select site, 'social', 1, case when i % 20 = 0 then 'X: Readable — mine the bio for tone: "A bio"' else 'X: Blocked to anonymous requests. Add to `_meta.todo` and ask the client.' end from f where i % 10 = 0
+      union all select site, 'question', ord, 'Ask for: ' || label from gaps where ord <= 14
+      union all select site, 'todo', 1, 'Ask for the content of X (https://x.com/a).' from f where i % 20 = 10""",
+    "normalize_dynamic": """with c as (select c_custkey as i, c_custkey::varchar as k, c_custkey % 11 <> 0 as ok from customer)
+      select 'c' || k as site, case when ok then 'firm-' || k else 'client' end as slug, 'profile/1' as version, case when ok then ['1999', '2001'][i % 2 + 1] else '' end as founded, case when ok then ['Town', 'Town|Area', ''][i % 3 + 1] else '' end as area, case when ok then '7' else '' end as licenses, case when ok then '12' else '' end as employees,
+        case when ok then ['1555123456', '+65 6123 4567|217.555.0142'][i % 2 + 1] else '' end as phones, case when ok then 2.5::double end as lng, case when ok then ['', 'sunday true ', 'friday false 9:00 AM'][i % 3 + 1] else '' end as hours, case when ok then ['a.jpg=', 'a.jpg=|b.jpg=B', ''][i % 3 + 1] else '' end as gallery,
+        case when ok then ['H:one text', ':a|b'][i % 2 + 1] else '' end as legal, case when ok then 'JOB ' || k end as service, case when ok then ['One text', 'Two|texts', ''][i % 3 + 1] end as description, case when ok then 'f' end as features, case when ok then '25' end as price, case when ok and i % 2 = 0 then 'Go' end as cta, case when ok then 'Basic' end as plans,
+        case when ok then 'Call' end as steps, case when ok then 'noise' end as outcomes, case when ok then i % 2 = 0 end as featured, case when ok then 'slow|fast' end as study, case when ok then 'Size5' end as metrics, case when ok and i % 2 = 0 then 'Ann' end as quoted, case when ok then ([null, 1, 5, 4.5]::double[])[i % 4 + 1] end as rating,
+        case when ok then 'netlify' else 'none' end as provider, 'POST' as method, not ok as prices, case when ok then 'ask' else '' end as todo, case when ok then 'Now' else '' end as closing, case when ok then '9' end as stat from c""",
+    "brand_contrast_matrix": f"""with {_PAL}, v as (select p_partkey::varchar as site, '#' || lower(printf('%06x', p_partkey * 7919 % 16777216)) as own from part), q as (select site, theme, mode, {_ratio('own', 'bg')} as ratio from v, pal)
+      select site, theme, mode, round(ratio, 6) as ratio, ratio >= 4.5 as passes, true as fit from q""",
+    "text_pairs": f"""with {_PAL}, r as (select theme, mode, {_ratio('text', 'bg')} as b, {_ratio('text_muted', 'bg')} as m, {_ratio('inverse_text', 'inverse_bg')} as v from pal)
+      select p_partkey::varchar as site, theme, mode, printf('%.3f', b) as body_text, printf('%.3f', m) as muted_text, 'fit' as card_text, 'fit' as button_label, 'fit' as accent_label, 'fit' as links, printf('%.3f', v) as cta_band from part, r""",
+    "colour_tones": """with p as (select p_partkey, p_partkey * 7919 % 16777216 as v, (p_partkey % 5) / 4.0 as w from part), c as (select *, [v // 65536, v // 256 % 256, v % 256] as x, list_max([v // 65536, v // 256 % 256, v % 256]) / 255.0 as hi, list_min([v // 65536, v // 256 % 256, v % 256]) / 255.0 as lo from p)
+      select p_partkey, '#f7f7f7 #f0f0f0 #dbdbdb #c2c2c2 #a3a3a3 #858585 #707070 #5c5c5c #454545 #2e2e2e' as tones, '#' || array_to_string(list_transform(list_zip(x, [255, 128, 0]), lambda z: lower(printf('%02x', cast(floor(z[1] * (1 - w) + z[2] * w + 0.5) as bigint)))), '') as mixed,
+        case when hi = lo then 0 else (hi - lo) / (1 - abs(hi + lo - 1)) end * (1 - abs((hi + lo) / 2 - 0.5) * 2) < 0.08 as neutral from c""",
 }

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.operators import profiles as P
+from siteloom.operators.normalize import normalize_profiles
+from siteloom.operators.state import written
 
 #: A field is empty where the key modulo its number here is 0.
 EMPTY = {path: 2 + i % 11 for i, (path, *_) in enumerate(P.FIELDS)}
@@ -61,20 +63,58 @@ def profile_validate(spark, sf_dir):
     return P.profile_validate(_profiles(spark, sf_dir)).select("site", "level", "code")
 
 
+def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised profiles of firms by key: any number of services of which some are described, a team alone, legal pages, case studies, or nothing at all."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    key, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    some = lambda n, r, value: F.when(key % n == r, F.lit(value) if isinstance(value, str) else value)
+    item = lambda *f: F.struct(*[(F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in f])
+    listed = lambda *rows: F.filter(F.array(*rows), lambda x: x.isNotNull())
+    service = lambda i: F.when(key % 4 >= i, item(("name", text(f"Job {i} of ", k)), ("summary", F.when(key % 3 >= i, f"Does {i}")), ("description", F.when((key % 2 == 1) & F.lit(i == 3), "Long"))))
+    hour = lambda day, opens, closes: item(("day", day), ("open", opens), ("close", closes))
+    quote = lambda i, rating: F.when(key % 3 >= i, item(("quote", f"Quote {i}"), ("rating", rating)))
+    return written(normalize_profiles(c.select(
+        text("c", k, ".example").alias("site"),
+        item(("name", F.when(key % 13 != 0, text("Firm ", k))), ("tagline", some(3, 0, "Fast")), ("category", F.element_at(F.array(*[F.lit(x) for x in CATEGORIES]), (key % len(CATEGORIES) + 1).cast("int"))), ("description", F.when(key % 4 != 0, "We fix")),
+             ("serviceArea", F.when(key % 5 != 0, F.array(F.lit("Town"), text("Area ", k)))), ("founded", some(6, 0, "1999")), ("priceRange", some(8, 0, "$$"))).alias("business"),
+        item(("phone", F.when(key % 4 == 0, "217 555 0142").when(key % 4 > 1, "+44 20 7946 0000")), ("email", some(3, 1, "a@b.org")), ("address", F.when(key % 6 == 1, item(("street", F.lit(None).cast("string")), ("street2", F.lit(None).cast("string")), ("city", "Salem"))).when(key % 6 > 1, item(("street", text(k, " Road")), ("street2", "Unit 2"), ("city", "Salem")))),
+             ("geo", some(5, 2, item(("lat", F.lit(1.5)), ("lng", F.lit(2.25))))), ("hours", some(4, 2, F.array(hour("Wednesday", "10", "by noon"), hour("Tuesday", "Closed", "5 PM"), hour("Monday", "8:00 AM", "5:30 PM"), hour("Friday", "12 AM", "12:15 pm"))))).alias("contact"),
+        F.struct(some(7, 0, "/logo.png").alias("logo")).alias("brand"), some(3, 0, F.create_map(F.lit("x"), text("x.com/", k), F.lit("facebook"), text("http://fb.com/", k), F.lit("own"), F.lit("own.example"))).alias("social"),
+        item(("hero", item(("headline", "Warm homes"), ("image", some(2, 0, "img/h.png")))), ("about", item(("body", some(5, 1, "About us")))), ("valueProps", some(7, 1, F.array(item(("title", "Fast"))))), ("stats", some(7, 2, F.array(item(("value", "9"), ("label", "Years"))))), ("closingCta", item(("text", some(3, 2, "Call now"))))).alias("content"),
+        listed(service(1), service(2), service(3)).alias("services"), some(6, 3, F.array(item(("client", "Client")))).alias("caseStudies"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(key % 5 >= i, F.concat(F.lit("g"), i.cast("string"), F.lit(".jpg")))).alias("gallery"),
+        listed(quote(1, "5"), quote(2, F.when(key % 2 == 1, "4"))).alias("testimonials"), some(5, 3, F.array(item(("name", "Bo")))).alias("team"), some(4, 3, F.array(item(("question", "Q?"), ("answer", "A")))).alias("faqs"),
+        some(9, 0, F.array(item(("title", "Terms of use"), ("sections", item(("heading", "H"), ("body", "Text")))))).alias("legal"),
+    )), "profiles")
+
+
 def page_plan(spark, sf_dir):
-    return P.page_plan(_profiles(spark, sf_dir)).select("site", "ord", "path", "nav")
+    kinds = F.array_join(F.transform("sections", lambda s: s["type"]), " ")
+    return P.page_plan(_firms(spark, sf_dir)).select("site", "ord", "path", "out_path", "title", "description", "nav_label", "nav", "noindex", "parent", kinds.alias("sections"))
+
+
+def plan_sections(spark, sf_dir):
+    """Sections with a title, an introduction, a limit or an exclusion."""
+    rows = P.plan_sections(P.page_plan(_firms(spark, sf_dir)))
+    return rows.where("title is not null or max_items is not null or exclude is not null").groupBy("slug", "type", "title", "intro", "max_items", "preview", "heading", "exclude").agg(F.count("*").alias("n")).where("slug not like 'service-%'")
 
 
 def sitemap_rows(spark, sf_dir):
-    return P.sitemap_rows(P.page_plan(_profiles(spark, sf_dir)))
+    return P.sitemap_rows(P.page_plan(_firms(spark, sf_dir)))
 
 
 def jsonld_export(spark, sf_dir):
-    made = P.jsonld_export(_profiles(spark, sf_dir))
-    return made.select("site", F.get_json_object("jsonld", "$.name").alias("name"), F.get_json_object("jsonld", "$.address.addressLocality").alias("city"), F.get_json_object("jsonld", "$.areaServed").alias("area"))
+    """Every node of every page's graph as JSON text."""
+    made = P.jsonld_export(_firms(spark, sf_dir))
+    nodes = F.try_variant_get(F.parse_json("jsonld"), "$['@graph']", "array<variant>")
+    return made.select("site", "path", F.posexplode(nodes).alias("nth", "node")).select("site", "path", "nth", F.to_json("node").alias("node"))
+
+
+def profile_validate_normalized(spark, sf_dir):
+    return P.profile_validate(_firms(spark, sf_dir)).select("site", "level", "code")
 
 
-QUERIES = [schema_type, profile_score, profile_gaps, profile_validate, page_plan, sitemap_rows, jsonld_export]
+QUERIES = [schema_type, profile_score, profile_gaps, profile_validate, profile_validate_normalized, page_plan, plan_sections, sitemap_rows, jsonld_export]
 
 _C = "c as (select c_custkey as k, 'c' || c_custkey || '.example' as site, c_name from customer)"
 _HAS = {path: f"(k % {n} <> 0)" for path, n in EMPTY.items()}
@@ -87,16 +127,59 @@ _RULES = [
     ("warning", "no_place", f"not {_HAS['contact.address.city']} and not {_HAS['business.serviceArea']}"), ("warning", "contrast", f"{_HAS['brand.colors.primary']} and k % 4 = 1"),
     ("note", "no_testimonials", f"not {_HAS['testimonials']}"), ("note", "no_logo", f"not {_HAS['brand.logo']}"),
 ]
-_PLAN = f"""{_C}, p as (select k, site, list_filter(['/', case when {_HAS['content.about.body']} then '/about/' end, case when {_HAS['services']} then '/services/' end, case when {_HAS['gallery']} then '/gallery/' end, '/contact/', '/404'], lambda x: x is not null)
-  || case when {_HAS['services']} and k % 5 <> 0 then ['/services/item-' || k || '/', '/services/second-and-last/'] else [] end as paths from c),
-q as (select site, unnest(paths) as path, unnest(range(len(paths))) as i from p)"""
+#: The firms and the pages that the rule gives them: at_ is the place among the pages of a site.
+_PLAN = """f as (select c_custkey as k, 'c' || c_custkey || '.example' as site, case when c_custkey % 13 <> 0 then 'Firm ' || c_custkey else '' end as name, case when c_custkey % 3 = 0 then 'Fast' else '' end as tagline, case when c_custkey % 4 <> 0 then 'We fix' else '' end as about,
+  (['HVAC contractor', 'family dentist', 'spare parts', 'day spa', 'coffee bar', 'book shop', 'consulting'])[c_custkey % 7 + 1] as category, case c_custkey % 4 when 0 then '217 555 0142' when 1 then '' else '+44 20 7946 0000' end as phone, case when c_custkey % 6 > 0 then 'Salem' else '' end as city from customer),
+t as (select *, case when city <> '' then city when k % 5 <> 0 then 'Town' else '' end as town from f),
+g as (select *, k % 4 as jobs, k % 5 = 1 as has_about, k % 5 = 3 as team, k % 5 >= 3 as gallery, k % 6 = 3 as work, k % 4 = 3 as faq, k % 3 > 0 as quotes, k % 7 = 1 as props, k % 7 = 2 as stats, k % 9 = 0 as legal,
+  array_to_string(list_filter([name, case when tagline <> '' then tagline else category end, town], lambda x: x <> ''), ' | ') as seo_title, case when about <> '' then about else '' end as seo_description from t),
+d as (select *, (case when jobs >= 1 and k % 3 >= 1 then 1 else 0 end) + (case when jobs >= 2 and k % 3 >= 2 then 1 else 0 end) + (case when jobs >= 3 and k % 2 = 1 then 1 else 0 end) >= 2 as described from g),
+j as (select d.*, i, 'Job ' || i || ' of ' || k as job, case when k % 3 >= i then 'Does ' || i else '' end as does, 'job-' || i || '-of-' || k as slug from d, (select unnest([1, 2, 3]) as i) where i <= jobs),
+p as (select site, k, 0.0 as at_, '' as url, case when seo_title <> '' then seo_title else name end as title, seo_description as description, 'Home' as nav_label, true as nav, null as parent, 'hero' || case when props or stats then ' trustbar' else '' end || case when jobs > 0 then ' services' else '' end || case when has_about then ' about' else '' end
+    || case when gallery then ' gallery' else '' end || case when work then ' caseStudies' else '' end || case when quotes then ' testimonials' else '' end || case when faq then ' faq' else '' end || ' cta contact' as sections from d
+  union all select site, k, 1, 'about/', 'About ' || name, case when about <> '' then about when has_about then 'About us' else '' end, 'About', true, null, 'pageHeader' || case when has_about then ' about' else '' end || case when stats then ' trustbar' else '' end || case when team then ' team' else '' end || case when quotes then ' testimonials' else '' end || ' cta' from d where has_about or team
+  union all select site, k, 2, 'services/', 'Services | ' || name, 'What ' || name || ' offers' || case when city <> '' then ' in ' || city else '' end || '.', 'Services', true, null, 'pageHeader services' || case when faq then ' faq' else '' end || ' cta' from d where jobs > 0
+  union all select site, k, 2 + i / 10, 'services/' || slug || '/', job || ' | ' || name, case when does <> '' then does else job || ' from ' || name || '.' end, null, false, 'services', 'pageHeader serviceDetail services cta' from j where described
+  union all select site, k, 3, 'work/', 'Case studies | ' || name, 'How ' || name || ' rebuilt these sites, and what changed.', 'Case studies', true, null, 'pageHeader caseStudies cta' from d where work
+  union all select site, k, 4, 'gallery/', 'Gallery | ' || name, 'Recent work from ' || name || '.', 'Gallery', true, null, 'pageHeader gallery cta' from d where gallery
+  union all select site, k, 5, 'contact/', 'Contact | ' || name, 'Get in touch with ' || name || case when phone <> '' then ' on ' || phone else '' end || '.', 'Contact', true, null, 'pageHeader contact' from d
+  union all select site, k, 6, 'terms-of-use/', 'Terms of use | ' || name, 'Terms of use for ' || name || '.', 'Terms of use', false, null, 'pageHeader legal' from d where legal
+  union all select site, k, 7, '404.html', 'Page not found | ' || name, '', null, false, null, 'notFound cta' from d),
+q as (select *, cast(row_number() over (partition by site order by at_) - 1 as integer) as ord from p)"""
+_TYPE = "(['HVACBusiness', 'Dentist', 'LocalBusiness', 'DaySpa', 'CafeOrCoffeeShop', 'Store', 'LocalBusiness'])[k % 7 + 1]"
+_PLACES = """[{"@type":"Place","name":"Town"},{"@type":"Place","name":"Area ' || k || '"}]"""
+#: The nodes of a page's graph: keys in alphabetical order, as a VARIANT keeps them.
+_NODES = f"""{_PLAN}, n as (select q.site, q.url, q.ord, q.nav_label, q.title as page_title, q.parent, q.sections, d.* exclude (site), 'https://' || d.site as base from q join d using (site)),
+biz as (select site, k, '{{"@id":"' || base || '/#business","@type":"' || {_TYPE} || '"' || case when k % 6 = 1 then ',"address":{{"@type":"PostalAddress","addressLocality":"Salem"}}' when k % 6 > 1 then ',"address":{{"@type":"PostalAddress","addressLocality":"Salem","streetAddress":"' || k || ' Road, Unit 2"}}' else '' end
+  || case when k % 3 = 2 and k % 2 = 1 then ',"aggregateRating":{{"@type":"AggregateRating","ratingValue":"4.5","reviewCount":2}}' else '' end || case when k % 5 <> 0 then ',"areaServed":{_PLACES}' else '' end || case when about <> '' then ',"description":"We fix"' else '' end
+  || case when k % 3 = 1 then ',"email":"a@b.org"' else '' end || case when k % 6 = 0 then ',"foundingDate":"1999"' else '' end || case when k % 5 = 2 then ',"geo":{{"@type":"GeoCoordinates","latitude":1.5,"longitude":2.25}}' else '' end
+  || case when jobs > 0 then ',"hasOfferCatalog":{{"@type":"OfferCatalog","itemListElement":[' || (select string_agg('{{"@type":"Offer","itemOffered":{{"@type":"Service"' || case when does <> '' then ',"description":"' || does || '"' else '' end || ',"name":"' || job || '"}}}}', ',' order by i) from j where j.site = n.site) || '],"name":"Services"}}' else '' end
+  || case when k % 2 = 0 then ',"image":"' || base || '/img/h.png"' else '' end || case when k % 7 = 0 then ',"logo":"' || base || '/logo.png"' else '' end || case when name <> '' then ',"name":"' || name || '"' else '' end
+  || case when k % 4 = 2 then ',"openingHoursSpecification":[{{"@type":"OpeningHoursSpecification","closes":"17:30","dayOfWeek":"https://schema.org/Monday","opens":"08:00"}},{{"@type":"OpeningHoursSpecification","closes":"12:15","dayOfWeek":"https://schema.org/Friday","opens":"00:00"}}]' else '' end
+  || case when k % 8 = 0 then ',"priceRange":"$$"' else '' end || case when k % 3 = 0 then ',"sameAs":["http://fb.com/' || k || '","https://x.com/' || k || '"]' else '' end || case when phone = '' then '' else ',"telephone":"' || case when k % 4 = 0 then '+12175550142' else '+442079460000' end || '"' end || ',"url":"' || base || '"}}' as node from n where url = ''),
+node as (select n.site, url, 1 as at_, biz.node from n join biz using (site)
+  union all select site, url, 2, '{{"@id":"' || base || '/#website","@type":"WebSite"' || case when name <> '' then ',"name":"' || name || '"' else '' end || ',"publisher":{{"@id":"' || base || '/#business"}},"url":"' || base || '"}}' from n
+  union all select site, url, 3, '{{"@type":"BreadcrumbList","itemListElement":[{{"@type":"ListItem","item":"' || base || '/","name":"Home","position":1}}' || case when parent is not null then ',{{"@type":"ListItem","item":"' || base || '/services/","name":"Services","position":2}}' else '' end
+    || ',{{"@type":"ListItem","item":"' || base || '/' || url || '","name":"' || coalesce(nav_label, page_title) || '","position":' || case when parent is not null then 3 else 2 end || '}}]}}' from n where url not in ('', '404.html')
+  union all select site, url, 4, '{{"@type":"FAQPage","mainEntity":[{{"@type":"Question","acceptedAnswer":{{"@type":"Answer","text":"A"}},"name":"Q?"}}]}}' from n where ' ' || sections || ' ' like '% faq %'
+  union all select n.site, url, 5, '{{"@type":"Service"' || case when n.k % 5 <> 0 then ',"areaServed":{_PLACES.replace("' || k ||", "' || n.k ||")}' else '' end || case when does <> '' then ',"description":"' || does || '"' else '' end || ',"name":"' || job || '","provider":{{"@id":"' || base || '/#business"}}}}' from n join j on n.site = j.site and url = 'services/' || j.slug || '/')"""
 
 ORACLES = {
     "schema_type": f"with {_C} select site, case when not {_HAS['business.category']} then 'LocalBusiness' else ({list(_TYPES)})[k % {len(_TYPES)} + 1] end as type from c",
     "profile_score": f"with {_C}, f as ({_FIELDS}) select site, cast(round(100.0 * coalesce(sum(weight) filter (filled), 0) / sum(weight)) as bigint) as percent, cast(coalesce(sum(weight) filter (filled), 0) as bigint) as earned, cast(sum(weight) as bigint) as total from f group by site",
     "profile_gaps": f"with {_C}, f as ({_FIELDS}) select site, cast(row_number() over (partition by site order by weight desc, i) as integer) as ord, path, weight from f where not filled",
     "profile_validate": f"with {_C} " + " union all ".join(f"select site, '{level}' as level, '{code}' as code from c where {rule}" for level, code, rule in _RULES),
-    "page_plan": f"with {_PLAN} select site, cast(i as integer) as ord, path, path <> '/404' and path not like '/services/_%' as nav from q",
-    "sitemap_rows": f"with {_PLAN} select site, 'https://' || site || path as loc, case when path = '/' then 'weekly' else 'monthly' end as changefreq, case when path = '/' then 1.0::double when path like '/services/_%' then 0.6::double else 0.8::double end as priority from q where path <> '/404'",
-    "jsonld_export": f"with {_C} select site, case when {_HAS['business.name']} then c_name end as name, case when {_HAS['contact.address.city']} then 'Town' end as city, case when {_HAS['business.serviceArea']} then '[\"one\"]' end as area from c",
+    "page_plan": f"with {_PLAN} select site, ord, '/' || url as path, case when url = '404.html' then url else url || 'index.html' end as out_path, title, description, nav_label, nav, url = '404.html' as noindex, parent, sections from q",
+    "plan_sections": f"""with {_PLAN}, s as (select case when url = '' then 'home' when url = '404.html' then '404' else rtrim(url, '/') end as page, q.parent, q.sections, d.* from q join d using (site)), z as (
+      select page as slug, 'pageHeader' as type, case page when 'about' then 'About ' || name when 'services' then 'Our services' when 'work' then 'Case studies' when 'gallery' then 'Our work' when 'contact' then 'Get in touch' else 'Terms of use' end as title,
+        case when page in ('about', 'services') then tagline when page = 'contact' then case when k % 3 = 2 then 'Call now' else '' end end as intro, null::integer as max_items, false as preview, null as heading, null as exclude from s where sections like 'pageHeader%' and parent is null
+      union all select page, x.type, null, null, x.n, x.preview, null, null from s, (select * from (values ('services', 6, true), ('gallery', 6, true), ('caseStudies', 2, true), ('testimonials', 3, false), ('faq', 4, true)) t(type, n, preview)) x where page = 'home' and ' ' || sections || ' ' like '% ' || x.type || ' %'
+      union all select page, 'testimonials', null, null, 3, false, null, null from s where page = 'about' and quotes union all select page, 'legal', null, null, null, false, null, page from s where page = 'terms-of-use')
+      select slug, type, title, intro, max_items, preview, heading, exclude, count(*) as n from z group by all""",
+    "sitemap_rows": f"with {_PLAN} select site, 'https://' || site || '/' || url as loc, case when url = '' then 'weekly' else 'monthly' end as changefreq, case when url = '' then 1.0::double when url like '%/%/' then 0.6::double else 0.8::double end as priority from q where url <> '404.html'",
+    "jsonld_export": f"with {_NODES} select site, '/' || url as path, cast(row_number() over (partition by site, url order by at_) - 1 as integer) as nth, node from node",
+    "profile_validate_normalized": f"""with {_PLAN}, w as (select *, seo_title as st from d)
+      select site, 'error' as level, 'required' as code from w where name = '' union all select site, 'error', 'no_contact' from w where phone = '' and k % 3 <> 1 union all select site, 'warning', 'description' from w where about <> '' union all select site, 'warning', 'no_services' from w where jobs = 0
+      union all select site, 'warning', 'thin_services' from w where exists (select 1 from j where j.site = w.site and does = '') union all select site, 'warning', 'gallery_alt' from w where k % 5 > 0 union all select site, 'warning', 'no_place' from w where city = '' and k % 5 = 0
+      union all select site, 'note', 'no_testimonials' from w where not quotes union all select site, 'note', 'no_logo' from w where k % 7 <> 0""",
 }

@@ -18,14 +18,16 @@ def _arrive(parts: list[DataFrame], folder: str) -> None:
 
 
 def stream_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages arrive in two lots and half of them once more; each address of a site is reported once."""
+    """The pages arrive in two lots; half of them come back five days later, and a quarter late, dated a month before. Each address of a site is reported once."""
     folder = f"{ensure_checkpoint_dir(spark)}/feed-{uuid.uuid4().hex}"
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.timestamp_seconds(F.lit(1_767_225_600) + F.col("page_id") % 3600).alias("seen_at"))
-    _arrive([pages.where("page_id % 2 = 0"), pages.where("page_id % 2 = 1"), pages.where("page_id % 4 = 0")], f"{folder}/in")
-    feed = spark.readStream.schema(pages.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    new = jobs.stream_new_pages(feed, "seen_at")
-    new.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(new.schema).parquet(f"{folder}/out").select("site", "canonical")
+    at = lambda days: F.timestamp_seconds(F.lit(1_767_225_600 + days * 86_400) + F.col("page_id") % 3600).alias("seen_at")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    lot = lambda rule, days: pages.where(rule).select("page_id", "url", at(days))
+    lots = [lot("page_id % 2 = 0", 0), lot("page_id % 4 = 1", 1), lot("page_id % 4 < 2", 6), lot("page_id % 4 = 3", -30)]
+    _arrive(lots, f"{folder}/in")
+    feed = spark.readStream.schema(lots[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.stream_new_pages(feed, "seen_at", f"{folder}/seen", f"{folder}/state").awaitTermination()
+    return spark.read.option("basePath", f"{folder}/seen").parquet(f"{folder}/seen").select("site", "canonical")
 
 
 def stream_scan_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

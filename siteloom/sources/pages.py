@@ -65,24 +65,29 @@ def sitemap_counts(sites: DataFrame, sitemaps: DataFrame) -> DataFrame:
 
 
 def robots_rules(robots: DataFrame, agent: str = "siteloom") -> DataFrame:
-    """(site, allow, path, crawl_delay): rules of the group that names the agent, else of the group for all.
+    """(site, allow, path, crawl_delay): rules of the first group that names the agent, else of the first for all.
 
-    Lines of agents that follow each other share a group; the first line after a rule opens a new one.
+    An agent line opens a group if there is none yet or a rule stands after the agent line before it; delays don't count as rules.
+    The group's last delay counts. A group with a delay and no rule has one row without a path; rules with an empty path allow
+    all and are left out.
     """
     lines = robots.select("site", F.posexplode(F.split("text", "\r?\n")).alias("ln", "raw"))
     bare = F.trim(F.regexp_replace("raw", "#.*$", ""))
     parts = lines.select("site", "ln", F.lower(F.trim(F.regexp_extract(bare, "^([^:]+):", 1))).alias("key"), F.trim(F.regexp_extract(bare, "^[^:]+:(.*)$", 1)).alias("value"))
     parts = parts.where(F.col("key").isin("user-agent", "allow", "disallow", "crawl-delay"))
     by = Window.partitionBy("site").orderBy("ln")
-    opens = (F.col("key") == "user-agent") & (F.coalesce(F.lag("key").over(by), F.lit("")) != "user-agent")
-    grouped = parts.withColumn("grp", F.sum(opens.cast("int")).over(by)).where("grp > 0")
-    agents = grouped.where("key = 'user-agent'").withColumn("name", F.lower("value"))
-    fit = F.when((F.col("name") != "*") & F.contains(F.lit(agent.lower()), F.col("name")), 0).when(F.col("name") == "*", 1)
-    chosen = agents.withColumn("fit", fit).where("fit is not null").groupBy("site").agg(F.min_by("grp", F.struct("fit", "grp")).alias("grp"))
+    before = F.last(F.when(F.col("key") != "crawl-delay", F.col("key")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (F.col("key") == "user-agent") & (F.coalesce(before, F.lit("")) != "user-agent")
+    agents = F.sum(F.when(F.col("key") == "user-agent", 1)).over(by)  # rules before any agent line have no group
+    grouped = parts.withColumn("opens", opens).withColumn("agents", agents).where("agents > 0").withColumn("grp", F.sum(F.col("opens").cast("int")).over(by))
+    fit = F.when(F.col("key") != "user-agent", None).when((F.col("value") != "*") & F.contains(F.lit(agent.lower()), F.lower("value")), 0).when(F.col("value") == "*", 1)
+    chosen = grouped.withColumn("fit", fit).where("fit is not null").groupBy("site").agg(F.min_by("grp", F.struct("fit", "grp")).alias("grp"))
     own = grouped.join(chosen, ["site", "grp"])
-    delay = own.where("key = 'crawl-delay'").groupBy("site").agg(F.max(F.col("value").try_cast("double")).alias("crawl_delay"))
-    rules = own.where("key in ('allow', 'disallow') and value <> ''")
-    return rules.join(delay, "site", "left").select("site", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"), "crawl_delay")
+    delay = own.where("key = 'crawl-delay'").groupBy("site").agg(F.max_by(F.coalesce(F.col("value").try_cast("double"), F.lit(0.0)), "ln").alias("crawl_delay"))
+    rules = own.where("key in ('allow', 'disallow') and value <> ''").select("site", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
+    both = rules.join(delay, "site", "left").select("site", "allow", "path", "crawl_delay")
+    alone = delay.join(rules.select("site"), "site", "left_anti").select("site", F.lit(None).cast("boolean").alias("allow"), F.lit(None).cast("string").alias("path"), "crawl_delay")
+    return both.unionByName(alone)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

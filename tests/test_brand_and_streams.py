@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siteloom.operators.brand import brand_fonts, css_fonts, brand_palette, css_colours, css_sources
 from siteloom.operators.monitor import scan_issues
 from siteloom.operators.nodes import html_nodes
-from siteloom.streaming.jobs import stream_new_pages, stream_scan_issues
+from siteloom.streaming.jobs import stream_scan_issues
 
 CSS = "body{color:#333;background:#fff}h1{font-family:'Lora',serif;background:#1f3a93}a{color:#c41e3a;background-color:rgba(0,0,0,0)}p{font-family:Inter;border-color:#c41e3a}h2{background:#1f3a93;font-family:Lora}"
 
@@ -24,15 +24,6 @@ def test_colours_and_fonts(spark):
     assert (fonts.heading, fonts.body) == ("Lora", "Inter")
 
 
-def test_new_pages(spark, tmp_path):
-    rows = [("https://www.a.org/x/?utm_source=1", dt.datetime(2026, 1, 1)), ("https://a.org/x", dt.datetime(2026, 1, 1, 1)), ("https://a.org/x#f", dt.datetime(2026, 1, 1, 2)), ("https://a.org/y", dt.datetime(2026, 1, 1))]
-    spark.createDataFrame(rows, "url string, ts timestamp").write.parquet(str(tmp_path / "in"))
-    feed = spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in"))
-    run = stream_new_pages(feed, "ts").writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    run.awaitTermination()
-    assert spark.table("fresh").select("site").count() == 3  # www is another address of the same site
-
-
 def test_scan_stream_equals_batch(spark, tmp_path):
     schema = "domain string, run_ts timestamp, status int, cert_days int, cert_expires date, dns array<string>, pages int, performance int, accessibility int, best_practices int, seo int, samples int, runs int, spread int"
     runs = [("a", dt.datetime(2026, 1, d), 200, 40, dt.date(2026, 3, 1), ["1.1.1.1"], 10 + d % 3, 99 - d, 100, 100, 100, 5, 5, 1) for d in range(1, 5)]

@@ -11,6 +11,7 @@ from siteloom.operators import contacts as K
 from siteloom.operators import harvest as V
 from siteloom.operators import jsonld as J
 from siteloom.operators import media as M
+from siteloom.operators import normalize as N
 from siteloom.operators import pages as P
 from siteloom.operators import places as A
 from siteloom.operators.nodes import html_nodes
@@ -83,11 +84,11 @@ def test_messy_profile(spark):
         F.struct(F.lit("555.867.5309").alias("phone"), F.array(F.lit("A@B.com"), F.lit("a@b.com")).alias("emails")).alias("contact"),
         F.array(F.struct(F.lit("AC REPAIR").alias("name"), F.lit(None).cast("string").alias("title")), F.struct(F.lit(None).cast("string").alias("name"), F.lit("Furnace").alias("title"))).alias("services"),
         F.struct(F.struct(F.lit("rgb(37,99,235)").alias("primary")).alias("colors")).alias("brand"))
-    p = V.normalize_profiles(row).first()
+    p = N.normalize_profiles(row).first()
     assert (p.business.name, p.business.serviceArea, p.contact.emails) == ("Joe's HVAC", ["Springfield"], ["a@b.com"])
     assert [(s.slug, s.name) for s in p.services] == [("ac-repair", "AC Repair"), ("furnace", "Furnace")] and p.brand.colors.primary == "#2563eb"
     assert p.testimonials == [] and p.contact.hours == [] and p.social == {}
-    empty = V.normalize_profiles(spark.createDataFrame([("s",)], "site string")).first()
+    empty = N.normalize_profiles(spark.createDataFrame([("s",)], "site string")).first()
     assert empty.business.name == "" and empty.services == [] and empty.seo.title == ""
 
 
