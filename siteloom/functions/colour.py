@@ -43,7 +43,7 @@ def colour_parse(c: Column) -> Column:
     inner = F.filter(F.split(F.regexp_extract(t, r"^(?:rgb|hsl)a?\(\s*([^)]+)\)$", 1), r"[,/\s]+"), lambda x: x != "")
     number = lambda i: F.regexp_extract(F.get(inner, F.lit(i)), r"^([-+]?[0-9.]+)", 1).try_cast("double")
     whole = lambda i: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(F.get(inner, F.lit(i)).try_cast("double"))))
-    named = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])
+    named = F.str_to_map(F.lit(",".join(f"{name}:{shade}" for name, shade in NAMES.items())), F.lit(","), F.lit(":"))
     plain = [F.get(inner, F.lit(i)).try_cast("double").isNotNull() for i in range(3)]
     rgb = F.when(plain[0] & plain[1] & plain[2], to_hex(whole(0), whole(1), whole(2)))
     hsl_text = F.when(number(0).isNotNull() & number(1).isNotNull() & number(2).isNotNull(), from_hsl(number(0), number(1) / 100, number(2) / 100))
@@ -114,15 +114,27 @@ def best_foreground(background: Column, candidates: Sequence[str] = ("#ffffff",
 
 
 def ensure_contrast(hexa: Column, background: Column, least: float = 4.5) -> Column:
-    """The colour, or the first of its hue that reaches the ratio as its lightness goes from the half away from the background's, by hundredths."""
+    """The colour, or the first of its hue that reaches the ratio as its lightness goes from the half away from the background's, by hundredths.
+
+    No channel turns back on that way, so the first step that reaches the ratio is found by halving.
+    """
     def fitted(x: Column) -> Column:
-        sign = F.when(luminance(x["bg"]) < 0.5, 1).otherwise(-1)
-        own = hsl(x["fg"])
-        steps = F.transform(F.sequence(F.lit(0), F.lit(50)), lambda i: from_hsl(own["h"], own["s"], 0.5 + sign * i / 100.0))
-        fit = F.get(F.filter(steps, lambda h: contrast(h, x["bg"]) >= least), F.lit(0))
-        return F.when(contrast(x["fg"], x["bg"]) >= least, x["fg"]).otherwise(F.coalesce(fit, best_foreground(x["bg"])))
+        shade = lambda i: from_hsl(x["own"]["h"], x["own"]["s"], 0.5 + x["sign"] * i / 100.0)
+        enough = lambda i: _let(shade(i), lambda h: _let(luminance(h), lambda l: (F.greatest(l, x["lum"]) + 0.05) / (F.least(l, x["lum"]) + 0.05) >= least))
+
+        def halve(at: Column, _: Column) -> Column:
+            middle = F.floor((at["lo"] + at["hi"]) / 2).cast("int")
+            return F.when(at["lo"] >= at["hi"], at).when(enough(middle), F.struct(at["lo"].alias("lo"), middle.alias("hi"))).otherwise(F.struct((middle + 1).alias("lo"), at["hi"].alias("hi")))
+
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.struct(F.lit(0).alias("lo"), F.lit(51).alias("hi")), halve)["lo"]
+        step = _let(found, lambda i: F.when(i <= 50, shade(i)))
+        return F.when(x["ratio"] >= least, x["fg"]).otherwise(F.coalesce(step, best_foreground(x["bg"])))
+
+    def measured(x: Column) -> Column:
+        sign = F.when(x["lum"] < 0.5, 1).otherwise(-1)
+        return _let(F.struct(x["fg"].alias("fg"), x["bg"].alias("bg"), x["lum"].alias("lum"), hsl(x["fg"]).alias("own"), sign.alias("sign"), contrast(x["fg"], x["bg"]).alias("ratio")), fitted)
 
-    return _let(F.struct(hexa.alias("fg"), background.alias("bg")), fitted)
+    return _let(F.struct(hexa.alias("fg"), background.alias("bg")), lambda x: _let(F.struct(x["fg"].alias("fg"), x["bg"].alias("bg"), luminance(x["bg"]).alias("lum")), measured))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

@@ -51,8 +51,8 @@ def truncate_words(c: Column, most: int = 160, suffix: str = "…") -> Column:
 
 
 def _acronym(word: Column) -> Column:
-    """The word in its own case, or null if it isn't a known one. The map is one literal of about 80 entries."""
-    known = F.create_map(*[F.lit(x) for a in ACRONYMS for x in (a.lower(), a)])
+    """The word in its own case, or null if it isn't a known one. The map is written as one text, which is folded once."""
+    known = F.str_to_map(F.lit(",".join(f"{a.lower()}:{a}" for a in ACRONYMS)), F.lit(","), F.lit(":"))
     return F.try_element_at(known, F.lower(word))
 
 

@@ -71,9 +71,12 @@ def block_items(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.select(*PAGE, "block_id", "items", F.col("o_id").alias("item_id"), T.humanize_heading(F.coalesce("name", F.lit(""))).alias("name"), F.coalesce("paragraphs", F.array().cast("array<string>")).alias("paragraphs"), "image", "link")
 
 
-def page_services(nodes: DataFrame, most: int = 24) -> DataFrame:
-    """(site, page_id, ord, name, summary): items of blocks that speak of services until there are three, else links to service pages."""
-    blocks = block_labels(repeated_blocks(nodes), nodes)
+def page_services(nodes: DataFrame, most: int = 24, blocks: DataFrame | None = None) -> DataFrame:
+    """(site, page_id, ord, name, summary): items of blocks that speak of services until there are three, else links to service pages.
+
+    blocks: the labelled blocks of the pages, if they are known.
+    """
+    blocks = block_labels(repeated_blocks(nodes), nodes) if blocks is None else blocks
     named = F.lower(F.concat_ws(" ", "label", F.array_join("classes", " "), "html_id"))
     items = block_items(blocks.where(named.rlike(SERVICE_WORDS)), nodes).where((F.col("name") != "") & ~F.col("name").rlike(NAV_WORDS) & (F.length("name") <= 90))
     sizes = items.groupBy(*PAGE, "block_id", "items").agg(F.count("*").alias("n"))
@@ -91,9 +94,9 @@ def page_services(nodes: DataFrame, most: int = 24) -> DataFrame:
     return first.select(*PAGE, F.row_number().over(Window.partitionBy(*PAGE).orderBy("f.at")).alias("ord"), "f.name", "f.summary").where(F.col("ord") <= most)
 
 
-def page_team(nodes: DataFrame, most: int = 20) -> DataFrame:
+def page_team(nodes: DataFrame, most: int = 20, blocks: DataFrame | None = None) -> DataFrame:
     """(site, page_id, ord, name, role, bio): people of the largest block that speaks of a team."""
-    blocks = block_labels(repeated_blocks(nodes), nodes)
+    blocks = block_labels(repeated_blocks(nodes), nodes) if blocks is None else blocks
     named = F.lower(F.concat_ws(" ", "label", F.array_join("classes", " ")))
     items = block_items(blocks.where(named.rlike(TEAM_WORDS)), nodes).where((F.col("name") != "") & ~F.col("name").rlike(NAV_WORDS) & (F.length("name") <= 60))
     chosen = items.groupBy(*PAGE).agg(F.min_by("block_id", F.struct((-F.col("items")).alias("i"), "block_id")).alias("block_id"))

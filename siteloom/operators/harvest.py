@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as T
 from siteloom.functions import url as U
 from siteloom.operators.jsonld import DAYS
-from siteloom.operators.normalize import normalize_profiles
+from siteloom.operators.normalize import first_of_each, normalize_profiles
 from siteloom.operators.places import format_address
 from siteloom.operators.profiles import profile_gaps, profile_score
 from siteloom.operators.state import written
@@ -21,29 +21,36 @@ def draft_profiles(harvest: DataFrame) -> DataFrame:
 
     harvest has site, url, title, description, keywords, og (site_name, title, description, image), h1, paragraphs (of the home page), about
     (the longest paragraphs), stated (a row of jsonld_profile() merged by patch_merge(), null for none), phones, emails, address, hours,
-    colours (primary, secondary, accent), fonts (heading, body), social, services, testimonials, faqs, team, gallery, logo, hero.
-    Names come from structured data, then og:site_name, then the title before a separator, then the host.
+    colours (primary, secondary, accent), fonts (heading, body), social, services, testimonials, faqs, team, gallery, logo, hero; and, as
+    site_harvest() gives them, pages (their number), slug, social_sources and social_gaps. Names come from structured data, then
+    og:site_name, then the title before a separator, then the host.
     """
     pick = lambda *parts: F.coalesce(*[F.nullif(T.squash(x), F.lit("")) for x in parts], F.lit(""))
-    og, stated = F.col("og"), F.col("stated")
+    og, stated, none = F.col("og"), F.col("stated"), F.lit(None).cast("string")
+    known = set(harvest.schema["stated"].dataType.names)
+    more = lambda name, kind="string": stated[name] if name in known else F.lit(None).cast(kind)
+    extra = lambda name, kind: F.col(name) if name in harvest.columns else F.lit(None).cast(kind)
     before = T.squash(F.get(F.split(F.coalesce("title", F.lit("")), r"[|–—-]"), F.lit(0)))
-    name = pick(stated["name"], og["site_name"], before, F.get(F.split(U.site(F.col("url")), r"\."), F.lit(0)))
+    host = F.regexp_replace(U.site(F.col("url")), r"^www\.", "")
+    name = pick(stated["name"], og["site_name"], before, F.get(F.split(host, r"\."), F.lit(0)))
     about = F.concat(F.lit("About "), T.humanize_heading(name))
     given = F.col("address")
-    part = lambda own, other: F.when(given.isNotNull(), given[own]).otherwise(stated[other])
+    part = lambda own, other: F.when(given.isNotNull(), given[own]).otherwise(other)
+    day = lambda h: F.struct(F.get(F.array(*[F.lit(d) for d in DAYS]), h["day"]).alias("day"), h["closed"].alias("closed"), h["opens"].alias("open"), h["closes"].alias("close"), h["note"].alias("note"))
     rows = harvest.select(
-        "site",
-        F.struct(T.humanize_heading(name).alias("name"), T.squash(F.get(F.split(pick(og["description"], F.col("description")), "[.!]"), F.lit(0))).alias("tagline"), F.coalesce(stated["category"], F.lit("")).alias("category"), pick(F.col("description"), og["description"]).alias("description")).alias("business"),
+        "site", extra("slug", "string").alias("slug"), F.struct(F.col("url").alias("url"), extra("pages", "bigint").alias("pagesCrawled"), extra("social_sources", "array<string>").alias("socialSources")).alias("source"),
+        F.struct(T.humanize_heading(name).alias("name"), more("legal_name").alias("legalName"), T.squash(F.get(F.split(pick(og["description"], F.col("description")), "[.!]"), F.lit(0))).alias("tagline"), F.coalesce(stated["category"], F.lit("")).alias("category"),
+                 pick(F.col("description"), og["description"]).alias("description"), more("founded").alias("founded"), more("price_range").alias("priceRange"), more("service_area", "array<string>").alias("serviceArea")).alias("business"),
         F.struct(
             F.coalesce(F.get("phones", F.lit(0)), stated["phone"]).alias("phone"), F.col("phones"), F.coalesce(F.get("emails", F.lit(0)), stated["email"]).alias("email"), F.col("emails"),
-            F.struct(part("street", "street").alias("street"), F.when(given.isNotNull(), given["street2"]).alias("street2"), part("city", "city").alias("city"), part("region", "region").alias("region"), part("postal_code", "postal_code").alias("postalCode"), given["country"].alias("country")).alias("address"),
-            F.transform("hours", lambda h: F.struct(F.get(F.array(*[F.lit(d) for d in DAYS]), h["day"]).alias("day"), h["closed"].alias("closed"), h["opens"].alias("open"), h["closes"].alias("close"), h["note"].alias("note"))).alias("hours"),
+            F.struct(part("street", stated["street"]).alias("street"), part("street2", none).alias("street2"), part("city", stated["city"]).alias("city"), part("region", stated["region"]).alias("region"), part("postal_code", stated["postal_code"]).alias("postalCode"), part("country", more("country")).alias("country")).alias("address"),
+            F.struct(more("lat", "double").alias("lat"), more("lng", "double").alias("lng")).alias("geo"), F.transform("hours", day).alias("hours"),
         ).alias("contact"),
         F.struct(F.col("logo"), F.col("colours").alias("colors"), F.col("fonts")).alias("brand"), "social",
         F.struct(F.struct(T.humanize_heading(pick(F.col("h1"), og["title"], name)).alias("headline"), pick(og["description"], F.col("description"), F.get("paragraphs", F.lit(0))).alias("subhead"), F.col("hero").alias("image")).alias("hero"),
                  F.struct(about.alias("heading"), F.col("about").alias("body")).alias("about")).alias("content"),
         "services", "gallery", "testimonials", F.transform("team", lambda m: F.struct(m["name"].alias("name"), m["role"].alias("role"), m["bio"].alias("bio"))).alias("team"), "faqs",
-        F.struct("title", "description", "keywords").alias("seo"),
+        F.struct("title", "description", "keywords").alias("seo"), F.struct(extra("social_gaps", "array<string>").alias("gaps")).alias("meta"),
     )
     return normalize_profiles(rows)
 

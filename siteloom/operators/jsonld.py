@@ -67,16 +67,22 @@ def jsonld_business(jsonld: DataFrame) -> DataFrame:
 
 
 def jsonld_profile(jsonld: DataFrame) -> DataFrame:
-    """(site, page_id, name, description, category, phone, email, street, city, region, postal_code, lat, lng)."""
+    """(site, page_id, name, description, category, phone, email, street, city, region, postal_code, lat, lng, legal_name, country, price_range, founded, service_area).
+
+    An address that is a text is a street; a founding date counts by its year.
+    """
     n = F.col("node")
+    areas = F.filter(F.transform(items(member(n, "areaServed")), said), lambda x: x != "")
+    whole = F.when(F.schema_of_variant(member(n, "address")) == "STRING", text_of(n, "$.address"))
     other = F.get(F.filter("types", lambda t: ~t.rlike("(?i)^(LocalBusiness|Organization)$")), F.lit(0))
     return jsonld_business(jsonld).select(
         *PAGE, F.coalesce(F.nullif(text_of(n, "$.name"), F.lit("")), text_of(n, "$.legalName")).alias("name"), text_of(n, "$.description").alias("description"),
         F.coalesce(F.nullif(text_of(n, "$.additionalType"), F.lit("")), other, F.lit("")).alias("category"), text_of(n, "$.telephone").alias("phone"),
-        F.regexp_replace(text_of(n, "$.email"), "(?i)^mailto:", "").alias("email"), text_of(n, "$.address.streetAddress").alias("street"), text_of(n, "$.address.addressLocality").alias("city"),
+        F.regexp_replace(text_of(n, "$.email"), "(?i)^mailto:", "").alias("email"), F.coalesce(text_of(n, "$.address.streetAddress").cast("string"), F.lit("")).alias("street_"), F.coalesce(whole, F.lit("")).alias("whole_"), text_of(n, "$.address.addressLocality").alias("city"),
         text_of(n, "$.address.addressRegion").alias("region"), text_of(n, "$.address.postalCode").alias("postal_code"),
         F.try_variant_get(n, "$.geo.latitude", "double").alias("lat"), F.try_variant_get(n, "$.geo.longitude", "double").alias("lng"),
-    )
+        text_of(n, "$.legalName").alias("legal_name"), text_of(n, "$.address.addressCountry").alias("country"), text_of(n, "$.priceRange").alias("price_range"), F.substring(text_of(n, "$.foundingDate"), 1, 4).alias("founded"), areas.alias("service_area"),
+    ).withColumn("street_", F.when(F.col("street_") != "", F.col("street_")).otherwise(F.col("whole_"))).drop("whole_").withColumnRenamed("street_", "street")
 
 
 def day_number(c: Column) -> Column:

@@ -40,28 +40,28 @@ def theme_tokens(brands: DataFrame, palettes: DataFrame) -> DataFrame:
     """
     if (many := palettes.count()) > 1000:
         raise ValueError(f"{many} palettes; a dimension of at most 1000 is paired with every site")
-    # What a brand doesn't touch is worked out once for each palette.
-    readable = palettes.withColumn("text", C.ensure_contrast(F.col("text"), F.col("bg"), 7.0)).withColumn("text_muted", C.ensure_contrast(F.col("text_muted"), F.col("bg")))
-    readable = readable.withColumn("text_on_surface", C.ensure_contrast(F.col("text"), F.col("surface"), 7.0)).withColumn("border_strong", C.mix(F.col("border"), F.col("text"), 0.35))
+    once = lambda df, **made: df.select(*[c for c in df.columns if c not in made], F.explode(F.array(F.struct(*[v.alias(n) for n, v in made.items()]))).alias("_m")).select("*", "_m.*").drop("_m")
+    # What a brand doesn't touch is worked out once for each palette. A row of one keeps a value that is read several times from being written into every place that reads it.
+    readable = once(palettes, text=C.ensure_contrast(F.col("text"), F.col("bg"), 7.0))
+    readable = once(readable, text_muted=C.ensure_contrast(F.col("text_muted"), F.col("bg")), text_on_surface=C.ensure_contrast(F.col("text"), F.col("surface"), 7.0), border_strong=C.mix(F.col("border"), F.col("text"), 0.35))
     rows = readable.agg(F.collect_list(F.struct(*readable.columns)).alias("p"))
     each = brands.select("site", C.colour_parse(F.col("primary")).alias("own"), C.colour_parse(F.col("accent")).alias("second")).withColumn("p", rows.scalar())
     each = each.select("site", "own", "second", F.explode("p").alias("p")).select("site", "own", "second", "p.*")
     light, ours = F.col("mode") == "light", F.col("own").isNotNull()
-    each = each.withColumn("primary", F.when(ours, C.ensure_contrast(F.col("own"), F.col("bg"))).otherwise(F.col("primary")))
-    each = each.withColumn("seen", F.when(F.col("second").isNotNull(), C.ensure_contrast(F.col("second"), F.col("bg"), 3.0)))
-    each = each.withColumn("accent", F.when(C.contrast(F.col("seen"), F.col("primary")) > 1.25, F.col("seen")).otherwise(F.col("accent")))
-    each = each.withColumn("tones", F.when(ours & light, C.ramp(F.col("primary"))))
+    each = once(each, primary=F.when(ours, C.ensure_contrast(F.col("own"), F.col("bg"))).otherwise(F.col("primary")), seen=F.when(F.col("second").isNotNull(), C.ensure_contrast(F.col("second"), F.col("bg"), 3.0)))
+    each = once(each, accent=F.when(C.contrast(F.col("seen"), F.col("primary")) > 1.25, F.col("seen")).otherwise(F.col("accent")), tones=F.when(ours & light, C.ramp(F.col("primary"))))
+    each = once(each, link=C.ensure_contrast(F.col("primary"), F.col("bg")), on_primary=C.best_foreground(F.col("primary"), LABELS), on_accent=C.best_foreground(F.col("accent"), LABELS))
     tone = lambda t: F.get(F.filter("tones", lambda x: x["tone"] == t), F.lit(0))["hex"]
     soft = lambda t, own, other: F.coalesce(tone(t), C.mix(F.col("primary"), F.col("bg"), F.when(ours, own).otherwise(other)))
     away: Column = F.when(light, "#000000").otherwise("#ffffff")
     return each.select(
-        "site", "theme", "mode", *COLOURS, "text_on_surface", "border_strong", C.ensure_contrast(F.col("primary"), F.col("bg")).alias("link"),
-        C.best_foreground(F.col("primary"), LABELS).alias("on_primary"), C.best_foreground(F.col("accent"), LABELS).alias("on_accent"), C.mix(F.col("primary"), away, 0.16).alias("primary_hover"),
+        "site", "theme", "mode", *COLOURS, "text_on_surface", "border_strong", "link", "on_primary", "on_accent", C.mix(F.col("primary"), away, 0.16).alias("primary_hover"),
         soft(50, 0.82, 0.88).alias("primary_soft"), soft(200, 0.6, 0.7).alias("primary_border"), F.when(ours & (F.col("primary") != F.col("own")), F.col("own")).alias("adjusted_from"),
     )
 
 
 def text_pairs(tokens: DataFrame) -> DataFrame:
     """(site, theme, mode, pair, text, background, ratio, least, passes): the seven pairs of every row of theme_tokens()."""
-    rows = F.array(*[F.struct(F.lit(name).alias("pair"), F.col(fg).alias("text"), F.col(bg).alias("background"), C.contrast(F.col(fg), F.col(bg)).alias("ratio"), F.lit(least).alias("least")) for name, fg, bg, least in PAIRS])
-    return tokens.select("site", "theme", "mode", F.explode(rows).alias("x")).select("site", "theme", "mode", "x.*", (F.col("x.ratio") >= F.col("x.least")).alias("passes"))
+    rows = F.array(*[F.struct(F.lit(name).alias("pair"), F.col(fg).alias("text"), F.col(bg).alias("background"), F.lit(least).alias("least")) for name, fg, bg, least in PAIRS])
+    each = tokens.select("site", "theme", "mode", F.explode(rows).alias("x")).select("site", "theme", "mode", "x.*").withColumn("ratio", C.contrast(F.col("text"), F.col("background")))
+    return each.select("site", "theme", "mode", "pair", "text", "background", "ratio", "least", (F.col("ratio") >= F.col("least")).alias("passes"))

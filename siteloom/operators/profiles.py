@@ -126,13 +126,8 @@ def brand_contrast(profiles: DataFrame, palettes: DataFrame) -> DataFrame:
     pairs = palettes.agg(F.collect_list(F.struct("theme", "mode", "background")).alias("p"))
     rows = profiles.select("site", C.colour_parse(F.col("brand.colors.primary")).alias("colour")).where("colour is not null").withColumn("p", pairs.scalar())
     rows = rows.select("site", "colour", F.explode("p").alias("p")).select("site", "colour", "p.*")
-    ratio = C.contrast(F.col("colour"), F.col("background"))
-    rows = rows.withColumn("ratio", ratio).withColumn("hsl", C.hsl(F.col("colour")))
-    sign = F.when(C.luminance(F.col("background")) > 0.5, -1).otherwise(1)
-    at = lambda step: C.from_hsl(F.col("hsl.h"), F.col("hsl.s"), 0.5 + sign * step / 100.0)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(50)), at)
-    fit = F.get(F.filter(steps, lambda h: C.contrast(h, F.col("background")) >= 4.5), F.lit(0))
-    return rows.select("site", "theme", "mode", "ratio", (F.col("ratio") >= 4.5).alias("passes"), F.when(F.col("ratio") >= 4.5, F.col("colour")).otherwise(fit).alias("corrected"))
+    rows = rows.withColumn("ratio", C.contrast(F.col("colour"), F.col("background")))
+    return rows.select("site", "theme", "mode", "ratio", (F.col("ratio") >= 4.5).alias("passes"), C.ensure_contrast(F.col("colour"), F.col("background")).alias("corrected"))
 
 
 SECTION = "array<struct<type:string,title:string,intro:string,max_items:int,preview:boolean,compact:boolean,heading:string,exclude:string>>"

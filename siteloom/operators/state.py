@@ -27,3 +27,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_by(df: DataFrame, key: str, label: str, buckets: int | None = None) -> DataFrame:
+    """df as a table in buckets by a hash of the key: later groupings, windows and joins by the key alone need no exchange. One exchange writes it."""
+    spark = df.sparkSession
+    n = buckets or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that written() or written_by() made and that no later plan reads."""
+    for file in df.inputFiles()[:1]:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
