@@ -25,7 +25,7 @@ def css_sources(nodes: DataFrame, stylesheets: DataFrame) -> DataFrame:
     """(site, css): bodies of style tags, style attributes as rules, and the site's first six sheets, each cut to 300,000 characters."""
     inline = nodes.where("tag = 'style' and text <> ''").select("site", F.col("text").alias("css"))
     styled = nodes.where(attr("style").isNotNull()).select("site", F.concat(F.lit("x{"), attr("style"), F.lit("}")).alias("css"))
-    own = stylesheets.where(~F.col("url").rlike("(?i)font|icon|bootstrap")).dropDuplicates(["site", "url"])
+    own = stylesheets.where(~F.col("url").rlike("(?i)font|icon|bootstrap")).groupBy("site", "url").agg(F.min("css").alias("css"))  # of differing bodies at one address the same one in every run
     first = own.withColumn("nth", F.row_number().over(Window.partitionBy("site").orderBy("url"))).where(F.col("nth") <= SHEETS)
     return inline.unionByName(styled).unionByName(first.select("site", F.substring("css", 1, SHEET_CHARS).alias("css")))
 
