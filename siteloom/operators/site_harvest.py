@@ -124,9 +124,11 @@ def site_harvest(facts: DataFrame) -> DataFrame:
     number = F.sum(F.when(F.col("fact") == "pages", F.col("n"))).alias("pages")
     start = F.min_by(F.from_json("v", "url string")["url"], F.when(F.col("fact") == "pages", F.col("place"))).alias("start")
     sites = facts.groupBy("site").agg(number, start, *[rows(k, "hours" if k == "stated_hours" else None) for k in kinds])
-    colours = facts.where("fact = 'colour'").select("site", F.col("key").alias("hex"), F.col("n").alias("score"))
-    themed = facts.where("fact = 'head'").select("site", B.C.colour_parse(F.from_json("v", SHAPES["head"])["theme_color"]).alias("hex"), F.lit(B.THEME_COLOUR).cast("bigint").alias("score")).where("hex is not null and hex not in ('#000000', '#ffffff')")
-    palette = B.brand_palette(colours.unionByName(themed).groupBy("site", "hex").agg(F.sum("score").alias("score")))
+    # One scan gives the sheets' colours and the home page's own; a union of two would lose the buckets.
+    own = F.col("fact") == "colour"
+    shades = facts.where("fact in ('colour', 'head')").select(
+        "site", F.when(own, F.col("key")).otherwise(B.C.colour_parse(F.from_json("v", SHAPES["head"])["theme_color"])).alias("hex"), F.when(own, F.col("n")).otherwise(B.THEME_COLOUR).alias("score"))
+    palette = B.brand_palette(shades.where("hex is not null and hex not in ('#000000', '#ffffff')").groupBy("site", "hex").agg(F.sum("score").alias("score")))
     fonts = B.brand_fonts(facts.where("fact = 'font'").select("site", F.col("key").alias("font"), "n"))
     each = sites.join(palette, "site", "left").join(fonts, "site", "left")
     values = lambda kind: F.transform(kind, lambda r: r["v"])
