@@ -29,16 +29,17 @@ from siteloom.llm.common import DOCUMENT_COLUMNS, bounded_sample, discard, let,
 #: The base rules.
 ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = "AKIA[A-Z0-9]{12,}"
-HEX = "[0-9a-f]{32,}"
+#: Not starting inside a run finds the same matches as trying each of its characters.
+HEX = "(?<![0-9a-f])[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "markov")
 #: Least length of what the models judge, and tokens of that length.
 LEAST = 12
-TOKEN = f"[A-Za-z0-9+/_=-]{{{LEAST},}}"
+TOKEN = f"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: Characters by place from 1: upper case to 26, lower case to 52, digits to 62, then +, and from SEPARATOR on what separates.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 SEPARATOR, WIDTH = 64, len(ALPHABET) + 1
 #: Words to train the model of ordinary identifiers on.
-WORD = "[A-Za-z0-9+/_=-]{6,}"
+WORD = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{6,}"
 #: Chance that an ordinary token is taken, by the model and by held-out forms.
 FALSE_RATE, HELD_RATE = 1e-4, 1e-3
 #: Length classes of held-out forms, by least length; a class with fewer than 1 / HELD_RATE forms takes the figure of all forms.
@@ -71,11 +72,9 @@ def below(ascending: Column, x: Column) -> Column:
 def spans(text: Column, pattern: str, kind: int, group: int = 0, least: int = 0) -> Column:
     """Array of (start, kind, end, value): the matches, leftmost and not overlapping, whose group has so many characters."""
     all_of = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
-    own = all_of(0)
-    sizes = let(
-        F.struct(F.split(text, pattern, -1).alias("p"), own.alias("m"), (all_of(group) if group else own).alias("v")),
-        lambda x: F.transform(x["m"], lambda m, i: F.struct(F.length(m).alias("own"), (F.length(F.get(x["p"], i)) + F.length(m)).alias("step"), F.get(x["v"], i).alias("value"))),
-    )
+    found = [F.split(text, pattern, -1).alias("p"), all_of(0).alias("m"), *([all_of(group).alias("v")] if group else [])]
+    sizes = let(F.struct(*found), lambda x: F.transform(x["m"], lambda m, i: F.struct(
+        F.length(m).alias("own"), (F.length(F.get(x["p"], i)) + F.length(m)).alias("step"), (F.get(x["v"], i) if group else m).alias("value"))))
     placed = let(sizes, lambda rows: let(
         running(F.transform(rows, lambda r: r["step"]), lambda a, b: a + b),
         lambda ends: F.transform(rows, lambda r, i: F.struct((F.get(ends, i) - r["own"]).alias("start"), F.lit(kind).alias("kind"), F.get(ends, i).alias("end"), r["value"].alias("value"))),
