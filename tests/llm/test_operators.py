@@ -6,6 +6,7 @@ import heapq
 import math
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
@@ -370,28 +371,89 @@ def test_personal_data_equals_the_rules(docs, rows, private, trained):
             assert set(filter(None, text.split(","))) <= set(r.spans.split(",")) and len(r.spans.split(",")) - len(want) in (r.n_added, 1 if not r.spans else r.n_added)
 
 
-def test_trees_find_what_the_rules_lose(trained):
-    """Forms that the rules don't know, planted in other surroundings: recall of each kind, and precision against decoys."""
+def added(model, text):
+    return model.select([text], [personal_by_rules(text)])[0]
+
+
+@pytest.mark.parametrize("form_of, decoy_of, least", [(pii.rewritten, pii.decoy, (0.85, 0.85, 0.85, 0.85)), (pii.held_form, pii.held_decoy, (0.9, 0.75, 0.9, 0.5))])
+def test_trees_find_what_the_rules_lose(trained, form_of, decoy_of, least):
+    """Lost forms of both families in other surroundings: recall of each kind, and precision; a span with wrong ends is wrong.
+
+    Trees have never seen the second family; a third of the documents calibrated on it."""
     rng, right, wrong = random.Random(99), 0, 0
     for kind in range(4):
-        found = planted = 0
+        texts, spans = [], []
         for i in range(250):
             value = ["jo.ha@host3.example.org", f"{i % 256}.17.200.9", pii.with_check_digit("4" + "".join(rng.choices("0123456789", k=15))), f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"][kind]
-            ahead, form, after = pii.rewritten(kind, value, rng)
+            ahead, form, after = form_of(kind, value, rng)
             start = words(rng, 5) + " "
             text, span = start + ahead + form + after + " " + words(rng, 3), (kind, len(start + ahead), len(start + ahead + form))
-            base = personal_by_rules(text)
-            if not any(span[1] < j and i < span[2] for _, i, j in base):
-                got = trained.select(text, base)
-                planted, found, wrong = planted + 1, found + (span in got), wrong + len([x for x in got if not (x[1] < span[2] and span[1] < x[2])])
-        assert planted > 150 and found >= 0.85 * planted, (pii.KINDS[kind], found, planted)
+            if not any(span[1] < j and i < span[2] for _, i, j in personal_by_rules(text)):
+                texts.append(text)
+                spans.append(span)
+        got = trained.select(texts, [personal_by_rules(t) for t in texts])
+        found = sum(s in g for s, g in zip(spans, got))
+        wrong += sum(x != s for s, g in zip(spans, got) for x in g)
+        assert len(texts) > 150 and found >= least[kind] * len(texts), (pii.KINDS[kind], found, len(texts))
         right += found
-    for _ in range(1000):
-        text = f"{words(rng, 5)} {pii.decoy(rng)} {words(rng, 3)}"
-        wrong += len(trained.select(text, personal_by_rules(text)))
-    assert right >= 0.95 * (right + wrong), (right, wrong)
+    texts = [f"{words(rng, 5)} {decoy_of(rng)} {words(rng, 3)}" for _ in range(1000)]
+    wrong += sum(map(len, trained.select(texts, [personal_by_rules(t) for t in texts])))
+    print("right, wrong", right, wrong)
+    assert right >= 0.9 * (right + wrong), (right, wrong)
+
+
+def test_lost_spans_by_hand(trained):
     lost = "words 5105105105105107 4111111111111111 words, +1 (826) 555-4081 190.137.223.204 words"
-    assert [lost[i:j] for k, i, j in trained.select(lost, personal_by_rules(lost))] == ["4111111111111111", "+1 (826) 555-4081"]
+    assert [lost[i:j] for k, i, j in added(trained, lost)] == ["4111111111111111", "+1 (826) 555-4081"]
+    forms = ["020 7946 0958", "07700 900123", "fe80::1ff:fe23:4567:890a", "jane dot doe at example dot com", "(217) 555-0142", "jane [at] example [dot] com", "4111.1111.1111.1111", "2001:db8::1", "217.555.0142"]
+    found = 0
+    for form in forms:
+        text = f"the word is {form} and so on"
+        found += [text[i:j] for _, i, j in added(trained, text)] == [form]
+    assert found >= len(forms) - 1
+
+
+def test_held_forms_share_nothing_with_fitted_ones():
+    """What is left of the forms of both families without letters and digits differs, for every kind."""
+    rng = random.Random(3)
+    value = ["jo.ha@host3.example.org", "13.17.200.9", "4111111111111111", "+1 (217) 555-0142"]
+    for kind in range(4):
+        shape = lambda form: re.sub("[0-9]", "9", re.sub("[0-9a-fA-F]+", lambda m: str(len(m[0])), form) if kind == 1 else form)  # noqa: E731, B023
+        fitted, held = ({shape(f(kind, value[kind], rng)[1]) for _ in range(400)} for f in (pii.rewritten, pii.held_form))
+        assert fitted and held and not fitted & held, (kind, fitted & held)
+
+
+def test_candidates_equal_all_cuts():
+    """Each kind's candidates against every cut of every run of digit groups."""
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["0", "12", "345", "6789", " ", "-", ".", "(", ")", "+", "a", "/"]) for _ in range(40))
+        want = set()
+        for run in (r for r in pii.RUN.finditer(text) if r.end() - r.start() >= 7):
+            groups = [m.span() for m in pii.GROUP.finditer(text, *run.span())]
+            for i, (start, _) in enumerate(groups):
+                for _, end in groups[i : i + pii.MOST_GROUPS]:
+                    n = sum(map(str.isdigit, text[start:end]))
+                    if end - start <= pii.MOST_CHARS and n <= 19:
+                        want |= {(k, start, end) for k in (2, 3) if (n >= 13 if k == 2 else 7 <= n <= 15)}
+        got = [c for c in pii.candidates(text) if c[0] >= 2]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_personal_data_in_long_texts_is_linear(trained):
+    """A text of numbers, addresses and obfuscated ones: four times the text takes at most about four times as long."""
+    rng = random.Random(4)
+
+    def seconds(n):
+        line = lambda: f"{rng.randrange(10**4):04d} {rng.randrange(10**4):04d} jo{rng.randrange(99)}@host.example.org, al at host dot org "
+        text = "".join(line() for _ in range(n // 65))
+        at = time.perf_counter()
+        found = trained.select([text], [pii.base_spans(text)])[0]
+        assert len(found) < n
+        return time.perf_counter() - at
+
+    small = min(seconds(30_000) for _ in range(2))
+    assert seconds(120_000) < 8 * small
 
 
 @pytest.mark.parametrize("text", ["a@b.c@d.e", "1.2.3.4.5.6.7.8", "999.1.1.1 1.1.1.1", "@x.y a@b", "4111 1111 1111 1111", "1" * 500 + ".2.3.4", "a@b.c.@d.e x+y@z-.q..w", "+1+22222222 +3 (4)"])
