@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siteloom.functions.once import let
+
 #: Tracking parameters, files that are no pages, images.
 TRACKING = "(?i)^(utm_|fbclid|gclid|mc_|ref(=|$)|source(=|$))"
 ASSET = r"(?i)\.(pdf|zip|docx?|xlsx?|pptx?|csv|mp4|mp3|avi|mov|wmv|dmg|exe|rar|gz|tgz|svgz)$"
@@ -34,11 +34,6 @@ PAGE_KINDS = (
 _HEAD = r"^(?i)(https?)://([^/?#]*)"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value written into the plan once however often body uses it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def scheme(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, _HEAD, 1))
 
@@ -117,14 +112,14 @@ def absolute(href: Column, base: Column) -> Column:
         .when(h.startswith("?"), F.concat(root, path(base), h))
         .otherwise(F.concat(root, folder, h))
     )
-    clean = _let(target, lambda t: F.when(host(t) != "", F.concat(F.regexp_extract(t, "^([^/]*//[^/?]*)", 1), _let(without_dots(path(t)), _encoded), query(t))))
+    clean = let(target, lambda t: F.when(host(t) != "", F.concat(F.regexp_extract(t, "^([^/]*//[^/?]*)", 1), let(without_dots(path(t)), _encoded), query(t))))
     bad = F.trim(href).rlike(r"(?i)^(#|$)") | (F.trim(href).rlike(r"(?i)^[a-z][a-z0-9+.-]*:") & ~F.trim(href).rlike("(?i)^https?:"))
     return F.when(href.isNotNull() & ~bad, clean)
 
 
 def canonical(url: Column) -> Column:
     """Without fragment, tracking parameters and trailing slashes."""
-    return _let(url, _canonical)
+    return let(url, _canonical)
 
 
 def _canonical(url: Column) -> Column:
@@ -137,7 +132,7 @@ def _canonical(url: Column) -> Column:
 
 def page_kind(url: Column) -> Column:
     """Struct of kind and score."""
-    return _let(url, _page_kind)
+    return let(url, _page_kind)
 
 
 def _page_kind(url: Column) -> Column:
@@ -148,4 +143,4 @@ def _page_kind(url: Column) -> Column:
 
 def crawlable(url: Column) -> Column:
     """Worth a visit: no asset, no skipped path or query, four levels deep at most."""
-    return _let(url, lambda u: ~is_asset(u) & ~u.rlike(SKIP_PATH) & ~query(u).rlike(SKIP_QUERY) & (depth(u) <= 4))
+    return let(url, lambda u: ~is_asset(u) & ~u.rlike(SKIP_PATH) & ~query(u).rlike(SKIP_QUERY) & (depth(u) <= 4))

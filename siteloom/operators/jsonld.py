@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
+from siteloom.functions.once import let
 from siteloom.operators.contacts import to_12h
 from siteloom.operators.pages import PAGE, attr
 
@@ -33,8 +34,8 @@ def text_of(node: Column, path: str) -> Column:
 
 def items(v: Column) -> Column:
     """A JSON array's items, or the value itself as the only one; none for null."""
-    listed = F.try_variant_get(v, "$", "array<variant>")
-    return F.when(v.isNull(), F.array().cast("array<variant>")).otherwise(F.coalesce(listed, F.array(v)))
+    listed = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array(x))
+    return let(v, lambda x: F.when(x.isNull(), F.array().cast("array<variant>")).otherwise(listed(x)))
 
 
 def jsonld_nodes(nodes: DataFrame) -> DataFrame:

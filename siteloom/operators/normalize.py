@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import colour as C
 from siteloom.functions import text as T
+from siteloom.functions.once import let
 from siteloom.operators.contacts import tel_href
 from siteloom.operators.jsonld import DAYS, items
 
@@ -27,8 +28,7 @@ KEPT = {
 
 def first_of_each(rows: Column, key: Callable[[Column], Column]) -> Column:
     """An array without items whose key an earlier one has."""
-    keys = F.transform(rows, key)
-    return F.filter(rows, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return let(rows, lambda all_: let(F.transform(all_, key), lambda keys: F.filter(all_, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
 def at(v: Column, *path: str) -> Column:
@@ -74,31 +74,35 @@ def shaped(rows: Column, make: Callable[..., Column], keep: Callable[[Column], C
 
 def numbered_slug(given: Column, name: Column, stem: str, i: Column) -> Column:
     """A slug of what is given, else of the name, else the stem with the item's number."""
-    base = T.slug(F.when(given != "", given).otherwise(name), "")
-    return F.when(base != "", base).otherwise(F.concat(F.lit(f"{stem}-"), (i + 1).cast("string")))
+    base = T.slug(let(given, lambda g: F.when(g != "", g).otherwise(name)), "")
+    return let(base, lambda b: F.when(b != "", b).otherwise(F.concat(F.lit(f"{stem}-"), (i + 1).cast("string"))))
 
 
 def button(v: Column) -> Column:
     """A label with its address; null without a label."""
-    return F.when(text(v, "label") != "", F.struct(text(v, "label").alias("label"), text(v, "href").alias("href")))
+    return let(v, lambda x: let(text(x, "label"), lambda label: F.when(label != "", F.struct(label.alias("label"), text(x, "href").alias("href")))))
 
 
 def week(v: Column) -> Column:
     """One entry per day in the order of the week, the last one given for a day. A day is known by three letters of its start."""
     def entry(h: Column) -> Column:
-        start = F.substring(F.lower(plain(h, "day")), 1, 3)
-        return F.struct(
-            F.coalesce(*[F.when((start != "") & F.startswith(F.lit(d), start), F.lit(i)) for i, d in enumerate(DAYS)]).alias("n"), (yes(h, "closed") | plain(h, "open").rlike("(?i)closed")).alias("closed"), *fields(h, "open", "close", "note"))
+        number = let(F.substring(F.lower(plain(h, "day")), 1, 3), lambda start: F.when(start != "", F.coalesce(*[F.when(F.startswith(F.lit(d), start), F.lit(i)) for i, d in enumerate(DAYS)])))
+        return F.struct(number.alias("n"), (yes(h, "closed") | plain(h, "open").rlike("(?i)closed")).alias("closed"), *fields(h, "open", "close", "note"))
+
+    def shown(h: Column, i: Column) -> Column:
+        day = F.get(F.array(*[F.lit(d) for d in DAYS]), i)
+        return F.when(h.isNotNull(), F.struct(day.alias("day"), h["closed"].alias("closed"), F.when(h["closed"], "").otherwise(h["open"]).alias("open"), F.when(h["closed"], "").otherwise(h["close"]).alias("close"), h["note"].alias("note")))
 
     known = shaped(F.filter(v, lambda h: F.schema_of_variant(h).startswith("OBJECT")), entry, lambda h: h["n"].isNotNull())
-    last = lambda i: F.try_element_at(F.filter(known, lambda h: h["n"] == i), F.lit(-1))
-    shown = lambda h, i: F.struct(
-        F.get(F.array(*[F.lit(d) for d in DAYS]), i).alias("day"), h["closed"].alias("closed"), F.when(h["closed"], "").otherwise(h["open"]).alias("open"), F.when(h["closed"], "").otherwise(h["close"]).alias("close"), h["note"].alias("note"))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: F.when(last(i).isNotNull(), shown(last(i), i))), lambda h: h.isNotNull())
+    last = lambda rows, i: F.try_element_at(F.filter(rows, lambda h: h["n"] == i), F.lit(-1))
+    return let(known, lambda rows: F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: let(last(rows, i), lambda h: shown(h, i))), lambda h: h.isNotNull()))
 
 
 def service(s: Column, i: Column) -> Column:
-    name = T.humanize_heading(either(s, "name", "title"))
+    return let(T.humanize_heading(either(s, "name", "title")), lambda name: _service(s, i, name))
+
+
+def _service(s: Column, i: Column, name: Column) -> Column:
     titled = lambda x: T.humanize_heading(text(x, "title")).alias("title")
     stats = shaped(listed(s, "stats"), lambda x: F.struct(*fields(x, "value", "label", "note")), lambda x: (x["value"] != "") & (x["label"] != ""))
     outcomes = shaped(listed(s, "outcomes"), lambda x: F.struct(text(x, "icon").alias("icon"), titled(x), text(x, "text").alias("text")), lambda x: (x["title"] != "") & (x["text"] != ""))
@@ -111,7 +115,10 @@ def service(s: Column, i: Column) -> Column:
 
 
 def case_study(c: Column, i: Column) -> Column:
-    client = either(c, "client", "name")
+    return let(either(c, "client", "name"), lambda client: _case_study(c, i, client))
+
+
+def _case_study(c: Column, i: Column, client: Column) -> Column:
     metrics = shaped(listed(c, "metrics"), lambda m: F.struct(*fields(m, "label", "before", "after", "change", "note", "icon"), yes(m, "highlight").alias("highlight")), lambda m: (m["label"] != "") & ((m["before"] != "") | (m["after"] != "")))
     quote = at(c, "quote")
     return F.struct(
@@ -149,6 +156,7 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
     p = as_variant(profiles)
     v = F.col("p")
     kept = lambda part: [plain(v, part, n).alias(n) for n in KEPT[part]]
+    # What several parts read has a column of its own.
     area = first_of_each(texts(v, "business", "serviceArea"), F.lower)
     phones = first_of_each(F.concat(texts(v, "contact", "phones"), texts(v, "contact", "phone")), tel_href)
     mails = F.filter(F.transform(F.concat(texts(v, "contact", "emails"), texts(v, "contact", "email")), F.lower), lambda e: F.contains(e, F.lit("@")))
@@ -162,7 +170,7 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
         """A rating from 1 to 5; the number 0 is none, a text of it is the least."""
         said = F.try_variant_get(t, "$['rating']", "string").try_cast("double")
         number = F.schema_of_variant(at(t, "rating")) != "STRING"
-        return F.when(said.isNotNull() & ~F.isnan(said) & ~(number & (said == 0)), F.least(F.lit(5.0), F.greatest(F.lit(1.0), said)))
+        return let(said, lambda x: F.when(x.isNotNull() & ~F.isnan(x) & ~(number & (x == 0)), F.least(F.lit(5.0), F.greatest(F.lit(1.0), x))))
 
     hero, about, closing = at(v, "content", "hero"), at(v, "content", "about"), at(v, "content", "closingCta")
     values = shaped(listed(v, "content", "valueProps"), lambda x: F.struct(text(x, "icon").alias("icon"), T.humanize_heading(text(x, "title")).alias("title"), text(x, "text").alias("text")), lambda x: (x["title"] != "") | (x["text"] != ""))
@@ -171,12 +179,12 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
     quote = lambda t: F.struct(
         either(t, "quote", "text").alias("quote"), either(t, "author", "name").alias("author"), *fields(t, "role", "location"), stars(t).alias("rating"), *fields(t, "source", "date"))
     asked = lambda f: F.struct(either(f, "question", "q").alias("question"), either(f, "answer", "a").alias("answer"))
-    full = p.select(
+    full = p.select("site", "p", phones.alias("_phones"), mails.alias("_mails")).select(
         "site", F.lit(VERSION).alias("version"), T.slug(F.coalesce(F.nullif(plain(v, "slug"), F.lit("")), F.lit("client")), "item").alias("slug"),
         F.struct(*fields(at(v, "source"), "url", "harvestedAt", "notes", of=plain), F.coalesce(F.try_variant_get(v, "$['source']['pagesCrawled']", "bigint"), F.lit(0)).alias("pagesCrawled"), texts(v, "source", "socialSources").alias("socialSources")).alias("source"),
         F.struct(*fields(at(v, "business"), "name", "legalName", "tagline", "category", "description", "founded"), *kept("business"), texts(v, "business", "licenses").alias("licenses"), area.alias("serviceArea"), texts(v, "business", "languages").alias("languages")).alias("business"),
-        F.struct(F.when(plain(v, "contact", "phone") != "", text(v, "contact", "phone")).otherwise(F.coalesce(F.get(phones, F.lit(0)), F.lit(""))).alias("phone"), phones.alias("phones"),
-                 F.when(plain(v, "contact", "email") != "", F.lower(text(v, "contact", "email"))).otherwise(F.coalesce(F.get(mails, F.lit(0)), F.lit(""))).alias("email"), first_of_each(mails, lambda x: x).alias("emails"),
+        F.struct(F.when(plain(v, "contact", "phone") != "", text(v, "contact", "phone")).otherwise(F.coalesce(F.get("_phones", F.lit(0)), F.lit(""))).alias("phone"), F.col("_phones").alias("phones"),
+                 F.when(plain(v, "contact", "email") != "", F.lower(text(v, "contact", "email"))).otherwise(F.coalesce(F.get("_mails", F.lit(0)), F.lit(""))).alias("email"), first_of_each(F.col("_mails"), lambda x: x).alias("emails"),
                  F.struct(*fields(at(v, "contact", "address"), "street", "street2", "city", "region", "postalCode", "country")).alias("address"), F.struct(number("contact", "geo", "lat"), number("contact", "geo", "lng")).alias("geo"),
                  week(listed(v, "contact", "hours")).alias("hours"), *kept("contact")).alias("contact"),
         F.struct(*kept("brand"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*fields(at(v, "brand", "fonts"), "heading", "body", of=plain)).alias("fonts")).alias("brand"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators import profiles as P
 from siteloom.operators.normalize import normalize_profiles
-from siteloom.operators.state import written
+from siteloom.operators.state import spread, written
 
 #: A field is empty where the key modulo its number here is 0.
 EMPTY = {path: 2 + i % 11 for i, (path, *_) in enumerate(P.FIELDS)}
@@ -65,7 +65,7 @@ def profile_validate(spark, sf_dir):
 
 def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised profiles of firms by key: any number of services of which some are described, a team alone, legal pages, case studies, or nothing at all."""
-    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     key, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
     some = lambda n, r, value: F.when(key % n == r, F.lit(value) if isinstance(value, str) else value)
