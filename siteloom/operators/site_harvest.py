@@ -79,7 +79,7 @@ def page_facts(pages: DataFrame, nodes: DataFrame, stylesheets: DataFrame | None
     leaf = business.select(*PAGE, F.explode(F.array(*leaves)).alias("x")).where("x.some").select("site", "page_id", "x.k", F.from_json("x.v", SHAPES["leaf"]).alias("x"))
     days = lambda df, note: df.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct(F.col("day").cast("int").alias("day"), "closed", "opens", "closes", note.alias("note")))).alias("days"))
     read, said = days(A.page_hours(nodes), F.col("note")), days(J.jsonld_hours(objects), F.lit(""))
-    blocks = written(X.block_labels(X.repeated_blocks(nodes), nodes), "blocks")
+    blocks = X.labelled_blocks(nodes)
     services, quotes, asked, people = X.page_services(nodes, blocks=blocks), X.page_testimonials(nodes), X.page_faqs(nodes), X.page_team(nodes, blocks=blocks)
     images = M.page_images(pages, nodes)
     css = written(B.css_sources(nodes, stylesheets if stylesheets is not None else nodes.sparkSession.createDataFrame([], "site string, url string, css string")), "css")

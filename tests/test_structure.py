@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siteloom.operators import content as X
 from siteloom.operators import pages as P
 from siteloom.operators.intervals import covered, enclosing
-from siteloom.operators.nodes import html_nodes
+from siteloom.operators.nodes import html_nodes, node_table, parse
 
 PAGE = "site string, page_id bigint"
 
@@ -102,3 +102,22 @@ def test_page_of_many_nodes(spark):
     assert X.page_services(nodes).count() == 24 and X.page_testimonials(nodes).count() == 30 and X.page_faqs(nodes).count() == 25
     assert P.page_audit(pages, nodes).first().layout_tables == 1 and P.page_paragraphs(nodes, 3).count() > 10_000
     assert time.monotonic() - began < 240  # seconds on a machine of its own; loops over pairs would take hours
+
+
+def test_services_and_team_keep_the_driver_small(spark):
+    """Tables that are written compress so well that a plan would send them to all tasks by way of the driver; what is shared is planned once."""
+    pages = spark.createDataFrame([("s", 1, "<body><main><h2>Our services</h2><div>" + "<p>All that we mend here</p>" * 3 + "</div></main></body>")], f"{PAGE}, html string")
+    nodes = node_table(pages)
+    for found in (X.page_services(nodes), X.page_team(nodes)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and len(plan) < 100_000
+
+
+def test_parser_streams_and_skips_runs_of_comments(spark):
+    """Pages without markup between others, and a run of comments, which is one step."""
+    html = "<body>" + "<!-- -->" * 60_000 + "".join(f"<i a={i}>x</i>" for i in range(3000)) + "</body>"
+    began = time.monotonic()
+    assert len(parse(html)) == 3001 and time.monotonic() - began < 5
+    pages = spark.createDataFrame([("s", i, html if i % 2 else None) for i in range(6)], f"{PAGE}, html string").coalesce(1)
+    got = html_nodes(pages).groupBy("page_id").agg(F.count("*").alias("n")).collect()
+    assert {(r.page_id, r["n"]) for r in got} == {(1, 3001), (3, 3001), (5, 3001)}
