@@ -21,6 +21,7 @@ FAX = r"(?i)\bfax\b[\s:.#-]*$"
 def matches(df: DataFrame, keys: list[str], text: Column, pattern: str) -> DataFrame:
     """(keys, pos, value, before): each match and the 40 characters between it and the match before."""
     hit = F.contains(text, F.lit("@")) if pattern == EMAIL else F.regexp_like(text, F.lit(r"\d{3}"))  # most texts need no search
+    pattern = T.ascii_words(pattern)
     found = df.where(hit).select(*keys, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("p"))
     rows = found.select(*keys, F.posexplode(F.arrays_zip("m", F.slice("p", F.lit(1), F.size("m")).alias("b"))).alias("pos", "x"))
     return rows.select(*keys, "pos", F.col("x.m").alias("value"), F.right(F.col("x.b"), F.lit(40)).alias("before"))
@@ -30,7 +31,7 @@ def looks_like_phone(value: Column, before: Column) -> Column:
     digits = F.regexp_replace(value, r"\D", "")
     area = F.when((F.length(digits) == 11) & F.startswith(digits, F.lit("1")), F.substring(digits, 2, 3)).otherwise(F.substring(digits, 1, 3))
     bad = (
-        ~F.length(digits).between(10, 15) | digits.rlike("^0+$") | F.trim(value).rlike(r"^(19|20)\d{2}[-/]") | before.rlike(NUMBER_OF)
+        ~F.length(digits).between(10, 15) | digits.rlike("^0+$") | F.trim(value).rlike(r"^(19|20)\d{2}[-/]") | before.rlike(T.ascii_words(NUMBER_OF))
         | (F.trim(value).rlike(r"^\d{10,}$") & ~value.rlike(r"[()\s.-]")) | F.substring(area, 1, 1).isin("0", "1")
     )
     return ~bad
@@ -51,7 +52,7 @@ def _phones(rows: DataFrame, keys: list[str]) -> DataFrame:
 def phones_text(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
     """(keys, ord, value, confidence): telephone numbers in a text column."""
     rows = matches(df, keys, T.squash(text), PHONE).where(looks_like_phone(F.col("value"), F.col("before")))
-    return _phones(rows.select(*keys, F.lit(1).alias("rank"), "pos", "value", F.col("before").rlike(FAX).alias("fax")), keys)
+    return _phones(rows.select(*keys, F.lit(1).alias("rank"), "pos", "value", F.col("before").rlike(T.ascii_words(FAX)).alias("fax")), keys)
 
 
 def phones(nodes: DataFrame) -> DataFrame:
@@ -61,7 +62,7 @@ def phones(nodes: DataFrame) -> DataFrame:
     links = nodes.where((F.col("tag") == "a") & F.startswith(attr("href"), F.lit("tel"))).where(looks_like_phone(value, F.lit("")))
     high = links.select(*PAGE, F.lit(0).alias("rank"), F.col("node_id").alias("pos"), F.coalesce(F.nullif("text", F.lit("")), href).alias("value"), F.lit(False).alias("fax"))
     body = matches(nodes.where("tag = 'body'"), PAGE, F.col("text"), PHONE).where(looks_like_phone(F.col("value"), F.col("before")))
-    return _phones(high.unionByName(body.select(*PAGE, F.lit(1).alias("rank"), "pos", "value", F.col("before").rlike(FAX).alias("fax"))), PAGE)
+    return _phones(high.unionByName(body.select(*PAGE, F.lit(1).alias("rank"), "pos", "value", F.col("before").rlike(T.ascii_words(FAX)).alias("fax"))), PAGE)
 
 
 def _emails(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from siteloom.functions import text as T
+from siteloom.operators import contacts as K
 from siteloom.operators import content as X
 from siteloom.operators import media as M
 from siteloom.operators.nodes import html_nodes
@@ -35,3 +39,14 @@ def test_questions_quotes_and_images(site):
     assert [r.question for r in X.page_faqs(nodes).orderBy("ord").collect()] == ["Service area", "Do you offer financing?"]
     assert [(r.quote, r.author) for r in X.page_testimonials(nodes).collect()] == [("They came out the same day and fixed everything.", "Ann")]
     assert [(r.url, r.alt) for r in M.page_images(pages, nodes).collect()] == [("https://s.org/a.jpg", "A")]
+
+
+def test_words_end_at_letters_beyond_ascii(spark):
+    """A letter beyond ASCII is no part of a word to browsers: what follows it can be the word that makes a number no phone, or end one."""
+    rows = spark.createDataFrame([(1, "für äein +1 (685) 555-8379"), (2, "beein +1 (685) 555-8379"), (3, "ruf 685-555-8379ä an"), (4, "äfax 685-555-8379")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.value) for r in K.phones_text(rows, ["doc_id"], F.col("text")).collect()) == [(2, "+1 (685) 555-8379"), (3, "685-555-8379")]
+
+
+def test_a_capital_is_one_letter(spark):
+    rows = spark.createDataFrame([("ßieung und",), ("über uns",)], "t string")
+    assert [r.h for r in rows.select(T.humanize_heading(F.col("t")).alias("h")).collect()] == ["ßieung und", "Über uns"]
