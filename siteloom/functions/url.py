@@ -94,10 +94,10 @@ def _encoded(c: Column) -> Column:
 
 def without_dots(p: Column) -> Column:
     """A path without . and .. segments; up to ten levels up."""
-    p = F.regexp_replace(F.regexp_replace(p, r"/(\./)+", "/"), r"/\.$", "/")
+    plain = F.regexp_replace(F.regexp_replace(p, r"/(\./)+", "/"), r"/\.$", "/")
     for _ in range(10):
-        p = F.regexp_replace(F.regexp_replace(p, r"^/\.\.(/|$)", "/"), r"/(?!\.\.(?:/|$))[^/]+/\.\.(/|$)", "/")
-    return p
+        plain = F.regexp_replace(F.regexp_replace(plain, r"^/\.\.(/|$)", "/"), r"/(?!\.\.(?:/|$))[^/]+/\.\.(/|$)", "/")
+    return F.when(F.contains(p, F.lit("/.")), plain).otherwise(p)  # most paths have none
 
 
 def absolute(href: Column, base: Column) -> Column:

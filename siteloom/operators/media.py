@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
 from siteloom.functions import url as U
+from siteloom.functions.once import found
 from siteloom.operators.pages import PAGE, attr
 
 #: Hosts of trackers, names of spacers, and words that give an image its role, first match first.
@@ -51,13 +52,14 @@ def page_images(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     chosen = F.get(F.filter(F.array(*[attr(a) for a in SOURCES], *[widest(attr(a)) for a in SETS]), lambda s: (F.coalesce(s, F.lit("")) != "") & ~F.startswith(s, F.lit("data:"))), F.lit(0))
     size = lambda a: F.nullif(attr(a).try_cast("int"), F.lit(0))
     words = F.lower(F.concat_ws(" ", F.coalesce(attr("alt"), F.lit("")), F.coalesce(attr("class"), F.lit("")), F.coalesce(attr("id"), F.lit(""))))
-    imgs = nodes.where("tag = 'img'").select(*PAGE, "node_id", chosen.alias("src"), T.squash(attr("alt")).alias("alt"), T.squash(attr("title")).alias("title"), size("width").alias("width"), size("height").alias("height"), words.alias("words")).where("src is not null")
-    imgs = imgs.join(base, PAGE).withColumn("url", U.absolute(F.col("src"), F.col("base"))).where("url is not null")
-    imgs = imgs.where(~F.col("url").rlike(TRACKING_HOSTS) & ~U.basename(F.col("url")).rlike(JUNK_NAME) & ~F.coalesce(F.col("width") <= 2, F.lit(False)) & ~F.coalesce(F.col("height") <= 2, F.lit(False)))
+    imgs = nodes.where("tag = 'img'").select(*PAGE, "node_id", T.squash(attr("alt")).alias("alt"), T.squash(attr("title")).alias("title"), size("width").alias("width"), size("height").alias("height"), words.alias("words"), found(chosen, lambda s: s.isNotNull()).alias("src"))
+    imgs = imgs.where(~F.coalesce(F.col("width") <= 2, F.lit(False)) & ~F.coalesce(F.col("height") <= 2, F.lit(False)))
+    address = lambda rule: found(U.absolute(F.col("src"), F.col("base")), rule)
+    imgs = imgs.join(base, PAGE).withColumn("url", address(lambda u: u.isNotNull() & ~u.rlike(TRACKING_HOSTS) & ~U.basename(u).rlike(JUNK_NAME)))
     imgs = imgs.select(*PAGE, F.lit(0).alias("later"), "node_id", "url", "alt", "title", "width", "height", role(F.concat_ws(" ", "words", F.lower("url")), F.col("width"), F.col("height")).alias("role"))
     none = F.lit(None).cast("int")
     styled = nodes.where(F.contains(attr("style"), F.lit("background"))).select(*PAGE, "node_id", F.regexp_extract(attr("style"), BACKGROUND, 2).alias("src"), F.lower(F.array_join("classes", " ")).alias("words")).where("src <> ''")
-    styled = styled.join(base, PAGE).withColumn("url", U.absolute(F.col("src"), F.col("base"))).where(F.col("url").isNotNull() & U.is_image(F.col("url")) & ~F.col("url").rlike(TRACKING_HOSTS))
+    styled = styled.join(base, PAGE).withColumn("url", address(lambda u: u.isNotNull() & U.is_image(u) & ~u.rlike(TRACKING_HOSTS)))
     styled = styled.select(*PAGE, F.lit(1).alias("later"), "node_id", "url", F.lit("").alias("alt"), F.lit("").alias("title"), none.alias("width"), none.alias("height"), F.when(F.col("words").rlike(HERO_WORDS), "hero").otherwise("background").alias("role"))
     each = imgs.unionByName(styled)
     first = each.groupBy(*PAGE, "url").agg(F.min_by(F.struct("later", "node_id", "alt", "title", "width", "height", "role"), F.struct("later", "node_id")).alias("f"))

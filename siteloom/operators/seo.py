@@ -15,7 +15,8 @@ TITLE_MOST, TITLE_LEAST, DESC_MOST, DESC_LEAST, THIN_WORDS = 60, 15, 160, 70, 15
 def seo_facts(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Title, description, canonical, headings, words and links of each page, and its text in lower case."""
     tag = F.col("tag")
-    firsts = nodes.groupBy(*PAGE).agg(
+    told = nodes.where(tag.isin("title", "meta", "link", "main", "body", "h1", "img", "script") | (F.col("node_id") == 0))  # each page has a first node
+    firsts = told.groupBy(*PAGE).agg(
         F.coalesce(first_of(F.col("text"), tag == "title"), F.lit("")).alias("title"),
         F.coalesce(first_of(attr("content"), (tag == "meta") & (attr("name") == "description")), F.lit("")).alias("desc"),
         F.coalesce(first_of(attr("href"), (tag == "link") & (attr("rel") == "canonical")), F.lit("")).alias("canonical"),
