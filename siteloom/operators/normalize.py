@@ -31,41 +31,63 @@ def first_of_each(rows: Column, key: Callable[[Column], Column]) -> Column:
     return let(rows, lambda all_: let(F.transform(all_, key), lambda keys: F.filter(all_, lambda _, i: F.array_position(keys, F.get(keys, i)) == i + 1)))
 
 
-def at(v: Column, *path: str) -> Column:
-    return F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path), "variant")
+def read(v: Column, shape: str) -> Column:
+    """A VARIANT as a struct of typed fields, in one pass: null for fields that are missing or of no such type, and for what is no object.
+
+    Getting fields one by one costs a walk from the root for each, and a thrown exception for each that is missing.
+    """
+    return F.try_variant_get(v, "$", f"struct<{shape}>")
+
+
+def typed(names: str, kind: str = "string") -> str:
+    """The fields of that type, as a part of a struct's type."""
+    return ",".join(f"{n}:{kind}" for n in names.split())
 
 
-def plain(v: Column, *path: str) -> Column:
-    """The text of a value, as it is; empty for none."""
-    return F.coalesce(F.try_variant_get(v, "$" + "".join(f"['{p}']" for p in path), "string"), F.lit(""))
+BUTTON = f"struct<{typed('label href')}>"
+#: What profiles and their items may hold. A list is a VARIANT, since it may be a single value.
+SERVICE = f"{typed('slug name title summary excerpt strapline image icon price priceNote sourceUrl')},{typed('stats description features outcomes steps plans featured', 'variant')},cta:{BUTTON}"
+CASE_STUDY = f"{typed('slug client name sector summary liveUrl archiveUrl image')},{typed('before after metrics', 'variant')},quote:struct<{typed('text author role')}>"
+SHAPE = ",".join((
+    "slug:string,social:map<string,string>", typed("services caseStudies gallery testimonials team legal faqs", "variant"),
+    f"source:struct<{typed('url harvestedAt notes')},pagesCrawled:bigint,socialSources:variant>",
+    f"business:struct<{typed('name legalName tagline category description founded')},{typed(' '.join(KEPT['business']))},{typed('licenses serviceArea languages', 'variant')}>",
+    f"contact:struct<{typed('phone email', 'variant')},{typed('phones emails hours', 'variant')},address:struct<{typed('street street2 city region postalCode country')}>,geo:struct<lat:double,lng:double>,{typed(' '.join(KEPT['contact']))}>",
+    f"brand:struct<{typed(' '.join(KEPT['brand']))},colors:struct<{typed('primary secondary accent')}>,fonts:struct<{typed('heading body')}>>",
+    f"content:struct<hero:struct<{typed('headline subhead image')},primaryCta:{BUTTON},secondaryCta:{BUTTON},badges:variant>,about:struct<{typed('heading image')},{typed('body highlights', 'variant')}>,{typed('valueProps stats', 'variant')},closingCta:struct<{typed('heading text')},primaryCta:{BUTTON}>>",
+    f"seo:struct<{typed('title description')},keywords:variant,{typed(' '.join(KEPT['seo']))}>",
+    f"site:struct<{typed('theme mode domain')},form:struct<{typed('action method provider')}>,analytics:struct<{typed('plausible ga4')}>,consent:struct<enabled:boolean,policyUrl:string>,verification:struct<google:string>,showPrices:boolean>",
+    f"_meta:struct<{typed('enriched gaps todo', 'variant')}>",
+))
 
 
-def text(v: Column, *path: str) -> Column:
-    return T.squash(plain(v, *path))
+def whole(v: Column) -> Column:
+    """A VARIANT as text."""
+    return F.try_variant_get(v, "$", "string")
 
 
-def either(v: Column, *keys: str) -> Column:
-    """The first of the keys that has a value, as text."""
-    return T.squash(F.coalesce(*[F.try_variant_get(v, f"$['{k}']", "string") for k in keys], F.lit("")))
+def plain(c: Column) -> Column:
+    """A text as it is; empty for none."""
+    return F.coalesce(c, F.lit(""))
 
 
-def texts(v: Column, *path: str) -> Column:
+def texts(v: Column) -> Column:
     """A list of texts, or a single one, without empty ones."""
-    return F.filter(F.transform(items(at(v, *path)), lambda x: text(x)), lambda x: x != "")
+    return F.filter(F.transform(items(v), lambda x: T.squash(whole(x))), lambda x: x != "")
 
 
-def listed(v: Column, *path: str) -> Column:
-    return items(at(v, *path))
+def listed(v: Column, shape: str) -> Column:
+    """The items of a list, or a single one, each read as a struct."""
+    return F.transform(items(v), lambda x: read(x, shape))
 
 
-def yes(v: Column, *path: str) -> Column:
+def yes(v: Column) -> Column:
     """Whether a value is true itself, not a text that says so."""
-    found = at(v, *path)
-    return F.coalesce((F.schema_of_variant(found) == "BOOLEAN") & F.try_variant_get(found, "$", "boolean"), F.lit(False))
+    return F.coalesce((F.schema_of_variant(v) == "BOOLEAN") & F.try_variant_get(v, "$", "boolean"), F.lit(False))
 
 
-def fields(v: Column, *names: str, of: Callable[..., Column] = text) -> list[Column]:
-    return [of(v, n).alias(n) for n in names]
+def fields(s: Column, names: str, of: Callable[[Column], Column] = T.squash) -> list[Column]:
+    return [of(s[n]).alias(n) for n in names.split()]
 
 
 def shaped(rows: Column, make: Callable[..., Column], keep: Callable[[Column], Column]) -> Column:
@@ -78,59 +100,59 @@ def numbered_slug(given: Column, name: Column, stem: str, i: Column) -> Column:
     return let(base, lambda b: F.when(b != "", b).otherwise(F.concat(F.lit(f"{stem}-"), (i + 1).cast("string"))))
 
 
-def button(v: Column) -> Column:
+def button(s: Column) -> Column:
     """A label with its address; null without a label."""
-    return let(v, lambda x: let(text(x, "label"), lambda label: F.when(label != "", F.struct(label.alias("label"), text(x, "href").alias("href")))))
+    return let(T.squash(s["label"]), lambda label: F.when(label != "", F.struct(label.alias("label"), T.squash(s["href"]).alias("href"))))
 
 
 def week(v: Column) -> Column:
     """One entry per day in the order of the week, the last one given for a day. A day is known by three letters of its start."""
     def entry(h: Column) -> Column:
-        number = let(F.substring(F.lower(plain(h, "day")), 1, 3), lambda start: F.when(start != "", F.coalesce(*[F.when(F.startswith(F.lit(d), start), F.lit(i)) for i, d in enumerate(DAYS)])))
-        return F.struct(number.alias("n"), (yes(h, "closed") | plain(h, "open").rlike("(?i)closed")).alias("closed"), *fields(h, "open", "close", "note"))
+        number = let(F.substring(F.lower(plain(h["day"])), 1, 3), lambda start: F.when(start != "", F.coalesce(*[F.when(F.startswith(F.lit(d), start), F.lit(i)) for i, d in enumerate(DAYS)])))
+        return F.struct(number.alias("n"), (yes(h["closed"]) | plain(h["open"]).rlike("(?i)closed")).alias("closed"), *fields(h, "open close note"))
 
     def shown(h: Column, i: Column) -> Column:
         day = F.get(F.array(*[F.lit(d) for d in DAYS]), i)
         return F.when(h.isNotNull(), F.struct(day.alias("day"), h["closed"].alias("closed"), F.when(h["closed"], "").otherwise(h["open"]).alias("open"), F.when(h["closed"], "").otherwise(h["close"]).alias("close"), h["note"].alias("note")))
 
-    known = shaped(F.filter(v, lambda h: F.schema_of_variant(h).startswith("OBJECT")), entry, lambda h: h["n"].isNotNull())
+    entries = F.filter(listed(v, f"{typed('day open close note')},closed:variant"), lambda h: h.isNotNull())
     last = lambda rows, i: F.try_element_at(F.filter(rows, lambda h: h["n"] == i), F.lit(-1))
-    return let(known, lambda rows: F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: let(last(rows, i), lambda h: shown(h, i))), lambda h: h.isNotNull()))
+    return let(shaped(entries, entry, lambda h: h["n"].isNotNull()), lambda rows: F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: let(last(rows, i), lambda h: shown(h, i))), lambda h: h.isNotNull()))
 
 
 def service(s: Column, i: Column) -> Column:
-    return let(T.humanize_heading(either(s, "name", "title")), lambda name: _service(s, i, name))
+    return let(T.humanize_heading(F.coalesce(s["name"], s["title"])), lambda name: _service(s, i, name))
 
 
 def _service(s: Column, i: Column, name: Column) -> Column:
-    titled = lambda x: T.humanize_heading(text(x, "title")).alias("title")
-    stats = shaped(listed(s, "stats"), lambda x: F.struct(*fields(x, "value", "label", "note")), lambda x: (x["value"] != "") & (x["label"] != ""))
-    outcomes = shaped(listed(s, "outcomes"), lambda x: F.struct(text(x, "icon").alias("icon"), titled(x), text(x, "text").alias("text")), lambda x: (x["title"] != "") & (x["text"] != ""))
-    steps = shaped(listed(s, "steps"), lambda x: F.struct(titled(x), text(x, "text").alias("text")), lambda x: x["title"] != "")
-    plans = shaped(listed(s, "plans"), lambda x: F.struct(T.humanize_heading(text(x, "name")).alias("name"), *fields(x, "price", "period", "summary"), yes(x, "featured").alias("featured")), lambda x: (x["name"] != "") & (x["price"] != ""))
+    titled = lambda x: T.humanize_heading(x["title"]).alias("title")
+    stats = shaped(listed(s["stats"], typed("value label note")), lambda x: F.struct(*fields(x, "value label note")), lambda x: (x["value"] != "") & (x["label"] != ""))
+    outcomes = shaped(listed(s["outcomes"], typed("icon title text")), lambda x: F.struct(*fields(x, "icon"), titled(x), *fields(x, "text")), lambda x: (x["title"] != "") & (x["text"] != ""))
+    steps = shaped(listed(s["steps"], typed("title text")), lambda x: F.struct(titled(x), *fields(x, "text")), lambda x: x["title"] != "")
+    plans = shaped(listed(s["plans"], f"{typed('name price period summary')},featured:variant"), lambda x: F.struct(T.humanize_heading(x["name"]).alias("name"), *fields(x, "price period summary"), yes(x["featured"]).alias("featured")), lambda x: (x["name"] != "") & (x["price"] != ""))
     return F.struct(
-        numbered_slug(text(s, "slug"), name, "service", i).alias("slug"), name.alias("name"), either(s, "summary", "excerpt").alias("summary"), text(s, "strapline").alias("strapline"), stats.alias("stats"), button(at(s, "cta")).alias("cta"),
-        texts(s, "description").alias("description"), *fields(s, "image", "icon", "price", "priceNote"), texts(s, "features").alias("features"), outcomes.alias("outcomes"), steps.alias("steps"), plans.alias("plans"),
-        yes(s, "featured").alias("featured"), text(s, "sourceUrl").alias("sourceUrl"))
+        numbered_slug(T.squash(s["slug"]), name, "service", i).alias("slug"), name.alias("name"), T.squash(F.coalesce(s["summary"], s["excerpt"])).alias("summary"), *fields(s, "strapline"), stats.alias("stats"), button(s["cta"]).alias("cta"),
+        texts(s["description"]).alias("description"), *fields(s, "image icon price priceNote"), texts(s["features"]).alias("features"), outcomes.alias("outcomes"), steps.alias("steps"), plans.alias("plans"),
+        yes(s["featured"]).alias("featured"), *fields(s, "sourceUrl"))
 
 
 def case_study(c: Column, i: Column) -> Column:
-    return let(either(c, "client", "name"), lambda client: _case_study(c, i, client))
+    return let(T.squash(F.coalesce(c["client"], c["name"])), lambda client: _case_study(c, i, client))
 
 
 def _case_study(c: Column, i: Column, client: Column) -> Column:
-    metrics = shaped(listed(c, "metrics"), lambda m: F.struct(*fields(m, "label", "before", "after", "change", "note", "icon"), yes(m, "highlight").alias("highlight")), lambda m: (m["label"] != "") & ((m["before"] != "") | (m["after"] != "")))
-    quote = at(c, "quote")
+    metrics = shaped(listed(c["metrics"], f"{typed('label before after change note icon')},highlight:variant"), lambda m: F.struct(*fields(m, "label before after change note icon"), yes(m["highlight"]).alias("highlight")), lambda m: (m["label"] != "") & ((m["before"] != "") | (m["after"] != "")))
+    quote = c["quote"]
     return F.struct(
-        numbered_slug(text(c, "slug"), client, "case-study", i).alias("slug"), client.alias("client"), *fields(c, "sector", "summary"), texts(c, "before").alias("before"), texts(c, "after").alias("after"), metrics.alias("metrics"),
-        F.when(text(quote, "text") != "", F.struct(*fields(quote, "text", "author", "role"))).alias("quote"), *fields(c, "liveUrl", "archiveUrl", "image"))
+        numbered_slug(T.squash(c["slug"]), client, "case-study", i).alias("slug"), client.alias("client"), *fields(c, "sector summary"), texts(c["before"]).alias("before"), texts(c["after"]).alias("after"), metrics.alias("metrics"),
+        F.when(T.squash(quote["text"]) != "", F.struct(*fields(quote, "text author role"))).alias("quote"), *fields(c, "liveUrl archiveUrl image"))
 
 
 def legal_page(x: Column, i: Column) -> Column:
-    section = lambda s: F.struct(text(s, "heading").alias("heading"), texts(s, "body").alias("body"))
+    section = lambda s: F.struct(*fields(s, "heading"), texts(s["body"]).alias("body"))
     return F.struct(
-        numbered_slug(text(x, "slug"), text(x, "title"), "page", i).alias("slug"), *fields(x, "title", "updated"),
-        shaped(listed(x, "sections"), section, lambda s: (s["heading"] != "") | (F.size(s["body"]) > 0)).alias("sections"))
+        numbered_slug(T.squash(x["slug"]), T.squash(x["title"]), "page", i).alias("slug"), *fields(x, "title updated"),
+        shaped(listed(x["sections"], "heading:string,body:variant"), section, lambda s: (s["heading"] != "") | (F.size(s["body"]) > 0)).alias("sections"))
 
 
 def as_variant(profiles: DataFrame) -> DataFrame:
@@ -153,55 +175,58 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
     descriptions for search fall back to the business. Fields of KEPT, calls to action, geo, settings and meta stay as they are. Nulls, missing
     parts and texts that are no JSON count as empty; a row without a site is kept.
     """
-    p = as_variant(profiles)
-    v = F.col("p")
-    kept = lambda part: [plain(v, part, n).alias(n) for n in KEPT[part]]
+    p = as_variant(profiles).select("site", read(F.col("p"), SHAPE).alias("p"))
+    v, part = F.col("p"), lambda name: F.col(f"p.{name}")
+    kept = lambda name: fields(part(name), " ".join(KEPT[name]), plain)
     # What several parts read has a column of its own.
-    area = first_of_each(texts(v, "business", "serviceArea"), F.lower)
-    phones = first_of_each(F.concat(texts(v, "contact", "phones"), texts(v, "contact", "phone")), tel_href)
-    mails = F.filter(F.transform(F.concat(texts(v, "contact", "emails"), texts(v, "contact", "email")), F.lower), lambda e: F.contains(e, F.lit("@")))
-    number = lambda *path: F.try_variant_get(v, "$" + "".join(f"['{x}']" for x in path), "double").alias(path[-1])
-    shade = lambda n: F.coalesce(C.colour_parse(plain(v, "brand", "colors", n)), F.lit("")).alias(n)
+    area = first_of_each(texts(part("business.serviceArea")), F.lower)
+    phones = first_of_each(F.concat(texts(part("contact.phones")), texts(part("contact.phone"))), tel_href)
+    mails = F.filter(F.transform(F.concat(texts(part("contact.emails")), texts(part("contact.email"))), F.lower), lambda e: F.contains(e, F.lit("@")))
+    shade = lambda n: F.coalesce(C.colour_parse(plain(part(f"brand.colors.{n}"))), F.lit("")).alias(n)
     web = lambda u: F.when(u.rlike("(?i)^https?://"), u).otherwise(F.concat(F.lit("https://"), F.regexp_replace(u, "^/+", "")))
-    networks = F.coalesce(F.try_variant_get(v, "$['social']", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    networks = F.coalesce(v["social"], F.create_map().cast("map<string,string>"))
     social = F.transform_values(F.map_filter(networks, lambda k, u: T.squash(u) != ""), lambda k, u: web(T.squash(u)))
 
-    def stars(t: Column) -> Column:
+    def stars(rating: Column) -> Column:
         """A rating from 1 to 5; the number 0 is none, a text of it is the least."""
-        said = F.try_variant_get(t, "$['rating']", "string").try_cast("double")
-        number = F.schema_of_variant(at(t, "rating")) != "STRING"
+        said = whole(rating).try_cast("double")
+        number = F.schema_of_variant(rating) != "STRING"
         return let(said, lambda x: F.when(x.isNotNull() & ~F.isnan(x) & ~(number & (x == 0)), F.least(F.lit(5.0), F.greatest(F.lit(1.0), x))))
 
-    hero, about, closing = at(v, "content", "hero"), at(v, "content", "about"), at(v, "content", "closingCta")
-    values = shaped(listed(v, "content", "valueProps"), lambda x: F.struct(text(x, "icon").alias("icon"), T.humanize_heading(text(x, "title")).alias("title"), text(x, "text").alias("text")), lambda x: (x["title"] != "") | (x["text"] != ""))
-    stats = shaped(listed(v, "content", "stats"), lambda x: F.struct(*fields(x, "value", "label")), lambda x: (x["value"] != "") & (x["label"] != ""))
-    picture = lambda g: F.struct(F.when(F.schema_of_variant(g) == "STRING", text(g)).otherwise(text(g, "src")).alias("src"), *fields(g, "alt", "caption", "category"))
+    hero, about, closing, settings = part("content.hero"), part("content.about"), part("content.closingCta"), part("site")
+    values = shaped(listed(part("content.valueProps"), typed("icon title text")), lambda x: F.struct(*fields(x, "icon"), T.humanize_heading(x["title"]).alias("title"), *fields(x, "text")), lambda x: (x["title"] != "") | (x["text"] != ""))
+    stats = shaped(listed(part("content.stats"), typed("value label")), lambda x: F.struct(*fields(x, "value label")), lambda x: (x["value"] != "") & (x["label"] != ""))
+    picture = lambda g: let(read(g, typed("src alt caption category")), lambda s: F.struct(T.squash(F.when(F.schema_of_variant(g) == "STRING", whole(g)).otherwise(s["src"])).alias("src"), *fields(s, "alt caption category")))
     quote = lambda t: F.struct(
-        either(t, "quote", "text").alias("quote"), either(t, "author", "name").alias("author"), *fields(t, "role", "location"), stars(t).alias("rating"), *fields(t, "source", "date"))
-    asked = lambda f: F.struct(either(f, "question", "q").alias("question"), either(f, "answer", "a").alias("answer"))
+        T.squash(F.coalesce(t["quote"], t["text"])).alias("quote"), T.squash(F.coalesce(t["author"], t["name"])).alias("author"), *fields(t, "role location"), stars(t["rating"]).alias("rating"), *fields(t, "source date"))
+    asked = lambda f: F.struct(T.squash(F.coalesce(f["question"], f["q"])).alias("question"), T.squash(F.coalesce(f["answer"], f["a"])).alias("answer"))
+    member = "name role bio photo email phone"
+    # Of a number or an address that is no text, its own text is read.
+    own = lambda name: whole(part(f"contact.{name}"))
     full = p.select("site", "p", phones.alias("_phones"), mails.alias("_mails")).select(
-        "site", F.lit(VERSION).alias("version"), T.slug(F.coalesce(F.nullif(plain(v, "slug"), F.lit("")), F.lit("client")), "item").alias("slug"),
-        F.struct(*fields(at(v, "source"), "url", "harvestedAt", "notes", of=plain), F.coalesce(F.try_variant_get(v, "$['source']['pagesCrawled']", "bigint"), F.lit(0)).alias("pagesCrawled"), texts(v, "source", "socialSources").alias("socialSources")).alias("source"),
-        F.struct(*fields(at(v, "business"), "name", "legalName", "tagline", "category", "description", "founded"), *kept("business"), texts(v, "business", "licenses").alias("licenses"), area.alias("serviceArea"), texts(v, "business", "languages").alias("languages")).alias("business"),
-        F.struct(F.when(plain(v, "contact", "phone") != "", text(v, "contact", "phone")).otherwise(F.coalesce(F.get("_phones", F.lit(0)), F.lit(""))).alias("phone"), F.col("_phones").alias("phones"),
-                 F.when(plain(v, "contact", "email") != "", F.lower(text(v, "contact", "email"))).otherwise(F.coalesce(F.get("_mails", F.lit(0)), F.lit(""))).alias("email"), first_of_each(F.col("_mails"), lambda x: x).alias("emails"),
-                 F.struct(*fields(at(v, "contact", "address"), "street", "street2", "city", "region", "postalCode", "country")).alias("address"), F.struct(number("contact", "geo", "lat"), number("contact", "geo", "lng")).alias("geo"),
-                 week(listed(v, "contact", "hours")).alias("hours"), *kept("contact")).alias("contact"),
-        F.struct(*kept("brand"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*fields(at(v, "brand", "fonts"), "heading", "body", of=plain)).alias("fonts")).alias("brand"),
+        "site", F.lit(VERSION).alias("version"), T.slug(F.coalesce(F.nullif(plain(v["slug"]), F.lit("")), F.lit("client")), "item").alias("slug"),
+        F.struct(*fields(part("source"), "url harvestedAt notes", plain), F.coalesce(part("source.pagesCrawled"), F.lit(0)).alias("pagesCrawled"), texts(part("source.socialSources")).alias("socialSources")).alias("source"),
+        F.struct(*fields(part("business"), "name legalName tagline category description founded"), *kept("business"), texts(part("business.licenses")).alias("licenses"), area.alias("serviceArea"), texts(part("business.languages")).alias("languages")).alias("business"),
+        F.struct(F.when(plain(own("phone")) != "", T.squash(own("phone"))).otherwise(F.coalesce(F.get("_phones", F.lit(0)), F.lit(""))).alias("phone"), F.col("_phones").alias("phones"),
+                 F.when(plain(own("email")) != "", F.lower(T.squash(own("email")))).otherwise(F.coalesce(F.get("_mails", F.lit(0)), F.lit(""))).alias("email"), first_of_each(F.col("_mails"), lambda x: x).alias("emails"),
+                 F.struct(*fields(part("contact.address"), "street street2 city region postalCode country")).alias("address"), F.struct(part("contact.geo.lat").alias("lat"), part("contact.geo.lng").alias("lng")).alias("geo"),
+                 week(part("contact.hours")).alias("hours"), *kept("contact")).alias("contact"),
+        F.struct(*kept("brand"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*fields(part("brand.fonts"), "heading body", plain)).alias("fonts")).alias("brand"),
         social.alias("social"),
         F.struct(
-            F.struct(T.humanize_heading(text(hero, "headline")).alias("headline"), text(hero, "subhead").alias("subhead"), plain(hero, "image").alias("image"), button(at(hero, "primaryCta")).alias("primaryCta"), button(at(hero, "secondaryCta")).alias("secondaryCta"), texts(hero, "badges").alias("badges")).alias("hero"),
-            F.struct(plain(about, "heading").alias("heading"), texts(about, "body").alias("body"), plain(about, "image").alias("image"), texts(about, "highlights").alias("highlights")).alias("about"),
-            values.alias("valueProps"), stats.alias("stats"), F.struct(*fields(closing, "heading", "text", of=plain), button(at(closing, "primaryCta")).alias("primaryCta")).alias("closingCta")).alias("content"),
-        first_of_each(shaped(listed(v, "services"), service, lambda s: s["name"] != ""), lambda s: s["slug"]).alias("services"), first_of_each(shaped(listed(v, "caseStudies"), case_study, lambda c: c["client"] != ""), lambda c: c["slug"]).alias("caseStudies"),
-        first_of_each(shaped(listed(v, "gallery"), picture, lambda g: g["src"] != ""), lambda g: g["src"]).alias("gallery"), shaped(listed(v, "testimonials"), quote, lambda t: t["quote"] != "").alias("testimonials"),
-        shaped(listed(v, "team"), lambda m: F.struct(*fields(m, "name", "role", "bio", "photo", "email", "phone")), lambda m: m["name"] != "").alias("team"),
-        shaped(listed(v, "legal"), legal_page, lambda x: (x["title"] != "") & (F.size(x["sections"]) > 0)).alias("legal"), shaped(listed(v, "faqs"), asked, lambda f: (f["question"] != "") & (f["answer"] != "")).alias("faqs"),
-        F.struct(*fields(at(v, "seo"), "title", "description"), texts(v, "seo", "keywords").alias("keywords"), *kept("seo")).alias("seo"),
-        F.struct(*fields(at(v, "site"), "theme", "mode", "domain", of=plain), F.struct(*fields(at(v, "site", "form"), "action", "method", "provider", of=plain)).alias("form"), F.struct(*fields(at(v, "site", "analytics"), "plausible", "ga4", of=plain)).alias("analytics"),
-                 F.struct(F.coalesce(F.try_variant_get(v, "$['site']['consent']['enabled']", "boolean"), F.lit(True)).alias("enabled"), plain(v, "site", "consent", "policyUrl").alias("policyUrl")).alias("consent"),
-                 F.struct(plain(v, "site", "verification", "google").alias("google")).alias("verification"), F.coalesce(F.try_variant_get(v, "$['site']['showPrices']", "boolean"), F.lit(True)).alias("showPrices")).alias("settings"),
-        F.struct(yes(v, "_meta", "enriched").alias("enriched"), texts(v, "_meta", "gaps").alias("gaps"), texts(v, "_meta", "todo").alias("todo")).alias("meta"),
+            F.struct(T.humanize_heading(hero["headline"]).alias("headline"), *fields(hero, "subhead"), *fields(hero, "image", plain), button(hero["primaryCta"]).alias("primaryCta"), button(hero["secondaryCta"]).alias("secondaryCta"), texts(hero["badges"]).alias("badges")).alias("hero"),
+            F.struct(*fields(about, "heading", plain), texts(about["body"]).alias("body"), *fields(about, "image", plain), texts(about["highlights"]).alias("highlights")).alias("about"),
+            values.alias("valueProps"), stats.alias("stats"), F.struct(*fields(closing, "heading text", plain), button(closing["primaryCta"]).alias("primaryCta")).alias("closingCta")).alias("content"),
+        first_of_each(shaped(listed(v["services"], SERVICE), service, lambda s: s["name"] != ""), lambda s: s["slug"]).alias("services"), first_of_each(shaped(listed(v["caseStudies"], CASE_STUDY), case_study, lambda c: c["client"] != ""), lambda c: c["slug"]).alias("caseStudies"),
+        first_of_each(shaped(items(v["gallery"]), picture, lambda g: g["src"] != ""), lambda g: g["src"]).alias("gallery"),
+        shaped(listed(v["testimonials"], f"{typed('quote text author name role location source date')},rating:variant"), quote, lambda t: t["quote"] != "").alias("testimonials"),
+        shaped(listed(v["team"], typed(member)), lambda m: F.struct(*fields(m, member)), lambda m: m["name"] != "").alias("team"),
+        shaped(listed(v["legal"], "slug:string,title:string,updated:string,sections:variant"), legal_page, lambda x: (x["title"] != "") & (F.size(x["sections"]) > 0)).alias("legal"), shaped(listed(v["faqs"], typed("question q answer a")), asked, lambda f: (f["question"] != "") & (f["answer"] != "")).alias("faqs"),
+        F.struct(*fields(part("seo"), "title description"), texts(part("seo.keywords")).alias("keywords"), *kept("seo")).alias("seo"),
+        F.struct(*fields(settings, "theme mode domain", plain), F.struct(*fields(settings["form"], "action method provider", plain)).alias("form"), F.struct(*fields(settings["analytics"], "plausible ga4", plain)).alias("analytics"),
+                 F.struct(F.coalesce(settings["consent"]["enabled"], F.lit(True)).alias("enabled"), *fields(settings["consent"], "policyUrl", plain)).alias("consent"),
+                 F.struct(*fields(settings["verification"], "google", plain)).alias("verification"), F.coalesce(settings["showPrices"], F.lit(True)).alias("showPrices")).alias("settings"),
+        F.struct(yes(part("_meta.enriched")).alias("enriched"), texts(part("_meta.gaps")).alias("gaps"), texts(part("_meta.todo")).alias("todo")).alias("meta"),
     )
     # What falls back to other parts reads those once they are clean.
     given = lambda own, other: F.when(own != "", own).otherwise(F.lit(other))

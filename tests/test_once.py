@@ -6,6 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as T
+from siteloom.functions.once import let
 from siteloom.operators import normalize as N
 from siteloom.operators import state
 
@@ -40,3 +41,22 @@ def test_normalising_many_items_takes_time_in_proportion(spark):
 
 def test_small_tables_are_spread(spark):
     assert state.spread(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 12
+
+
+def test_profiles_are_read_in_one_pass(spark):
+    """Every field had a walk of its own from the profile's root, with an exception where it was missing; there were more than 200."""
+    rows = spark.createDataFrame([("s", '{"business": [], "contact": {"phone": 5, "geo": {"lat": "x"}}, "services": ["bare", {"title": "a", "cta": "no"}]}')], "site string, profile string")
+    df = N.normalize_profiles(rows)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("variant_get(") < 120
+    r = df.first()
+    assert (r.business.name, r.contact.phone, r.contact.phones, r.contact.geo.lat, [(s.slug, s.cta) for s in r.services]) == ("", "5", ["5"], None, [("a", None)])
+
+
+def test_shared_value_asks_for_no_type_per_row(spark):
+    """An item of a transformed list works out the type of its whole expression with every row."""
+    df = spark.range(3).select(let(F.col("id") * 2, lambda x: let(x + 1, lambda y: F.struct((x + y).alias("n"), y.alias("y")))).alias("v"))
+    assert [tuple(r.v) for r in df.collect()] == [(1, 1), (5, 3), (9, 5)]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 2 and "transform(" not in plan
+    assert spark.range(1).select(let(F.lit(None).cast("string"), lambda x: F.coalesce(x, F.lit("none")))).first()[0] == "none"
