@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,14 +12,17 @@ from siteloom.functions import url as U
 from siteloom.operators.jsonld import DAYS
 from siteloom.operators.normalize import first_of_each, normalize_profiles
 from siteloom.operators.places import format_address
-from siteloom.operators.profiles import profile_gaps, profile_score
+from siteloom.operators.profiles import FIELDS, profile_gaps, profile_score
 from siteloom.operators.state import written
 
 GAPS_SHOWN, BRIEF_GAPS, BRIEF_PARAGRAPHS = 10, 14, 12
+#: What a report and a brief read of a profile.
+REPORT_PARTS = (*dict.fromkeys(path.split(".")[0] for path, *_ in FIELDS if "." in path and not path.startswith("brand")), "services.name", "gallery", "testimonials", "faqs", "team", "social", "brand.logo", "brand.colors")
+BRIEF_PARTS = (*REPORT_PARTS, "meta")
 
 
-def draft_profiles(harvest: DataFrame) -> DataFrame:
-    """A normalised profile per site from its facts, without any invention.
+def draft_profiles(harvest: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
+    """A normalised profile per site from its facts, without any invention. parts: as for normalize_profiles().
 
     harvest has site, url, title, description, keywords, og (site_name, title, description, image), h1, paragraphs (of the home page), about
     (the longest paragraphs), stated (a row of jsonld_profile() merged by patch_merge(), null for none), phones, emails, address, hours,
@@ -52,7 +57,7 @@ def draft_profiles(harvest: DataFrame) -> DataFrame:
         "services", "gallery", "testimonials", F.transform("team", lambda m: F.struct(m["name"].alias("name"), m["role"].alias("role"), m["bio"].alias("bio"))).alias("team"), "faqs",
         F.struct("title", "description", "keywords").alias("seo"), F.struct(extra("social_gaps", "array<string>").alias("gaps")).alias("meta"),
     )
-    return normalize_profiles(rows)
+    return normalize_profiles(rows, parts)
 
 
 def harvest_report(profiles: DataFrame, site_audit: DataFrame, flags: DataFrame) -> DataFrame:

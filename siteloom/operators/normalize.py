@@ -6,7 +6,7 @@ a number or text, an item or its name alone; what comes out has the columns of e
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,20 +120,24 @@ def week(v: Column) -> Column:
     return let(shaped(entries, entry, lambda h: h["n"].isNotNull()), lambda rows: F.filter(F.transform(F.sequence(F.lit(0), F.lit(6)), lambda i: let(last(rows, i), lambda h: shown(h, i))), lambda h: h.isNotNull()))
 
 
-def service(s: Column, i: Column) -> Column:
-    return let(T.humanize_heading(F.coalesce(s["name"], s["title"])), lambda name: _service(s, i, name))
+def service(s: Column, i: Column, only: Sequence[str] = ()) -> Column:
+    """A service; only: the fields to give beside slug and name, all without any."""
+    return let(T.humanize_heading(F.coalesce(s["name"], s["title"])), lambda name: _service(s, i, name, only))
 
 
-def _service(s: Column, i: Column, name: Column) -> Column:
+def _service(s: Column, i: Column, name: Column, only: Sequence[str]) -> Column:
     titled = lambda x: T.humanize_heading(x["title"]).alias("title")
-    stats = shaped(listed(s["stats"], typed("value label note")), lambda x: F.struct(*fields(x, "value label note")), lambda x: (x["value"] != "") & (x["label"] != ""))
-    outcomes = shaped(listed(s["outcomes"], typed("icon title text")), lambda x: F.struct(*fields(x, "icon"), titled(x), *fields(x, "text")), lambda x: (x["title"] != "") & (x["text"] != ""))
-    steps = shaped(listed(s["steps"], typed("title text")), lambda x: F.struct(titled(x), *fields(x, "text")), lambda x: x["title"] != "")
-    plans = shaped(listed(s["plans"], f"{typed('name price period summary')},featured:variant"), lambda x: F.struct(T.humanize_heading(x["name"]).alias("name"), *fields(x, "price period summary"), yes(x["featured"]).alias("featured")), lambda x: (x["name"] != "") & (x["price"] != ""))
-    return F.struct(
-        numbered_slug(T.squash(s["slug"]), name, "service", i).alias("slug"), name.alias("name"), T.squash(F.coalesce(s["summary"], s["excerpt"])).alias("summary"), *fields(s, "strapline"), stats.alias("stats"), button(s["cta"]).alias("cta"),
-        texts(s["description"]).alias("description"), *fields(s, "image icon price priceNote"), texts(s["features"]).alias("features"), outcomes.alias("outcomes"), steps.alias("steps"), plans.alias("plans"),
-        yes(s["featured"]).alias("featured"), *fields(s, "sourceUrl"))
+    stats = lambda: shaped(listed(s["stats"], typed("value label note")), lambda x: F.struct(*fields(x, "value label note")), lambda x: (x["value"] != "") & (x["label"] != ""))
+    outcomes = lambda: shaped(listed(s["outcomes"], typed("icon title text")), lambda x: F.struct(*fields(x, "icon"), titled(x), *fields(x, "text")), lambda x: (x["title"] != "") & (x["text"] != ""))
+    steps = lambda: shaped(listed(s["steps"], typed("title text")), lambda x: F.struct(titled(x), *fields(x, "text")), lambda x: x["title"] != "")
+    plans = lambda: shaped(listed(s["plans"], f"{typed('name price period summary')},featured:variant"), lambda x: F.struct(T.humanize_heading(x["name"]).alias("name"), *fields(x, "price period summary"), yes(x["featured"]).alias("featured")), lambda x: (x["name"] != "") & (x["price"] != ""))
+    own = lambda n: lambda: T.squash(s[n])
+    made = {
+        "slug": lambda: numbered_slug(T.squash(s["slug"]), name, "service", i), "name": lambda: name, "summary": lambda: T.squash(F.coalesce(s["summary"], s["excerpt"])), "strapline": own("strapline"), "stats": stats, "cta": lambda: button(s["cta"]),
+        "description": lambda: texts(s["description"]), **{n: own(n) for n in ("image", "icon", "price", "priceNote")}, "features": lambda: texts(s["features"]), "outcomes": outcomes, "steps": steps, "plans": plans,
+        "featured": lambda: yes(s["featured"]), "sourceUrl": own("sourceUrl"),
+    }
+    return F.struct(*[make().alias(n) for n, make in made.items() if not only or n in ("slug", "name", *only)])
 
 
 def case_study(c: Column, i: Column) -> Column:
@@ -165,7 +169,7 @@ def as_variant(profiles: DataFrame) -> DataFrame:
     return profiles.select("site", F.parse_json(F.to_json(F.struct(*own)) if own else F.lit("{}")).alias("p"))
 
 
-def normalize_profiles(profiles: DataFrame) -> DataFrame:
+def normalize_profiles(profiles: DataFrame, parts: Sequence[str] = ()) -> DataFrame:
     """Profiles with clean values in every part: site, version, slug, source, business, contact, brand, social, content, services,
     caseStudies, gallery, testimonials, team, legal, faqs, seo, settings, meta.
 
@@ -174,7 +178,15 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
     #rrggbb or empty; addresses of networks get a scheme; ratings lie from 1 to 5; items without what they need go. Titles and
     descriptions for search fall back to the business. Fields of KEPT, calls to action, geo, settings and meta stay as they are. Nulls, missing
     parts and texts that are no JSON count as empty; a row without a site is kept.
+
+    parts: the columns to give beside site, or fields of them as contact.phone, all without any; what isn't asked for isn't worked out. Of services,
+    slug and name are always there.
     """
+    asked_for: dict[str, list[str]] = {}
+    for name, _, field in (x.partition(".") for x in parts):
+        asked_for.setdefault(name, []).append(field)
+    needed = {*asked_for, *(("business", "contact", "content") if "seo" in asked_for else ())}
+    only = [] if "" in asked_for.get("services", []) else asked_for.get("services", [])
     p = as_variant(profiles).select("site", read(F.col("p"), SHAPE).alias("p"))
     v, part = F.col("p"), lambda name: F.col(f"p.{name}")
     kept = lambda name: fields(part(name), " ".join(KEPT[name]), plain)
@@ -203,37 +215,46 @@ def normalize_profiles(profiles: DataFrame) -> DataFrame:
     member = "name role bio photo email phone"
     # Of a number or an address that is no text, its own text is read.
     own = lambda name: whole(part(f"contact.{name}"))
-    full = p.select("site", "p", phones.alias("_phones"), mails.alias("_mails")).select(
-        "site", F.lit(VERSION).alias("version"), T.slug(F.coalesce(F.nullif(plain(v["slug"]), F.lit("")), F.lit("client")), "item").alias("slug"),
-        F.struct(*fields(part("source"), "url harvestedAt notes", plain), F.coalesce(part("source.pagesCrawled"), F.lit(0)).alias("pagesCrawled"), texts(part("source.socialSources")).alias("socialSources")).alias("source"),
-        F.struct(*fields(part("business"), "name legalName tagline category description founded"), *kept("business"), texts(part("business.licenses")).alias("licenses"), area.alias("serviceArea"), texts(part("business.languages")).alias("languages")).alias("business"),
-        F.struct(F.when(plain(own("phone")) != "", T.squash(own("phone"))).otherwise(F.coalesce(F.get("_phones", F.lit(0)), F.lit(""))).alias("phone"), F.col("_phones").alias("phones"),
+    made = {
+        "version": lambda: F.lit(VERSION), "slug": lambda: T.slug(F.coalesce(F.nullif(plain(v["slug"]), F.lit("")), F.lit("client")), "item"),
+        "source": lambda: F.struct(*fields(part("source"), "url harvestedAt notes", plain), F.coalesce(part("source.pagesCrawled"), F.lit(0)).alias("pagesCrawled"), texts(part("source.socialSources")).alias("socialSources")),
+        "business": lambda: F.struct(*fields(part("business"), "name legalName tagline category description founded"), *kept("business"), texts(part("business.licenses")).alias("licenses"), F.col("_area").alias("serviceArea"), texts(part("business.languages")).alias("languages")),
+        "contact": lambda: F.struct(F.when(plain(own("phone")) != "", T.squash(own("phone"))).otherwise(F.coalesce(F.get("_phones", F.lit(0)), F.lit(""))).alias("phone"), F.col("_phones").alias("phones"),
                  F.when(plain(own("email")) != "", F.lower(T.squash(own("email")))).otherwise(F.coalesce(F.get("_mails", F.lit(0)), F.lit(""))).alias("email"), first_of_each(F.col("_mails"), lambda x: x).alias("emails"),
                  F.struct(*fields(part("contact.address"), "street street2 city region postalCode country")).alias("address"), F.struct(part("contact.geo.lat").alias("lat"), part("contact.geo.lng").alias("lng")).alias("geo"),
-                 week(part("contact.hours")).alias("hours"), *kept("contact")).alias("contact"),
-        F.struct(*kept("brand"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*fields(part("brand.fonts"), "heading body", plain)).alias("fonts")).alias("brand"),
-        social.alias("social"),
-        F.struct(
+                 week(part("contact.hours")).alias("hours"), *kept("contact")),
+        "brand": lambda: F.struct(*kept("brand"), F.struct(shade("primary"), shade("secondary"), shade("accent")).alias("colors"), F.struct(*fields(part("brand.fonts"), "heading body", plain)).alias("fonts")),
+        "social": lambda: social,
+        "content": lambda: F.struct(
             F.struct(T.humanize_heading(hero["headline"]).alias("headline"), *fields(hero, "subhead"), *fields(hero, "image", plain), button(hero["primaryCta"]).alias("primaryCta"), button(hero["secondaryCta"]).alias("secondaryCta"), texts(hero["badges"]).alias("badges")).alias("hero"),
             F.struct(*fields(about, "heading", plain), texts(about["body"]).alias("body"), *fields(about, "image", plain), texts(about["highlights"]).alias("highlights")).alias("about"),
-            values.alias("valueProps"), stats.alias("stats"), F.struct(*fields(closing, "heading text", plain), button(closing["primaryCta"]).alias("primaryCta")).alias("closingCta")).alias("content"),
-        first_of_each(shaped(listed(v["services"], SERVICE), service, lambda s: s["name"] != ""), lambda s: s["slug"]).alias("services"), first_of_each(shaped(listed(v["caseStudies"], CASE_STUDY), case_study, lambda c: c["client"] != ""), lambda c: c["slug"]).alias("caseStudies"),
-        first_of_each(shaped(items(v["gallery"]), picture, lambda g: g["src"] != ""), lambda g: g["src"]).alias("gallery"),
-        shaped(listed(v["testimonials"], f"{typed('quote text author name role location source date')},rating:variant"), quote, lambda t: t["quote"] != "").alias("testimonials"),
-        shaped(listed(v["team"], typed(member)), lambda m: F.struct(*fields(m, member)), lambda m: m["name"] != "").alias("team"),
-        shaped(listed(v["legal"], "slug:string,title:string,updated:string,sections:variant"), legal_page, lambda x: (x["title"] != "") & (F.size(x["sections"]) > 0)).alias("legal"), shaped(listed(v["faqs"], typed("question q answer a")), asked, lambda f: (f["question"] != "") & (f["answer"] != "")).alias("faqs"),
-        F.struct(*fields(part("seo"), "title description"), texts(part("seo.keywords")).alias("keywords"), *kept("seo")).alias("seo"),
-        F.struct(*fields(settings, "theme mode domain", plain), F.struct(*fields(settings["form"], "action method provider", plain)).alias("form"), F.struct(*fields(settings["analytics"], "plausible ga4", plain)).alias("analytics"),
+            values.alias("valueProps"), stats.alias("stats"), F.struct(*fields(closing, "heading text", plain), button(closing["primaryCta"]).alias("primaryCta")).alias("closingCta")),
+        "services": lambda: first_of_each(shaped(listed(v["services"], SERVICE), lambda s, i: service(s, i, only), lambda s: s["name"] != ""), lambda s: s["slug"]),
+        "caseStudies": lambda: first_of_each(shaped(listed(v["caseStudies"], CASE_STUDY), case_study, lambda c: c["client"] != ""), lambda c: c["slug"]),
+        "gallery": lambda: first_of_each(shaped(items(v["gallery"]), picture, lambda g: g["src"] != ""), lambda g: g["src"]),
+        "testimonials": lambda: shaped(listed(v["testimonials"], f"{typed('quote text author name role location source date')},rating:variant"), quote, lambda t: t["quote"] != ""),
+        "team": lambda: shaped(listed(v["team"], typed(member)), lambda m: F.struct(*fields(m, member)), lambda m: m["name"] != ""),
+        "legal": lambda: shaped(listed(v["legal"], "slug:string,title:string,updated:string,sections:variant"), legal_page, lambda x: (x["title"] != "") & (F.size(x["sections"]) > 0)),
+        "faqs": lambda: shaped(listed(v["faqs"], typed("question q answer a")), asked, lambda f: (f["question"] != "") & (f["answer"] != "")),
+        "seo": lambda: F.struct(*fields(part("seo"), "title description"), texts(part("seo.keywords")).alias("keywords"), *kept("seo")),
+        "settings": lambda: F.struct(*fields(settings, "theme mode domain", plain), F.struct(*fields(settings["form"], "action method provider", plain)).alias("form"), F.struct(*fields(settings["analytics"], "plausible ga4", plain)).alias("analytics"),
                  F.struct(F.coalesce(settings["consent"]["enabled"], F.lit(True)).alias("enabled"), *fields(settings["consent"], "policyUrl", plain)).alias("consent"),
-                 F.struct(*fields(settings["verification"], "google", plain)).alias("verification"), F.coalesce(settings["showPrices"], F.lit(True)).alias("showPrices")).alias("settings"),
-        F.struct(yes(part("_meta.enriched")).alias("enriched"), texts(part("_meta.gaps")).alias("gaps"), texts(part("_meta.todo")).alias("todo")).alias("meta"),
-    )
+                 F.struct(*fields(settings["verification"], "google", plain)).alias("verification"), F.coalesce(settings["showPrices"], F.lit(True)).alias("showPrices")),
+        "meta": lambda: F.struct(yes(part("_meta.enriched")).alias("enriched"), texts(part("_meta.gaps")).alias("gaps"), texts(part("_meta.todo")).alias("todo")),
+    }
+    full = p.select("site", "p", phones.alias("_phones"), mails.alias("_mails"), area.alias("_area"))
+    full = full.select("site", *[make().alias(n) for n, make in made.items() if not parts or n in needed])
     # What falls back to other parts reads those once they are clean.
     given = lambda own, other: F.when(own != "", own).otherwise(F.lit(other))
-    full = full.withColumn("settings", F.col("settings").withField("theme", given(F.col("settings.theme"), "meridian")).withField("mode", given(F.col("settings.mode"), "light")).withField(
-        "form", F.col("settings.form").withField("method", given(F.col("settings.form.method"), "POST")).withField("provider", given(F.col("settings.form.provider"), "none"))))
-    pick = lambda *parts: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in parts], F.lit(""))
-    town = F.coalesce(F.nullif(F.col("contact.address.city"), F.lit("")), F.get("business.serviceArea", F.lit(0)), F.lit(""))
-    made = F.array_join(F.filter(F.array("business.name", pick("business.tagline", "business.category"), town), lambda x: x != ""), " | ")
-    title = F.coalesce(F.nullif(F.col("seo.title"), F.lit("")), made)
-    return full.withColumn("seo", F.col("seo").withField("title", T.truncate_words(title, 65, "")).withField("description", T.truncate_words(pick("seo.description", "business.description", "content.hero.subhead"), 158)))
+    if "settings" in full.columns:
+        full = full.withColumn("settings", F.col("settings").withField("theme", given(F.col("settings.theme"), "meridian")).withField("mode", given(F.col("settings.mode"), "light")).withField(
+            "form", F.col("settings.form").withField("method", given(F.col("settings.form.method"), "POST")).withField("provider", given(F.col("settings.form.provider"), "none"))))
+    if "seo" in full.columns:
+        pick = lambda *names: F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in names], F.lit(""))
+        town = F.coalesce(F.nullif(F.col("contact.address.city"), F.lit("")), F.get("business.serviceArea", F.lit(0)), F.lit(""))
+        joined = F.array_join(F.filter(F.array("business.name", pick("business.tagline", "business.category"), town), lambda x: x != ""), " | ")
+        title = F.coalesce(F.nullif(F.col("seo.title"), F.lit("")), joined)
+        full = full.withColumn("seo", F.col("seo").withField("title", T.truncate_words(title, 65, "")).withField("description", T.truncate_words(pick("seo.description", "business.description", "content.hero.subhead"), 158)))
+    if not parts:
+        return full
+    return full.select("site", *[F.col(n) if "" in asked or n == "services" else F.struct(*[F.col(f"{n}.{x}") for x in asked]).alias(n) for n, asked in asked_for.items()])
