@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,8 +65,8 @@ def profile_validate(spark, sf_dir):
     return P.profile_validate(_profiles(spark, sf_dir)).select("site", "level", "code")
 
 
-def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Normalised profiles of firms by key: any number of services of which some are described, a team alone, legal pages, case studies, or nothing at all."""
+def _firms(spark: SparkSession, sf_dir: str, parts: Sequence[str] = ()) -> DataFrame:
+    """Normalised profiles of firms by key, with the parts that a query reads: any number of services of which some are described, a team alone, legal pages, case studies, or nothing at all."""
     c = spread(spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey"), "c_custkey")
     key, k = F.col("c_custkey"), F.col("c_custkey").cast("string")
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -85,29 +87,29 @@ def _firms(spark: SparkSession, sf_dir: str) -> DataFrame:
         listed(service(1), service(2), service(3)).alias("services"), some(6, 3, F.array(item(("client", "Client")))).alias("caseStudies"), F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: F.when(key % 5 >= i, F.concat(F.lit("g"), i.cast("string"), F.lit(".jpg")))).alias("gallery"),
         listed(quote(1, "5"), quote(2, F.when(key % 2 == 1, "4"))).alias("testimonials"), some(5, 3, F.array(item(("name", "Bo")))).alias("team"), some(4, 3, F.array(item(("question", "Q?"), ("answer", "A")))).alias("faqs"),
         some(9, 0, F.array(item(("title", "Terms of use"), ("sections", item(("heading", "H"), ("body", "Text")))))).alias("legal"),
-    )), "profiles")
+    ), parts), "profiles")
 
 
 def page_plan(spark, sf_dir):
     kinds = F.array_join(F.transform("sections", lambda s: s["type"]), " ")
-    return P.page_plan(_firms(spark, sf_dir)).select("site", "ord", "path", "out_path", "title", "description", "nav_label", "nav", "noindex", "parent", kinds.alias("sections"))
+    return P.page_plan(_firms(spark, sf_dir, P.PLAN_PARTS)).select("site", "ord", "path", "out_path", "title", "description", "nav_label", "nav", "noindex", "parent", kinds.alias("sections"))
 
 
 def plan_sections(spark, sf_dir):
     """Sections with a title, an introduction, a limit or an exclusion."""
-    rows = P.plan_sections(P.page_plan(_firms(spark, sf_dir)))
+    rows = P.plan_sections(P.page_plan(_firms(spark, sf_dir, P.PLAN_PARTS)))
     return rows.where("title is not null or max_items is not null or exclude is not null").groupBy("slug", "type", "title", "intro", "max_items", "preview", "heading", "exclude").agg(F.count("*").alias("n")).where("slug not like 'service-%'")
 
 
 def sitemap_rows(spark, sf_dir):
-    return P.sitemap_rows(P.page_plan(_firms(spark, sf_dir)))
+    return P.sitemap_rows(P.page_plan(_firms(spark, sf_dir, P.PLAN_PARTS)))
 
 
 def jsonld_export(spark, sf_dir):
     """Every node of every page's graph as JSON text."""
-    made = P.jsonld_export(_firms(spark, sf_dir))
-    nodes = F.try_variant_get(F.parse_json("jsonld"), "$['@graph']", "array<variant>")
-    return made.select("site", "path", F.posexplode(nodes).alias("nth", "node")).select("site", "path", "nth", F.to_json("node").alias("node"))
+    made = P.jsonld_export(_firms(spark, sf_dir, P.GRAPH_PARTS))
+    nodes = F.from_json("jsonld", "`@graph` array<string>")["@graph"]  # as texts: a VARIANT's to_json sets up a writer for each key and text
+    return made.select("site", "path", F.posexplode(nodes).alias("nth", "node"))
 
 
 def profile_validate_normalized(spark, sf_dir):

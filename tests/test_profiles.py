@@ -106,3 +106,19 @@ def test_tones_and_brand_tokens(spark):
     tokens = {(r.site, r.theme, r["mode"]): r for r in L.theme_tokens(brands, L.theme_palettes(spark)).collect()}
     assert len(tokens) == 28 and tokens["own", "forge", "light"].adjusted_from == "#ffff00" and tokens["own", "forge", "dark"].primary == "#ffff00"
     assert tokens["none", "meridian", "light"].primary == "#1d4ed8" and tokens["none", "meridian", "light"].on_primary == "#ffffff"
+
+
+def test_parts_are_those_of_the_whole(spark):
+    """What a query doesn't ask for isn't worked out; what it asks for is the same."""
+    one = spark.sql("select 's' as site, struct('A' as name, array('Town', 'town') as serviceArea) as business, struct('217 555 0142' as phone) as contact, array(struct('JOB ONE' as name, 'x' as icon, 'Text' as summary)) as services")
+    whole = N.normalize_profiles(one)
+    some = N.normalize_profiles(one, ["contact.phone", "services.summary", "seo.title", "team"])
+    assert some.columns == ["site", "contact", "services", "seo", "team"]
+    assert some.schema["services"].dataType.elementType.names == ["slug", "name", "summary"] and some.schema["seo"].dataType.names == ["title"]
+    a, b = whole.first(), some.first()
+    assert (b.contact.phone, b.seo.title, b.team) == (a.contact.phone, a.seo.title, a.team) == ("217 555 0142", "A | Town", [])
+    assert [(x.slug, x.name, x.summary) for x in b.services] == [(x.slug, x.name, x.summary) for x in a.services]
+    graphs = [json.loads(r.jsonld) for r in P.jsonld_export(N.normalize_profiles(one, P.GRAPH_PARTS)).collect()]
+    assert graphs == [json.loads(r.jsonld) for r in P.jsonld_export(whole).collect()]
+    ordered = lambda x: all(map(ordered, x.values())) and list(x) == sorted(x) if isinstance(x, dict) else all(map(ordered, x)) if isinstance(x, list) else True
+    assert all(ordered(g["@graph"]) for g in graphs)
