@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from siteloom.functions import colour as C
+from siteloom.operators.palettes import PALETTES
+from siteloom.plans.harvest_queries import brand_contrast_matrix
 
 
 def test_readable_is_the_first_shade_that_passes(spark):
@@ -20,3 +22,13 @@ def test_tones_read_their_colour_once(spark):
     plan = spark.range(1).select(C.ramp(F.concat(F.lit("#1f3a9"), F.col("id").cast("string"))).alias("t"))
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("#1f3a9") < 8  # whether there is one, and three channels
     assert len(plan.first().t) == 10
+
+
+def test_brand_contrast_sends_no_rows_through_the_driver(spark, tmp_path):
+    """A row for each part and palette, from a file so small that a join would take the rows for a dimension."""
+    spark.range(1, 4).selectExpr("id as p_partkey", "1 as p_size").write.parquet(f"{tmp_path}/part.parquet")
+    found = brand_contrast_matrix(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    rows = found.collect()
+    assert len(rows) == 3 * len(PALETTES) and len({(r.site, r.theme, r["mode"]) for r in rows}) == len(rows) and all(r.fit for r in rows)
