@@ -50,3 +50,15 @@ def test_words_end_at_letters_beyond_ascii(spark):
 def test_a_capital_is_one_letter(spark):
     rows = spark.createDataFrame([("ßieung und",), ("über uns",)], "t string")
     assert [r.h for r in rows.select(T.humanize_heading(F.col("t")).alias("h")).collect()] == ["ßieung und", "Über uns"]
+
+
+def test_questions_of_long_pages(spark):
+    """What tells a page of questions may stand after thousands of characters, in any element that holds the main content; a long sibling is no answer, and the one after it neither."""
+    long, asked = "<p>" + "word " * 2000 + "</p>", "<h2>Why us?</h2><p>We are good at it.</p>"
+    holds = ["<main>{}</main>", "<div id=content>{}</div>", "<div role=main>{}</div>", "<div class='x entry-content'>{}</div>", "<body>{}</body>"]
+    pages = [h.format(asked + long + end) for h in holds for end in ("<p>See our FAQ</p>", "<p>No such page</p>")] + ["<div><i></i>" + asked + long + "<p>FAQs</p></div>"]
+    pages += ["<main><h3>Is it long?</h3><div>" + "word " * 2000 + "</div><p>Not an answer.</p></main>", "<main><h3>Is it far?</h3><div>It is " + " \n" * 5000 + "not far.</div></main>", "<main><details><summary>Is it wide?</summary>No, " + "\t" * 9000 + "it is not.</details></main>"]
+    nodes = html_nodes(spark.createDataFrame([("s", i, f"<html>{p}</html>") for i, p in enumerate(pages)], "site string, page_id bigint, html string"))
+    got = {r.page_id: (r.question, r.answer) for r in X.page_faqs(nodes).collect()}
+    why = ("Why us?", "We are good at it.")
+    assert got == {i: why for i in range(0, 10, 2)} | {10: why, 12: ("Is it far?", "It is not far."), 13: ("Is it wide?", "No, it is not.")}
