@@ -96,9 +96,9 @@ def page_plan(spark, sf_dir):
 
 
 def plan_sections(spark, sf_dir):
-    """Sections with a title, an introduction, a limit or an exclusion."""
+    """The sections of all pages, those of single services too; equal ones are counted."""
     rows = P.plan_sections(P.page_plan(_firms(spark, sf_dir, P.PLAN_PARTS)))
-    return rows.where("title is not null or max_items is not null or exclude is not null").groupBy("slug", "type", "title", "intro", "max_items", "preview", "heading", "exclude").agg(F.count("*").alias("n")).where("slug not like 'service-%'")
+    return rows.groupBy("slug", "type", "title", "intro", "max_items", "preview", "heading", "exclude").agg(F.count("*").alias("n"))
 
 
 def sitemap_rows(spark, sf_dir):
@@ -172,11 +172,13 @@ ORACLES = {
     "profile_gaps": f"with {_C}, f as ({_FIELDS}) select site, cast(row_number() over (partition by site order by weight desc, i) as integer) as ord, path, weight from f where not filled",
     "profile_validate": f"with {_C} " + " union all ".join(f"select site, '{level}' as level, '{code}' as code from c where {rule}" for level, code, rule in _RULES),
     "page_plan": f"with {_PLAN} select site, ord, '/' || url as path, case when url = '404.html' then url else url || 'index.html' end as out_path, title, description, nav_label, nav, url = '404.html' as noindex, parent, sections from q",
-    "plan_sections": f"""with {_PLAN}, s as (select case when url = '' then 'home' when url = '404.html' then '404' else rtrim(url, '/') end as page, q.parent, q.sections, d.* from q join d using (site)), z as (
-      select page as slug, 'pageHeader' as type, case page when 'about' then 'About ' || name when 'services' then 'Our services' when 'work' then 'Case studies' when 'gallery' then 'Our work' when 'contact' then 'Get in touch' else 'Terms of use' end as title,
-        case when page in ('about', 'services') then tagline when page = 'contact' then case when k % 3 = 2 then 'Call now' else '' end end as intro, null::integer as max_items, false as preview, null as heading, null as exclude from s where sections like 'pageHeader%' and parent is null
-      union all select page, x.type, null, null, x.n, x.preview, null, null from s, (select * from (values ('services', 6, true), ('gallery', 6, true), ('caseStudies', 2, true), ('testimonials', 3, false), ('faq', 4, true)) t(type, n, preview)) x where page = 'home' and ' ' || sections || ' ' like '% ' || x.type || ' %'
-      union all select page, 'testimonials', null, null, 3, false, null, null from s where page = 'about' and quotes union all select page, 'legal', null, null, null, false, null, page from s where page = 'terms-of-use')
+    "plan_sections": f"""with {_PLAN}, s as (select case when url = '' then 'home' when url = '404.html' then '404' when parent is not null then 'service-' || j.slug else rtrim(url, '/') end as page, q.parent, unnest(string_split(q.sections, ' ')) as type, j.job, j.does, j.slug as own, d.*
+        from q join d using (site) left join j on j.site = q.site and q.url = 'services/' || j.slug || '/'), z as (
+      select page as slug, type, case when type = 'pageHeader' then case when parent is not null then job when page = 'about' then 'About ' || name when page = 'services' then 'Our services' when page = 'work' then 'Case studies' when page = 'gallery' then 'Our work' when page = 'contact' then 'Get in touch' else 'Terms of use' end end as title,
+        case when type = 'pageHeader' then case when parent is not null then does when page in ('about', 'services') then tagline when page = 'contact' then case when k % 3 = 2 then 'Call now' else '' end end end as intro,
+        (case when page = 'home' then case type when 'services' then 6 when 'gallery' then 6 when 'caseStudies' then 2 when 'testimonials' then 3 when 'faq' then 4 end when page = 'about' and type = 'testimonials' then 3 when parent is not null and type = 'services' then 4 end)::integer as max_items,
+        page = 'home' and type in ('services', 'about', 'gallery', 'caseStudies', 'faq') as preview, case when (page, type) in (('about', 'about'), ('services', 'services'), ('work', 'caseStudies'), ('gallery', 'gallery')) then '' when parent is not null and type = 'services' then 'Other services' end as heading,
+        case when type = 'legal' then page when parent is not null and type = 'services' then own end as exclude from s)
       select slug, type, title, intro, max_items, preview, heading, exclude, count(*) as n from z group by all""",
     "sitemap_rows": f"with {_PLAN} select site, 'https://' || site || '/' || url as loc, case when url = '' then 'weekly' else 'monthly' end as changefreq, case when url = '' then 1.0::double when url like '%/%/' then 0.6::double else 0.8::double end as priority from q where url <> '404.html'",
     "jsonld_export": f"with {_NODES} select site, '/' || url as path, cast(row_number() over (partition by site, url order by at_) - 1 as integer) as nth, node from node",

@@ -13,6 +13,7 @@ from siteloom.operators import monitor as M
 from siteloom.operators import normalize as N
 from siteloom.operators import palettes as L
 from siteloom.operators import profiles as P
+from siteloom.plans import profile_queries as Q
 from siteloom.sources import pages as G
 from siteloom.streaming.jobs import stream_new_pages
 
@@ -122,3 +123,14 @@ def test_parts_are_those_of_the_whole(spark):
     assert graphs == [json.loads(r.jsonld) for r in P.jsonld_export(whole).collect()]
     ordered = lambda x: all(map(ordered, x.values())) and list(x) == sorted(x) if isinstance(x, dict) else all(map(ordered, x)) if isinstance(x, list) else True
     assert all(ordered(g["@graph"]) for g in graphs)
+
+
+def test_sections_of_all_pages_are_counted(spark, tmp_path):
+    """Firm 11 has pages of three services; sections without a title, a limit or an exclusion count too."""
+    spark.range(11, 13).selectExpr("id as c_custkey").write.parquet(f"{tmp_path}/customer.parquet")
+    rows = Q.plan_sections(spark, str(tmp_path)).collect()
+    service = {(r.type, r.title, r.intro, r.max_items, r.heading, r.exclude, r.n) for r in rows if r.slug == "service-job-2-of-11"}
+    assert service == {("pageHeader", "Job 2 of 11", "Does 2", None, None, None, 1), ("serviceDetail", None, None, None, None, None, 1), ("services", None, None, 4, "Other services", "job-2-of-11", 1), ("cta", None, None, None, None, None, 1)}
+    assert {r.slug for r in rows if r.slug.startswith("service-")} == {f"service-job-{i}-of-11" for i in (1, 2, 3)}
+    planned = Q.page_plan(spark, str(tmp_path)).agg(F.sum(F.size(F.split("sections", " "))).alias("n")).first()["n"]
+    assert sum(r.n for r in rows) == planned and {(r.type, r.n) for r in rows if r.slug == "404"} == {("notFound", 2), ("cta", 2)}
